@@ -30,6 +30,7 @@ def get_session(master: str | None = None, shuffle_partitions: int | None = None
     """
     active = SparkSession.getActiveSession()
     if active is not None:
+        ship_package(active)
         return active
     builder = SparkSession.builder.appName(app_name)
     if master:
@@ -42,9 +43,28 @@ def get_session(master: str | None = None, shuffle_partitions: int | None = None
         builder = builder.config(key, value)
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
+    ship_package(spark)
     return spark
 
 
+_SHIPPED: set = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make ``docmill`` importable in Python workers (Arrow kernels, the HTML
+    parser). Equivalent to ``--py-files``; done once per SparkContext."""
+    sc = spark.sparkContext
+    key = sc.applicationId
+    if key in _SHIPPED:
+        return
+    import shutil
+    pkg_root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    out = tempfile.mkdtemp(prefix="docmill-pyfiles-")
+    archive = shutil.make_archive(os.path.join(out, "docmill"), "zip", pkg_root, "docmill")
+    sc.addPyFile(archive)
+    _SHIPPED.add(key)
+
+
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder for cutting lineage.
 
