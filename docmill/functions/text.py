@@ -12,6 +12,9 @@ PY_WHITESPACE_CLASS = (
     r"\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
 )
 
+# The same set without the newline (whitespace inside one line).
+PY_LINE_WHITESPACE_CLASS = PY_WHITESPACE_CLASS.replace(r"\t\n", r"\t")
+
 # Word tokens for lexical vectors: maximal runs of Unicode letters.
 TOKEN_SPLIT = r"[^\p{L}]+"
 
@@ -22,7 +25,7 @@ def _c(col) -> Column:
 
 def py_strip(col) -> Column:
     """``str.strip()`` with Python's whitespace set (``btrim`` strips only spaces)."""
-    return F.regexp_replace(_c(col), f"^{PY_WHITESPACE_CLASS}+|{PY_WHITESPACE_CLASS}+$", "")
+    return F.regexp_replace(_c(col), f"^{PY_WHITESPACE_CLASS}+|{PY_WHITESPACE_CLASS}+\\z", "")
 
 
 def is_blank(col) -> Column:

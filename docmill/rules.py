@@ -198,3 +198,68 @@ DISCOUNT_CODES = [("SAVE15", 0.15)]
 SHIPPING_COSTS = [("standard", 0.0), ("express", 10.0)]
 EMAIL_PATTERN = r"^[^\s@]+@[^\s@]+\.[^\s@]+$"
 DISCOUNT_TOLERANCE = 0.01
+
+# Prompt for script generation. Placeholders are filled per
+# (test case, page); {selectors} and {structure} are indent-2 JSON, {steps}
+# the list as Python prints it.
+SCRIPT_PROMPT = '''
+You are a senior QA automation engineer. Generate a complete, production-ready Selenium Python script based on the test case and HTML structure provided.
+
+TEST CASE DETAILS:
+- Test ID: {test_id}
+- Feature: {feature}
+- Scenario: {test_scenario}
+- Expected Result: {expected_result}
+- Test Type: {test_type}
+- Steps: {steps}
+
+AVAILABLE SELECTORS:
+{selectors}
+
+HTML STRUCTURE ANALYSIS:
+{structure}
+
+PROJECT DOCUMENTATION CONTEXT:
+{context}
+
+REQUIREMENTS:
+1. Generate a complete Python class with proper imports
+2. Include setup() method with Chrome WebDriver configuration (headless mode)
+3. Include teardown() method for cleanup
+4. Create specific test methods based on the test case steps
+5. Use explicit waits (WebDriverWait) and proper error handling
+6. Include assertions that verify the expected results
+7. Add meaningful comments explaining each step
+8. Use the most reliable selectors from the provided options (prefer ID > name > class > CSS)
+9. Handle edge cases and potential timing issues with time.sleep() when needed
+10. Include a run_test() method to execute all tests
+11. Make the script executable with proper if __name__ == "__main__" block
+12. Use try-except blocks for robust error handling
+13. Include print statements for test progress and results (✓ for pass, ✗ for fail)
+14. For discount tests: calculate expected totals and verify percentage discounts
+15. For form validation: check for error messages and their styling (color)
+16. For cart tests: verify item counts and total calculations
+17. Update the file path in setup() to use a relative path like "file:///path/to/checkout.html"
+
+SCRIPT STRUCTURE EXAMPLE:
+```python
+class Test{class_suffix}:
+    def __init__(self):
+        self.driver = None
+        self.wait = None
+    
+    def setup(self):
+        # Chrome driver setup with headless mode
+        
+    def test_main_functionality(self):
+        # Main test logic based on test case steps
+        
+    def teardown(self):
+        # Cleanup
+        
+    def run_test(self):
+        # Execute all tests with proper error handling
+```
+
+Generate ONLY the Python script code, no explanations or markdown formatting. Ensure the script is syntactically correct and executable.
+'''
