@@ -231,7 +231,7 @@ def _kind(ctype: str, name: str) -> str:
 
 
 CENTROIDS = """
-ex AS (SELECT label, unnest(generate_subscripts(embedding, 1)) AS i, unnest(embedding) AS v FROM embeddings),
+ex AS (SELECT label, unnest(range(1, len(embedding) + 1)) AS i, unnest(embedding) AS v FROM embeddings),
 cen AS (SELECT label AS qid, list(m ORDER BY i) AS c FROM (SELECT label, i, avg(CAST(v AS DOUBLE)) AS m FROM ex GROUP BY ALL) GROUP BY label),
 vs AS (SELECT vec_id AS cid, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
 sc AS (SELECT cen.qid, vs.cid, 1 - list_dot_product(cen.c, vs.e) / (sqrt(list_dot_product(cen.c, cen.c)) * sqrt(list_dot_product(vs.e, vs.e))) AS distance FROM cen, vs)
@@ -298,7 +298,7 @@ def _statements() -> dict[str, str]:
     s["test_cases"] = (BENCH_CASES + " SELECT qkey AS item_id, test_id, feature, test_scenario, expected_result, grounded_in, "
                        "test_type, array_to_string(steps, chr(10)) AS steps FROM t_cases")
     s["case_steps"] = (BENCH_CASES + " SELECT item_id, test_id, step_no, step FROM (SELECT qkey AS item_id, test_id, "
-                       "unnest(generate_subscripts(steps, 1)) AS step_no, unnest(steps) AS step FROM t_cases WHERE steps IS NOT NULL)")
+                       "unnest(range(1, len(steps) + 1)) AS step_no, unnest(steps) AS step FROM t_cases WHERE steps IS NOT NULL)")
     s["case_labels"] = BENCH_CASES + " SELECT qkey AS item_id, test_id, test_id || ': ' || test_scenario AS label FROM t_cases"
     s["export_names"] = (BENCH_CASES + " SELECT qkey AS item_id, test_id, 'Test' || replace(test_id, '-', '_') AS class_name, "
                          "'test_' || replace(lower(test_id), '-', '_') || '.py' AS file_name FROM t_cases")
@@ -350,7 +350,7 @@ pa AS (SELECT item_id, unnest(CASE WHEN p_type = 'ECONOMY' THEN [0, 1] WHEN p_ty
     s["tag_counts"] = (f"SELECT tag, count(*) AS n FROM (SELECT unnest(regexp_extract_all({body}, '{START_TAG}', 1)) AS t FROM pages), "
                        "LATERAL (SELECT lower(t) AS tag) GROUP BY tag")
     s["page_elements"] = (f"SELECT page_id, CAST(i - 1 AS BIGINT) AS ord, lower(t) AS tag FROM (SELECT page_id, "
-                          f"unnest(generate_subscripts(regexp_extract_all({body}, '{START_TAG}', 1), 1)) AS i, "
+                          f"unnest(range(1, len(regexp_extract_all({body}, '{START_TAG}', 1)) + 1)) AS i, "
                           f"unnest(regexp_extract_all({body}, '{START_TAG}', 1)) AS t FROM pages)")
     slot_sql = []
     for slot, css in R.PAGE_SLOTS:
@@ -382,7 +382,7 @@ pa AS (SELECT item_id, unnest(CASE WHEN p_type = 'ECONOMY' THEN [0, 1] WHEN p_ty
                            + s["order_eligible"] + ")")
     s["record_validation"] = ("SELECT doc_id, CAST(i - 1 AS BIGINT) AS pos, candidate, "
                               f"coalesce(regexp_matches({strip('candidate')}, {q(rules.EMAIL_PATTERN)}), false) AS email_ok FROM ("
-                              f"SELECT doc_id, unnest(generate_subscripts(regexp_extract_all(text, {q(R.EMAIL_CANDIDATE)}), 1)) AS i, "
+                              f"SELECT doc_id, unnest(range(1, len(regexp_extract_all(text, {q(R.EMAIL_CANDIDATE)})) + 1)) AS i, "
                               f"unnest(regexp_extract_all(text, {q(R.EMAIL_CANDIDATE)})) AS candidate FROM documents)")
     s["amount_parse"] = ("SELECT o_orderkey, 'Total: $' || format('{:,.2f}', o_totalprice) AS amount_text, "
                          "TRY_CAST(replace(replace(format('{:,.2f}', o_totalprice), '$', ''), ',', '') AS DOUBLE) AS amount FROM orders")
