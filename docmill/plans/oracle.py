@@ -359,7 +359,7 @@ pa AS (SELECT item_id, unnest(CASE WHEN p_type = 'ECONOMY' THEN [0, 1] WHEN p_ty
         sel = {"title": "title", "h1": "h1", ".ad": ".ad", 'a[href*="/"]': "a", "p": "p", "footer": "footer"}[css]
         slot_sql.append(f"SELECT page_id, {q(slot)} AS slot, {q(sel)} AS selector FROM pages WHERE regexp_matches({body}, {q(pattern)})")
     s["page_selectors"] = " UNION ALL ".join(slot_sql)
-    sec_text = _decode(f"regexp_replace(unnest(regexp_extract_all({body}, '<div class=\"ad\">(.*?)</div>', 1)), '<[^>]*>', '', 'g')")
+    sec_text = _decode(f"regexp_replace(unnest(regexp_extract_all({body}, '(?s)<div class=\"ad\">(.*?)</div>', 1)), '<[^>]*>', '', 'g')")
     s["page_sections"] = f"SELECT page_id, 'div' AS tag, 'ad' AS classes, substring({strip('x')}, 1, 100) AS text_preview FROM (SELECT page_id, {sec_text} AS x FROM pages)"
     s["page_forms"] = ("SELECT page_id, CAST(len(regexp_extract_all(regexp_extract(" + body + ", '(?s)<nav>(.*?)</nav>', 1), '<a[\\s>]')) AS BIGINT) AS n_fields "
                        f"FROM pages WHERE regexp_matches({body}, '<nav[\\s>]')")
