@@ -42,22 +42,8 @@ def topk_kernel(query_ids: np.ndarray, query_unit: np.ndarray, k: int,
             cids = batch.column(id_col).to_numpy(zero_copy_only=False)
             corpus = unit_rows(_as_matrix(batch.column(vec_col)))
             dist = 1.0 - query_unit @ corpus.T            # (Q, B)
-            dist_r = np.round(dist, decimals)
-            dist_r = np.where(np.isnan(dist_r), np.inf, dist_r)
-            kk = min(k, dist.shape[1])
-            # k-th smallest rounded distance per query; keep ties at the cut so
-            # the later (distance, cid) ordering stays exact.
-            kth = np.partition(dist_r, kk - 1, axis=1)[:, kk - 1:kk]
-            qi, ci = np.nonzero(dist_r <= kth)
-            keep = np.isfinite(dist_r[qi, ci])
-            qi, ci = qi[keep], ci[keep]
-            order = np.lexsort((cids[ci], dist_r[qi, ci], qi))
-            qi, ci = qi[order], ci[order]
-            # rank within query after sorting; drop beyond k
-            starts = np.r_[0, np.flatnonzero(np.diff(qi)) + 1]
-            pos = np.arange(len(qi)) - np.repeat(starts, np.diff(np.r_[starts, len(qi)]))
-            sel = pos < kk
-            qi, ci = qi[sel], ci[sel]
+            dist = np.where(np.isnan(dist), np.inf, dist)
+            qi, ci = _near_topk(dist, k, decimals, 2 * 10.0 ** -decimals)
             yield pa.RecordBatch.from_arrays(
                 [pa.array(query_ids[qi], pa.int64()), pa.array(cids[ci], pa.int64()),
                  pa.array(dist[qi, ci], pa.float64())],
@@ -65,3 +51,79 @@ def topk_kernel(query_ids: np.ndarray, query_unit: np.ndarray, k: int,
             )
 
     return run
+
+
+def _near_topk(dist: np.ndarray, k: int, decimals: int, margin: float):
+    """(query idx, corpus idx) of the k nearest per query row of ``dist``
+    (inf = not a candidate), plus anything within ``margin`` of the k-th
+    rounded distance so a different rounding rule downstream cannot change
+    the exact top-k. ``dist`` is (Q, B)."""
+    dist_r = np.round(dist, decimals)
+    kk = min(k, dist.shape[1])
+    kth = np.partition(dist_r, kk - 1, axis=1)[:, kk - 1:kk]
+    qi, ci = np.nonzero((dist_r <= kth + margin) & np.isfinite(dist_r))
+    return qi, ci
+
+
+def lexical_kernel(vocab: list, weights: np.ndarray, q_norm: np.ndarray, k: int,
+                   key_cols: list, tokens_col: str = "tokens", decimals: int = 6,
+                   rows_per_block: int = 1024):
+    """mapInArrow function: term-count cosine of each chunk against a
+    broadcast query block.
+
+    ``vocab`` (V query terms), ``weights`` (V x Q query term counts),
+    ``q_norm`` (Q, sqrt of summed squared counts). Chunk term counts and
+    norms are computed per batch with hashing (pandas factorize) and one
+    sorted-unique pass; dot products are one dense matrix product over the
+    query terms present in the batch, so they are exact integers. Only
+    chunks sharing at least one term with a query are candidates; each batch
+    emits at most its per-query top-k (plus rounding ties).
+    """
+    import pandas as pd
+    import pyarrow.compute as pc
+
+    index = pd.Index(vocab)
+
+    def run(batches):
+        for whole in batches:
+            # bounded slices keep the dense (rows x query terms) block small
+            for start in range(0, whole.num_rows, rows_per_block):
+                yield from score(whole.slice(start, rows_per_block))
+
+    def score(batch):
+        if True:
+            n = batch.num_rows
+            if n == 0:
+                return
+            toks = batch.column(tokens_col)
+            flat = toks.flatten()
+            if len(flat) == 0:
+                return
+            rows = pc.list_parent_indices(toks).to_numpy().astype(np.int64)
+            codes, uniq = pd.factorize(flat.to_numpy(zero_copy_only=False))
+            nu = len(uniq)
+            ukey, tf = np.unique(rows * nu + codes, return_counts=True)
+            r_u, c_u = ukey // nu, ukey % nu
+            c2 = np.bincount(r_u, weights=tf.astype(np.float64) ** 2, minlength=n)
+            qv = index.get_indexer(uniq)[c_u]
+            sel = qv >= 0
+            if not sel.any():
+                return
+            r_s, v_s, tf_s = r_u[sel], qv[sel], tf[sel]
+            used, pos = np.unique(v_s, return_inverse=True)
+            dense = np.zeros((n, len(used)))
+            dense[r_s, pos] = tf_s
+            dots = (dense @ weights[used]).T                      # (Q, n), exact integers
+            with np.errstate(invalid="ignore", divide="ignore"):
+                dist = 1.0 - dots / (q_norm[:, None] * np.sqrt(c2)[None, :])
+            dist = np.where(dots > 0, dist, np.inf)
+            qi, ci = _near_topk(dist, k, decimals, 2 * 10.0 ** -decimals)
+            if len(qi) == 0:
+                return
+            take = pa.array(ci)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(qi.astype(np.int32))] + [batch.column(c).take(take) for c in key_cols]
+                + [pa.array(dist[qi, ci], pa.float64())],
+                names=["_q"] + list(key_cols) + ["distance"])
+
+    return run
