@@ -102,12 +102,12 @@ def feature_rows(df: DataFrame, keys: Sequence[str], texts: Sequence[str],
 # ---------------------------------------------------------------------------
 # D5-D9, D11
 
-def _templates(keywords=rules.FEATURE_KEYWORDS, templates=rules.TEST_TEMPLATES) -> Column:
-    """All templates as one literal array sorted by (feature, type, template order)."""
+def _template_structs(keywords=rules.FEATURE_KEYWORDS, templates=rules.TEST_TEMPLATES):
+    """[(feature_ord, struct)] sorted by (feature, positive before negative,
+    template order)."""
     ford = {name: i for i, (name, _) in enumerate(keywords)}
     tord = {"positive": 0, "negative": 1}
-    keyed = []
-    counters: dict = {}
+    keyed, counters = [], {}
     for feat, ttype, label, scenario, expected, steps in templates:
         if feat not in ford:
             continue
@@ -115,12 +115,10 @@ def _templates(keywords=rules.FEATURE_KEYWORDS, templates=rules.TEST_TEMPLATES)
         counters[(feat, ttype)] = n + 1
         keyed.append(((ford[feat], tord.get(ttype, 2), n), (label, scenario, expected, ttype, steps)))
     keyed.sort(key=lambda kv: kv[0])
-    return F.array(*[
-        F.struct(F.lit(k[0]).alias("feature_ord"), F.lit(label).alias("feature"),
-                 F.lit(scenario).alias("test_scenario"), F.lit(expected).alias("expected_result"),
-                 F.lit(ttype).alias("test_type"), _lit_str_array(steps).alias("steps"))
-        for k, (label, scenario, expected, ttype, steps) in keyed
-    ])
+    return [(k[0], F.struct(F.lit(k[0]).alias("feature_ord"), F.lit(label).alias("feature"),
+                            F.lit(scenario).alias("test_scenario"), F.lit(expected).alias("expected_result"),
+                            F.lit(ttype).alias("test_type"), _lit_str_array(steps).alias("steps")))
+            for k, (label, scenario, expected, ttype, steps) in keyed]
 
 
 CASE_COLUMNS = ["test_id", "feature", "test_scenario", "expected_result", "grounded_in", "test_type", "steps"]
@@ -135,13 +133,22 @@ def test_cases(queries: DataFrame, contexts: DataFrame, keys: Sequence[str], que
     informational row; queries whose features match no template get the
     generic exploratory row; otherwise the matched templates numbered
     ``TC-001``... in (feature, positive-before-negative, template) order.
+
+    Texts are lowered once and each feature flag is its own column; the
+    matched templates are chosen by plain CASE branches (no lambda that
+    reaches back to row columns), so every keyword scan runs once per row.
     """
     keys = list(keys)
     joined = queries.select(*keys, query_col).join(contexts, keys, "left")
+    low = joined.select("*", F.lower(F.col("context")).alias("_lc"), F.lower(F.col(query_col)).alias("_lq"))
+    flags = [_any_contains([F.col("_lc"), F.col("_lq")], kws).alias(f"_f{i}")
+             for i, (_, kws) in enumerate(keywords)]
+    flagged = low.select(*keys, query_col, "context", "chunk_sources", *flags)
+    picks = [F.when(F.col(f"_f{ford}"), tpl) for ford, tpl in _template_structs(keywords, templates)]
+    with_matched = flagged.select(*keys, query_col, "context", "chunk_sources",
+                                  F.filter(F.array(*picks), lambda t: t.isNotNull()).alias("_matched"))
     has_ctx = F.col("context").isNotNull()
-    ords = F.transform(detected_features([F.col("context"), F.col(query_col)], keywords),
-                       lambda s: s["feature_ord"])
-    matched = F.filter(_templates(keywords, templates), lambda t: F.array_contains(ords, t["feature_ord"]))
+    matched = F.col("_matched")
     grounded_tpl = F.array_join(cited_sources(F.col("context")), ", ")
     grounded_gen = F.array_join(F.col("chunk_sources"), ", ")
     g = rules.GENERIC_CASE
@@ -155,14 +162,13 @@ def test_cases(queries: DataFrame, contexts: DataFrame, keys: Sequence[str], que
         F.lit(-1).alias("feature_ord"), F.lit(e["feature"]).alias("feature"),
         F.lit(e["test_scenario"]).alias("test_scenario"), F.lit(e["expected_result"]).alias("expected_result"),
         F.lit(e["test_type"]).alias("test_type"), F.lit(None).cast("array<string>").alias("steps")))
-    cases = (F.when(~has_ctx, informational)
-              .when(F.size(matched) > 0, matched)
-              .otherwise(generic))
+    n_matched = F.size(matched)
+    cases = F.when(~has_ctx, informational).when(n_matched > 0, matched).otherwise(generic)
     grounded = (F.when(~has_ctx, F.lit(e["grounded_in"]))
-                 .when(F.size(matched) > 0, grounded_tpl)
+                 .when(n_matched > 0, grounded_tpl)
                  .otherwise(grounded_gen))
-    exploded = joined.select(*keys, grounded.alias("grounded_in"),
-                             F.posexplode(cases).alias("_pos", "_case"))
+    exploded = with_matched.select(*keys, grounded.alias("grounded_in"),
+                                   F.posexplode(cases).alias("_pos", "_case"))
     return exploded.select(
         *keys,
         F.format_string("TC-%03d", F.col("_pos") + 1).alias("test_id"),

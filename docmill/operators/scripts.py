@@ -172,5 +172,5 @@ def clean_fences(text: Column) -> Column:
 def missing_components(text: Column, components: Sequence[str] = rules.REQUIRED_SCRIPT_COMPONENTS) -> Column:
     """Required substrings (case-insensitive) absent from the text, in order."""
     lowered = F.lower(text)
-    return F.filter(F.array(*[F.lit(c) for c in components]),
-                    lambda c: ~F.contains(lowered, F.lower(c)))
+    checks = [F.when(~F.contains(lowered, F.lit(c.lower())), F.lit(c)) for c in components]
+    return F.filter(F.array(*checks), lambda c: c.isNotNull())
