@@ -23,9 +23,19 @@ def _c(col) -> Column:
     return F.col(col) if isinstance(col, str) else col
 
 
+# The same set as a plain string of characters (for btrim).
+PY_WHITESPACE_CHARS = (
+    "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680"
+    "\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a"
+    "\u2028\u2029\u202f\u205f\u3000"
+)
+
+
 def py_strip(col) -> Column:
-    """``str.strip()`` with Python's whitespace set (``btrim`` strips only spaces)."""
-    return F.regexp_replace(_c(col), f"^{PY_WHITESPACE_CLASS}+|{PY_WHITESPACE_CLASS}+\\z", "")
+    """``str.strip()`` with Python's whitespace set. ``btrim`` with an explicit
+    character set is a plain scan of both ends (no regex), and unlike the
+    one-argument form it is not limited to spaces."""
+    return F.btrim(_c(col), F.lit(PY_WHITESPACE_CHARS))
 
 
 def is_blank(col) -> Column:

@@ -100,7 +100,12 @@ def lexical_kernel(vocab: list, weights: np.ndarray, q_norm: np.ndarray, k: int,
             if len(flat) == 0:
                 return
             rows = pc.list_parent_indices(toks).to_numpy().astype(np.int64)
-            codes, uniq = pd.factorize(flat.to_numpy(zero_copy_only=False))
+            # hash tokens in Arrow (C++), only the batch dictionary becomes Python
+            enc = pc.dictionary_encode(flat)
+            if isinstance(enc, pa.ChunkedArray):
+                enc = enc.combine_chunks()
+            codes = enc.indices.to_numpy().astype(np.int64)
+            uniq = enc.dictionary.to_numpy(zero_copy_only=False)
             nu = len(uniq)
             ukey, tf = np.unique(rows * nu + codes, return_counts=True)
             r_u, c_u = ukey // nu, ukey % nu

@@ -48,12 +48,13 @@ def benchmark_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("query"))
 
 
-def retrieved(spark: SparkSession, sf_dir: str, k: int, chunks: DataFrame | None = None) -> DataFrame:
-    """Lexical top-k chunks per benchmark item, with source name and text."""
+def retrieved(spark: SparkSession, sf_dir: str, k: int, chunks: DataFrame | None = None,
+              carry=("filename", "text")) -> DataFrame:
+    """Lexical top-k chunks per benchmark item (optionally with source name
+    and text carried from the winning chunks)."""
     chunks = chunks if chunks is not None else chunk_table(spark, sf_dir)
     q = benchmark_queries(spark, sf_dir)
-    return lexical_topk(q, chunks, k=k, q_keys=["item_id"], q_text="query",
-                        carry=["filename", "text"])
+    return lexical_topk(q, chunks, k=k, q_keys=["item_id"], q_text="query", carry=list(carry))
 
 
 def contexts(spark: SparkSession, sf_dir: str, k: int) -> DataFrame:

@@ -147,7 +147,7 @@ def q_kb_sources(spark, sf):
 # retrieval and context
 
 def q_retrieve_lexical(spark, sf):
-    top = retrieved(spark, sf, retrieve.DEFAULT_K)
+    top = retrieved(spark, sf, retrieve.DEFAULT_K, carry=())
     return top.select("item_id", _long("rank"), "doc_id", _long("chunk_index"), _r6("distance"))
 
 
@@ -397,7 +397,7 @@ def _order_inputs(spark, sf):
 
 def _totals(spark, sf):
     o, code, ship = _order_inputs(spark, sf)
-    return orders.order_totals(o, table(spark, sf, "lineitem"), table(spark, sf, "part"), code, ship)
+    return orders.order_totals(o, spread(table(spark, sf, "lineitem")), table(spark, sf, "part"), code, ship)
 
 
 def q_order_totals(spark, sf):
