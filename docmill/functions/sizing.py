@@ -19,6 +19,17 @@ def fits(df: DataFrame, max_rows: int = DEFAULT_MAX_BROADCAST_ROWS) -> bool:
     return df.limit(max_rows + 1).count() <= max_rows
 
 
+def collect_bounded(df: DataFrame, max_rows: int = DEFAULT_MAX_BROADCAST_ROWS):
+    """Arrow table of ``df`` if it has at most ``max_rows`` rows, else None.
+
+    One job: fetch at most ``max_rows + 1`` rows; more than ``max_rows``
+    means the side is too big to ship and the caller takes its
+    distributed path instead.
+    """
+    tbl = df.limit(max_rows + 1).toArrow()
+    return tbl if tbl.num_rows <= max_rows else None
+
+
 def maybe_broadcast(df: DataFrame, max_rows: int = DEFAULT_MAX_BROADCAST_ROWS) -> DataFrame:
     """Broadcast hint only behind a row-count check; otherwise leave the join
     to the planner (shuffle hash / sort-merge, AQE skew splitting)."""

@@ -313,7 +313,7 @@ def _statements() -> dict[str, str]:
                             + " SELECT c.qkey AS item_id, c.test_id, count(x.cited) AS n_cited, "
                               "count(x.cited) FILTER (WHERE x.cited NOT IN (SELECT filename FROM src)) AS n_missing "
                               "FROM t_cases c LEFT JOIN cit x ON x.qkey = c.qkey AND x.test_id = c.test_id GROUP BY ALL")
-    s["pipeline_status"] = (_with(CHUNKS_CTE, CHUNK_TERMS, test_case_ctes("benchmark", "item_id", "text", R.TEST_K))
+    s["status_counts"] = (_with(CHUNKS_CTE, CHUNK_TERMS, test_case_ctes("benchmark", "item_id", "text", R.TEST_K))
                             + " SELECT 'documents_uploaded' AS metric, count(*) AS value FROM documents"
                               " UNION ALL SELECT 'kb_ready', CAST(count(*) > 0 AS BIGINT) FROM chunks"
                               " UNION ALL SELECT 'kb_chunks', count(*) FROM chunks"

@@ -273,7 +273,7 @@ def q_coverage_matrix(spark, sf):
     return m.select("feature", *[_long(c) for c in generate.COVERAGE_TYPES])
 
 
-def q_pipeline_status(spark, sf):
+def q_status_counts(spark, sf):
     docs = documents(spark, sf).agg(F.count(F.lit(1)).alias("v")).select(F.lit("documents_uploaded").alias("metric"), "v")
     ch = chunk_table(spark, sf).agg(F.count(F.lit(1)).alias("v"))
     ready = ch.select(F.lit("kb_ready").alias("metric"), (F.col("v") > 0).cast("long").alias("v"))
@@ -465,7 +465,7 @@ QUERIES: dict[str, Query] = {
     "prompts": q_prompts,
     "grounding_check": q_grounding_check,
     "coverage_matrix": q_coverage_matrix,
-    "pipeline_status": q_pipeline_status,
+    "status_counts": q_status_counts,
     "page_elements": q_page_elements,
     "tag_counts": q_tag_counts,
     "page_selectors": q_page_selectors,

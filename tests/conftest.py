@@ -26,3 +26,13 @@ def spark():
 def checkout_html():
     with open(os.path.join(FIXTURES, "checkout_like.html"), encoding="utf-8") as f:
         return f.read()
+
+
+def plan_text(df) -> str:
+    """The formatted physical plan, as printed by ``DataFrame.explain``."""
+    import contextlib
+    import io
+    buf = io.StringIO()
+    with contextlib.redirect_stdout(buf):
+        df.explain("formatted")
+    return buf.getvalue()

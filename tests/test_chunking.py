@@ -1,5 +1,6 @@
 """Closed-form chunker vs the plain loop it replaces."""
 
+from conftest import plan_text
 import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
@@ -67,6 +68,8 @@ def test_property_random_texts(spark, texts):
 
 
 def test_plan_is_narrow_and_python_free(spark):
-    df = spark.createDataFrame([(1, "x. " * 900)], "doc_id long, text string")
-    plan = chunk(df)._jdf.queryExecution().executedPlan().toString()
-    assert "Exchange" not in plan and "Python" not in plan and "ArrowEval" not in plan
+    df = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    plan = plan_text(chunk(df))
+    for node in ("Exchange", "EvalPython", "MapInArrow", "MapInPandas", "PythonUDF"):
+        assert node not in plan
+    assert "ReadSchema: struct<doc_id:bigint,text:string>" in plan

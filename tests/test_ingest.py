@@ -1,5 +1,6 @@
 """Ingestion: dispatch, decoding modes, JSON normalisation, KB lifecycle."""
 
+from conftest import plan_text
 import json
 import os
 import tempfile
@@ -88,5 +89,5 @@ def test_kb_sources_reads_only_source(spark):
     root = tempfile.mkdtemp(prefix="docmill-kb-")
     rows = spark.createDataFrame([("i", "s", "t", 0, 0, 1, "x")], KB.KB_SCHEMA)
     KB.build(rows, root)
-    plan = KB.sources(KB.open_kb(spark, root))._jdf.queryExecution().executedPlan().toString()
+    plan = plan_text(KB.sources(KB.open_kb(spark, root)))
     assert "ReadSchema: struct<source:string>" in plan

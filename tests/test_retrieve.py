@@ -1,5 +1,6 @@
 """Retrieval: kernel == relational plan == brute force."""
 
+from conftest import plan_text
 import numpy as np
 from pyspark.sql import functions as F
 
@@ -69,9 +70,7 @@ def test_ivf_full_probe_is_exact(spark):
 def test_retrieval_plans(spark):
     ch = chunk_table(spark, SF)
     q = benchmark_queries(spark, SF)
-    plan = RT.lexical_topk(q, ch, k=5, q_keys=["item_id"], q_text="query")._jdf.queryExecution() \
-             .executedPlan().toString()
+    plan = plan_text(RT.lexical_topk(q, ch, k=5, q_keys=["item_id"], q_text="query"))
     assert "MapInArrow" in plan and "WindowGroupLimit" in plan
-    sql_plan = RT.lexical_topk_sql(q, ch, k=5, q_keys=["item_id"], q_text="query")._jdf.queryExecution() \
-                 .executedPlan().toString()
+    sql_plan = plan_text(RT.lexical_topk_sql(q, ch, k=5, q_keys=["item_id"], q_text="query"))
     assert "BroadcastHashJoin" in sql_plan and "WindowGroupLimit" in sql_plan
