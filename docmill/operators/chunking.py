@@ -114,19 +114,3 @@ def chunk(df: DataFrame, text_col: str = "text", size: int = DEFAULT_SIZE,
     if not keep_source_text:
         out = out.drop(text_col)
     return out.withColumnRenamed("_ck_chunk", out_text)
-
-
-def chunk_loop(text: str, size: int = DEFAULT_SIZE, overlap: int = DEFAULT_OVERLAP):
-    """Plain-loop statement of the rule, used as the test oracle only."""
-    out, start = [], 0
-    while start < len(text):
-        end = start + size
-        piece = text[start:end]
-        if end < len(text):
-            bp = max(piece.rfind("."), piece.rfind("\n"))
-            if bp > start + size // 2:
-                piece = text[start:bp + 1]
-                end = bp + 1
-        out.append((len(out), start, end, piece.strip()))
-        start = end - overlap
-    return out

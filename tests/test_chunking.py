@@ -5,7 +5,25 @@ import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 
-from docmill.operators.chunking import _check, chunk, chunk_count, chunk_loop
+from docmill.operators.chunking import _check, chunk, chunk_count
+
+
+def chunk_loop(text, size=1000, overlap=200):
+    """Brute-force statement of the rule, one chunk at a time: a window may
+    end early at its last '.'/newline when that index (relative to the
+    window) exceeds start + size // 2 (compared as if it were absolute)."""
+    n = len(text)
+    found, pos = [], 0
+    while pos < n:
+        stop = pos + size
+        if stop < n:
+            window = text[pos:stop]
+            cut = max(window.rfind("."), window.rfind("\n"))
+            if cut > pos + size // 2:
+                stop = cut + 1
+        found.append((len(found), pos, stop, text[pos:stop].strip()))
+        pos = stop - overlap
+    return found
 
 EDGE_LENGTHS = [0, 1, 199, 200, 201, 799, 800, 801, 999, 1000, 1001, 1002, 1500, 1800]
 
