@@ -174,3 +174,27 @@ def missing_components(text: Column, components: Sequence[str] = rules.REQUIRED_
     lowered = F.lower(text)
     checks = [F.when(~F.contains(lowered, F.lit(c.lower())), F.lit(c)) for c in components]
     return F.filter(F.array(*checks), lambda c: c.isNotNull())
+
+
+# ---------------------------------------------------------------------------
+# F8
+
+def script_choice(requests: DataFrame, model_texts: DataFrame, keys: Sequence[str],
+                  text_col: str = "text") -> DataFrame:
+    """Per request: the model script wins when a cleaned candidate is
+    non-empty and has every required component; otherwise the rule plan.
+
+    ``model_texts`` may hold several candidates per request key; they are
+    reduced with a partial aggregate (count of valid ones), so a key with
+    many candidates never lands whole in one group.
+    Output: request columns + origin ('model' | 'template') + valid_candidates.
+    """
+    keys = list(keys)
+    cleaned = clean_fences(F.col(text_col))
+    ok = (F.length(cleaned) > 0) & (F.size(missing_components(cleaned)) == 0)
+    valid = (model_texts.select(*keys, ok.alias("_ok"))
+                        .groupBy(*keys).agg(F.count(F.when(F.col("_ok"), 1)).alias("valid_candidates")))
+    out = requests.join(valid, keys, "left")
+    n = F.coalesce(F.col("valid_candidates"), F.lit(0))
+    return out.withColumn("origin", F.when(n > 0, F.lit("model")).otherwise(F.lit("template"))) \
+              .withColumn("valid_candidates", n)

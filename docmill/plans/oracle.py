@@ -371,6 +371,11 @@ pa AS (SELECT item_id, unnest(CASE WHEN p_type = 'ECONOMY' THEN [0, 1] WHEN p_ty
     cleaned = strip(fence)
     s["clean_fences"] = f"SELECT conv_id, turn, {cleaned} AS text FROM conversations"
     comps = ", ".join(f"CASE WHEN NOT contains(lower(c), {q(x.lower())}) THEN {q(x)} END" for x in rules.REQUIRED_SCRIPT_COMPONENTS)
+    ok_sql = (f"(length({cleaned}) > 0 AND len(list_filter([{', '.join(f'CASE WHEN NOT contains(lower({cleaned}), {q(x.lower())}) THEN {q(x)} END' for x in rules.REQUIRED_SCRIPT_COMPONENTS)}], lambda z: z IS NOT NULL)) = 0)")
+    s["script_choice"] = (BENCH_CASES + f", mv AS (SELECT conv_id AS item_id, count(*) FILTER (WHERE {ok_sql}) AS v "
+                          "FROM conversations WHERE role = 'assistant' GROUP BY conv_id) "
+                          "SELECT c.qkey AS item_id, c.test_id, CASE WHEN coalesce(mv.v, 0) > 0 THEN 'model' ELSE 'template' END AS origin, "
+                          "CAST(coalesce(mv.v, 0) AS BIGINT) AS valid_candidates FROM t_cases c LEFT JOIN mv ON mv.item_id = c.qkey")
     s["component_check"] = (f"SELECT conv_id, turn, array_to_string(list_filter([{comps}], lambda z: z IS NOT NULL), ', ') AS missing, "
                             f"len(list_filter([{comps}], lambda z: z IS NOT NULL)) = 0 AS valid FROM (SELECT conv_id, turn, {cleaned} AS c FROM conversations)")
     ob = _fill(_orders_base())

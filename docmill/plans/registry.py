@@ -378,6 +378,16 @@ def q_component_check(spark, sf):
                     (F.size(miss) == 0).alias("valid"))
 
 
+def q_script_choice(spark, sf):
+    """Model scripts (assistant turns keyed by conversation id, the request
+    id space shared with benchmark items) vs the rule plan per test case."""
+    req = _test_cases(spark, sf).select("item_id", "test_id")
+    model = table(spark, sf, "conversations").where(F.col("role") == "assistant") \
+        .select(F.col("conv_id").alias("item_id"), "text")
+    out = scripts.script_choice(req, model, ["item_id"])
+    return out.select("item_id", "test_id", "origin", F.col("valid_candidates").cast("long").alias("valid_candidates"))
+
+
 def q_export_names(spark, sf):
     out = files.export_names(_test_cases(spark, sf))
     return out.select("item_id", "test_id", "class_name", "file_name")
@@ -478,6 +488,7 @@ QUERIES: dict[str, Query] = {
     "script_prompts": q_script_prompts,
     "clean_fences": q_clean_fences,
     "component_check": q_component_check,
+    "script_choice": q_script_choice,
     "export_names": q_export_names,
     "order_totals": q_order_totals,
     "order_eligible": q_order_eligible,

@@ -173,6 +173,11 @@ def document_preview(docs: DataFrame, keys: Sequence[str], text_col: str = "text
     return docs.select(*keys, preview(text_col, n).alias("preview"))
 
 
+def write_cases_json(cases: DataFrame, path: str) -> None:
+    """Test-case rows as JSON lines (one object per case, steps as a list)."""
+    cases.write.mode("overwrite").json(path)
+
+
 def export_names(cases: DataFrame) -> DataFrame:
     """Script class and file names for each test case."""
     tid = F.col("test_id")

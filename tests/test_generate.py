@@ -98,3 +98,12 @@ def test_routing(spark):
     got = df.select(S.route_family(F.col("feature")), S.branch(F.col("t"))).collect()
     assert [tuple(r) for r in got] == [("discount", "negative"), ("cart", "positive"), ("form", "positive"),
                                        ("payment", "negative"), ("generic", "negative")]
+
+
+def test_script_choice(spark):
+    req = spark.createDataFrame([(1, "TC-001"), (2, "TC-001"), (3, "TC-001")], "rid long, test_id string")
+    good = ('```python\nimport time\nfrom selenium import webdriver\nclass TestTC_001:\n    def setup(self): pass\n'
+            '    def teardown(self): pass\n    def test_main(self): pass\nif __name__ == "__main__":\n    pass\n```')
+    model = spark.createDataFrame([(1, good), (1, "nope"), (2, "class Test only"), (2, "")], "rid long, text string")
+    got = {r.rid: (r.origin, r.valid_candidates) for r in S.script_choice(req, model, ["rid"]).collect()}
+    assert got == {1: ("model", 1), 2: ("template", 0), 3: ("template", 0)}

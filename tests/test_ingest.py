@@ -91,3 +91,14 @@ def test_kb_sources_reads_only_source(spark):
     KB.build(rows, root)
     plan = plan_text(KB.sources(KB.open_kb(spark, root)))
     assert "ReadSchema: struct<source:string>" in plan
+
+
+def test_write_cases_json(spark):
+    cases = spark.createDataFrame([(1, "TC-001", ["a", "b"]), (1, "TC-002", None)],
+                                  "item_id long, test_id string, steps array<string>")
+    out = tempfile.mkdtemp(prefix="docmill-json-")
+    FS.write_cases_json(cases, out)
+    back = sorted(spark.read.json(out).collect(), key=lambda r: r.test_id)
+    assert back[0].steps == ["a", "b"] and back[1].test_id == "TC-002"
+    names = {r.test_id: (r.class_name, r.file_name) for r in FS.export_names(cases).collect()}
+    assert names["TC-001"] == ("TestTC_001", "test_tc_001.py")

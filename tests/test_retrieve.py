@@ -74,3 +74,20 @@ def test_retrieval_plans(spark):
     assert "MapInArrow" in plan and "WindowGroupLimit" in plan
     sql_plan = plan_text(RT.lexical_topk_sql(q, ch, k=5, q_keys=["item_id"], q_text="query"))
     assert "BroadcastHashJoin" in sql_plan and "WindowGroupLimit" in sql_plan
+
+
+def test_encoder_contract_feeds_dense_topk(spark):
+    from docmill.operators.encode import encode
+
+    def toy(texts):  # character-class counts: deterministic, no model needed
+        return np.array([[t.count(c) for c in "aeiou"] + [len(t) % 7 + 1] for t in texts], dtype=np.float32)
+
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(["banana", "kiwi", "apple pie", "", "queue"])],
+                                 "id long, text string")
+    vecs = encode(docs, ["id"], "text", toy, dim=6, batch_rows=2)
+    rows = {r.id: r.embedding for r in vecs.collect()}
+    assert rows[0] == [3.0, 0.0, 0.0, 0.0, 0.0, 7.0] and rows[3] == [0.0] * 5 + [1.0]
+    corpus = vecs.select(F.col("id").alias("cid"), F.col("embedding").alias("vec"))
+    q = vecs.where("id = 0").select(F.col("id").alias("qid"), F.col("embedding").alias("vec"))
+    top = RT.dense_topk(q, corpus, k=1).collect()
+    assert [(r.qid, r.cid) for r in top] == [(0, 0)]
