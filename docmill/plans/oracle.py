@@ -232,7 +232,7 @@ def _kind(ctype: str, name: str) -> str:
 
 CENTROIDS = """
 ex AS (SELECT label, unnest(range(1, len(embedding) + 1)) AS i, unnest(embedding) AS v FROM embeddings),
-cen AS (SELECT label AS qid, list(m ORDER BY i) AS c FROM (SELECT label, i, avg(CAST(v AS DOUBLE)) AS m FROM ex GROUP BY ALL) GROUP BY label),
+cen AS (SELECT CAST(label AS BIGINT) AS qid, list(m ORDER BY i) AS c FROM (SELECT label, i, avg(CAST(v AS DOUBLE)) AS m FROM ex GROUP BY ALL) GROUP BY label),
 vs AS (SELECT vec_id AS cid, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
 sc AS (SELECT cen.qid, vs.cid, 1 - list_dot_product(cen.c, vs.e) / (sqrt(list_dot_product(cen.c, cen.c)) * sqrt(list_dot_product(vs.e, vs.e))) AS distance FROM cen, vs)
 """
