@@ -45,7 +45,7 @@ def is_blank(col) -> Column:
 def tokens(col) -> Column:
     """Lower-cased letter runs as an array; empty pieces dropped."""
     parts = F.split(F.lower(_c(col)), TOKEN_SPLIT)
-    return F.filter(parts, lambda t: t != F.lit(""))
+    return F.array_remove(parts, "")
 
 
 def preview(col, n: int = 500, suffix: str = "...") -> Column:

@@ -52,31 +52,34 @@ def _check(size: int, overlap: int) -> tuple[int, int, int]:
 
 def with_chunk_plan(df: DataFrame, text_col: str = "text", size: int = DEFAULT_SIZE,
                     overlap: int = DEFAULT_OVERLAP, prefix: str = "_ck_") -> DataFrame:
-    """Add ``{prefix}n``, head starts/ends and ``{prefix}count`` columns.
+    """Add ``{prefix}n``, the head cut ends ``{prefix}e{h}`` and
+    ``{prefix}count``.
 
-    The head expressions are materialised as columns once so the regex runs
-    once per head window per document.
+    Each head end (the only regex work) is projected once as its own column;
+    starts are cheap arithmetic on the previous end (``s{h+1} = e{h} -
+    overlap``) and are written inline.
     """
     half, heads, step = _check(size, overlap)
     text = F.col(text_col)
     out = df.withColumn(f"{prefix}n", F.length(text))
     n = F.col(f"{prefix}n")
-    # unrolled head recurrence, each step as its own projected column
-    out = out.withColumn(f"{prefix}s0", F.lit(0))
     for h in range(heads):
-        s = F.col(f"{prefix}s{h}")
+        s = head_start(h, overlap, prefix)
         bp = last_break(F.substring(text, s + 1, size))
-        e = F.when((s + size < n) & (bp > s + half), bp + 1).otherwise(s + size)
-        out = out.withColumn(f"{prefix}e{h}", e)
-        out = out.withColumn(f"{prefix}s{h + 1}", F.col(f"{prefix}e{h}") - overlap)
-    tail = F.col(f"{prefix}s{heads}")
+        out = out.withColumn(f"{prefix}e{h}", F.when((s + size < n) & (bp > s + half), bp + 1).otherwise(s + size))
     count = F.when(n <= 0, F.lit(0))
     for h in range(1, heads + 1):
-        count = count.when(F.col(f"{prefix}s{h}") >= n, F.lit(h))
+        count = count.when(head_start(h, overlap, prefix) >= n, F.lit(h))
+    tail = head_start(heads, overlap, prefix)
     count = count.otherwise(F.lit(heads + 1) + F.floor((n - 1 - tail) / step).cast("int"))
     return out.withColumn(f"{prefix}count", count.cast("int"))
 
 
+def head_start(h: int, overlap: int, prefix: str = "_ck_"):
+    """Start of cut ``h``: 0 for the first, previous end minus overlap after."""
+    return F.lit(0) if h == 0 else F.col(f"{prefix}e{h - 1}") - overlap
+
+
 def chunk_count(df: DataFrame, text_col: str = "text", size: int = DEFAULT_SIZE,
                 overlap: int = DEFAULT_OVERLAP, out_col: str = "chunk_count") -> DataFrame:
     """Number of chunks per row without exploding (narrow projection)."""
@@ -101,16 +104,15 @@ def chunk(df: DataFrame, text_col: str = "text", size: int = DEFAULT_SIZE,
         F.explode(F.when(count > 0, F.sequence(F.lit(0), count - 1))),
     )
     idx = F.col("chunk_index")
-    tail = F.col(f"_ck_s{heads}")
+    tail = head_start(heads, overlap)
     start = tail + (idx - heads) * step
     end = start + size
     for h in range(heads - 1, -1, -1):
-        start = F.when(idx == h, F.col(f"_ck_s{h}")).otherwise(start)
+        start = F.when(idx == h, head_start(h, overlap)).otherwise(start)
         end = F.when(idx == h, F.col(f"_ck_e{h}")).otherwise(end)
-    planned = planned.withColumn("start_char", start.cast("int")).withColumn("end_char", end.cast("int"))
+    planned = planned.withColumns({"start_char": start.cast("int"), "end_char": end.cast("int")})
     body = F.substring(F.col(text_col), F.col("start_char") + 1, F.col("end_char") - F.col("start_char"))
-    helper = [c for c in planned.columns if c.startswith("_ck_")]
-    out = planned.withColumn("_ck_chunk", py_strip(body)).drop(*helper)
-    if not keep_source_text:
-        out = out.drop(text_col)
-    return out.withColumnRenamed("_ck_chunk", out_text)
+    keep = [c for c in planned.columns if not c.startswith("_ck_") and (keep_source_text or c != text_col)]
+    if out_text in keep:
+        keep.remove(out_text)
+    return planned.select(*keep, py_strip(body).alias(out_text))
