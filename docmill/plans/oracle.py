@@ -269,7 +269,7 @@ def _statements() -> dict[str, str]:
     s["format_dispatch"] = _with(_files()) + f" SELECT name, {_kind('content_type', 'name')} AS kind FROM files"
     exts = ", ".join(q(e) for e in rules.DOCUMENT_EXTENSIONS)
     s["ingest_filter"] = (_with(_files()) + f" SELECT name, {_kind('content_type', 'name')} AS kind, CAST(bytes AS BIGINT) AS bytes "
-                          f"FROM files WHERE string_split(lower(name), '.')[-1] IN ({exts}) AND bytes <= {rules.MAX_DOCUMENT_BYTES}")
+                          f"FROM files WHERE string_split(lower(name), '.')[-1] IN ({exts})")
     s["ingest_quarantine"] = "SELECT doc_id, true AS ok, NULL::VARCHAR AS error_code, CAST(length(text) AS BIGINT) AS n_chars FROM documents"
     s["json_normalize"] = ("SELECT event_id, '{' || chr(10) || '  \"' || json_keys(props)[1] || '\": ' || "
                            "CAST(json_extract(props, '$.\"' || json_keys(props)[1] || '\"') AS VARCHAR) || chr(10) || '}' AS text FROM events")

@@ -62,8 +62,10 @@ def documents_as_files(documents: DataFrame) -> DataFrame:
 # A3 / A4
 
 def ingest_filter(files: DataFrame, extensions: Sequence[str] = rules.DOCUMENT_EXTENSIONS,
-                  max_bytes: int | None = rules.MAX_DOCUMENT_BYTES) -> DataFrame:
-    """Accept files whose extension is allowed and (optionally) size <= max."""
+                  max_bytes: int | None = None) -> DataFrame:
+    """Accept files whose extension is allowed. The per-document size bound
+    (``rules.MAX_DOCUMENT_BYTES``) is advisory, so it is only enforced when
+    ``max_bytes`` is given."""
     cond = file_ext(F.col("filename")).isin(list(extensions))
     if max_bytes is not None:
         cond = cond & (F.octet_length("content") <= max_bytes)

@@ -91,3 +91,18 @@ def test_encoder_contract_feeds_dense_topk(spark):
     q = vecs.where("id = 0").select(F.col("id").alias("qid"), F.col("embedding").alias("vec"))
     top = RT.dense_topk(q, corpus, k=1).collect()
     assert [(r.qid, r.cid) for r in top] == [(0, 0)]
+
+
+def test_ivf_recall_grows_with_nprobe(spark):
+    emb = table(spark, SF, "embeddings")
+    corpus = emb.select(F.col("vec_id").alias("cid"), F.col("embedding").alias("vec"))
+    qs = emb.where(F.col("label") < 4).select(F.col("vec_id").alias("qid"), F.col("embedding").alias("vec"))
+    exact = {(r.qid, r.cid) for r in RT.dense_topk(qs, corpus, k=5).collect()}
+    recalls, shares = [], []
+    for nprobe in (1, 3, 8):
+        approx, cand = RT.ivf_topk(qs, corpus, k=5, nlist=8, nprobe=nprobe)
+        got = {(r.qid, r.cid) for r in approx.collect()}
+        recalls.append(len(got & exact) / len(exact))
+        shares.append(sum(r.candidates for r in cand.collect()))
+    assert recalls[0] <= recalls[1] <= recalls[2] == 1.0
+    assert shares[0] < shares[1] < shares[2]
