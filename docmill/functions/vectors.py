@@ -67,7 +67,7 @@ def _near_topk(dist: np.ndarray, k: int, decimals: int, margin: float):
 
 def lexical_kernel(vocab: list, weights: np.ndarray, q_norm: np.ndarray, k: int,
                    key_cols: list, tokens_col: str = "tokens", decimals: int = 6,
-                   rows_per_block: int = 1024):
+                   rows_per_block: int = 1024, term_block: int = 4096):
     """mapInArrow function: term-count cosine of each chunk against a
     broadcast query block.
 
@@ -116,9 +116,14 @@ def lexical_kernel(vocab: list, weights: np.ndarray, q_norm: np.ndarray, k: int,
                 return
             r_s, v_s, tf_s = r_u[sel], qv[sel], tf[sel]
             used, pos = np.unique(v_s, return_inverse=True)
-            dense = np.zeros((n, len(used)))
-            dense[r_s, pos] = tf_s
-            dots = (dense @ weights[used]).T                      # (Q, n), exact integers
+            # dots = (rows x used terms) @ (used terms x Q), in column blocks
+            # so the dense block stays <= rows_per_block x term_block
+            dots = np.zeros((weights.shape[1], n))
+            for lo in range(0, len(used), term_block):
+                m = (pos >= lo) & (pos < lo + term_block)
+                dense = np.zeros((n, min(term_block, len(used) - lo)))
+                dense[r_s[m], pos[m] - lo] = tf_s[m]
+                dots += (dense @ weights[used[lo:lo + term_block]]).T   # exact integers
             with np.errstate(invalid="ignore", divide="ignore"):
                 dist = 1.0 - dots / (q_norm[:, None] * np.sqrt(c2)[None, :])
             dist = np.where(dots > 0, dist, np.inf)

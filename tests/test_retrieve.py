@@ -106,3 +106,24 @@ def test_ivf_recall_grows_with_nprobe(spark):
         shares.append(sum(r.candidates for r in cand.collect()))
     assert recalls[0] <= recalls[1] <= recalls[2] == 1.0
     assert shares[0] < shares[1] < shares[2]
+
+
+def test_lexical_kernel_term_blocks_are_exact():
+    import pyarrow as pa
+
+    from docmill.functions.vectors import lexical_kernel
+    rng = np.random.default_rng(3)
+    words = [f"w{i}" for i in range(60)]
+    toks = [list(rng.choice(words, size=rng.integers(0, 40))) for _ in range(300)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(300), pa.int64()), pa.array(toks, pa.list_(pa.string()))],
+                                       names=["cid", "tokens"])
+    vocab = words[:45]
+    weights = rng.integers(0, 3, size=(45, 7)).astype(float)
+    q_norm = np.sqrt((weights ** 2).sum(axis=0))
+
+    def run(**kw):
+        out = list(lexical_kernel(vocab, weights, q_norm, 4, ["cid"], **kw)(iter([batch])))
+        t = pa.Table.from_batches(out)
+        return sorted(zip(t.column("_q").to_pylist(), t.column("cid").to_pylist(), t.column("distance").to_pylist()))
+
+    assert run() == run(term_block=7, rows_per_block=50)
