@@ -67,7 +67,7 @@ def _near_topk(dist: np.ndarray, k: int, decimals: int, margin: float):
 
 def lexical_kernel(vocab: list, weights: np.ndarray, q_norm: np.ndarray, k: int,
                    key_cols: list, tokens_col: str = "tokens", decimals: int = 6,
-                   rows_per_block: int = 1024, term_block: int = 4096):
+                   rows_per_block: int = 1024, term_block: int = 4096, query_keys=None):
     """mapInArrow function: term-count cosine of each chunk against a
     broadcast query block.
 
@@ -77,7 +77,9 @@ def lexical_kernel(vocab: list, weights: np.ndarray, q_norm: np.ndarray, k: int,
     sorted-unique pass; dot products are one dense matrix product over the
     query terms present in the batch, so they are exact integers. Only
     chunks sharing at least one term with a query are candidates; each batch
-    emits at most its per-query top-k (plus rounding ties).
+    emits at most its per-query top-k (plus rounding ties). With
+    ``query_keys`` (an Arrow table, row i = query i) the query key columns
+    are emitted instead of the query index ``_q``.
     """
     import pandas as pd
     import pyarrow.compute as pc
@@ -131,9 +133,14 @@ def lexical_kernel(vocab: list, weights: np.ndarray, q_norm: np.ndarray, k: int,
             if len(qi) == 0:
                 return
             take = pa.array(ci)
+            if query_keys is None:
+                q_cols, q_names = [pa.array(qi.astype(np.int32))], ["_q"]
+            else:
+                qt = pa.array(qi)
+                q_cols = [query_keys.column(c).take(qt).combine_chunks() for c in query_keys.column_names]
+                q_names = list(query_keys.column_names)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(qi.astype(np.int32))] + [batch.column(c).take(take) for c in key_cols]
-                + [pa.array(dist[qi, ci], pa.float64())],
-                names=["_q"] + list(key_cols) + ["distance"])
+                q_cols + [batch.column(c).take(take) for c in key_cols] + [pa.array(dist[qi, ci], pa.float64())],
+                names=q_names + list(key_cols) + ["distance"])
 
     return run
