@@ -54,14 +54,13 @@ def _explode_pages(batches):
     for batch in batches:
         ids = batch.column("page_id").to_pylist()
         docs = batch.column("html").to_pylist()
-        cols = {n: [] for n in names}
-        for pid, doc in zip(ids, docs):
-            for row in H.element_rows(pid, doc):
-                for n, v in zip(names, row):
-                    cols[n].append(v)
-        cols["attrs"] = [list(a.items()) for a in cols["attrs"]]
+        rows = [row for pid, doc in zip(ids, docs) for row in H.element_rows(pid, doc)]
+        if not rows:
+            continue
+        cols = list(zip(*rows))
+        cols[-1] = [list(a.items()) for a in cols[-1]]
         yield pa.RecordBatch.from_arrays(
-            [pa.array(cols[n], type=_ARROW_ELEMENTS.field(n).type) for n in names], schema=_ARROW_ELEMENTS)
+            [pa.array(c, type=_ARROW_ELEMENTS.field(n).type) for n, c in zip(names, cols)], schema=_ARROW_ELEMENTS)
 
 
 def elements(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") -> DataFrame:
