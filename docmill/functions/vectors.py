@@ -65,73 +65,58 @@ def _near_topk(dist: np.ndarray, k: int, decimals: int, margin: float):
     return qi, ci
 
 
-def lexical_kernel(vocab: list, weights: np.ndarray, q_norm: np.ndarray, k: int,
-                   key_cols: list, tokens_col: str = "tokens", decimals: int = 6,
-                   rows_per_block: int = 1024, term_block: int = 4096, query_keys=None):
+def _reduce_topk(qi, ci, dist, k, decimals, margin):
+    """Keep, per query, the k nearest candidates (plus near-ties within
+    ``margin`` of the k-th rounded distance)."""
+    if len(qi) == 0:
+        return qi, ci, dist
+    dr = np.round(dist, decimals)
+    order = np.lexsort((dr, qi))
+    qi, ci, dist, dr = qi[order], ci[order], dist[order], dr[order]
+    starts = np.r_[0, np.flatnonzero(np.diff(qi)) + 1]
+    sizes = np.diff(np.r_[starts, len(qi)])
+    kth_pos = starts + np.minimum(sizes, k) - 1
+    kth = np.repeat(dr[kth_pos], sizes)
+    keep = dr <= kth + margin
+    return qi[keep], ci[keep], dist[keep]
+
+
+def lexical_kernel(vocab: list, term_ptr: np.ndarray, term_q: np.ndarray, term_w: np.ndarray,
+                   q_norm: np.ndarray, k: int, key_cols: list, tokens_col: str = "tokens",
+                   decimals: int = 6, fanout_block: int = 4_000_000, query_keys=None):
     """mapInArrow function: term-count cosine of each chunk against a
     broadcast query block.
 
-    ``vocab`` (V query terms), ``weights`` (V x Q query term counts),
-    ``q_norm`` (Q, sqrt of summed squared counts). Chunk term counts and
-    norms are computed per batch with hashing (pandas factorize) and one
-    sorted-unique pass; dot products are one dense matrix product over the
-    query terms present in the batch, so they are exact integers. Only
-    chunks sharing at least one term with a query are candidates; each batch
-    emits at most its per-query top-k (plus rounding ties). With
-    ``query_keys`` (an Arrow table, row i = query i) the query key columns
-    are emitted instead of the query index ``_q``.
+    The query block is a term-indexed sparse matrix: for term ``t`` the
+    queries ``term_q[term_ptr[t]:term_ptr[t+1]]`` hold it with counts
+    ``term_w[...]``; ``q_norm`` is sqrt of each query's summed squared counts.
+    Per batch, chunk term counts and norms come from Arrow dictionary
+    encoding and one sorted-unique pass; each (chunk, term) pair is expanded
+    only to the queries containing the term and summed with ``bincount`` --
+    the work is the true join fan-out, in bounded slices. Dot products are
+    exact integers. Only chunks sharing a term with a query are candidates;
+    each batch emits at most its per-query top-k (plus rounding ties). With
+    ``query_keys`` (Arrow table, row i = query i) the key columns are emitted
+    instead of the query index ``_q``.
     """
     import pandas as pd
     import pyarrow.compute as pc
 
     index = pd.Index(vocab)
+    nq = len(q_norm)
+    margin = 2 * 10.0 ** -decimals
+    rows_per_block = max(1, min(4096, fanout_block // max(1, nq)))
 
     def run(batches):
-        for whole in batches:
-            # bounded slices keep the dense (rows x query terms) block small
-            for start in range(0, whole.num_rows, rows_per_block):
-                yield from score(whole.slice(start, rows_per_block))
-
-    def score(batch):
-        if True:
-            n = batch.num_rows
-            if n == 0:
-                return
-            toks = batch.column(tokens_col)
-            flat = toks.flatten()
-            if len(flat) == 0:
-                return
-            rows = pc.list_parent_indices(toks).to_numpy().astype(np.int64)
-            # hash tokens in Arrow (C++), only the batch dictionary becomes Python
-            enc = pc.dictionary_encode(flat)
-            if isinstance(enc, pa.ChunkedArray):
-                enc = enc.combine_chunks()
-            codes = enc.indices.to_numpy().astype(np.int64)
-            uniq = enc.dictionary.to_numpy(zero_copy_only=False)
-            nu = len(uniq)
-            ukey, tf = np.unique(rows * nu + codes, return_counts=True)
-            r_u, c_u = ukey // nu, ukey % nu
-            c2 = np.bincount(r_u, weights=tf.astype(np.float64) ** 2, minlength=n)
-            qv = index.get_indexer(uniq)[c_u]
-            sel = qv >= 0
-            if not sel.any():
-                return
-            r_s, v_s, tf_s = r_u[sel], qv[sel], tf[sel]
-            used, pos = np.unique(v_s, return_inverse=True)
-            # dots = (rows x used terms) @ (used terms x Q), in column blocks
-            # so the dense block stays <= rows_per_block x term_block
-            dots = np.zeros((weights.shape[1], n))
-            for lo in range(0, len(used), term_block):
-                m = (pos >= lo) & (pos < lo + term_block)
-                dense = np.zeros((n, min(term_block, len(used) - lo)))
-                dense[r_s[m], pos[m] - lo] = tf_s[m]
-                dots += (dense @ weights[used[lo:lo + term_block]]).T   # exact integers
-            with np.errstate(invalid="ignore", divide="ignore"):
-                dist = 1.0 - dots / (q_norm[:, None] * np.sqrt(c2)[None, :])
-            dist = np.where(dots > 0, dist, np.inf)
-            qi, ci = _near_topk(dist, k, decimals, 2 * 10.0 ** -decimals)
+        for batch in batches:
+            parts = [score(batch.slice(lo, rows_per_block), lo) for lo in range(0, batch.num_rows, rows_per_block)]
+            parts = [p for p in parts if p is not None]
+            if not parts:
+                continue
+            qi, ci, dist = (np.concatenate(x) for x in zip(*parts))
+            qi, ci, dist = _reduce_topk(qi, ci, dist, k, decimals, margin)
             if len(qi) == 0:
-                return
+                continue
             take = pa.array(ci)
             if query_keys is None:
                 q_cols, q_names = [pa.array(qi.astype(np.int32))], ["_q"]
@@ -140,7 +125,54 @@ def lexical_kernel(vocab: list, weights: np.ndarray, q_norm: np.ndarray, k: int,
                 q_cols = [query_keys.column(c).take(qt).combine_chunks() for c in query_keys.column_names]
                 q_names = list(query_keys.column_names)
             yield pa.RecordBatch.from_arrays(
-                q_cols + [batch.column(c).take(take) for c in key_cols] + [pa.array(dist[qi, ci], pa.float64())],
+                q_cols + [batch.column(c).take(take) for c in key_cols] + [pa.array(dist, pa.float64())],
                 names=q_names + list(key_cols) + ["distance"])
 
+    def score(part, offset):
+        n = part.num_rows
+        toks = part.column(tokens_col)
+        flat = toks.flatten()
+        if n == 0 or len(flat) == 0:
+            return None
+        rows = pc.list_parent_indices(toks).to_numpy().astype(np.int64)
+        # hash tokens in Arrow (C++); only the block dictionary becomes Python
+        enc = pc.dictionary_encode(flat)
+        if isinstance(enc, pa.ChunkedArray):
+            enc = enc.combine_chunks()
+        codes = enc.indices.to_numpy().astype(np.int64)
+        uniq = enc.dictionary.to_numpy(zero_copy_only=False)
+        nu = len(uniq)
+        ukey, tf = np.unique(rows * nu + codes, return_counts=True)
+        r_u, c_u = ukey // nu, ukey % nu
+        c2 = np.bincount(r_u, weights=tf.astype(np.float64) ** 2, minlength=n)
+        qv = index.get_indexer(uniq)[c_u]
+        sel = qv >= 0
+        if not sel.any():
+            return None
+        r_s, v_s, tf_s = r_u[sel], qv[sel], tf[sel].astype(np.float64)
+        fan = term_ptr[v_s + 1] - term_ptr[v_s]
+        cum = np.cumsum(fan)
+        dots = np.zeros(n * nq)
+        lo = 0
+        while lo < len(v_s):
+            base = cum[lo - 1] if lo else 0
+            hi = max(lo + 1, int(np.searchsorted(cum, base + fanout_block, side="right")))
+            f = fan[lo:hi]
+            total = int(f.sum())
+            if total:
+                firsts = np.repeat(term_ptr[v_s[lo:hi]], f)
+                within = np.arange(total) - np.repeat(np.cumsum(f) - f, f)
+                slot = firsts + within
+                key = np.repeat(r_s[lo:hi], f) * nq + term_q[slot]
+                dots += np.bincount(key, weights=term_w[slot] * np.repeat(tf_s[lo:hi], f), minlength=n * nq)
+            lo = hi
+        dots = dots.reshape(n, nq).T                                  # (Q, n), exact integers
+        with np.errstate(invalid="ignore", divide="ignore"):
+            dist = 1.0 - dots / (q_norm[:, None] * np.sqrt(c2)[None, :])
+        dist = np.where(dots > 0, dist, np.inf)
+        qi, ci = _near_topk(dist, k, decimals, margin)
+        if len(qi) == 0:
+            return None
+        return qi, ci + offset, dist[qi, ci]
+
     return run

@@ -121,9 +121,6 @@ def _template_structs(keywords=rules.FEATURE_KEYWORDS, templates=rules.TEST_TEMP
             for k, (label, scenario, expected, ttype, steps) in keyed]
 
 
-CASE_COLUMNS = ["test_id", "feature", "test_scenario", "expected_result", "grounded_in", "test_type", "steps"]
-
-
 def test_cases(queries: DataFrame, contexts: DataFrame, keys: Sequence[str], query_col: str = "query",
                keywords=rules.FEATURE_KEYWORDS, templates=rules.TEST_TEMPLATES) -> DataFrame:
     """Rule-based test cases per query.

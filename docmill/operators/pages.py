@@ -225,27 +225,51 @@ def containers(els: DataFrame, container: str = "form",
 
 def structure(els: DataFrame, container: str = "form", child_tags: Sequence[str] = rules.FORM_FIELD_TAGS,
               section_tags: Sequence[str] = rules.KEY_SECTION_TAGS,
-              section_class: str = rules.KEY_SECTION_CLASS) -> DataFrame:
-    """Per page: forms, buttons, inputs, interactive_elements (always empty),
-    key_sections, plus the JSON of that record."""
-    def agg(df, key, cols):
-        return df.groupBy("page_id").agg(F.sort_array(F.collect_list(F.struct("ord", *cols))).alias(key))
-
-    forms = containers(els, container, child_tags).withColumnRenamed("c_ord", "ord")
-    f = agg(forms, "forms", ["el_id", "classes", "action", "method", "fields"])
-    b = agg(buttons(els), "buttons", ["text", "el_id", "classes", "onclick", "type"])
-    i = agg(inputs(els, child_tags), "inputs", ["type", "el_name", "el_id", "placeholder", "classes"])
-    s = agg(key_sections(els, section_tags, section_class), "key_sections", ["tag", "el_id", "classes", "text_preview"])
-    pages = els.select("page_id").distinct()
-    out = pages
-    for part in (f, b, i, s):
+              section_class: str = rules.KEY_SECTION_CLASS,
+              preview: int = rules.KEY_SECTION_PREVIEW) -> DataFrame:
+    """Per page: forms (with their fields), buttons, inputs,
+    interactive_elements (always empty) and key_sections, using the field
+    names of the structure record (id, class, action, method, inputs, ...;
+    an absent attribute is null), plus that record as JSON.
+
+    Each list is an ordered per-page ``collect_list``: one output row per
+    page, bounded by the page itself.
+    """
+    e = els.withColumn("class", F.when(F.map_contains_key("attrs", F.lit("class")), F.col("classes")))
+    is_field = F.col("tag").isin(list(child_tags))
+
+    def roll(df, key, fields):
+        return df.groupBy("page_id").agg(F.sort_array(F.collect_list(F.struct("ord", *fields))).alias(key))
+
+    field = F.struct("type", F.col("el_name").alias("name"), F.col("el_id").alias("id"), "placeholder", "required")
+    boxes = e.where(F.col("tag") == container).select(
+        "page_id", "ord", F.col("el_id").alias("id"), "class", "action", "method")
+    members = e.where(is_field).select("page_id", F.explode("ancestors").alias("ord"),
+                                       F.struct(F.col("ord").alias("o"), field.alias("f")).alias("m"))
+    forms = (boxes.join(members, ["page_id", "ord"], "left")
+                  .groupBy("page_id", "ord", "id", "class", "action", "method")
+                  .agg(F.sort_array(F.collect_list("m")).alias("_m"))
+                  .withColumn("inputs", F.transform("_m", lambda m: m["f"])))
+    parts = [
+        roll(forms, "forms", ["id", "class", "action", "method", "inputs"]),
+        roll(e.where(F.col("tag") == "button"), "buttons",
+             [F.col("text_strip").alias("text"), F.col("el_id").alias("id"), "class", "onclick", "type"]),
+        roll(e.where(is_field), "inputs",
+             ["type", F.col("el_name").alias("name"), F.col("el_id").alias("id"), "placeholder", "class"]),
+        roll(e.where(F.col("tag").isin(list(section_tags)) & F.exists("classes", lambda c: c.rlike(section_class))),
+             "key_sections", ["tag", F.col("el_id").alias("id"), "class",
+                              F.substring("text_strip", 1, preview).alias("text_preview")]),
+    ]
+    out = e.select("page_id").distinct()
+    for part in parts:
         out = out.join(part, "page_id", "left")
-    empty = F.array()
-    out = out.select(
-        "page_id",
-        *[F.coalesce(F.col(c), empty.cast(out.schema[c].dataType)).alias(c)
-          for c in ("forms", "buttons", "inputs")],
-        F.array().cast("array<string>").alias("interactive_elements"),
-        F.coalesce(F.col("key_sections"), empty.cast(out.schema["key_sections"].dataType)).alias("key_sections"))
-    return out.withColumn("structure_json", F.to_json(F.struct(
-        "forms", "buttons", "inputs", "interactive_elements", "key_sections")))
+
+    def strip_ord(c):
+        return F.coalesce(F.transform(c, lambda x: x.dropFields("ord")), F.array())
+
+    out = out.select("page_id", strip_ord("forms").alias("forms"), strip_ord("buttons").alias("buttons"),
+                     strip_ord("inputs").alias("inputs"),
+                     F.array().cast("array<string>").alias("interactive_elements"),
+                     strip_ord("key_sections").alias("key_sections"))
+    record = F.struct("forms", "buttons", "inputs", "interactive_elements", "key_sections")
+    return out.withColumn("structure_json", F.to_json(record, {"ignoreNullFields": "false"}))

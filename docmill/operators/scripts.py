@@ -101,50 +101,10 @@ def selectors_json(selectors: DataFrame, slot_rules=rules.SELECTOR_RULES) -> Dat
                          F.transform("_s", lambda x: F.struct(x["slot"], x["selector"])))).alias("selectors_json")))
 
 
-def structure_json(els: DataFrame, container: str = "form", child_tags: Sequence[str] = rules.FORM_FIELD_TAGS,
-                   section_tags: Sequence[str] = rules.KEY_SECTION_TAGS,
-                   section_class: str = rules.KEY_SECTION_CLASS,
-                   preview: int = rules.KEY_SECTION_PREVIEW) -> DataFrame:
-    """Per page, the structure record as JSON with the analysis field names
-    (id, class, action, method, inputs, ...); absent attributes are null and
-    ``interactive_elements`` is always empty."""
-    e = els.withColumn("class", F.when(F.map_contains_key("attrs", F.lit("class")), F.col("classes")))
-    is_field = F.col("tag").isin(list(child_tags))
-
-    def roll(df, key, fields):
-        return df.groupBy("page_id").agg(F.sort_array(F.collect_list(F.struct("ord", *fields))).alias(key))
-
-    field = F.struct("type", F.col("el_name").alias("name"), F.col("el_id").alias("id"), "placeholder", "required")
-    boxes = e.where(F.col("tag") == container).select(
-        "page_id", "ord", F.col("el_id").alias("id"), "class", "action", "method")
-    members = e.where(is_field).select("page_id", F.explode("ancestors").alias("ord"),
-                                       F.struct(F.col("ord").alias("o"), field.alias("f")).alias("m"))
-    forms = (boxes.join(members, ["page_id", "ord"], "left")
-                  .groupBy("page_id", "ord", "id", "class", "action", "method")
-                  .agg(F.sort_array(F.collect_list("m")).alias("_m"))
-                  .withColumn("inputs", F.transform("_m", lambda m: m["f"])))
-    parts = [
-        roll(forms, "forms", ["id", "class", "action", "method", "inputs"]),
-        roll(e.where(F.col("tag") == "button"), "buttons",
-             [F.col("text_strip").alias("text"), F.col("el_id").alias("id"), "class", "onclick", "type"]),
-        roll(e.where(is_field), "inputs",
-             ["type", F.col("el_name").alias("name"), F.col("el_id").alias("id"), "placeholder", "class"]),
-        roll(e.where(F.col("tag").isin(list(section_tags)) & F.exists("classes", lambda c: c.rlike(section_class))),
-             "key_sections", ["tag", F.col("el_id").alias("id"), "class",
-                              F.substring("text_strip", 1, preview).alias("text_preview")]),
-    ]
-    out = e.select("page_id").distinct()
-    for part in parts:
-        out = out.join(part, "page_id", "left")
-
-    def strip_ord(c):
-        return F.coalesce(F.transform(c, lambda x: x.dropFields("ord")), F.array())
-
-    record = F.struct(strip_ord("forms").alias("forms"), strip_ord("buttons").alias("buttons"),
-                      strip_ord("inputs").alias("inputs"),
-                      F.array().cast("array<string>").alias("interactive_elements"),
-                      strip_ord("key_sections").alias("key_sections"))
-    return out.select("page_id", F.to_json(record, {"ignoreNullFields": "false"}).alias("structure_json"))
+def structure_json(els: DataFrame, **kw) -> DataFrame:
+    """(page_id, structure_json) -- see :func:`docmill.operators.pages.structure`."""
+    from docmill.operators.pages import structure
+    return structure(els, **kw).select("page_id", "structure_json")
 
 
 def script_prompts(cases: DataFrame, pages_ctx: DataFrame) -> DataFrame:

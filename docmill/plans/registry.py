@@ -13,10 +13,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docmill import rules
-from docmill.operators import chunking, generate, orders, pages, retrieve, scripts
+from docmill.operators import generate, orders, pages, retrieve, scripts
 from docmill.plans.corpus import (benchmark_queries, chunk_table, contexts, documents, retrieved, spread,
                                   table)
+from docmill.session import checkpoint_dir
 from docmill.sources import files, kb
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -326,8 +326,17 @@ def q_page_structure(spark, sf):
 # ---------------------------------------------------------------------------
 # script plans
 
+def _materialized(spark, df):
+    """Write a small derived table to the shared checkpoint folder once.
+
+    Used where a derived table is both fetched (bounded) as a query set and
+    joined again later, so its upstream retrieval runs once, not twice."""
+    checkpoint_dir(spark)
+    return df.checkpoint(eager=True)
+
+
 def q_case_context(spark, sf):
-    cases = _test_cases(spark, sf)
+    cases = _materialized(spark, _test_cases(spark, sf))
     return scripts.case_context(cases, chunk_table(spark, sf), ["item_id"], source_col="filename")
 
 
@@ -345,14 +354,17 @@ def q_script_plan(spark, sf):
 def q_script_prompts(spark, sf):
     """Per page: the page title is the request; its test cases (rules, k=8)
     become prompts with that page's selectors, structure and case context."""
-    els = _elements(spark, sf)
+    # the element table feeds three branches; parse the pages once and cut
+    # the lineage in the shared checkpoint folder (spark.checkpoint.dir)
+    checkpoint_dir(spark)
+    els = _elements(spark, sf).checkpoint(eager=True)
     titles = els.where(F.col("tag") == "title").groupBy("page_id") \
                 .agg(F.min_by("text_strip", "ord").alias("query"))
     chunks = chunk_table(spark, sf)
     top = retrieve.lexical_topk(titles, chunks, k=TEST_K, q_keys=["page_id"], q_text="query",
                                 carry=["filename", "text"])
     ctx = generate.assemble_context(top, ["page_id"], source_col="filename")
-    cases = generate.test_cases(titles, ctx, ["page_id"])
+    cases = _materialized(spark, generate.test_cases(titles, ctx, ["page_id"]))
     case_ctx = scripts.case_context(cases, chunks, ["page_id"], source_col="filename")
     sel = pages.resolve_selectors(els)
     page_ctx = scripts.selectors_json(sel).join(scripts.structure_json(els), "page_id", "right")

@@ -25,9 +25,6 @@ from docmill.functions.text import file_ext, preview
 from docmill.operators import chunking
 from docmill.operators.pages import html_to_text
 
-FILE_COLUMNS = ["filename", "content_type", "content"]
-
-
 def read_files(spark: SparkSession, path: str, glob: str | None = None,
                recursive: bool = True) -> DataFrame:
     """(filename, content_type, content, length, path) from a directory.
@@ -63,7 +60,8 @@ def documents_as_files(documents: DataFrame) -> DataFrame:
 
 def ingest_filter(files: DataFrame, extensions: Sequence[str] = rules.DOCUMENT_EXTENSIONS,
                   max_bytes: int | None = None) -> DataFrame:
-    """Accept files whose extension is allowed. The per-document size bound
+    """Accept files whose extension is allowed (``rules.DOCUMENT_EXTENSIONS``
+    for documents, ``rules.PAGE_EXTENSIONS`` for target pages). The size bound
     (``rules.MAX_DOCUMENT_BYTES``) is advisory, so it is only enforced when
     ``max_bytes`` is given."""
     cond = file_ext(F.col("filename")).isin(list(extensions))

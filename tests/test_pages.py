@@ -1,7 +1,5 @@
 """Page-structure extraction on a self-written checkout-like page."""
 
-from pyspark.sql import functions as F
-
 from docmill.functions.html import page_text
 from docmill.operators import pages as P
 from docmill.operators import scripts as S

@@ -108,7 +108,7 @@ def test_ivf_recall_grows_with_nprobe(spark):
     assert shares[0] < shares[1] < shares[2]
 
 
-def test_lexical_kernel_term_blocks_are_exact():
+def test_lexical_kernel_blocks_are_exact():
     import pyarrow as pa
 
     from docmill.functions.vectors import lexical_kernel
@@ -120,17 +120,27 @@ def test_lexical_kernel_term_blocks_are_exact():
     vocab = words[:45]
     weights = rng.integers(0, 3, size=(45, 7)).astype(float)
     q_norm = np.sqrt((weights ** 2).sum(axis=0))
+    t_idx, q_idx = np.nonzero(weights)
+    term_ptr = np.searchsorted(t_idx, np.arange(46))
+    term_w = weights[t_idx, q_idx]
 
     def run(**kw):
-        out = list(lexical_kernel(vocab, weights, q_norm, 4, ["cid"], **kw)(iter([batch])))
+        out = list(lexical_kernel(vocab, term_ptr, q_idx, term_w, q_norm, 4, ["cid"], **kw)(iter([batch])))
         t = pa.Table.from_batches(out)
-        rows = sorted(zip(t.column("_q").to_pylist(), [round(d, 6) for d in t.column("distance").to_pylist()],
-                          t.column("cid").to_pylist()))
+        got = sorted(zip(t.column("_q").to_pylist(), [round(d, 6) for d in t.column("distance").to_pylist()],
+                         t.column("cid").to_pylist()))
         top = {}
-        for q, d, c in rows:  # global top-4 per query, as the final window does
+        for q, d, c in got:  # global top-4 per query, as the final window does
             top.setdefault(q, [])
             if len(top[q]) < 4:
                 top[q].append((c, d))
         return top
 
-    assert run() == run(term_block=7) == run(term_block=7, rows_per_block=50)
+    want = {}
+    chunk_tf = np.array([[t.count(w) for w in vocab] for t in toks], dtype=float)
+    c2 = np.array([sum(t.count(w) ** 2 for w in set(t)) for t in toks], dtype=float)
+    dots = chunk_tf @ weights
+    for q in range(7):
+        cand = [(round(1 - dots[c, q] / (q_norm[q] * np.sqrt(c2[c])), 6), c) for c in range(300) if dots[c, q] > 0]
+        want[q] = [(c, d) for d, c in sorted(cand)[:4]]
+    assert run() == run(fanout_block=5) == want
