@@ -5,7 +5,7 @@ local[$BENCH_CPUS] and prints ONE JSON line:
 {"metric": "headline_total", "value": <sec>, "unit": "sec", "queries": {...}, "sf": ...}
 
 Each query is executed to completion with the ``noop`` sink (full plan, no
-collect). Every query runs twice in the same session; the faster run is
+collect). Every query runs three times in the same session; the fastest run is
 reported (JVM/JIT and Python-worker start-up are paid once, as on a long-lived
 cluster session). BENCH_RUNS changes the repeat count.
 """
@@ -41,7 +41,7 @@ HEADLINE = [
 def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = os.environ.get("BENCH_CPUS", "8")
-    runs = int(os.environ.get("BENCH_RUNS", "2"))
+    runs = int(os.environ.get("BENCH_RUNS", "3"))
     names = sys.argv[1:] or HEADLINE
     scratch = tempfile.mkdtemp(prefix="docmill-bench-")
     from docmill.session import get_session

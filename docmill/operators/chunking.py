@@ -31,7 +31,7 @@ import math
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docmill.functions.text import last_break, py_strip
+from docmill.functions.text import py_strip
 
 DEFAULT_SIZE = 1000
 DEFAULT_OVERLAP = 200
@@ -50,6 +50,19 @@ def _check(size: int, overlap: int) -> tuple[int, int, int]:
     return half, heads, size - overlap
 
 
+def _q(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
+
+
+# SQL form of functions.text.last_break: index of the last '.' or newline.
+_LAST_BREAK = "(length(regexp_extract({w}, '(?s)^(.*[.\\n])', 1)) - 1)"
+
+
+def _start_sql(h: int, overlap: int, prefix: str) -> str:
+    """Start of cut ``h``: 0 for the first, previous end minus overlap after."""
+    return "0" if h == 0 else f"({prefix}e{h - 1} - {overlap})"
+
+
 def with_chunk_plan(df: DataFrame, text_col: str = "text", size: int = DEFAULT_SIZE,
                     overlap: int = DEFAULT_OVERLAP, prefix: str = "_ck_") -> DataFrame:
     """Add ``{prefix}n``, the head cut ends ``{prefix}e{h}`` and
@@ -57,35 +70,30 @@ def with_chunk_plan(df: DataFrame, text_col: str = "text", size: int = DEFAULT_S
 
     Each head end (the only regex work) is projected once as its own column;
     starts are cheap arithmetic on the previous end (``s{h+1} = e{h} -
-    overlap``) and are written inline.
+    overlap``) and are written inline. The expressions are given as SQL
+    text, so building the plan is a handful of calls into the JVM.
     """
     half, heads, step = _check(size, overlap)
-    text = F.col(text_col)
-    out = df.withColumn(f"{prefix}n", F.length(text))
-    n = F.col(f"{prefix}n")
+    t, n = _q(text_col), f"{prefix}n"
+    out = df.selectExpr("*", f"length({t}) AS {n}")
     for h in range(heads):
-        s = head_start(h, overlap, prefix)
-        bp = last_break(F.substring(text, s + 1, size))
-        out = out.withColumn(f"{prefix}e{h}", F.when((s + size < n) & (bp > s + half), bp + 1).otherwise(s + size))
-    count = F.when(n <= 0, F.lit(0))
-    for h in range(1, heads + 1):
-        count = count.when(head_start(h, overlap, prefix) >= n, F.lit(h))
-    tail = head_start(heads, overlap, prefix)
-    count = count.otherwise(F.lit(heads + 1) + F.floor((n - 1 - tail) / step).cast("int"))
-    return out.withColumn(f"{prefix}count", count.cast("int"))
-
-
-def head_start(h: int, overlap: int, prefix: str = "_ck_"):
-    """Start of cut ``h``: 0 for the first, previous end minus overlap after."""
-    return F.lit(0) if h == 0 else F.col(f"{prefix}e{h - 1}") - overlap
+        s = _start_sql(h, overlap, prefix)
+        bp = _LAST_BREAK.format(w=f"substring({t}, {s} + 1, {size})")
+        out = out.selectExpr("*", f"CASE WHEN {s} + {size} < {n} AND {bp} > {s} + {half} "
+                                  f"THEN {bp} + 1 ELSE {s} + {size} END AS {prefix}e{h}")
+    arms = " ".join(f"WHEN {_start_sql(h, overlap, prefix)} >= {n} THEN {h}" for h in range(1, heads + 1))
+    tail = _start_sql(heads, overlap, prefix)
+    count = (f"CAST(CASE WHEN {n} <= 0 THEN 0 {arms} "
+             f"ELSE {heads + 1} + CAST(floor(({n} - 1 - {tail}) / {step}) AS INT) END AS INT) AS {prefix}count")
+    return out.selectExpr("*", count)
 
 
 def chunk_count(df: DataFrame, text_col: str = "text", size: int = DEFAULT_SIZE,
                 overlap: int = DEFAULT_OVERLAP, out_col: str = "chunk_count") -> DataFrame:
     """Number of chunks per row without exploding (narrow projection)."""
     planned = with_chunk_plan(df, text_col, size, overlap)
-    helper = [c for c in planned.columns if c.startswith("_ck_")]
-    return planned.withColumn(out_col, F.col("_ck_count")).drop(*helper)
+    keep = [_q(c) for c in df.columns if c != out_col]
+    return planned.selectExpr(*keep, f"_ck_count AS {_q(out_col)}")
 
 
 def chunk(df: DataFrame, text_col: str = "text", size: int = DEFAULT_SIZE,
@@ -98,21 +106,19 @@ def chunk(df: DataFrame, text_col: str = "text", size: int = DEFAULT_SIZE,
     """
     _, heads, step = _check(size, overlap)
     planned = with_chunk_plan(df, text_col, size, overlap)
-    count = F.col("_ck_count")
-    planned = planned.withColumn(
-        "chunk_index",
-        F.explode(F.when(count > 0, F.sequence(F.lit(0), count - 1))),
-    )
-    idx = F.col("chunk_index")
-    tail = head_start(heads, overlap)
-    start = tail + (idx - heads) * step
-    end = start + size
-    for h in range(heads - 1, -1, -1):
-        start = F.when(idx == h, head_start(h, overlap)).otherwise(start)
-        end = F.when(idx == h, F.col(f"_ck_e{h}")).otherwise(end)
-    planned = planned.withColumns({"start_char": start.cast("int"), "end_char": end.cast("int")})
-    body = F.substring(F.col(text_col), F.col("start_char") + 1, F.col("end_char") - F.col("start_char"))
-    keep = [c for c in planned.columns if not c.startswith("_ck_") and (keep_source_text or c != text_col)]
+    helpers = [c for c in planned.columns if c.startswith("_ck_")]
+    planned = planned.selectExpr(
+        "*", "explode(CASE WHEN _ck_count > 0 THEN sequence(0, _ck_count - 1) END) AS chunk_index")
+    start = " ".join(f"WHEN {h} THEN {_start_sql(h, overlap, '_ck_')}" for h in range(heads))
+    end = " ".join(f"WHEN {h} THEN _ck_e{h}" for h in range(heads))
+    tail = _start_sql(heads, overlap, "_ck_")
+    starts = f"{tail} + (chunk_index - {heads}) * {step}"
+    planned = planned.selectExpr(
+        "*",
+        f"CAST(CASE chunk_index {start} ELSE {starts} END AS INT) AS start_char",
+        f"CAST(CASE chunk_index {end} ELSE {starts} + {size} END AS INT) AS end_char")
+    keep = [c for c in df.columns if keep_source_text or c != text_col]
     if out_text in keep:
         keep.remove(out_text)
-    return planned.select(*keep, py_strip(body).alias(out_text))
+    body = F.expr(f"substring({_q(text_col)}, start_char + 1, end_char - start_char)")
+    return planned.select(*keep, "chunk_index", "start_char", "end_char", py_strip(body).alias(out_text))
