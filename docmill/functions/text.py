@@ -54,15 +54,6 @@ def preview(col, n: int = 500, suffix: str = "...") -> Column:
     return F.when(F.length(c) > n, F.concat(F.substring(c, 1, n), F.lit(suffix))).otherwise(c)
 
 
-def last_break(window) -> Column:
-    """Index of the last '.' or newline in ``window`` (0-based), -1 if none.
-
-    Greedy ``.*`` runs to the end and backs off to the final break, so the
-    match length minus one is the position of the last '.'/'\\n'.
-    """
-    return F.length(F.regexp_extract(_c(window), r"(?s)^(.*[.\n])", 1)) - F.lit(1)
-
-
 def file_ext(name) -> Column:
     """Text after the last '.' of the lower-cased name; a name without a dot
     is its own extension."""

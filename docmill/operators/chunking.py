@@ -54,7 +54,7 @@ def _q(name: str) -> str:
     return "`" + name.replace("`", "``") + "`"
 
 
-# SQL form of functions.text.last_break: index of the last '.' or newline.
+# Index of the last '.' or newline.
 _LAST_BREAK = "(length(regexp_extract({w}, '(?s)^(.*[.\\n])', 1)) - 1)"
 
 
