@@ -54,7 +54,9 @@ def _q(name: str) -> str:
     return "`" + name.replace("`", "``") + "`"
 
 
-# Index of the last '.' or newline.
+# Index of the last '.' or newline in window {w}, -1 if none: the greedy
+# ``.*`` runs to the end and backs off to the final break, so the match
+# length minus one is its position.
 _LAST_BREAK = "(length(regexp_extract({w}, '(?s)^(.*[.\\n])', 1)) - 1)"
 
 
