@@ -35,7 +35,11 @@ def topk_kernel(query_ids: np.ndarray, query_unit: np.ndarray, k: int,
                 id_col: str = "cid", vec_col: str = "vec", decimals: int = 6):
     """Build the mapInArrow function for one broadcast query block."""
 
+    margin = 2 * 10.0 ** -decimals
+
     def run(batches):
+        # running top-k over the task's batches; emitted once per task
+        best_q = best_c = best_d = None
         for batch in batches:
             if batch.num_rows == 0:
                 continue
@@ -43,12 +47,16 @@ def topk_kernel(query_ids: np.ndarray, query_unit: np.ndarray, k: int,
             corpus = unit_rows(_as_matrix(batch.column(vec_col)))
             dist = 1.0 - query_unit @ corpus.T            # (Q, B)
             dist = np.where(np.isnan(dist), np.inf, dist)
-            qi, ci = _near_topk(dist, k, decimals, 2 * 10.0 ** -decimals)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(query_ids[qi], pa.int64()), pa.array(cids[ci], pa.int64()),
-                 pa.array(dist[qi, ci], pa.float64())],
-                names=["qid", "cid", "distance"],
-            )
+            qi, ci = _near_topk(dist, k, decimals, margin)
+            q, c, d = qi, cids[ci], dist[qi, ci]
+            if best_q is not None:
+                q, c, d = np.concatenate([best_q, q]), np.concatenate([best_c, c]), np.concatenate([best_d, d])
+            best_q, best_c, best_d = _reduce_topk(q, c, d, k, decimals, margin)
+        if best_q is None or len(best_q) == 0:
+            return
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(query_ids[best_q], pa.int64()), pa.array(best_c, pa.int64()), pa.array(best_d, pa.float64())],
+            names=["qid", "cid", "distance"])
 
     return run
 
@@ -108,6 +116,9 @@ def lexical_kernel(vocab: list, term_ptr: np.ndarray, term_q: np.ndarray, term_w
     rows_per_block = max(1, min(4096, fanout_block // max(1, nq)))
 
     def run(batches):
+        # running top-k over every batch of the task: the task emits at most
+        # queries x k rows (plus ties), once, at the end of its partition
+        best = None  # (qi, dist, pa.Table of carried columns)
         for batch in batches:
             parts = [score(batch.slice(lo, rows_per_block), lo) for lo in range(0, batch.num_rows, rows_per_block)]
             parts = [p for p in parts if p is not None]
@@ -115,18 +126,25 @@ def lexical_kernel(vocab: list, term_ptr: np.ndarray, term_q: np.ndarray, term_w
                 continue
             qi, ci, dist = (np.concatenate(x) for x in zip(*parts))
             qi, ci, dist = _reduce_topk(qi, ci, dist, k, decimals, margin)
-            if len(qi) == 0:
-                continue
-            take = pa.array(ci)
-            if query_keys is None:
-                q_cols, q_names = [pa.array(qi.astype(np.int32))], ["_q"]
-            else:
-                qt = pa.array(qi)
-                q_cols = [query_keys.column(c).take(qt).combine_chunks() for c in query_keys.column_names]
-                q_names = list(query_keys.column_names)
-            yield pa.RecordBatch.from_arrays(
-                q_cols + [batch.column(c).take(take) for c in key_cols] + [pa.array(dist, pa.float64())],
-                names=q_names + list(key_cols) + ["distance"])
+            rows = pa.Table.from_batches([batch.select(list(key_cols)).take(pa.array(ci))])
+            if best is not None:
+                qi = np.concatenate([best[0], qi])
+                dist = np.concatenate([best[1], dist])
+                rows = pa.concat_tables([best[2], rows])
+            keep_q, keep_i, keep_d = _reduce_topk(qi, np.arange(len(qi)), dist, k, decimals, margin)
+            best = (keep_q, keep_d, rows.take(pa.array(keep_i)))
+        if best is None or len(best[0]) == 0:
+            return
+        qi, dist, rows = best
+        if query_keys is None:
+            q_cols, q_names = [pa.array(qi.astype(np.int32))], ["_q"]
+        else:
+            qt = pa.array(qi)
+            q_cols = [query_keys.column(c).take(qt).combine_chunks() for c in query_keys.column_names]
+            q_names = list(query_keys.column_names)
+        cols = [rows.column(c).combine_chunks() for c in key_cols]
+        yield pa.RecordBatch.from_arrays(q_cols + cols + [pa.array(dist, pa.float64())],
+                                         names=q_names + list(key_cols) + ["distance"])
 
     def score(part, offset):
         n = part.num_rows

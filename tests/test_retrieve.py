@@ -144,3 +144,15 @@ def test_lexical_kernel_blocks_are_exact():
         cand = [(round(1 - dots[c, q] / (q_norm[q] * np.sqrt(c2[c])), 6), c) for c in range(300) if dots[c, q] > 0]
         want[q] = [(c, d) for d, c in sorted(cand)[:4]]
     assert run() == run(fanout_block=5) == want
+    # several batches in one task: the running top-k must give the same answer
+    split = [batch.slice(0, 90), batch.slice(90, 120), batch.slice(210, 90)]
+    out = list(lexical_kernel(vocab, term_ptr, q_idx, term_w, q_norm, 4, ["cid"])(iter(split)))
+    assert len(out) == 1
+    t = pa.Table.from_batches(out)
+    got = {}
+    for q, d, c in sorted(zip(t.column("_q").to_pylist(), [round(d, 6) for d in t.column("distance").to_pylist()],
+                              t.column("cid").to_pylist())):
+        got.setdefault(q, [])
+        if len(got[q]) < 4:
+            got[q].append((c, d))
+    assert got == want
