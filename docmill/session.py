@@ -52,11 +52,17 @@ _SHIPPED: set = set()
 
 def ship_package(spark: SparkSession) -> None:
     """Make ``docmill`` importable in Python workers (Arrow kernels, the HTML
-    parser). Equivalent to ``--py-files``; done once per SparkContext."""
+    parser) when the session was not started with ``--py-files``: the package
+    is zipped on the driver and added with ``addPyFile`` (Spark distributes
+    it). Done once per SparkContext."""
     sc = spark.sparkContext
     key = sc.applicationId
     if key in _SHIPPED:
         return
+    if sc.getConf().get("spark.submit.pyFiles", ""):
+        # deployed with spark-submit --py-files: the executors already have it
+        _SHIPPED.add(key)
+        return
     import shutil
     pkg_root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
     out = tempfile.mkdtemp(prefix="docmill-pyfiles-")
