@@ -169,7 +169,7 @@ def _route(feature: str) -> str:
 
 
 # ---------------------------------------------------------------------------
-# HTML via regex (valid for the driver pages: no legacy entities, no CDATA)
+# HTML via regex (valid for the driver pages: no CDATA, known entities only)
 
 def _html_body(col: str) -> str:
     """Drop script/style contents and comments but keep other markup."""
@@ -186,7 +186,8 @@ def _decode(x: str) -> str:
 
 
 def _html_text(col: str) -> str:
-    x = _html_body(col)
+    # a legacy '&amp' without ';' ends at the next non-alphanumeric character
+    x = _html_body(f"regexp_replace({col}, '&amp([^;a-zA-Z0-9])', '&amp;\\1', 'g')")
     x = f"regexp_replace({x}, '<!DOCTYPE[^>]*>', '', 'gi')"
     x = f"regexp_replace({x}, '<[^>]*>', '', 'g')"
     return _decode(x)
