@@ -226,8 +226,10 @@ def containers(els: DataFrame, container: str = "form",
 def structure(els: DataFrame, container: str = "form", child_tags: Sequence[str] = rules.FORM_FIELD_TAGS,
               section_tags: Sequence[str] = rules.KEY_SECTION_TAGS,
               section_class: str = rules.KEY_SECTION_CLASS,
-              preview: int = rules.KEY_SECTION_PREVIEW) -> DataFrame:
-    """Per page: forms (with their fields), buttons, inputs,
+              preview: int = rules.KEY_SECTION_PREVIEW,
+              input_tags: Sequence[str] = rules.FORM_FIELD_TAGS) -> DataFrame:
+    """Per page: containers (``container`` elements with their ``child_tags``
+    descendants; forms by default), buttons, page-wide inputs (``input_tags``),
     interactive_elements (always empty) and key_sections, using the field
     names of the structure record (id, class, action, method, inputs, ...;
     an absent attribute is null), plus that record as JSON.
@@ -254,7 +256,7 @@ def structure(els: DataFrame, container: str = "form", child_tags: Sequence[str]
         roll(forms, "forms", ["id", "class", "action", "method", "inputs"]),
         roll(e.where(F.col("tag") == "button"), "buttons",
              [F.col("text_strip").alias("text"), F.col("el_id").alias("id"), "class", "onclick", "type"]),
-        roll(e.where(is_field), "inputs",
+        roll(e.where(F.col("tag").isin(list(input_tags))), "inputs",
              ["type", F.col("el_name").alias("name"), F.col("el_id").alias("id"), "placeholder", "class"]),
         roll(e.where(F.col("tag").isin(list(section_tags)) & F.exists("classes", lambda c: c.rlike(section_class))),
              "key_sections", ["tag", F.col("el_id").alias("id"), "class",

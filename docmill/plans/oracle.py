@@ -6,7 +6,7 @@ in closed form, lexical cosine with GROUP BY, regex-based HTML handling,
 decimal money. Fixed values (keywords, templates) are interpolated from
 :mod:`docmill.rules` so both sides use the same dictionaries. Queries whose
 semantics need a real parser or an iterative algorithm have no entry
-(page_structure, script_prompts, retrieve_ann) and are checked by row count
+(script_prompts, retrieve_ann) and are checked by row count
 plus golden unit tests.
 """
 
@@ -364,6 +364,12 @@ pa AS (SELECT item_id, unnest(CASE WHEN p_type = 'ECONOMY' THEN [0, 1] WHEN p_ty
     s["page_sections"] = f"SELECT page_id, 'div' AS tag, 'ad' AS classes, substring({strip('x')}, 1, 100) AS text_preview FROM (SELECT page_id, {sec_text} AS x FROM pages)"
     s["page_forms"] = ("SELECT page_id, CAST(len(regexp_extract_all(regexp_extract(" + body + ", '(?s)<nav>(.*?)</nav>', 1), '<a[\\s>]')) AS BIGINT) AS n_fields "
                        f"FROM pages WHERE regexp_matches({body}, '<nav[\\s>]')")
+    def n_of(pattern, src=body):
+        return f"CAST(len(regexp_extract_all({src}, '{pattern}')) AS BIGINT)"
+    nav = f"regexp_extract({body}, '(?s)<nav>(.*?)</nav>', 1)"
+    s["page_structure"] = (f"SELECT page_id, {n_of('<nav[\\s>]')} AS n_forms, {n_of('<a[\\s>]', nav)} AS n_fields, "
+                           f"{n_of('<button[\\s>]')} AS n_buttons, {n_of('<(?:input|select|textarea)[\\s>/]')} AS n_inputs, "
+                           f"{n_of('<(?:div|section)[^>]*class=\"[^\"]*ad[^\"]*\"')} AS n_sections FROM pages")
     fam_rows = ", ".join(f"({q(f)}, {q(sl)}, {q(d)})" for f, sl, d in rules.FAMILY_SLOT_DEFAULTS)
     s["script_plan"] = (f"SELECT p.page_id, d.family, d.slot, d.def AS selector, false AS resolved FROM pages p, "
                         f"(VALUES {fam_rows}) d(family, slot, def)")

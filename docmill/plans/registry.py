@@ -316,11 +316,12 @@ def q_page_forms(spark, sf):
 
 def q_page_structure(spark, sf):
     st = pages.structure(_elements(spark, sf), "nav", ["a"], ["div", "section"], "ad")
+    n_fields = F.aggregate(F.transform("forms", lambda f: F.size(f["inputs"])), F.lit(0), lambda a, b: a + b)
     return st.select("page_id", F.size("forms").cast("long").alias("n_forms"),
+                     n_fields.cast("long").alias("n_fields"),
                      F.size("buttons").cast("long").alias("n_buttons"),
                      F.size("inputs").cast("long").alias("n_inputs"),
-                     F.size("key_sections").cast("long").alias("n_sections"),
-                     F.length("structure_json").cast("long").alias("json_chars"))
+                     F.size("key_sections").cast("long").alias("n_sections"))
 
 
 # ---------------------------------------------------------------------------
