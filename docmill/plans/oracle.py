@@ -4,10 +4,9 @@ Each statement recomputes a query's result from the raw tables (views
 ``documents``, ``benchmark``, ``pages``, ...) with plain SQL: the chunk rule
 in closed form, lexical cosine with GROUP BY, regex-based HTML handling,
 decimal money. Fixed values (keywords, templates) are interpolated from
-:mod:`docmill.rules` so both sides use the same dictionaries. Queries whose
-semantics need a real parser or an iterative algorithm have no entry
-(script_prompts, retrieve_ann) and are checked by row count
-plus golden unit tests.
+:mod:`docmill.rules` so both sides use the same dictionaries. The iterative
+IVF query (retrieve_ann) has no entry and is checked by row count plus
+property tests.
 """
 
 from __future__ import annotations
@@ -370,6 +369,7 @@ pa AS (SELECT item_id, unnest(CASE WHEN p_type = 'ECONOMY' THEN [0, 1] WHEN p_ty
     s["page_structure"] = (f"SELECT page_id, {n_of('<nav[\\s>]')} AS n_forms, {n_of('<a[\\s>]', nav)} AS n_fields, "
                            f"{n_of('<button[\\s>]')} AS n_buttons, {n_of('<(?:input|select|textarea)[\\s>/]')} AS n_inputs, "
                            f"{n_of('<(?:div|section)[^>]*class=\"[^\"]*ad[^\"]*\"')} AS n_sections FROM pages")
+    s["script_prompts"] = _script_prompts_sql(body)
     fam_rows = ", ".join(f"({q(f)}, {q(sl)}, {q(d)})" for f, sl, d in rules.FAMILY_SLOT_DEFAULTS)
     s["script_plan"] = (f"SELECT p.page_id, d.family, d.slot, d.def AS selector, false AS resolved FROM pages p, "
                         f"(VALUES {fam_rows}) d(family, slot, def)")
@@ -405,4 +405,38 @@ pa AS (SELECT item_id, unnest(CASE WHEN p_type = 'ECONOMY' THEN [0, 1] WHEN p_ty
     return s
 
 
+def _script_prompts_sql(body: str) -> str:
+    """Prompt rows for the page-title requests. On the driver pages no
+    checkout slot resolves and no form/button/input/section exists, so the
+    selector JSON is ``{}`` and the structure JSON lists are empty."""
+    import json
+    import re
+    legacy = "regexp_replace(html, '&amp([^;a-zA-Z0-9])', '&amp;\\1', 'g')"
+    title = _decode(f"regexp_extract({legacy}, '(?s)<title[^>]*>(.*?)</title>', 1)")
+    titles = f"titles AS (SELECT page_id, {strip(title)} AS query FROM pages WHERE regexp_matches(html, '<title'))"
+    structure = json.dumps({"forms": [], "buttons": [], "inputs": [], "interactive_elements": [],
+                            "key_sections": []}, indent=2)
+    fields = {
+        "test_id": "c.test_id", "feature": "c.feature", "test_scenario": "c.test_scenario",
+        "expected_result": "c.expected_result", "test_type": "coalesce(c.test_type, 'positive')",
+        "steps": "CASE WHEN c.steps IS NULL THEN '[]' ELSE '[' || array_to_string(list_transform(c.steps, "
+                 "lambda x: chr(39) || x || chr(39)), ', ') || ']' END",
+        "selectors": q("{}"), "structure": q(structure), "context": "coalesce(k.context, '')",
+        "class_suffix": "replace(c.test_id, '-', '_')",
+    }
+    pieces = []
+    for lit, name in re.findall(r"([^{]*)(?:\{(\w+)\})?", rules.SCRIPT_PROMPT):
+        if lit:
+            pieces.append(q(lit))
+        if name:
+            pieces.append(f"({fields[name]})")
+    prompt = " || ".join(pieces)
+    return (_with(CHUNKS_CTE, CHUNK_TERMS, titles, test_case_ctes("titles", "page_id", "query", R.TEST_K),
+                  "cq AS (SELECT qkey AS page_id, test_id, qkey || chr(1) || test_id AS ck, "
+                  "feature || ' ' || test_scenario AS q_text FROM t_cases)",
+                  lexical("k_", "cq", "ck", "q_text", 5))
+            + f" SELECT c.qkey AS page_id, c.test_id, md5({prompt}) AS prompt_md5, CAST(length({prompt}) AS BIGINT) "
+              "AS prompt_chars FROM t_cases c LEFT JOIN k_ctx k ON k.qkey = c.qkey || chr(1) || c.test_id")
+
+
 ORACLE_SQL: dict[str, str] = _statements()
