@@ -1,18 +1,22 @@
 """Knowledge-base table: chunk rows with deterministic ids, persisted as
-parquet with an atomic version switch.
+immutable parquet versions.
 
 Layout under ``root``::
 
-    root/v-<version>/part-*.parquet     one complete build per version
-    root/_current/part-*.txt            one line: the live version
+    root/v-<version>/part-*.parquet     one complete build (time-sortable id)
+    root/commits/<version>/part-*.txt   written after the build has committed
 
-A build writes a fresh version directory (task retries and lost executors are
-handled by Spark's commit protocol) and only then flips ``_current``; readers
-never see a half-written KB, unlike a delete-then-insert rebuild.
+A build writes a fresh version directory; Spark's commit protocol handles
+task retries and lost executors. Only after that job has committed is the
+version's commit marker written (a new directory, never overwritten).
+Readers take the greatest committed version, so a KB switches atomically and
+never shows a half-written or deleted state (no delete-then-insert, no
+pointer to overwrite). Older versions stay readable until removed.
 """
 
 from __future__ import annotations
 
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -38,31 +42,54 @@ def kb_rows(chunks: DataFrame, source_col: str = "filename", type_col: str = "co
         F.col("end_char").cast("int").alias("end_char"), "text")
 
 
-def build(rows: DataFrame, root: str, partitions: int | None = None) -> tuple[str, int]:
+def build(rows: DataFrame, root: str, partitions: int | None = None,
+          partition_by: str | None = None) -> tuple[str, int]:
     """Write a new KB version and make it current. Returns (version, chunks).
 
-    Rows are clustered by chunk id before writing so later per-chunk work
-    (term vectors) reads evenly sized files.
+    ``rows`` must have the KB_SCHEMA columns; extra columns (an ``embedding``
+    from :func:`docmill.operators.encode.encode`, a language or collection
+    column) are kept. ``partition_by`` names a coarse column to lay the
+    version out by (``partitionBy``), so filters on it prune files before
+    any scoring. ``partitions`` optionally clusters rows by chunk id first.
     """
     spark = rows.sparkSession
-    version = uuid.uuid4().hex
-    out = rows.select(*[c.split(" ")[0] for c in KB_SCHEMA.split(", ")])
+    version = f"{time.time_ns():020d}-{uuid.uuid4().hex[:8]}"
+    required = [c.split(" ")[0] for c in KB_SCHEMA.split(", ")]
+    out = rows.select(*required, *[c for c in rows.columns if c not in required])
     out = out.repartition(partitions, "chunk_id") if partitions else out
-    out.write.mode("overwrite").parquet(f"{root}/v-{version}")
-    n = spark.read.parquet(f"{root}/v-{version}").count()
-    spark.createDataFrame([(version,)], "v string").coalesce(1).write.mode("overwrite").text(f"{root}/_current")
+    writer = out.write.mode("overwrite")
+    if partition_by:
+        writer = writer.partitionBy(partition_by)
+    writer.parquet(f"{root}/v-{version}")
+    n = _read_version(spark, root, version).count()
+    spark.createDataFrame([(version,)], "v string").coalesce(1).write.text(f"{root}/commits/{version}")
     return version, n
 
 
+def current_version(spark: SparkSession, root: str) -> str | None:
+    """Greatest committed version id under ``root`` (None when there is none)."""
+    from pyspark.errors import AnalysisException
+    try:
+        return spark.read.text(f"{root}/commits/*").agg(F.max("value")).first()[0]
+    except AnalysisException:  # nothing committed yet
+        return None
+
+
+def _read_version(spark: SparkSession, root: str, version: str) -> DataFrame:
+    from pyspark.errors import AnalysisException
+    path = f"{root}/v-{version}"
+    try:
+        return spark.read.parquet(path)
+    except AnalysisException:  # committed but empty (a cleared KB)
+        return spark.read.schema(KB_SCHEMA).parquet(path)
+
+
 def open_kb(spark: SparkSession, root: str) -> DataFrame:
     """The live KB, or an empty table of the KB schema when none exists."""
-    try:
-        version = spark.read.text(f"{root}/_current").first()
-    except Exception:  # no pointer yet: empty KB
-        version = None
+    version = current_version(spark, root)
     if version is None:
         return spark.createDataFrame([], KB_SCHEMA)
-    return spark.read.parquet(f"{root}/v-{version[0]}")
+    return _read_version(spark, root, version)
 
 
 def clear(spark: SparkSession, root: str) -> tuple[str, int]:

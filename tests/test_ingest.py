@@ -102,3 +102,26 @@ def test_write_cases_json(spark):
     assert back[0].steps == ["a", "b"] and back[1].test_id == "TC-002"
     names = {r.test_id: (r.class_name, r.file_name) for r in FS.export_names(cases).collect()}
     assert names["TC-001"] == ("TestTC_001", "test_tc_001.py")
+
+
+def test_kb_partitioned_by_collection_prunes(spark):
+    root = tempfile.mkdtemp(prefix="docmill-kb-")
+    rows = spark.createDataFrame([("i1", "a.md", "t", 0, 0, 1, "x", "en"), ("i2", "b.md", "t", 0, 0, 1, "y", "de")],
+                                 KB.KB_SCHEMA + ", lang string")
+    KB.build(rows, root, partition_by="lang")
+    kb = KB.open_kb(spark, root)
+    assert sorted(kb.columns) == sorted([c.split(" ")[0] for c in KB.KB_SCHEMA.split(", ")] + ["lang"])
+    en = kb.where(F.col("lang") == "en")
+    assert [r.source for r in en.collect()] == ["a.md"]
+    assert "PartitionFilters: [isnotnull(lang" in plan_text(en)
+
+
+def test_kb_uncommitted_version_is_invisible(spark):
+    root = tempfile.mkdtemp(prefix="docmill-kb-")
+    first = spark.createDataFrame([("i1", "a.md", "t", 0, 0, 1, "x")], KB.KB_SCHEMA)
+    v1, _ = KB.build(first, root)
+    # a build that crashed after writing data but before its commit marker
+    spark.createDataFrame([("i2", "b.md", "t", 0, 0, 1, "y")], KB.KB_SCHEMA) \
+        .write.parquet(f"{root}/v-99999999999999999999-crashed")
+    assert KB.current_version(spark, root) == v1
+    assert [r.source for r in KB.open_kb(spark, root).collect()] == ["a.md"]
