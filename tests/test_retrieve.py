@@ -156,3 +156,11 @@ def test_lexical_kernel_blocks_are_exact():
         if len(got[q]) < 4:
             got[q].append((c, d))
     assert got == want
+
+
+def test_dense_skips_null_and_zero_vectors(spark):
+    corpus = spark.createDataFrame([(1, [1.0, 0.0]), (2, None), (3, [0.0, 0.0]), (4, [0.0, 1.0])],
+                                   "cid long, vec array<double>")
+    q = spark.createDataFrame([(10, [1.0, 0.1]), (11, None)], "qid long, vec array<double>")
+    got = sorted((r.qid, r.rank, r.cid) for r in RT.dense_topk(q, corpus, k=5).collect())
+    assert got == [(10, 1, 1), (10, 2, 4)]
