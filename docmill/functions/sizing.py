@@ -19,15 +19,16 @@ def fits(df: DataFrame, max_rows: int = DEFAULT_MAX_BROADCAST_ROWS) -> bool:
     return df.limit(max_rows + 1).count() <= max_rows
 
 
-def collect_bounded(df: DataFrame, max_rows: int = DEFAULT_MAX_BROADCAST_ROWS):
-    """Arrow table of ``df`` if it has at most ``max_rows`` rows, else None.
-
-    One job: fetch at most ``max_rows + 1`` rows; more than ``max_rows``
-    means the side is too big to ship and the caller takes its
-    distributed path instead.
-    """
-    tbl = df.limit(max_rows + 1).toArrow()
-    return tbl if tbl.num_rows <= max_rows else None
+def collect_if_within(df: DataFrame, weight, max_rows: int, max_weight: int):
+    """Arrow table of ``df`` when it has at most ``max_rows`` rows and the
+    summed ``weight`` column expression (tokens, vector values, ...) is at
+    most ``max_weight``; otherwise None. The bound is proven by one aggregate
+    job before anything is fetched, so the driver never receives more than
+    the limits."""
+    stats = df.agg(F.count(F.lit(1)).alias("n"), F.sum(weight).alias("w")).first()
+    if stats["n"] > max_rows or (stats["w"] or 0) > max_weight:
+        return None
+    return df.toArrow()
 
 
 def maybe_broadcast(df: DataFrame, max_rows: int = DEFAULT_MAX_BROADCAST_ROWS) -> DataFrame:
