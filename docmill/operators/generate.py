@@ -253,7 +253,8 @@ def parse_responses(responses: DataFrame, keys: Sequence[str], text_col: str = "
                          F.posexplode_outer("_arr").alias("pos", "_c")) \
                  .select(*keys, "pos", F.col("_c.test_id").alias("test_id"),
                          F.col("_c.feature").alias("feature"), F.col("_c.test_type").alias("test_type"),
-                         F.size(F.col("_c.steps")).alias("n_steps"), "bad", "raw")
+                         F.when(F.col("_c.steps").isNotNull(), F.size(F.col("_c.steps"))).alias("n_steps"),
+                         "bad", "raw")
 
 
 def generator_choice(rule_cases: DataFrame, model_cases: DataFrame, keys: Sequence[str]) -> DataFrame:
