@@ -22,11 +22,14 @@ def fits(df: DataFrame, max_rows: int = DEFAULT_MAX_BROADCAST_ROWS) -> bool:
 def collect_if_within(df: DataFrame, weight, max_rows: int, max_weight: int):
     """Arrow table of ``df`` when it has at most ``max_rows`` rows and the
     summed ``weight`` column expression (tokens, vector values, ...) is at
-    most ``max_weight``; otherwise None. The bound is proven by one aggregate
-    job before anything is fetched, so the driver never receives more than
-    the limits."""
-    stats = df.agg(F.count(F.lit(1)).alias("n"), F.sum(weight).alias("w")).first()
-    if stats["n"] > max_rows or (stats["w"] or 0) > max_weight:
+    most ``max_weight``; otherwise None.
+
+    The bound is proven before any row is fetched: first only the per-row
+    weights come back, at most ``max_rows + 1`` integers (a ``limit``, no
+    shuffle), so the driver never receives more than the limits."""
+    import pyarrow.compute as pc
+    sizes = df.select(weight.alias("w")).limit(max_rows + 1).toArrow()
+    if sizes.num_rows > max_rows or (pc.sum(sizes.column("w")).as_py() or 0) > max_weight:
         return None
     return df.toArrow()
 
