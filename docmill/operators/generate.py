@@ -102,23 +102,16 @@ def feature_rows(df: DataFrame, keys: Sequence[str], texts: Sequence[str],
 # ---------------------------------------------------------------------------
 # D5-D9, D11
 
-def _template_structs(keywords=rules.FEATURE_KEYWORDS, templates=rules.TEST_TEMPLATES):
-    """[(feature_ord, struct)] sorted by (feature, positive before negative,
-    template order)."""
-    ford = {name: i for i, (name, _) in enumerate(keywords)}
-    tord = {"positive": 0, "negative": 1}
-    keyed, counters = [], {}
-    for feat, ttype, label, scenario, expected, steps in templates:
-        if feat not in ford:
-            continue
-        n = counters.get((feat, ttype), 0)
-        counters[(feat, ttype)] = n + 1
-        keyed.append(((ford[feat], tord.get(ttype, 2), n), (label, scenario, expected, ttype, steps)))
-    keyed.sort(key=lambda kv: kv[0])
-    return [(k[0], F.struct(F.lit(k[0]).alias("feature_ord"), F.lit(label).alias("feature"),
-                            F.lit(scenario).alias("test_scenario"), F.lit(expected).alias("expected_result"),
-                            F.lit(ttype).alias("test_type"), _lit_str_array(steps).alias("steps")))
-            for k, (label, scenario, expected, ttype, steps) in keyed]
+def _sql_str(value: str) -> str:
+    """Spark SQL string literal."""
+    return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def _sql_case_struct(ford: int, feature: str, scenario_sql: str, expected: str, ttype: str, steps) -> str:
+    steps_sql = ("CAST(NULL AS ARRAY<STRING>)" if steps is None
+                 else "array(" + ", ".join(_sql_str(x) for x in steps) + ")")
+    return (f"named_struct('feature_ord', {ford}, 'feature', {_sql_str(feature)}, 'test_scenario', {scenario_sql}, "
+            f"'expected_result', {_sql_str(expected)}, 'test_type', {_sql_str(ttype)}, 'steps', {steps_sql})")
 
 
 def test_cases(queries: DataFrame, contexts: DataFrame, keys: Sequence[str], query_col: str = "query",
@@ -134,48 +127,49 @@ def test_cases(queries: DataFrame, contexts: DataFrame, keys: Sequence[str], que
     Texts are lowered once and each feature flag is its own column; the
     matched templates are chosen by plain CASE branches (no lambda that
     reaches back to row columns), so every keyword scan runs once per row.
+    The rules are written as SQL expressions, so the plan is built with a
+    handful of calls.
     """
     keys = list(keys)
+    qk = [f"`{k}`" for k in keys]
+    qcol = f"`{query_col}`"
     joined = queries.select(*keys, query_col).join(contexts, keys, "left")
-    low = joined.select("*", F.lower(F.col("context")).alias("_lc"), F.lower(F.col(query_col)).alias("_lq"))
-    flags = [_any_contains([F.col("_lc"), F.col("_lq")], kws).alias(f"_f{i}")
-             for i, (_, kws) in enumerate(keywords)]
-    flagged = low.select(*keys, query_col, "context", "chunk_sources", *flags)
-    picks = [F.when(F.col(f"_f{ford}"), tpl) for ford, tpl in _template_structs(keywords, templates)]
-    with_matched = flagged.select(*keys, query_col, "context", "chunk_sources",
-                                  F.filter(F.array(*picks), lambda t: t.isNotNull()).alias("_matched"))
-    has_ctx = F.col("context").isNotNull()
-    matched = F.col("_matched")
-    grounded_tpl = F.array_join(cited_sources(F.col("context")), ", ")
-    grounded_gen = F.array_join(F.col("chunk_sources"), ", ")
-    g = rules.GENERIC_CASE
-    generic = F.array(F.struct(
-        F.lit(-1).alias("feature_ord"), F.lit(g["feature"]).alias("feature"),
-        F.concat(F.lit(g["scenario_prefix"]), F.col(query_col)).alias("test_scenario"),
-        F.lit(g["expected_result"]).alias("expected_result"), F.lit(g["test_type"]).alias("test_type"),
-        _lit_str_array(g["steps"]).alias("steps")))
-    e = rules.EMPTY_RETRIEVAL_CASE
-    informational = F.array(F.struct(
-        F.lit(-1).alias("feature_ord"), F.lit(e["feature"]).alias("feature"),
-        F.lit(e["test_scenario"]).alias("test_scenario"), F.lit(e["expected_result"]).alias("expected_result"),
-        F.lit(e["test_type"]).alias("test_type"), F.lit(None).cast("array<string>").alias("steps")))
-    n_matched = F.size(matched)
-    cases = F.when(~has_ctx, informational).when(n_matched > 0, matched).otherwise(generic)
-    grounded = (F.when(~has_ctx, F.lit(e["grounded_in"]))
-                 .when(n_matched > 0, grounded_tpl)
-                 .otherwise(grounded_gen))
-    exploded = with_matched.select(*keys, grounded.alias("grounded_in"),
-                                   F.posexplode(cases).alias("_pos", "_case"))
-    return exploded.select(
-        *keys,
-        F.format_string("TC-%03d", F.col("_pos") + 1).alias("test_id"),
-        F.col("_case.feature").alias("feature"),
-        F.col("_case.test_scenario").alias("test_scenario"),
-        F.col("_case.expected_result").alias("expected_result"),
-        "grounded_in",
-        F.col("_case.test_type").alias("test_type"),
-        F.col("_case.steps").alias("steps"),
-    )
+    low = joined.selectExpr(*qk, qcol, "context", "chunk_sources", "lower(context) AS _lc", f"lower({qcol}) AS _lq")
+    flags = []
+    for i, (_, kws) in enumerate(keywords):
+        terms = [f"contains({t}, {_sql_str(kw.lower())})" for kw in kws for t in ("_lc", "_lq")]
+        flags.append(f"({' OR '.join(terms) if terms else 'false'}) AS _f{i}")
+    flagged = low.selectExpr(*qk, qcol, "context", "chunk_sources", *flags)
+    ford = {name: i for i, (name, _) in enumerate(keywords)}
+    order = {"positive": 0, "negative": 1}
+    keyed, counters = [], {}
+    for feat, ttype, label, scenario, expected, steps in templates:
+        if feat not in ford:
+            continue
+        n = counters.get((feat, ttype), 0)
+        counters[(feat, ttype)] = n + 1
+        keyed.append(((ford[feat], order.get(ttype, 2), n), (label, scenario, expected, ttype, steps)))
+    keyed.sort(key=lambda kv: kv[0])
+    picks = [f"CASE WHEN _f{k[0]} THEN {_sql_case_struct(k[0], label, _sql_str(scen), exp, tt, st)} END"
+             for k, (label, scen, exp, tt, st) in keyed]
+    matched = f"filter(array({', '.join(picks)}), t -> t IS NOT NULL)" if picks else "array()"
+    with_matched = flagged.selectExpr(*qk, qcol, "context", "chunk_sources", f"{matched} AS _matched")
+    g, e = rules.GENERIC_CASE, rules.EMPTY_RETRIEVAL_CASE
+    generic = "array(" + _sql_case_struct(-1, g["feature"], f"concat({_sql_str(g['scenario_prefix'])}, {qcol})",
+                                          g["expected_result"], g["test_type"], g["steps"]) + ")"
+    informational = "array(" + _sql_case_struct(-1, e["feature"], _sql_str(e["test_scenario"]),
+                                                e["expected_result"], e["test_type"], None) + ")"
+    cited = (f"array_join(array_sort(array_distinct(regexp_extract_all(context, "
+             f"{_sql_str(rules.SOURCE_TAG_PATTERN)}, 1))), ', ')")
+    cases = (f"CASE WHEN context IS NULL THEN {informational} WHEN size(_matched) > 0 THEN _matched "
+             f"ELSE {generic} END")
+    grounded = (f"CASE WHEN context IS NULL THEN {_sql_str(e['grounded_in'])} WHEN size(_matched) > 0 THEN {cited} "
+                f"ELSE array_join(chunk_sources, ', ') END")
+    exploded = with_matched.selectExpr(*qk, f"{grounded} AS grounded_in", f"posexplode({cases}) AS (_pos, _case)")
+    return exploded.selectExpr(
+        *qk, "format_string('TC-%03d', _pos + 1) AS test_id", "_case.feature AS feature",
+        "_case.test_scenario AS test_scenario", "_case.expected_result AS expected_result", "grounded_in",
+        "_case.test_type AS test_type", "_case.steps AS steps")
 
 
 # ---------------------------------------------------------------------------
