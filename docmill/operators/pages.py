@@ -21,7 +21,6 @@ from pyspark.sql import types as T
 
 from docmill import rules
 from docmill.functions import html as H
-from docmill.functions.sizing import maybe_broadcast
 
 # ---------------------------------------------------------------------------
 # A7 page text
@@ -163,7 +162,10 @@ def resolve_selectors(els: DataFrame, slot_rules=rules.SELECTOR_RULES,
     use_override = pay_text is not None and any(s == pay_slot for s, _ in slot_rules)
     base = els
     if use_override:
-        base = els.join(maybe_broadcast(_pay_overrides(els, pay_text)), "page_id", "left")
+        # one row per page with a pay-now button; AQE picks broadcast or a
+        # (skew-split) shuffle join from the runtime size. An explicit count
+        # here would parse every page a second time.
+        base = els.join(_pay_overrides(els, pay_text), "page_id", "left")
     hits = []
     for slot, css in slot_rules:
         pred = css_predicate(css)
