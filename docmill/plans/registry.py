@@ -275,12 +275,13 @@ def q_coverage_matrix(spark, sf):
 
 def q_status_counts(spark, sf):
     docs = documents(spark, sf).agg(F.count(F.lit(1)).alias("v")).select(F.lit("documents_uploaded").alias("metric"), "v")
-    ch = chunk_table(spark, sf).agg(F.count(F.lit(1)).alias("v"))
-    ready = ch.select(F.lit("kb_ready").alias("metric"), (F.col("v") > 0).cast("long").alias("v"))
-    chunks_n = ch.select(F.lit("kb_chunks").alias("metric"), "v")
+    # both KB metrics come from one count over the chunk table
+    kb_rows = chunk_table(spark, sf).agg(F.count(F.lit(1)).alias("n")).select(F.inline(F.array(
+        F.struct(F.lit("kb_ready").alias("metric"), (F.col("n") > 0).cast("long").alias("v")),
+        F.struct(F.lit("kb_chunks").alias("metric"), F.col("n").alias("v")))))
     cases = _test_cases(spark, sf).agg(F.count(F.lit(1)).alias("v")).select(F.lit("cases_generated").alias("metric"), "v")
     html = table(spark, sf, "pages").agg(F.count(F.lit(1)).alias("v")).select(F.lit("html_loaded").alias("metric"), "v")
-    out = docs.unionByName(ready).unionByName(chunks_n).unionByName(cases).unionByName(html)
+    out = docs.unionByName(kb_rows).unionByName(cases).unionByName(html)
     return out.select("metric", F.col("v").cast("long").alias("value"))
 
 
