@@ -75,8 +75,9 @@ def checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder for cutting lineage.
 
     Reads ``spark.checkpoint.dir`` from the session (set by the cluster). Only
-    when it is unset -- local tests -- a scratch folder is created and
-    registered, so executors on a real cluster never get a machine-local path.
+    when it is unset and the master is local -- tests -- a scratch folder is
+    created and registered; on a cluster an unset folder is an error, so
+    executors never get a machine-local path.
     """
     sc = spark.sparkContext
     configured = sc.getConf().get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
@@ -84,6 +85,8 @@ def checkpoint_dir(spark: SparkSession) -> str:
         if not sc.getCheckpointDir():
             sc.setCheckpointDir(configured)
         return configured
+    if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     local = tempfile.mkdtemp(prefix="docmill-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
     sc.setCheckpointDir(local)
     return local
