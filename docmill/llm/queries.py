@@ -6,7 +6,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from docmill.llm import bpe
 from docmill.llm import decontaminate as dc
+from docmill.llm import token_store as ts
 from docmill.llm.common import table
 
 
@@ -14,6 +16,27 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", "text")
 
 
+def op1_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as directly addressable token ids, written and read back."""
+    import public_tokenizers
+    with open(public_tokenizers.path("word_bpe_49k.json"), encoding="utf-8") as f:
+        tokenizer = f.read()
+    path = ts.scratch_path(spark)
+    ts.write(documents(spark, sf_dir), tokenizer, 2, path)
+    docs = ts.documents_of(ts.segments(spark, path))
+    return docs.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
+def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Byte-level BPE ids of every document and the bytes they decode to."""
+    import public_tokenizers
+    ranks = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    coded = bpe.encode(documents(spark, sf_dir), ranks, public_tokenizers.PATTERN, keep=["doc_id"])
+    back = bpe.decode(coded, ranks)
+    return back.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"),
+                       F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Contamination of every document by the benchmark's 13-word windows."""
     found = dc.contamination(documents(spark, sf_dir), table(spark, sf_dir, "benchmark"), keep=["doc_id"])
@@ -26,5 +49,7 @@ def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_token_store": op1_token_store,
+    "op4_bpe": op4_bpe,
     "op9_decontaminate": op9_decontaminate,
 }
