@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from docmill.llm import bpe
 from docmill.llm import decontaminate as dc
+from docmill.llm import quality
 from docmill.llm import token_store as ts
 from docmill.llm.common import table
 
@@ -37,6 +38,16 @@ def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
                        F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base counts and verdict of the fertility bands for every document."""
+    import public_tokenizers
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    measured = quality.measure(docs, public_tokenizers.path("piece_bpe_32k.model"), keep=["doc_id"])
+    return measured.select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept",
+        "n_tokens", "chars_per_token", "byte_share", "entropy_share", "script")
+
+
 def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Contamination of every document by the benchmark's 13-word windows."""
     found = dc.contamination(documents(spark, sf_dir), table(spark, sf_dir, "benchmark"), keep=["doc_id"])
@@ -51,5 +62,6 @@ def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_token_store": op1_token_store,
     "op4_bpe": op4_bpe,
+    "op8_quality": op8_quality,
     "op9_decontaminate": op9_decontaminate,
 }
