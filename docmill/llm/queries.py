@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from docmill.llm import bpe
 from docmill.llm import decontaminate as dc
-from docmill.llm import quality
+from docmill.llm import pii, quality
 from docmill.llm import token_store as ts
 from docmill.llm.common import table
 
@@ -38,6 +38,20 @@ def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
                        F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data of every document: base spans and those the field adds."""
+    docs = documents(spark, sf_dir)
+    found = pii.find(docs, pii.train(docs), keep=["doc_id"])
+    base = F.filter("spans", lambda s: s["base"])
+
+    def count(kind: str):
+        return F.size(F.filter(base, lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    counts = [count(kind) for kind in pii.KINDS]
+    return found.select("doc_id", *counts, F.sha2(pii.span_string(base), 256).alias("base_sha256"),
+                        pii.span_string(F.col("spans")).alias("spans"))
+
+
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Base counts and verdict of the fertility bands for every document."""
     import public_tokenizers
@@ -62,6 +76,7 @@ def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_token_store": op1_token_store,
     "op4_bpe": op4_bpe,
+    "op5_pii": op5_pii,
     "op8_quality": op8_quality,
     "op9_decontaminate": op9_decontaminate,
 }
