@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from docmill.llm import bpe
 from docmill.llm import decontaminate as dc
-from docmill.llm import pii, quality
+from docmill.llm import licences, pii, quality
 from docmill.llm import token_store as ts
 from docmill.llm.common import table
 
@@ -52,6 +52,24 @@ def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
                         pii.span_string(F.col("spans")).alias("spans"))
 
 
+def op7_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licence phrases and covered template spans of every document."""
+    found = licences.scan(documents(spark, sf_dir), keep=["doc_id"])
+    base, spans = F.transform("base", lambda p: p["label"]), F.transform("spans", lambda s: s["label"])
+    starts = F.transform("base", lambda p: p["start"])
+
+    def listed(labels):
+        return F.array_join(F.array_sort(F.array_distinct(labels)), ",")
+
+    return found.select(
+        "doc_id", "n_words", F.size("base").cast("long").alias("n_base"),
+        F.array_min(starts).alias("first_word"), F.array_max(starts).alias("last_word"),
+        listed(base).alias("base_labels"), listed(F.concat(base, spans)).alias("labels"),
+        F.coalesce(F.array_max(F.transform("spans", lambda s: s["score"])), F.lit(0.0)).alias("score"),
+        F.array_join(F.transform("spans", lambda s: F.concat_ws(
+            ":", s["label"], s["start"].cast("string"), s["end"].cast("string"))), ",").alias("spans"))
+
+
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Base counts and verdict of the fertility bands for every document."""
     import public_tokenizers
@@ -77,6 +95,7 @@ QUERIES = {
     "op1_token_store": op1_token_store,
     "op4_bpe": op4_bpe,
     "op5_pii": op5_pii,
+    "op7_licences": op7_licences,
     "op8_quality": op8_quality,
     "op9_decontaminate": op9_decontaminate,
 }
