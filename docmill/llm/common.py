@@ -80,6 +80,38 @@ def map_text(df: DataFrame, text: str, fields: list[T.StructField], make_kernel,
     return src.mapInArrow(run, schema)
 
 
+class Memory(dict):
+    """``make(key)``, remembered for the last ``limit`` new keys at least and
+    twice as many at most. Looking up is ``memory[key]``; values are not None."""
+
+    def __init__(self, make, limit: int):
+        super().__init__()
+        self.make, self.limit, self.old = make, limit, {}
+
+    def __missing__(self, key):
+        value = self.old.get(key)
+        if value is None:
+            value = self.make(key)
+        if len(self) >= self.limit:
+            self.old = dict(self)
+            self.clear()
+        self[key] = value
+        return value
+
+
+_WORKER: dict = {}
+
+
+def per_worker(key, make):
+    """``make()``, once per key and Python worker: workers are reused by later
+    tasks, so what a kernel remembers stays warm. Holds the last two keys."""
+    if key not in _WORKER:
+        while len(_WORKER) > 1:
+            del _WORKER[next(iter(_WORKER))]
+        _WORKER[key] = make()
+    return _WORKER[key]
+
+
 # -- words and their hashes -------------------------------------------------
 
 #: Lower-cases A-Z and turns every ASCII byte but 0-9 and a-z into a space;

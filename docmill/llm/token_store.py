@@ -25,7 +25,9 @@ document is never split over segments. Repeated rows are kept as they are.
 
 from __future__ import annotations
 
+import re
 import uuid
+import zlib
 
 import numpy as np
 import pyarrow as pa
@@ -33,13 +35,14 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from docmill.llm.common import quoted, slices
+from docmill.functions.sizing import maybe_broadcast
+from docmill.llm.common import Memory, per_worker, quoted, slices
 from docmill.session import checkpoint_dir
 
 SEGMENT_TOKENS, SEGMENT_DOCS = 1 << 20, 4096
 DIRECTORY_BITS = 512
-#: Remembered words per task.
-REMEMBER = 400_000
+#: Remembered words per worker (up to twice as many).
+REMEMBER = 300_000
 
 SEGMENT = T.StructType([
     T.StructField("part", T.LongType()), T.StructField("seg", T.LongType()),
@@ -127,28 +130,34 @@ class Block:
 # -- encoding ----------------------------------------------------------------
 
 class WordEncoder:
-    """Ids of a text by the tokenizers library. The tokenizer drops white space
-    and never joins characters across it, so stretches between ASCII white space
-    are encoded by themselves and remembered."""
+    """Ids of a text by the tokenizers library, for tokenizers that lower-case,
+    drop white space and never join characters across it: stretches between
+    ASCII white space are encoded by themselves, lower-cased, and remembered. A
+    mark after a letter is a piece of its own, so it is looked up by itself."""
 
     def __init__(self, tokenizer_json: str):
         import os
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_str(tokenizer_json)
-        self.known: dict[bytes, bytes] = {}
+        self.special = re.compile(b"|".join(
+            re.escape(t.content.encode()) for t in self.tokenizer.get_added_tokens_decoder().values()) or b"(?!)")
+        self.known = Memory(self.stretch, REMEMBER)
+
+    def whole(self, text: bytes) -> bytes:
+        ids = self.tokenizer.encode(text.decode("utf-8"), add_special_tokens=False).ids
+        return np.array(ids, dtype="<u4").tobytes()
+
+    def stretch(self, word: bytes) -> bytes:
+        if word[-1] in b".,;:!?" and word[-2:-1].isalpha():
+            return self.known[word[:-1]] + self.known[word[-1:]]
+        return self.whole(word)
 
     def __call__(self, texts: list[bytes | None]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
-        known = self.known
-        if len(known) > REMEMBER:
-            known.clear()
-        words = [t.split() if t else [] for t in texts]
-        new = list({w for ws in words for w in ws if w not in known})
-        made = self.tokenizer.encode_batch_fast([w.decode("utf-8") for w in new], add_special_tokens=False)
-        for w, e in zip(new, made):
-            known[w] = b"".join([i.to_bytes(4, "little") for i in e.ids])
-        return [b"".join([known[w] for w in ws]) for ws in words]
+        look, special = self.known.__getitem__, self.special.search
+        return [b"" if not t else self.whole(t) if b"<" in t and special(t.lower())
+                else b"".join(map(look, t.lower().split())) for t in texts]
 
 
 def write(docs: DataFrame, tokenizer_json: str, end_id: int, path: str, doc_id: str = "doc_id",
@@ -165,9 +174,10 @@ def write(docs: DataFrame, tokenizer_json: str, end_id: int, path: str, doc_id:
         .select("doc_id", "text", F.spark_partition_id().cast("long").alias("part"))
     model = spark.sparkContext.broadcast(tokenizer_json)
     end = np.uint32(end_id).tobytes()
+    digest = zlib.crc32(tokenizer_json.encode()), "token_store"
 
     def run(batches):
-        encoder, part, seg = WordEncoder(model.value), 0, 0
+        encoder, part, seg = per_worker(digest, lambda: WordEncoder(model.value)), 0, 0
         ids, ends, body, total = [], [], [], 0
 
         def segment():
@@ -200,7 +210,8 @@ def write(docs: DataFrame, tokenizer_json: str, end_id: int, path: str, doc_id:
 
 def segments(spark: SparkSession, path: str) -> DataFrame:
     """The store's segments with first_token, the ids of all segments before.
-    Sums are taken per range first, so the one ordered pass is over ranges."""
+    Sums are taken per range first, so the one ordered pass is over ranges. The
+    directory is broadcast within the checked row bound, so blocks stay in place."""
     segs = spark.read.schema(SEGMENT).parquet(path)
     sizes = segs.select("part", "seg", "n_tokens")
     parts = sizes.groupBy("part").agg(F.sum("n_tokens").alias("n"))
@@ -208,7 +219,7 @@ def segments(spark: SparkSession, path: str) -> DataFrame:
     inside = sizes.select("part", "seg", (F.sum("n_tokens").over(Window.partitionBy("part").orderBy("seg"))
                                           - F.col("n_tokens")).alias("offset"))
     first = inside.join(before, "part").select("part", "seg", (F.col("base") + F.col("offset")).alias("first_token"))
-    return segs.join(first, ["part", "seg"])
+    return segs.join(maybe_broadcast(first), ["part", "seg"])
 
 
 def documents_of(segs: DataFrame) -> DataFrame:
