@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from docmill.llm import bpe
 from docmill.llm import decontaminate as dc
-from docmill.llm import licences, pii, quality
+from docmill.llm import licences, pii, quality, sharding
 from docmill.llm import token_store as ts
 from docmill.llm.common import table
 
@@ -52,6 +52,12 @@ def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
                         pii.span_string(F.col("spans")).alias("spans"))
 
 
+def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's shard of 24 and of 25, by law ``key``."""
+    placed = sharding.shard(documents(spark, sf_dir), sharding.layout(24), sharding.layout(25))
+    return placed.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")
+
+
 def op7_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Licence phrases and covered template spans of every document."""
     found = licences.scan(documents(spark, sf_dir), keep=["doc_id"])
@@ -95,6 +101,7 @@ QUERIES = {
     "op1_token_store": op1_token_store,
     "op4_bpe": op4_bpe,
     "op5_pii": op5_pii,
+    "op6_sharding": op6_sharding,
     "op7_licences": op7_licences,
     "op8_quality": op8_quality,
     "op9_decontaminate": op9_decontaminate,
