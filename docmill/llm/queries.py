@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from docmill.llm import bpe
 from docmill.llm import decontaminate as dc
-from docmill.llm import licences, pii, quality, sharding
+from docmill.llm import jaccard, licences, pii, quality, sharding
 from docmill.llm import token_store as ts
 from docmill.llm.common import table
 
@@ -97,7 +97,13 @@ def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("hit_spans").cast("string").alias("hit_spans"))
 
 
+def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Class, number of links and group of every document."""
+    return jaccard.join(documents(spark, sf_dir)).select("doc_id", "class_id", "n_copies", "n_links", "group_id")
+
+
 QUERIES = {
+    "op10_jaccard_join": op10_jaccard_join,
     "op1_token_store": op1_token_store,
     "op4_bpe": op4_bpe,
     "op5_pii": op5_pii,
