@@ -281,7 +281,8 @@ def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **opti
         F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id"), F.col("cid"))).alias("best")) \
         .select(F.col("best.doc_id").alias("__id"), F.col("best.cid").alias("__cid"))
     cols = [F.col(quoted(c)) for c in docs.columns]
-    rows = docs.select(F.struct(*cols).alias("__row"), F.xxhash64(*cols).alias("__h"),
+    plain = [F.col(quoted(c)) for c, kind in docs.dtypes if "map<" not in kind and kind != "variant"]
+    rows = docs.select(F.struct(*cols).alias("__row"), F.xxhash64(*plain).alias("__h"),
                        F.unhex(F.md5(F.col(quoted(text)).cast("binary"))).alias("__cid"),
                        F.col(quoted(doc_id)).alias("__id"))
     alone = rows.where("__cid is null").select("__row")
