@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from docmill.llm import bpe
 from docmill.llm import decontaminate as dc
-from docmill.llm import jaccard, licences, pii, quality, sharding
+from docmill.llm import jaccard, licences, pii, quality, rlz, sharding
 from docmill.llm import token_store as ts
 from docmill.llm.common import table
 
@@ -28,6 +28,12 @@ def op1_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
+def op2_rlz(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the words of repeated 35-word windows."""
+    cut = rlz.remove_repeats(documents(spark, sf_dir), keep=["doc_id"])
+    return cut.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Byte-level BPE ids of every document and the bytes they decode to."""
     import public_tokenizers
@@ -105,6 +111,7 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op10_jaccard_join": op10_jaccard_join,
     "op1_token_store": op1_token_store,
+    "op2_rlz": op2_rlz,
     "op4_bpe": op4_bpe,
     "op5_pii": op5_pii,
     "op6_sharding": op6_sharding,
