@@ -42,7 +42,7 @@ from docmill.session import checkpoint_dir
 SEGMENT_TOKENS, SEGMENT_DOCS = 1 << 20, 4096
 DIRECTORY_BITS = 512
 #: Remembered words per worker (up to twice as many).
-REMEMBER = 300_000
+REMEMBER = 500_000
 
 SEGMENT = T.StructType([
     T.StructField("part", T.LongType()), T.StructField("seg", T.LongType()),
