@@ -2,21 +2,53 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-# Row bound under which a side is broadcast. Rows of the guarded tables are a
-# few hundred bytes at most, so this keeps a broadcast well below ~100 MB.
-DEFAULT_MAX_BROADCAST_ROWS = 200_000
+# Bounds under which a side is broadcast: rows, and bytes as measured by
+# ``row_bytes`` (deserialised hash tables take a small multiple of it).
+DEFAULT_MAX_BROADCAST_ROWS = 500_000
+DEFAULT_MAX_BROADCAST_BYTES = 64 << 20
 
+_FIXED = {T.BooleanType: 1, T.ByteType: 1, T.ShortType: 2, T.IntegerType: 4, T.FloatType: 4, T.DateType: 4}
 
-def fits(df: DataFrame, max_rows: int = DEFAULT_MAX_BROADCAST_ROWS) -> bool:
-    """True when ``df`` has at most ``max_rows`` rows.
 
-    Counts at most ``max_rows + 1`` rows, so the check stays cheap even if
-    the side turns out to be huge.
-    """
-    return df.limit(max_rows + 1).count() <= max_rows
+def _value_bytes(value: Column, kind: T.DataType) -> Column:
+    if isinstance(kind, (T.StringType, T.BinaryType)):
+        return F.octet_length(value)
+    if isinstance(kind, T.ArrayType):
+        if isinstance(kind.elementType, (T.StringType, T.BinaryType, T.ArrayType, T.StructType, T.MapType)):
+            return F.aggregate(value, F.lit(0).cast("long"),
+                               lambda acc, x: acc + F.coalesce(_value_bytes(x, kind.elementType), F.lit(8)) + 8)
+        return F.size(value) * _FIXED.get(type(kind.elementType), 8)
+    if isinstance(kind, T.MapType):
+        return _value_bytes(F.map_entries(value), T.ArrayType(T.StructType(
+            [T.StructField("key", kind.keyType), T.StructField("value", kind.valueType)])))
+    if isinstance(kind, T.StructType):
+        total = F.lit(8)
+        for f in kind.fields:
+            total = total + F.coalesce(_value_bytes(value.getField(f.name), f.dataType), F.lit(0))
+        return total
+    return F.lit(_FIXED.get(type(kind), 8))
+
+
+def row_bytes(df: DataFrame) -> Column:
+    """Bytes of a row: fixed widths plus the lengths of its variable values."""
+    total = F.lit(16).cast("long")
+    for f in df.schema.fields:
+        total = total + F.coalesce(_value_bytes(F.col("`" + f.name.replace("`", "``") + "`"), f.dataType), F.lit(0)) + 8
+    return total
+
+
+def fits(df: DataFrame, max_rows: int = DEFAULT_MAX_BROADCAST_ROWS,
+         max_bytes: int = DEFAULT_MAX_BROADCAST_BYTES) -> bool:
+    """True when ``df`` has at most ``max_rows`` rows of at most ``max_bytes`` in
+    all. Sums over at most ``max_rows + 1`` rows, so the check stays cheap even
+    if the side turns out to be huge."""
+    n, size = df.select(row_bytes(df).alias("b")).limit(max_rows + 1).agg(
+        F.count(F.lit(1)), F.coalesce(F.sum("b"), F.lit(0))).first()
+    return n <= max_rows and size <= max_bytes
 
 
 def collect_if_within(df: DataFrame, weight, max_rows: int, max_weight: int):
@@ -34,7 +66,8 @@ def collect_if_within(df: DataFrame, weight, max_rows: int, max_weight: int):
     return df.toArrow()
 
 
-def maybe_broadcast(df: DataFrame, max_rows: int = DEFAULT_MAX_BROADCAST_ROWS) -> DataFrame:
-    """Broadcast hint only behind a row-count check; otherwise leave the join
-    to the planner (shuffle hash / sort-merge, AQE skew splitting)."""
-    return F.broadcast(df) if fits(df, max_rows) else df
+def maybe_broadcast(df: DataFrame, max_rows: int = DEFAULT_MAX_BROADCAST_ROWS,
+                    max_bytes: int = DEFAULT_MAX_BROADCAST_BYTES) -> DataFrame:
+    """Broadcast hint only behind a check of rows and bytes; otherwise leave the
+    join to the planner (shuffle hash / sort-merge, AQE skew splitting)."""
+    return F.broadcast(df) if fits(df, max_rows, max_bytes) else df
