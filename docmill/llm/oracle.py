@@ -45,7 +45,33 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(n, 0) A
 FROM d LEFT JOIN kept USING (doc_id)
 """
 
+#: Lines, their tokens (fields with a digit, an @ or :// masked) and template:
+#: the leaf's first line if 60 % of the tokens after the leading three agree.
+_OP3 = r"""
+WITH l AS (SELECT doc_id, unnest(range(len(x))) AS pos, unnest(x) AS line
+           FROM (SELECT doc_id, string_split(text, chr(10)) AS x FROM documents)),
+t AS (SELECT doc_id, pos, string_split_regex(trim(translate(line, chr(9) || chr(11) || chr(12) || chr(13), '    ')), ' +') AS w
+      FROM l),
+m AS (SELECT doc_id, pos, list_transform(w, lambda x: CASE WHEN regexp_matches(x, '[0-9@]|://') THEN '<*>' ELSE x END) AS w
+      FROM t WHERE len(w) >= 4),
+leaf AS (SELECT doc_id, pos, w, len(w) AS n, w[1:3] AS lead FROM m),
+hot AS (SELECT n, lead, arg_min(w, struct_pack(d := doc_id, p := pos)) AS shape FROM leaf
+        GROUP BY n, lead HAVING count(DISTINCT doc_id) >= 10),
+g AS (SELECT doc_id, pos, n, lead, CASE WHEN len(list_filter(list_zip(w, shape), lambda z: z[1] = z[2])) - 3 >= (n - 3) * 0.6
+             THEN NULL ELSE w END AS own FROM leaf JOIN hot USING (n, lead)),
+r AS (SELECT n, lead, own, min(doc_id) AS first FROM g GROUP BY n, lead, own HAVING count(DISTINCT doc_id) >= 10),
+lost AS (SELECT DISTINCT g.doc_id, g.pos FROM g JOIN r ON g.n = r.n AND g.lead = r.lead
+         AND g.own IS NOT DISTINCT FROM r.own WHERE g.doc_id <> r.first),
+kept AS (SELECT doc_id, string_agg(line, chr(10) ORDER BY pos) AS t, count(*) AS k FROM l ANTI JOIN lost USING (doc_id, pos)
+         GROUP BY doc_id)
+SELECT doc_id, CAST(coalesce(len(string_split(text, chr(10))), 0) AS BIGINT) AS n_lines,
+       CAST(coalesce(len(string_split(text, chr(10))), 0) - coalesce(k, 0) AS BIGINT) AS n_dropped,
+       CASE WHEN text IS NOT NULL THEN sha256(coalesce(t, '')) END AS text_sha256
+FROM documents LEFT JOIN kept USING (doc_id)
+"""
+
 ORACLE_SQL: dict[str, str] = {
+    "op3_line_templates": _OP3,
     "op2_rlz": _OP2,
     "op9_decontaminate": _OP9,
 }

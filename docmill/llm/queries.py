@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from docmill.llm import bpe
 from docmill.llm import decontaminate as dc
-from docmill.llm import jaccard, licences, pii, quality, rlz, sharding
+from docmill.llm import jaccard, licences, line_templates, pii, quality, rlz, sharding
 from docmill.llm import token_store as ts
 from docmill.llm.common import table
 
@@ -34,6 +34,12 @@ def op2_rlz(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cut.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op3_line_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without its lines of recurring templates."""
+    left = line_templates.drop_templates(documents(spark, sf_dir), keep=["doc_id", "text"])
+    return left.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("text").cast("binary"), 256).alias("text_sha256"))
+
+
 def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Byte-level BPE ids of every document and the bytes they decode to."""
     import public_tokenizers
@@ -112,6 +118,7 @@ QUERIES = {
     "op10_jaccard_join": op10_jaccard_join,
     "op1_token_store": op1_token_store,
     "op2_rlz": op2_rlz,
+    "op3_line_templates": op3_line_templates,
     "op4_bpe": op4_bpe,
     "op5_pii": op5_pii,
     "op6_sharding": op6_sharding,
