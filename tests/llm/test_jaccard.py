@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 
 from docmill.llm import jaccard, queries
+from odd_rows import texts  # noqa: F401 (fixtures)
 
 SF = "/root/testdata/sf0.01"
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")

@@ -8,6 +8,7 @@ from hypothesis import strategies as st
 from docmill.llm import licences as lic
 from docmill.llm import queries
 from docmill.llm.licence_texts import PHRASES, TEMPLATES
+from odd_rows import docs, texts  # noqa: F401 (fixtures)
 
 SF = "/root/testdata/sf0.001"
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")

@@ -8,6 +8,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from docmill.llm import pii, queries
+from odd_rows import docs, texts  # noqa: F401 (fixtures)
 
 SF = "/root/testdata/sf0.001"
 EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")

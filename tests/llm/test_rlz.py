@@ -10,6 +10,7 @@ from hypothesis import strategies as st
 
 from docmill.llm import rlz
 from docmill.llm.common import WordHashes
+from odd_rows import texts  # noqa: F401 (fixtures)
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 

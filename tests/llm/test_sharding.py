@@ -8,6 +8,7 @@ from collections import defaultdict
 from pyspark.sql import functions as F
 
 from docmill.llm import queries, sharding
+from odd_rows import docs, texts  # noqa: F401 (fixtures)
 
 SF = "/root/testdata/sf0.001"
 

@@ -11,6 +11,7 @@ from hypothesis import strategies as st
 
 from docmill.llm import bpe, queries
 from docmill.llm import token_store as ts
+from odd_rows import docs, texts  # noqa: F401 (fixtures)
 
 SF = "/root/testdata/sf0.001"
 RANKS = P.path("byte_bpe_50k.tiktoken")
