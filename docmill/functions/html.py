@@ -21,6 +21,8 @@ VOID_TAGS = frozenset([
     "basefont", "bgsound", "command", "frame", "image", "isindex", "nextid", "spacer",
 ])
 RAW_TEXT_TAGS = frozenset(["script", "style"])
+KEPT_SPACE_TAGS = frozenset(["pre", "textarea"])
+_ASCII_SPACES = " \n\t\f\r"
 
 # Numeric references 128-159 read as windows-1252 characters.
 _CP1252 = {
@@ -64,9 +66,14 @@ class _Walker(HTMLParser):
         self.elements: list[dict] = []
         self.stack: list[int] = []     # indices into elements (open, non-void)
         self.raw_depth = 0             # inside script/style
+        self.kept_depth = 0            # inside pre/textarea
         self.in_text = False           # last event was text (merge pieces)
 
     def _boundary(self):
+        """Ends a text node. A node of ASCII white space only stands for one
+        line feed (if it has any) or one space, but in pre and textarea."""
+        if self.in_text and not self.texts[-1].strip(_ASCII_SPACES) and not self.kept_depth:
+            self.texts[-1] = "\n" if "\n" in self.texts[-1] else " "
         self.in_text = False
 
     # -- tree
@@ -86,8 +93,8 @@ class _Walker(HTMLParser):
             el["t1"] = len(self.texts)
             return
         self.stack.append(el["ord"])
-        if tag in RAW_TEXT_TAGS:
-            self.raw_depth += 1
+        self.raw_depth += tag in RAW_TEXT_TAGS
+        self.kept_depth += tag in KEPT_SPACE_TAGS
 
     def handle_startendtag(self, tag, attrs):
         self._boundary()
@@ -101,8 +108,8 @@ class _Walker(HTMLParser):
                 for idx in self.stack[pos:]:
                     el = self.elements[idx]
                     el["t1"] = len(self.texts)
-                    if el["tag"] in RAW_TEXT_TAGS:
-                        self.raw_depth -= 1
+                    self.raw_depth -= el["tag"] in RAW_TEXT_TAGS
+                    self.kept_depth -= el["tag"] in KEPT_SPACE_TAGS
                 del self.stack[pos:]
                 return
 
@@ -136,6 +143,7 @@ class _Walker(HTMLParser):
 
     def finish(self):
         self.close()
+        self._boundary()
         end = len(self.texts)
         for el in self.elements:
             if el["t1"] is None:
@@ -151,26 +159,14 @@ def document_text(html: str) -> str:
     return "".join(w.texts)
 
 
-def tidy_lines(text: str) -> str:
-    """Readable spacing: every line is stripped and cut at double spaces;
-    the non-empty stripped pieces are joined with single spaces."""
-    kept = []
-    for line in text.splitlines():
-        for piece in line.strip().split("  "):
-            piece = piece.strip()
-            if piece:
-                kept.append(piece)
-    return " ".join(kept)
-
-
-def page_text(html: str | None) -> str | None:
-    """Readable text of a page; on a parser error the raw input is kept."""
+def raw_page_text(html: str | None) -> str | None:
+    """Text nodes of a page; None for None and on a parser error."""
     if html is None:
         return None
     try:
-        return tidy_lines(document_text(html))
-    except Exception:  # parser failure -> raw text, as the rebuilt job does
-        return html
+        return document_text(html)
+    except Exception:  # the caller falls back to the raw input
+        return None
 
 
 ELEMENT_FIELDS = ["id", "name", "type", "placeholder", "value", "onclick", "action", "method", "href"]

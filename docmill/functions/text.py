@@ -58,3 +58,25 @@ def file_ext(name) -> Column:
     """Text after the last '.' of the lower-cased name; a name without a dot
     is its own extension."""
     return F.element_at(F.split(F.lower(_c(name)), r"\."), -1)
+
+
+# The line boundaries of Python's ``str.splitlines``.
+LINE_BOUNDARY = r"\r\n|[\n\r\x0B\f\x1C-\x1E\x{85}\x{2028}\x{2029}]"
+
+# JavaScript's white space (``\s``, ``String.trim``) as a regex class
+# and as characters.
+JS_WHITESPACE_CLASS = (r"[\t\n\x0B\f\r \x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}"
+                       r"\x{3000}\x{FEFF}]")
+JS_WHITESPACE_CHARS = ("\t\n\x0b\x0c\r \xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008"
+                       "\u2009\u200a\u2028\u2029\u202f\u205f\u3000\ufeff")
+
+
+def js_trim(col) -> Column:
+    return F.btrim(_c(col), F.lit(JS_WHITESPACE_CHARS))
+
+
+def readable(col) -> Column:
+    """Readable spacing: lines are stripped and cut at double spaces; the
+    stripped pieces that are left are joined with single spaces."""
+    pieces = F.flatten(F.transform(F.split(_c(col), LINE_BOUNDARY), lambda line: F.split(py_strip(line), "  ")))
+    return F.array_join(F.array_remove(F.transform(pieces, py_strip), ""), " ")

@@ -1,24 +1,17 @@
 """Overlapping character chunker (sentence/newline back-off), no UDF.
 
-Semantics reproduced exactly, quirk included: the back-off point ``bp`` is
-found *relative* to the window but compared with, and used as, an *absolute*
-offset:
-
-    start = 0
-    while start < n:
-        end = start + size
-        if end < n:
-            bp = max(last '.', last '\\n') in text[start:start+size]   (-1 if none)
-            if bp > start + size // 2:
-                end = bp + 1
-        emit text[start:end].strip(), start, end      (end is not clamped)
-        start = end - overlap
-
-Because ``bp <= size - 1``, a back-off can only happen while
-``start < size - 1 - size // 2``, and every step advances by at least
+The rule, quirk included: windows of ``size`` characters follow each other with
+``overlap`` characters in common. A window that doesn't reach the end of the text
+may be cut after its last '.' or newline. That break's place is counted from the
+window's own start, yet it is compared with the middle of the window in the text,
+and taken as the cut, as if it were a place in the text. Windows are not clamped
+at the end of the text; each chunk is its window's text, stripped.
+
+Because a break's place is at most ``size - 1``, a cut can only move while the
+window starts before ``size - 1 - size // 2``, and every step advances by at least
 ``min(size // 2 + 2 - overlap, size - overlap)``. So only the first ``H``
 cuts (H = 2 for 1000/200) can be adaptive; every later chunk is a fixed
-window on a regular stride. The loop therefore has a closed form: ``H``
+window on a regular stride. The rule therefore has a closed form: ``H``
 unrolled column expressions for the head cuts, then
 ``sequence``/``explode`` for the tail. Everything stays inside whole-stage
 codegen and is narrow (no shuffle): chunking scales with the scan.

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from docmill import rules
 from docmill.functions.sizing import maybe_broadcast
-from docmill.functions.text import py_strip
+from docmill.functions.text import js_trim, py_strip
 
 MONEY = "decimal(18,2)"
 
@@ -82,11 +82,11 @@ def order_totals(orders: DataFrame, lineitem: DataFrame, part: DataFrame,
 
 
 def valid_email(col: Column) -> Column:
-    return F.coalesce(py_strip(col).rlike(rules.EMAIL_PATTERN), F.lit(False))
+    return F.coalesce(js_trim(col).rlike(rules.EMAIL_PATTERN), F.lit(False))
 
 
 def not_blank(col: Column) -> Column:
-    return F.coalesce(py_strip(col) != "", F.lit(False))
+    return F.coalesce(js_trim(col) != "", F.lit(False))
 
 
 def record_validation(df: DataFrame, keys, name: Column | None = None, email: Column | None = None,

@@ -21,15 +21,21 @@ from pyspark.sql import types as T
 
 from docmill import rules
 from docmill.functions import html as H
+from docmill.functions.text import readable
 
 # ---------------------------------------------------------------------------
 # A7 page text
 
 
 @F.pandas_udf(T.StringType())
-def html_to_text(html: pd.Series) -> pd.Series:
-    """Readable page text (see :func:`docmill.functions.html.page_text`)."""
-    return html.map(H.page_text)
+def _text_nodes(html: pd.Series) -> pd.Series:
+    return html.map(H.raw_page_text)
+
+
+def html_to_text(html: Column) -> Column:
+    """Readable page text: the parser gives the text nodes, the spacing rules
+    are expressions; unparsable input stays as it is."""
+    return F.coalesce(readable(_text_nodes(html)), html)
 
 
 def page_text(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") -> DataFrame:

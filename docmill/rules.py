@@ -196,7 +196,9 @@ REQUIRED_SCRIPT_COMPONENTS = [
 # Checkout arithmetic.
 DISCOUNT_CODES = [("SAVE15", 0.15)]
 SHIPPING_COSTS = [("standard", 0.0), ("express", 10.0)]
-EMAIL_PATTERN = r"^[^\s@]+@[^\s@]+\.[^\s@]+$"
+# White space is JavaScript's (the class also parses in RE2).
+EMAIL_PATTERN = r"^[^@{ws}]+@[^@{ws}]+\.[^@{ws}]+$".replace("{ws}", (
+    r"\t\n\x0B\f\r \x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}"))
 DISCOUNT_TOLERANCE = 0.01
 
 # Prompt for script generation. Placeholders are filled per

@@ -58,16 +58,11 @@ def documents_as_files(documents: DataFrame) -> DataFrame:
 # ---------------------------------------------------------------------------
 # A3 / A4
 
-def ingest_filter(files: DataFrame, extensions: Sequence[str] = rules.DOCUMENT_EXTENSIONS,
-                  max_bytes: int | None = None) -> DataFrame:
+def ingest_filter(files: DataFrame, extensions: Sequence[str] = rules.DOCUMENT_EXTENSIONS) -> DataFrame:
     """Accept files whose extension is allowed (``rules.DOCUMENT_EXTENSIONS``
-    for documents, ``rules.PAGE_EXTENSIONS`` for target pages). The size bound
-    (``rules.MAX_DOCUMENT_BYTES``) is advisory, so it is only enforced when
-    ``max_bytes`` is given."""
-    cond = file_ext(F.col("filename")).isin(list(extensions))
-    if max_bytes is not None:
-        cond = cond & (F.octet_length("content") <= max_bytes)
-    return files.where(cond)
+    for documents, ``rules.PAGE_EXTENSIONS`` for target pages). The advisory
+    size bound never drops a file here; see ``extract_text``."""
+    return files.where(file_ext(F.col("filename")).isin(list(extensions)))
 
 
 def format_kind(content_type: Column, filename: Column,
@@ -110,32 +105,38 @@ def decoded(content: Column) -> tuple[Column, Column]:
     return F.when(ok, as_str), ok
 
 
-def extract_text(files: DataFrame, mode: str = "fail_fast") -> DataFrame:
-    """Add ``kind``, ``text`` (and for quarantine mode ``ok``, ``error_code``).
+def extract_text(files: DataFrame, mode: str = "fail_fast", max_bytes: int | None = None) -> DataFrame:
+    """Add ``kind``, ``text``, ``ok`` and ``error_code``.
 
-    ``fail_fast``: the first undecodable file stops the job with
-    ``Error processing <file>: invalid UTF-8``.
-    ``quarantine``: bad files stay as rows with ``ok = false`` and an error
-    code; good rows carry their text.
-    PDF bytes are not parsed (no PDF codec); such rows get ``unsupported``.
+    The kind is settled before any decoding: PDF bytes have no codec here
+    (``unsupported_pdf``), files over ``max_bytes`` (if given) are
+    ``too_large``, other bytes that are not UTF-8 are ``invalid_utf8``.
+    ``quarantine`` keeps such files as rows with ``ok = false``; ``fail_fast``
+    stops the job at the first invalid file with ``Error processing <file>``.
+    Each parser only gets the texts of its own kind.
     """
-    kind = format_kind(F.col("content_type"), F.col("filename"))
-    text, ok = decoded(F.col("content"))
-    df = files.withColumn("kind", kind).withColumn("_raw", text).withColumn("ok", ok)
-    if mode == "fail_fast":
-        df = df.withColumn("_raw", F.when(F.col("ok"), F.col("_raw")).otherwise(
-            F.raise_error(F.concat(F.lit("Error processing "), F.col("filename"), F.lit(": invalid UTF-8")))))
-    elif mode != "quarantine":
+    if mode not in ("fail_fast", "quarantine"):
         raise ValueError("mode must be fail_fast or quarantine")
-    body = (F.when(F.col("kind") == "json", json_normalize(F.col("_raw")))
-             .when(F.col("kind") == "html", html_to_text(F.col("_raw")))
-             .when(F.col("kind") == "pdf", F.lit(None).cast("string"))
-             .otherwise(F.col("_raw")))
-    err = (F.when(~F.col("ok"), F.lit("invalid_utf8"))
-            .when(F.col("kind") == "pdf", F.lit("unsupported_pdf")))
-    out = df.withColumn("text", F.when(F.col("ok"), body)).withColumn("error_code", err)
-    out = out.withColumn("ok", F.col("error_code").isNull())
-    return out.drop("_raw")
+    raw, valid = decoded(F.col("content"))
+    df = files.withColumn("kind", format_kind(F.col("content_type"), F.col("filename")))
+    large = F.octet_length("content") > max_bytes if max_bytes is not None else F.lit(False)
+    df = df.withColumn("error_code", F.when(F.col("kind") == "pdf", F.lit("unsupported_pdf"))
+                       .when(large, F.lit("too_large"))
+                       .when(~valid, F.lit("invalid_utf8")))
+    usable = F.col("error_code").isNull()
+
+    def of(kind: str) -> Column:
+        return F.when(usable & (F.col("kind") == kind), raw)
+
+    text = (F.when(F.col("kind") == "json", json_normalize(of("json")))
+             .when(F.col("kind") == "html", html_to_text(of("html")))
+             .otherwise(F.when(usable, raw)))
+    if mode == "fail_fast":
+        # a filter, so the check runs whatever columns are read later
+        df = df.where(F.when(F.col("error_code") == "invalid_utf8", F.raise_error(
+            F.concat(F.lit("Error processing "), F.col("filename"), F.lit(": invalid UTF-8"))).cast("boolean"))
+            .otherwise(F.lit(True)))
+    return df.withColumn("text", text).withColumn("ok", usable)
 
 
 # ---------------------------------------------------------------------------

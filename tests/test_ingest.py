@@ -28,8 +28,11 @@ def test_format_dispatch(spark):
 
 def test_ingest_filter(spark):
     rows = [("a.md", None, b"x"), ("b.html", None, b"x"), ("c.pdf", None, b"x" * 20), ("noext", None, b"x")]
-    got = sorted(r.filename for r in FS.ingest_filter(_files(spark, rows), max_bytes=10).collect())
-    assert got == ["a.md"]
+    got = sorted(r.filename for r in FS.ingest_filter(_files(spark, rows)).collect())
+    assert got == ["a.md", "c.pdf"]
+    big = FS.extract_text(_files(spark, rows + [("d.md", None, b"y" * 20)]), mode="quarantine", max_bytes=10)
+    assert {r.filename: r.error_code for r in big.collect()} == {
+        "a.md": None, "b.html": None, "c.pdf": "unsupported_pdf", "noext": None, "d.md": "too_large"}
 
 
 def test_quarantine_and_fail_fast(spark):
@@ -49,6 +52,24 @@ def test_quarantine_and_fail_fast(spark):
         FS.extract_text(_files(spark, rows[:2]), mode="fail_fast").collect()
 
 
+def test_fail_fast_with_a_constant_type_and_binary_pdf(spark):
+    bad = _files(spark, [("bad.txt", "x", b"\xff\xfe")]).withColumn("content_type", F.lit("text/plain"))
+    for columns in (["text"], ["filename"], ["ok"]):
+        with pytest.raises(Exception, match="Error processing bad.txt"):
+            FS.extract_text(bad).select(*columns).collect()
+    with pytest.raises(Exception, match="Error processing bad.txt"):
+        FS.extract_text(bad).count()
+    pdf = _files(spark, [("s.pdf", None, b"%PDF-1.7\xe2\xe3\xcf\xd3"), ("a.txt", None, b"ok")])
+    for mode in ("fail_fast", "quarantine"):
+        got = {r.filename: (r.ok, r.error_code, r.text) for r in FS.extract_text(pdf, mode).collect()}
+        assert got == {"s.pdf": (False, "unsupported_pdf", None), "a.txt": (True, None, "ok")}
+
+
+def test_text_only_input_runs_no_python(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    assert "Python" not in plan_text(FS.extract_text(FS.documents_as_files(docs)).select("doc_id", "text"))
+
+
 def test_binary_file_source(spark):
     d = tempfile.mkdtemp(prefix="docmill-src-")
     for name, body in [("a.md", b"# title"), ("b.txt", b"plain"), ("skip.bin", b"\x00")]:

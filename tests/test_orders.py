@@ -28,5 +28,9 @@ def test_validation_and_amounts(spark):
     got = {r.id: (r.name_ok, r.email_ok, r.address_ok) for r in O.record_validation(
         df, ["id"], F.col("name"), F.col("email"), F.col("address")).collect()}
     assert got == {1: (True, True, True), 2: (False, False, False), 3: (False, False, False)}
+    odd = spark.createDataFrame([(1, "\ufeff", "a\u00a0b@x.yz"), (2, "\u001c", "\ufeffa@x.yz\u2003"), (3, "x", "a@x.y\u3000z")],
+                                "id long, name string, email string")
+    flags = {r.id: (r.name_ok, r.email_ok) for r in O.record_validation(odd, ["id"], F.col("name"), F.col("email")).collect()}
+    assert flags == {1: (False, False), 2: (True, True), 3: (True, False)}
     amt = spark.createDataFrame([("Total: $1,234.50",), ("$7",), ("n/a",)], "t string")
     assert [r[0] for r in amt.select(O.parse_amount(F.col("t"))).collect()] == [1234.5, 7.0, None]

@@ -1,6 +1,5 @@
 """Page-structure extraction on a self-written checkout-like page."""
 
-from docmill.functions.html import page_text
 from docmill.operators import pages as P
 from docmill.operators import scripts as S
 
@@ -45,12 +44,15 @@ def test_pay_button_text_override(spark):
     assert sel["pay_button"] == ".buy"
 
 
-def test_page_text_rules():
-    assert page_text("<p>a<br>b</p>") == "ab"
-    assert page_text("<script>var t='</p>';</script><p> x  y </p><!-- c -->z") == "x y z"
-    assert page_text("<p>fish &amp chips &amp; more</p>") == "fish & chips & more"
-    assert page_text("<div>unclosed <b>bold") == "unclosed bold"
-    assert page_text("line1\r\n   line2  \n\n") == "line1 line2"
+def test_page_text_rules(spark):
+    cases = [("<p>a<br>b</p>", "ab"), ("<script>var t='</p>';</script><p> x  y </p><!-- c -->z", "x y z"),
+             ("<p>fish &amp chips &amp; more</p>", "fish & chips & more"), ("<div>unclosed <b>bold", "unclosed bold"),
+             ("line1\r\n   line2  \n\n", "line1 line2"), ("<b>a</b>\t<b>c</b>", "a c"),
+             ("<b>a</b> \n <b>c</b>", "a c"), ("<pre>a</pre><pre>\t</pre>b", "a\tb"), ("", ""), (None, None),
+             ("a\u2028 b \x0b c", "a b c"), ("no tags\u3000 here\u3000", "no tags\u3000 here")]
+    df = spark.createDataFrame([(i, h) for i, (h, _) in enumerate(cases)], "page_id long, html string")
+    got = {r.page_id: r.text for r in P.page_text(df).collect()}
+    assert [got[i] for i in range(len(cases))] == [t for _, t in cases]
 
 
 def test_structure_json_fields(spark, checkout_html):
