@@ -9,8 +9,8 @@ when the Jaccard similarity of their shingle sets is 0.8 or more.
 2. Each class gets a MinHash signature in bands; band and row counts follow from
    the target recall at the threshold (``choose_bands``).
 3. Bands meet in a shuffle on their hash, counted with map-side combining.
-   Buckets of different bands with the same members (equal count and hash sums)
-   are one *set*, so a pair of copies is verified once, not once per band.
+   Buckets of different bands with the same members (equal count, hash XOR and
+   hash sum) are one *set*, so a pair of copies is verified once, not once per band.
 4. The full shingle sets of a set's members meet in blocks of bounded size; every
    pair of members is verified where its first common band says so, by exact set
    intersections (a blocked matrix product). A block returns one row per linked
@@ -239,8 +239,8 @@ def join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold:
     entries = classes.select("cid", "n_shingles", F.posexplode("bands").alias("band", "bucket"))
     buckets = entries.groupBy("band", "bucket").agg(
         F.count(F.lit(1)).alias("m"), F.sum("n_shingles").alias("weight"),
-        F.expr("sum(xxhash64(cid) % 4611686018427387903 div 8)").alias("s1"),
-        F.expr("sum(xxhash64(cid, 1) % 4611686018427387903 div 8)").alias("s2")).where("m > 1")
+        F.expr("bit_xor(xxhash64(cid))").alias("s1"),
+        F.expr("sum(pmod(xxhash64(cid, 1), 2147483648L))").alias("s2")).where("m > 1")
     members = entries.select("cid", "band", "bucket").join(buckets, ["band", "bucket"]) \
         .groupBy("cid", "m", "weight", "s1", "s2").agg(F.min("band").alias("band"))
     members = written(members, "members")
