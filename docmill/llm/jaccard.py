@@ -241,7 +241,7 @@ def join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold:
         F.count(F.lit(1)).alias("m"), F.sum("n_shingles").alias("weight"),
         F.expr("bit_xor(xxhash64(cid))").alias("s1"),
         F.expr("sum(pmod(xxhash64(cid, 1), 2147483648L))").alias("s2")).where("m > 1")
-    members = entries.select("cid", "band", "bucket").join(buckets, ["band", "bucket"]) \
+    members = entries.select("cid", "band", "bucket").join(written(buckets, "buckets"), ["band", "bucket"]) \
         .groupBy("cid", "m", "weight", "s1", "s2").agg(F.min("band").alias("band"))
     members = written(members, "members")
     wanted = members.select("cid").distinct().join(classes.select("cid", "class_id"), "cid")
@@ -263,7 +263,7 @@ def join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold:
     ids = classes.select("cid", "class_id", "n_copies")
     least = group.join(ids, "cid").groupBy("root").agg(F.min("class_id").alias("group_id"))
     facts = ids.join(links, "cid", "left").join(group.join(least, "root").select("cid", "group_id"), "cid", "left")
-    return signed.select("doc_id", "cid").join(facts, "cid", "left").select(
+    return signed.select("doc_id", "cid").join(maybe_broadcast(written(facts, "facts")), "cid", "left").select(
         "doc_id", "cid", F.when(F.col("cid").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"),
         F.coalesce("n_copies", F.lit(1)).cast("long").alias("n_copies"),
         F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),

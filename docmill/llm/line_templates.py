@@ -14,7 +14,9 @@ list marks) are structure and stay.
 Only leaf and row keys are shuffled to count leaves; line texts are read again
 and joined to the few leaves that recur (broadcast within the checked bound, else
 a shuffle join that AQE splits), and dropped places go back to the texts in the
-same way. All counts are combined before they are shuffled.
+same way. All counts are combined before they are shuffled, and joined to a
+frequent leaf's or template's lines as written tables: broadcast, or by a join
+with an exchange on either side, which AQE splits.
 
 Defined cases: a NULL text stays NULL (0 lines); an empty text is one empty line;
 a document that loses all lines keeps an empty text; rows repeated with the same
@@ -33,9 +35,16 @@ from docmill.llm.common import carried, quoted, written
 DEPTH, SIMILARITY, MIN_DOCS, MIN_TOKENS = 3, 0.6, 10, 4
 
 
-def tokens(line: Column) -> Column:
-    """Tokens between ASCII blanks."""
-    return F.split(F.trim(F.translate(line, "\t\x0b\x0c\r", "    ")), " +")
+#: Blanks between tokens, other than the space.
+BLANKS = ("\t", "\x0b", "\x0c", "\r")
+
+
+def spaced(line: Column) -> Column:
+    """``line`` trimmed, its runs of ASCII blanks as one space."""
+    odd = F.contains(line, F.lit("  "))
+    for blank in BLANKS:
+        odd = odd | F.contains(line, F.lit(blank))
+    return F.trim(F.when(odd, F.regexp_replace(line, "[ \t\x0B\f\r]+", " ")).otherwise(line))
 
 
 def masked(token: Column) -> Column:
@@ -48,13 +57,16 @@ def _row_key(doc_id: str, body: Column) -> list[Column]:
 
 
 def _lines(docs: DataFrame, doc_id: str, text: str, min_tokens: int) -> DataFrame:
-    """(k1, k2, d, pos, t, leaf) of every line of ``min_tokens`` tokens or more."""
+    """(k1, k2, d, pos, line, leaf) of every line of ``min_tokens`` tokens or more.
+    Tokens are counted by the spaces and only the leading ones are cut off."""
     body = F.col(quoted(text)).cast("string")
     lines = docs.select(*_row_key(doc_id, body), F.col(quoted(doc_id)).alias("d"),
-                        F.posexplode(F.split(body, "\n")).alias("pos", "line"))
-    split = lines.select("k1", "k2", "d", "pos", tokens(F.col("line")).alias("t")).where(F.size("t") >= min_tokens)
-    lead = F.transform(F.slice("t", 1, DEPTH), masked)
-    return split.withColumn("leaf", F.xxhash64(F.size("t"), lead))
+                        F.posexplode(F.split(body, "\n")).alias("pos", "line")) \
+        .select("k1", "k2", "d", "pos", spaced(F.col("line")).alias("line"))
+    n = F.octet_length("line") - F.octet_length(F.replace("line", F.lit(" "), F.lit(""))) + 1
+    lead = F.transform(F.split(F.substring_index("line", " ", DEPTH), " "), masked)
+    return lines.withColumn("n", n).where((F.col("n") >= min_tokens) & (F.col("line") != "")) \
+        .select("k1", "k2", "d", "pos", "line", F.xxhash64("n", lead).alias("leaf"))
 
 
 def templates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_docs: int = MIN_DOCS,
@@ -66,10 +78,11 @@ def templates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_d
         .where(F.col("docs") >= min_docs).select("leaf")
     leaves = written(leaves, "leaves")
     found = written(lines.join(maybe_broadcast(leaves), "leaf")
-                    .select("leaf", "k1", "k2", "d", "pos", F.transform("t", masked).alias("t")), "lines")
+                    .select("leaf", "k1", "k2", "d", "pos", F.transform(F.split("line", " "), masked).alias("t")),
+                    "lines")
     first = F.struct(F.col("d").isNull().alias("x"), F.col("d"), F.col("k1"), F.col("k2"), F.col("pos"))
-    shapes = found.groupBy("leaf").agg(F.min_by("t", first).alias("shape"))
-    both = found.join(shapes, "leaf")
+    shapes = written(found.groupBy("leaf").agg(F.min_by("t", first).alias("shape")), "shapes")
+    both = found.join(maybe_broadcast(shapes), "leaf")
     same = F.size(F.filter(F.zip_with("t", "shape", lambda a, b: a == b), lambda x: x)) - DEPTH
     alike = same >= (F.size("t") - DEPTH) * F.lit(similarity)
     return both.select("k1", "k2", "d", "pos", F.col("leaf").alias("g1"),
@@ -85,8 +98,9 @@ def dropped_places(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     order = F.struct(F.col("d").isNull().alias("x"), F.col("d"), F.col("k1"), F.col("k2"))
     recurring = held.select(*group, "d", "k1", "k2").distinct().groupBy(*group).agg(
         F.count(F.lit(1)).alias("docs"), F.min(order).alias("first")).where(F.col("docs") >= min_docs)
-    recurring = recurring.select(*group, F.col("first.k1").alias("f1"), F.col("first.k2").alias("f2"))
-    lost = held.join(recurring, group).where((F.col("k1") != F.col("f1")) | (F.col("k2") != F.col("f2")))
+    recurring = written(recurring.select(*group, F.col("first.k1").alias("f1"), F.col("first.k2").alias("f2")),
+                        "recurring")
+    lost = held.join(maybe_broadcast(recurring), group).where((F.col("k1") != F.col("f1")) | (F.col("k2") != F.col("f2")))
     return lost.groupBy("k1", "k2").agg(F.sort_array(F.collect_set("pos")).alias("places"))
 
 

@@ -21,9 +21,10 @@ the index of all blocks:
 
 Factors shorter than a window cover no window and stay. Equality is by 128 bits
 (seed and block or window hash). Only hashes travel, except for the texts'
-one exchange by row key, which both uses of the text share. Frequent seeds,
-blocks and windows are combined before they are shuffled or split by AQE's
-skew join; nothing gathers a seed's places in one task.
+exchange by row key. Frequent seeds, blocks and windows are combined before they
+are shuffled; what they are joined to is written first, so both sides of each
+join are plain exchanges that AQE's skew join can split. Nothing gathers a
+seed's places in one task.
 
 Defined cases: NULL and empty texts have no words; texts under ``WINDOW`` words
 lose nothing; rows repeated with an equal key are occurrences each; overlapping
@@ -38,9 +39,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from docmill.functions.sizing import maybe_broadcast
 from docmill.llm.common import Rolling, WordHashes, carried, map_text, plain_words, quoted, slices, written
 
-WINDOW, SEED = 35, 12
+WINDOW, SEED = 35, 8
 
 _BLOCK = T.StructType([T.StructField("seed", T.LongType()), T.StructField("block", T.LongType()),
                        T.StructField("at", T.IntegerType()), T.StructField("n", T.IntegerType()),
@@ -194,7 +196,7 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     keep = carried(docs, ["n_words", "n_removed", "removed", "kept"]) if keep is None else keep
     body = F.col(quoted(text)).cast("string")
     key = [F.xxhash64(F.col(quoted(doc_id)), body).alias("k1"),
-           F.xxhash64(F.lit(7), body, F.col(quoted(doc_id))).alias("k2")]
+           F.hash(F.lit(7), body, F.col(quoted(doc_id))).alias("k2")]  # 96 bits together
     rows = docs.select(*key, F.struct(F.lit(0), *[F.col(quoted(c)) for c in keep]).alias("doc"), body.alias("text"))
 
     def make():
@@ -206,20 +208,21 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     index = blocks.groupBy("seed").agg(F.sum("times").alias("times"), F.min("block").alias("low"),
                                        F.max("block").alias("high")).where("times > 1") \
         .select("seed", (F.col("low") != F.col("high")).alias("differ"))
-    met = written(blocks.join(index, "seed"), "met")
+    met = written(blocks.join(written(index, "index"), "seed"), "met")
     # one place of each distinct block at a factor's border, and all its occurrences
     border = met.where("differ").groupBy("seed", "block").agg(
         F.sum("times").alias("times"), F.min(F.struct("k1", "k2", "at", "n")).alias("p"))
     todo = border.groupBy("p.k1", "p.k2").agg(F.collect_list(
         F.struct("seed", "block", "p.at", "p.n", "times")).alias("todo"))
-    one_text = rows.join(todo, ["k1", "k2"]).select("k1", "k2", "text", "todo")
-    checks = _window_hashes(one_text, window).dropDuplicates(["seed", "block"]) \
+    one_text = rows.join(maybe_broadcast(written(todo, "todo")), ["k1", "k2"]).select("k1", "k2", "text", "todo")
+    checks = written(_window_hashes(one_text, window).groupBy("seed", "block").agg(
+        F.first("times").alias("times"), F.first("windows").alias("windows")), "checks") \
         .select("seed", "block", "times", F.posexplode("windows").alias("i", "w"))
     twice = checks.groupBy("seed", "w").agg(F.sum("times").alias("times")).where("times > 1").select("seed", "w")
-    masks = checks.join(twice, ["seed", "w"]).groupBy("seed", "block").agg(
+    masks = checks.join(written(twice, "twice"), ["seed", "w"]).groupBy("seed", "block").agg(
         F.bit_or(F.expr("shiftleft(1, i)")).alias("mask"))
     inside = met.where("not differ").select("k1", "k2", "at", "n", F.lit(ALL).alias("mask"))
-    at_border = met.where("differ").join(masks, ["seed", "block"]).select("k1", "k2", "at", "n", "mask")
+    at_border = met.where("differ").join(written(masks, "masks"), ["seed", "block"]).select("k1", "k2", "at", "n", "mask")
     own = parsed.select("k1", "k2", F.explode("own").alias("o")).select("k1", "k2", "o.*")
     places = inside.unionByName(at_border).unionByName(own).groupBy("k1", "k2").agg(
         F.collect_set(F.struct("at", "n", "mask")).alias("places"))
