@@ -14,6 +14,8 @@ import re
 from html.entities import html5 as _HTML5
 from html.parser import HTMLParser
 
+import pyarrow as pa
+
 # HTML void elements (never have children or end tags).
 VOID_TAGS = frozenset([
     "area", "base", "br", "col", "embed", "hr", "img", "input", "keygen", "link",
@@ -172,33 +174,48 @@ def raw_page_text(html: str | None) -> str | None:
 ELEMENT_FIELDS = ["id", "name", "type", "placeholder", "value", "onclick", "action", "method", "href"]
 
 
-def element_rows(page_id, html: str | None):
-    """Yield one tuple per element in document order."""
+# Element columns in order: name, Spark type.
+ELEMENT_COLUMNS = (
+    [("ord", "int"), ("tag", "string")]
+    + [("el_" + f if f in ("id", "name") else f, "string") for f in ELEMENT_FIELDS]
+    + [("classes", "array<string>"), ("required", "boolean"), ("text", "string"), ("text_strip", "string"),
+       ("ancestors", "array<int>"), ("attrs", "map<string,string>")])
+
+
+ARROW_TYPES = {"int": pa.int32(), "string": pa.string(), "boolean": pa.bool_(), "array<string>": pa.list_(pa.string()),
+               "array<int>": pa.list_(pa.int32()), "map<string,string>": pa.map_(pa.string(), pa.string())}
+
+
+def element_columns(html: str | None, columns, text_tags=None) -> list[list]:
+    """One value list per wanted column, an entry per element in document order.
+    Texts are made only if wanted, and only for ``text_tags`` (None: all)."""
+    out: list[list] = [[] for _ in columns]
     if not html:
-        return
+        return out
     w = _Walker(True)
     w.feed(html)
     w.finish()
-    texts = w.texts
     for el in w.elements:
         a = el["attrs"]
-        pieces = texts[el["t0"]:el["t1"]]
-        cls = a.get("class")
-        yield (
-            page_id, el["ord"], el["tag"],
-            *[a.get(f) for f in ELEMENT_FIELDS],
-            _WS.split(cls.strip()) if cls and cls.strip() else [],
-            "required" in a,
-            "".join(pieces),
-            "".join(s for s in (p.strip() for p in pieces) if s),
-            el["ancestors"],
-            a,
-        )
-
-
-ELEMENT_SCHEMA = (
-    "page_id long, ord int, tag string, "
-    + ", ".join(f"{'el_' + f if f in ('id', 'name') else f} string" for f in ELEMENT_FIELDS)
-    + ", classes array<string>, required boolean, text string, text_strip string, "
-      "ancestors array<int>, attrs map<string,string>"
-)
+        wanted = text_tags is None or el["tag"] in text_tags
+        for values, c in zip(out, columns):
+            if c == "ord":
+                v = el["ord"]
+            elif c == "tag":
+                v = el["tag"]
+            elif c == "classes":
+                v = _WS.split(a["class"].strip()) if a.get("class", "").strip() else []
+            elif c == "required":
+                v = "required" in a
+            elif c == "text":
+                v = "".join(w.texts[el["t0"]:el["t1"]]) if wanted else None
+            elif c == "text_strip":
+                v = "".join([t.strip() for t in w.texts[el["t0"]:el["t1"]]]) if wanted else None
+            elif c == "ancestors":
+                v = el["ancestors"]
+            elif c == "attrs":
+                v = list(a.items())
+            else:
+                v = a.get(c.removeprefix("el_"))
+            values.append(v)
+    return out

@@ -234,28 +234,54 @@ def strip_model_fence(text: Column) -> Column:
     return F.when(F.startswith(s, F.lit("```")), dropped).otherwise(s)
 
 
+CASE_COLUMNS = ["test_id", "feature", "test_scenario", "expected_result", "grounded_in", "test_type", "steps"]
+
+
+def _one_json_text(text: Column) -> Column:
+    """Whether ``text`` is one JSON list or object and nothing else. Strings are
+    removed first; the brackets left must close exactly at the end."""
+    bare = F.regexp_replace(text, r'"[^"\\]*+(?:\\.[^"\\]*+)*+"', "")
+    marks = F.split(F.regexp_replace(bare, r"[^\[\]{}]", ""), "")
+    depth = F.aggregate(
+        marks, F.struct(F.lit(0).alias("d"), F.lit(0).alias("closed")),
+        lambda acc, m: F.struct(
+            (acc["d"] + F.when(m.isin("[", "{"), 1).when(m.isin("]", "}"), -1).otherwise(0)).alias("d"),
+            (acc["closed"] + F.when(m.isin("]", "}") & (acc["d"] == 1), 1).otherwise(0)).alias("closed")))
+    return bare.rlike(r"^\s*[\[{](?s:.*)[\]}]\s*$") & (depth["closed"] == 1) & (depth["d"] == 0)
+
+
 def parse_responses(responses: DataFrame, keys: Sequence[str], text_col: str = "text") -> DataFrame:
-    """Model output -> case rows; an object becomes a one-element array,
-    anything that does not parse is kept as an error row with the raw text.
+    """Model output -> case rows; an object becomes a one-element list, anything
+    that is not one strict JSON text of objects is kept as an error row.
 
-    Output: keys..., pos, test_id, feature, test_type, n_steps, bad, raw.
+    Output: keys..., pos, the case columns, n_steps, bad, raw. ``steps`` that are
+    not a list become a list of that one value.
     """
+    strict = {"allowSingleQuotes": "false", "allowUnquotedFieldNames": "false", "allowComments": "false"}
     cleaned = strip_model_fence(F.col(text_col))
-    parsed = responses.select(*keys, F.col(text_col).alias("raw"),
-                              F.from_json(cleaned, RESPONSE_SCHEMA).alias("_arr"))
-    return parsed.select(*keys, "raw", F.col("_arr").isNull().alias("bad"),
-                         F.posexplode_outer("_arr").alias("pos", "_c")) \
-                 .select(*keys, "pos", F.col("_c.test_id").alias("test_id"),
-                         F.col("_c.feature").alias("feature"), F.col("_c.test_type").alias("test_type"),
-                         F.when(F.col("_c.steps").isNotNull(), F.size(F.col("_c.steps"))).alias("n_steps"),
-                         "bad", "raw")
+    schema = RESPONSE_SCHEMA.replace("steps:array<string>", "steps:string")
+    parsed = responses.select(*keys, F.col(text_col).alias("raw"), F.when(
+        F.coalesce(_one_json_text(cleaned), F.lit(False)), F.from_json(cleaned, schema, strict)).alias("_arr"))
+    rows = parsed.select(*keys, "raw", F.col("_arr").isNull().alias("bad"),
+                         F.posexplode_outer("_arr").alias("pos", "_c"))
+    steps = F.coalesce(F.from_json(F.col("_c.steps"), "array<string>"),
+                       F.when(F.col("_c.steps").isNotNull(), F.array("_c.steps")))
+    return rows.select(*keys, "pos", *[F.col(f"_c.{c}").alias(c) for c in CASE_COLUMNS[:-1]], steps.alias("steps"),
+                       F.size(steps).alias("n_steps"), "bad", "raw")
 
 
 def generator_choice(rule_cases: DataFrame, model_cases: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Model rows win for a query when it has at least one good row; other
-    queries keep their rule rows. Output: keys..., origin, n (rows)."""
+    """The case rows that count: for a query with at least one good model row its
+    model rows, in order; for the others their rule rows. Output: keys..., origin,
+    the case columns."""
     good = model_cases.where(~F.col("bad") & F.col("pos").isNotNull())
-    model_n = good.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).withColumn("origin", F.lit("model"))
-    rule_n = (rule_cases.join(model_n.select(*keys), list(keys), "left_anti")
-                        .groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).withColumn("origin", F.lit("rules")))
-    return model_n.unionByName(rule_n)
+    model = good.select(*keys, F.lit("model").alias("origin"), *CASE_COLUMNS)
+    rule = rule_cases.join(good.select(*keys).distinct(), list(keys), "left_anti") \
+        .select(*keys, F.lit("rules").alias("origin"), *CASE_COLUMNS)
+    return model.unionByName(rule)
+
+
+def case_at(cases: DataFrame, keys: Sequence[str], position: int) -> DataFrame:
+    """The case at an ordinal (from 0, by test_id) of each query; no row where a
+    query has fewer."""
+    return cases.where(F.col("test_id") == F.format_string("TC-%03d", F.lit(position + 1)))

@@ -1,9 +1,9 @@
 """Page-structure extraction.
 
-One parser pass per page (``mapInArrow``, Arrow batches) turns raw HTML into
-an ``elements`` table: one row per element in document order. Everything
-after that -- selector slots, sections, forms, inventories, roll-ups -- is
-Spark SQL over that table. Slot rules are simple CSS selectors translated
+One parser pass per page (``mapInArrow``, Arrow batches) turns raw HTML into one
+row per page with its element list, or an ``elements`` table. Everything after
+that -- selector slots, sections, forms, inventories, roll-ups -- is expressions
+over that list (no exchange) or Spark SQL over the table. Slot rules are simple CSS selectors translated
 into column predicates at plan time (no CSS engine, no join with a rules
 table).
 """
@@ -45,37 +45,54 @@ def page_text(pages: DataFrame, id_col: str = "page_id", html_col: str = "html")
 # ---------------------------------------------------------------------------
 # E1 element table
 
-_ARROW_ELEMENTS = pa.schema([
-    ("page_id", pa.int64()), ("ord", pa.int32()), ("tag", pa.string()),
-    *[("el_" + f if f in ("id", "name") else f, pa.string()) for f in H.ELEMENT_FIELDS],
-    ("classes", pa.list_(pa.string())), ("required", pa.bool_()), ("text", pa.string()),
-    ("text_strip", pa.string()), ("ancestors", pa.list_(pa.int32())),
-    ("attrs", pa.map_(pa.string(), pa.string())),
-])
-
-
-def _explode_pages(batches):
-    names = _ARROW_ELEMENTS.names
-    for batch in batches:
-        ids = batch.column("page_id").to_pylist()
-        docs = batch.column("html").to_pylist()
-        rows = [row for pid, doc in zip(ids, docs) for row in H.element_rows(pid, doc)]
-        if not rows:
-            continue
-        cols = list(zip(*rows))
-        cols[-1] = [list(a.items()) for a in cols[-1]]
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(c, type=_ARROW_ELEMENTS.field(n).type) for n, c in zip(names, cols)], schema=_ARROW_ELEMENTS)
-
-
-def elements(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") -> DataFrame:
-    """(page_id, ord, tag, el_id, el_name, type, placeholder, value, onclick,
-    action, method, href, classes, required, text, text_strip, ancestors, attrs).
-
-    Narrow: each page is parsed inside the task that read it.
-    """
+PAGES_PER_BATCH = 64
+
+
+def parse_pages(pages: DataFrame, id_col: str = "page_id", html_col: str = "html",
+                columns: Sequence[str] | None = None, text_tags: Sequence[str] | None = None) -> DataFrame:
+    """(page_id, els): one row per page with its elements in document order as
+    structs of ``columns`` (default: all). Narrow: each page is parsed once, in the task that read it,
+    ``PAGES_PER_BATCH`` pages at a time; pages without elements have an empty
+    list. ``text_tags`` limits whose text is made (it is as long as the page for
+    its outer elements)."""
+    kinds = [(n, k) for n, k in H.ELEMENT_COLUMNS if columns is None or n in columns]
+    names = [n for n, _ in kinds]
+    schema = "page_id long, els array<struct<" + ",".join(f"{n}:{k}" for n, k in kinds) + ">>"
+    tags = None if text_tags is None else frozenset(text_tags)
     src = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(html_col).alias("html"))
-    return src.mapInArrow(_explode_pages, H.ELEMENT_SCHEMA)
+
+    fields = [pa.field(n, H.ARROW_TYPES[k]) for n, k in kinds]
+
+    def run(batches):
+        for batch in batches:
+            for lo in range(0, batch.num_rows, PAGES_PER_BATCH):
+                part = batch.slice(lo, PAGES_PER_BATCH)
+                made = [H.element_columns(h, names, tags) for h in part.column("html").to_pylist()]
+                ends = [0]
+                for m in made:
+                    ends.append(ends[-1] + len(m[0]))
+                flat = [pa.array([v for m in made for v in m[i]], f.type) for i, f in enumerate(fields)]
+                els = pa.ListArray.from_arrays(pa.array(ends, pa.int32()),
+                                               pa.StructArray.from_arrays(flat, fields=fields))
+                yield pa.RecordBatch.from_arrays([part.column("page_id"), els], names=["page_id", "els"])
+
+    return src.mapInArrow(run, schema)
+
+
+def elements(pages: DataFrame, id_col: str = "page_id", html_col: str = "html",
+             columns: Sequence[str] | None = None, text_tags: Sequence[str] | None = None) -> DataFrame:
+    """One row per element: page_id and ``columns`` of (ord, tag, el_id, el_name,
+    type, placeholder, value, onclick, action, method, href, classes, required,
+    text, text_strip, ancestors, attrs)."""
+    return parse_pages(pages, id_col, html_col, columns, text_tags).select("page_id", F.inline("els"))
+
+
+def by_page(els: DataFrame) -> DataFrame:
+    """An element table back as one row per page (page_id, els): one exchange."""
+    fields = ["ord"] + [c for c in els.columns if c not in ("page_id", "ord")]
+    return els.groupBy("page_id").agg(F.array_sort(
+        F.collect_list(F.struct(*fields)),
+        lambda a, b: F.when(a["ord"] < b["ord"], -1).when(a["ord"] > b["ord"], 1).otherwise(0)).alias("els"))
 
 
 def tag_counts(els: DataFrame) -> DataFrame:
@@ -90,19 +107,22 @@ _TOKEN = re.compile(
     r"""|\[(?P<attr>[\w-]+)(?:(?P<op>[*^$]?=)["'](?P<val>[^"']*)["'])?\]""")
 
 
-def _attr(name: str) -> Column:
-    if name == "id":
-        return F.col("el_id")
-    if name == "name":
-        return F.col("el_name")
-    return F.element_at(F.col("attrs"), F.lit(name))
+def _attr(e, name: str) -> Column:
+    return e["el_" + name] if name in ("id", "name") else F.element_at(e["attrs"], F.lit(name))
+
+
+class _Columns:
+    """Element fields as columns of an element table."""
+
+    def __getitem__(self, name: str) -> Column:
+        return F.col(name)
 
 
-def css_predicate(selector: str) -> Column:
-    """Column predicate for a selector list of simple selectors
-    (``tag``, ``#id``, ``.class``, ``[a]``, ``[a="v"]``, ``[a*="v"]``,
-    ``[a^="v"]``, ``[a$="v"]``; comma = OR). Values of the ``type``
-    attribute compare case-insensitively, as in HTML."""
+def css_predicate(selector: str, e=_Columns()) -> Column:
+    """Predicate on an element (a struct, or the columns of an element table)
+    for a selector list of simple selectors (``tag``, ``#id``, ``.class``,
+    ``[a]``, ``[a="v"]``, ``[a*="v"]``, ``[a^="v"]``, ``[a$="v"]``; comma = OR).
+    Values of the ``type`` attribute compare case-insensitively, as in HTML."""
     any_of = F.lit(False)
     for part in (p.strip() for p in selector.split(",")):
         pos, cond = 0, F.lit(True)
@@ -111,18 +131,18 @@ def css_predicate(selector: str) -> Column:
                 raise ValueError(f"unsupported selector: {part!r}")
             pos = m.end()
             if m["tag"]:
-                cond = cond & (F.col("tag") == F.lit(m["tag"].lower()))
+                cond = cond & (e["tag"] == F.lit(m["tag"].lower()))
             elif m["id"]:
-                cond = cond & (F.col("el_id") == F.lit(m["id"]))
+                cond = cond & F.coalesce(e["el_id"] == F.lit(m["id"]), F.lit(False))
             elif m["cls"]:
-                cond = cond & F.array_contains(F.col("classes"), F.lit(m["cls"]))
+                cond = cond & F.array_contains(e["classes"], F.lit(m["cls"]))
             else:
                 a, op, v = m["attr"].lower(), m["op"], m["val"]
-                col = _attr(a)
+                col = _attr(e, a)
                 if a == "type" and op:
                     col, v = F.lower(col), v.lower()
                 if not op:
-                    c = F.map_contains_key(F.col("attrs"), F.lit(a))
+                    c = F.map_contains_key(e["attrs"], F.lit(a))
                 elif op == "=":
                     c = col == F.lit(v)
                 elif op == "*=":
@@ -146,49 +166,45 @@ def preferred_selector(el_id: Column, el_name: Column, classes: Column, tag: Col
              .otherwise(tag))
 
 
-def _pay_overrides(els: DataFrame, text: str) -> DataFrame:
-    btn = els.where((F.col("tag") == "button") & F.contains(F.lower("text"), F.lit(text)))
-    first = btn.groupBy("page_id").agg(F.min_by(F.struct("el_id", "classes"), F.col("ord")).alias("b"))
-    kind = (F.when(F.coalesce(F.col("b.el_id"), F.lit("")) != "", F.lit("id"))
-             .when(F.size("b.classes") > 0, F.lit("class")).otherwise(F.lit("tag")))
-    val = (F.when(kind == "id", F.col("b.el_id"))
-            .when(kind == "class", F.element_at("b.classes", 1)).otherwise(F.lit("button")))
-    return first.select("page_id", kind.alias("ov_kind"), val.alias("ov_val"))
+def selector_list(els: Column, slot_rules=rules.SELECTOR_RULES, pay_text: str | None = rules.PAY_BUTTON_TEXT,
+                  pay_slot: str = rules.PAY_BUTTON_SLOT) -> Column:
+    """ARRAY<STRUCT<slot, selector, ord>> of a page's elements: for each slot the
+    first element that matches its rule; slots without a match are absent. A
+    button with the pay text overrides the pay slot's rule by its id, else its
+    first class, else its tag."""
+    def first(pred):
+        return F.try_element_at(F.filter(els, pred), F.lit(1))
+
+    def rule(css):
+        return lambda e: css_predicate(css, e)
+
+    picks = []
+    for slot, css in slot_rules:
+        hit = first(rule(css))
+        if pay_text is not None and slot == pay_slot:
+            pay = first(lambda e: (e["tag"] == "button") & F.contains(F.lower(e["text"]), F.lit(pay_text)))
+            by_id = F.coalesce(pay["el_id"], F.lit("")) != ""
+            hit = F.when(by_id, first(lambda e: e["el_id"] == pay["el_id"])) \
+                .when(F.size(pay["classes"]) > 0, first(lambda e: F.array_contains(
+                    e["classes"], F.element_at(pay["classes"], 1)))) \
+                .when(pay.isNotNull(), first(lambda e: e["tag"] == "button")).otherwise(hit)
+        picks.append(F.when(hit.isNotNull(), F.struct(
+            F.lit(slot).alias("slot"),
+            preferred_selector(hit["el_id"], hit["el_name"], hit["classes"], hit["tag"]).alias("selector"),
+            hit["ord"].alias("ord"))))
+    return F.filter(F.array(*picks), lambda x: x.isNotNull())
+
+
+def page_selectors(parsed: DataFrame, **options) -> DataFrame:
+    """(page_id, slot, selector, ord) of parsed pages; narrow."""
+    return parsed.select("page_id", F.inline(selector_list(F.col("els"), **options)))
 
 
 def resolve_selectors(els: DataFrame, slot_rules=rules.SELECTOR_RULES,
                       pay_text: str | None = rules.PAY_BUTTON_TEXT,
                       pay_slot: str = rules.PAY_BUTTON_SLOT) -> DataFrame:
-    """(page_id, slot, selector, ord): first element in document order that
-    matches the slot rule; slots without a match are absent.
-
-    The per-(page, slot) pick is ``min_by`` -- partially aggregated
-    map-side, so a huge page does not land whole in one task.
-    """
-    use_override = pay_text is not None and any(s == pay_slot for s, _ in slot_rules)
-    base = els
-    if use_override:
-        # one row per page with a pay-now button; AQE picks broadcast or a
-        # (skew-split) shuffle join from the runtime size. An explicit count
-        # here would parse every page a second time.
-        base = els.join(_pay_overrides(els, pay_text), "page_id", "left")
-    hits = []
-    for slot, css in slot_rules:
-        pred = css_predicate(css)
-        if use_override and slot == pay_slot:
-            pred = (F.when(F.col("ov_kind") == "id", F.col("el_id") == F.col("ov_val"))
-                     .when(F.col("ov_kind") == "class", F.array_contains("classes", F.col("ov_val")))
-                     .when(F.col("ov_kind") == "tag", F.col("tag") == F.lit("button"))
-                     .otherwise(pred))
-        hits.append(F.when(F.coalesce(pred, F.lit(False)), F.lit(slot)))
-    matched = base.select("page_id", "ord", "el_id", "el_name", "classes", "tag",
-                          F.explode(F.filter(F.array(*hits), lambda s: s.isNotNull())).alias("slot"))
-    first = matched.groupBy("page_id", "slot").agg(
-        F.min_by(F.struct("el_id", "el_name", "classes", "tag"), F.col("ord")).alias("e"),
-        F.min("ord").alias("ord"))
-    return first.select("page_id", "slot",
-                        preferred_selector(F.col("e.el_id"), F.col("e.el_name"), F.col("e.classes"),
-                                           F.col("e.tag")).alias("selector"), "ord")
+    """``page_selectors`` for an element table."""
+    return page_selectors(by_page(els), slot_rules=slot_rules, pay_text=pay_text, pay_slot=pay_slot)
 
 
 # ---------------------------------------------------------------------------
@@ -214,72 +230,74 @@ def inputs(els: DataFrame, tags: Sequence[str] = rules.FORM_FIELD_TAGS) -> DataF
         "page_id", "ord", "type", "el_name", "el_id", "placeholder", "classes")
 
 
+def _field(e) -> Column:
+    return F.struct(e["type"].alias("type"), e["el_name"].alias("name"), e["el_id"].alias("id"),
+                    e["placeholder"].alias("placeholder"), e["required"].alias("required"))
+
+
+def _class(e) -> Column:
+    return F.when(F.map_contains_key(e["attrs"], F.lit("class")), e["classes"]).alias("class")
+
+
+def container_list(els: Column, container: str = "form",
+                   child_tags: Sequence[str] = rules.FORM_FIELD_TAGS) -> Column:
+    """ARRAY<STRUCT<id, class, action, method, inputs>>: the container elements
+    in order, each with its descendant fields in order."""
+    fields = F.filter(els, lambda e: e["tag"].isin(list(child_tags)))
+    return F.transform(F.filter(els, lambda e: e["tag"] == container), lambda b: F.struct(
+        b["el_id"].alias("id"), _class(b), b["action"].alias("action"), b["method"].alias("method"),
+        F.transform(F.filter(fields, lambda f: F.array_contains(f["ancestors"], b["ord"])), _field).alias("inputs")))
+
+
+def page_containers(parsed: DataFrame, container: str = "form",
+                    child_tags: Sequence[str] = rules.FORM_FIELD_TAGS) -> DataFrame:
+    """One row per container: page_id, pos, id, class, action, method, inputs."""
+    return parsed.select("page_id", F.posexplode(container_list(F.col("els"), container, child_tags))
+                         .alias("pos", "c")).select("page_id", "pos", "c.*")
+
+
 def containers(els: DataFrame, container: str = "form",
                child_tags: Sequence[str] = rules.FORM_FIELD_TAGS) -> DataFrame:
-    """One row per container element with its descendant fields in order.
-
-    Fields are attached by an equi-join on (page_id, container ord) through
-    the exploded ancestor list; LEFT keeps containers without fields.
-    """
-    boxes = els.where(F.col("tag") == container).select(
-        "page_id", F.col("ord").alias("c_ord"), "el_id", "classes", "action", "method")
-    fields = (els.where(F.col("tag").isin(list(child_tags)))
-                 .select("page_id", F.explode("ancestors").alias("c_ord"),
-                         F.struct("ord", "type", "el_name", "el_id", "placeholder", "required").alias("f")))
-    joined = boxes.join(fields, ["page_id", "c_ord"], "left")
-    return (joined.groupBy("page_id", "c_ord", "el_id", "classes", "action", "method")
-                  .agg(F.sort_array(F.collect_list("f")).alias("fields")))
-
-
-def structure(els: DataFrame, container: str = "form", child_tags: Sequence[str] = rules.FORM_FIELD_TAGS,
-              section_tags: Sequence[str] = rules.KEY_SECTION_TAGS,
-              section_class: str = rules.KEY_SECTION_CLASS,
-              preview: int = rules.KEY_SECTION_PREVIEW,
-              input_tags: Sequence[str] = rules.FORM_FIELD_TAGS) -> DataFrame:
-    """Per page: containers (``container`` elements with their ``child_tags``
-    descendants; forms by default), buttons, page-wide inputs (``input_tags``),
-    interactive_elements (always empty) and key_sections, using the field
-    names of the structure record (id, class, action, method, inputs, ...;
-    an absent attribute is null), plus that record as JSON.
-
-    Each list is an ordered per-page ``collect_list``: one output row per
-    page, bounded by the page itself.
-    """
-    e = els.withColumn("class", F.when(F.map_contains_key("attrs", F.lit("class")), F.col("classes")))
-    is_field = F.col("tag").isin(list(child_tags))
-
-    def roll(df, key, fields):
-        return df.groupBy("page_id").agg(F.sort_array(F.collect_list(F.struct("ord", *fields))).alias(key))
-
-    field = F.struct("type", F.col("el_name").alias("name"), F.col("el_id").alias("id"), "placeholder", "required")
-    boxes = e.where(F.col("tag") == container).select(
-        "page_id", "ord", F.col("el_id").alias("id"), "class", "action", "method")
-    members = e.where(is_field).select("page_id", F.explode("ancestors").alias("ord"),
-                                       F.struct(F.col("ord").alias("o"), field.alias("f")).alias("m"))
-    forms = (boxes.join(members, ["page_id", "ord"], "left")
-                  .groupBy("page_id", "ord", "id", "class", "action", "method")
-                  .agg(F.sort_array(F.collect_list("m")).alias("_m"))
-                  .withColumn("inputs", F.transform("_m", lambda m: m["f"])))
-    parts = [
-        roll(forms, "forms", ["id", "class", "action", "method", "inputs"]),
-        roll(e.where(F.col("tag") == "button"), "buttons",
-             [F.col("text_strip").alias("text"), F.col("el_id").alias("id"), "class", "onclick", "type"]),
-        roll(e.where(F.col("tag").isin(list(input_tags))), "inputs",
-             ["type", F.col("el_name").alias("name"), F.col("el_id").alias("id"), "placeholder", "class"]),
-        roll(e.where(F.col("tag").isin(list(section_tags)) & F.exists("classes", lambda c: c.rlike(section_class))),
-             "key_sections", ["tag", F.col("el_id").alias("id"), "class",
-                              F.substring("text_strip", 1, preview).alias("text_preview")]),
-    ]
-    out = e.select("page_id").distinct()
-    for part in parts:
-        out = out.join(part, "page_id", "left")
-
-    def strip_ord(c):
-        return F.coalesce(F.transform(c, lambda x: x.dropFields("ord")), F.array())
-
-    out = out.select("page_id", strip_ord("forms").alias("forms"), strip_ord("buttons").alias("buttons"),
-                     strip_ord("inputs").alias("inputs"),
-                     F.array().cast("array<string>").alias("interactive_elements"),
-                     strip_ord("key_sections").alias("key_sections"))
-    record = F.struct("forms", "buttons", "inputs", "interactive_elements", "key_sections")
-    return out.withColumn("structure_json", F.to_json(record, {"ignoreNullFields": "false"}))
+    """``page_containers`` for an element table."""
+    return page_containers(by_page(els), container, child_tags)
+
+
+def structure_record(els: Column, container: str = "form", child_tags: Sequence[str] = rules.FORM_FIELD_TAGS,
+                     section_tags: Sequence[str] = rules.KEY_SECTION_TAGS,
+                     section_class: str = rules.KEY_SECTION_CLASS, preview: int = rules.KEY_SECTION_PREVIEW,
+                     input_tags: Sequence[str] = rules.FORM_FIELD_TAGS) -> Column:
+    """STRUCT<forms, buttons, inputs, interactive_elements, key_sections> of a
+    page's elements: containers with their fields (forms by default), buttons,
+    page-wide inputs, interactive_elements (always empty) and key sections, with
+    the field names of the structure record; an absent attribute is null."""
+    buttons_ = F.transform(F.filter(els, lambda e: e["tag"] == "button"), lambda e: F.struct(
+        e["text_strip"].alias("text"), e["el_id"].alias("id"), _class(e), e["onclick"].alias("onclick"),
+        e["type"].alias("type")))
+    inputs_ = F.transform(F.filter(els, lambda e: e["tag"].isin(list(input_tags))), lambda e: F.struct(
+        e["type"].alias("type"), e["el_name"].alias("name"), e["el_id"].alias("id"),
+        e["placeholder"].alias("placeholder"), _class(e)))
+    sections = F.transform(
+        F.filter(els, lambda e: e["tag"].isin(list(section_tags))
+                 & F.exists(e["classes"], lambda c: c.rlike(section_class))),
+        lambda e: F.struct(e["tag"].alias("tag"), e["el_id"].alias("id"), _class(e),
+                           F.substring(e["text_strip"], 1, preview).alias("text_preview")))
+    return F.struct(container_list(els, container, child_tags).alias("forms"), buttons_.alias("buttons"),
+                    inputs_.alias("inputs"), F.array().cast("array<string>").alias("interactive_elements"),
+                    sections.alias("key_sections"))
+
+
+def page_structure(parsed: DataFrame, **options) -> DataFrame:
+    """Per page the lists of ``structure_record`` and the record as JSON; every
+    page of ``parsed`` has a row. Narrow."""
+    made = parsed.select("page_id", structure_record(F.col("els"), **options).alias("r"))
+    return made.select("page_id", "r.*", F.to_json("r", {"ignoreNullFields": "false"}).alias("structure_json"))
+
+
+def structure(els: DataFrame, pages: DataFrame | None = None, **options) -> DataFrame:
+    """``page_structure`` for an element table. An element table can't name pages
+    without elements; give ``pages`` (page_id) to have their rows, too."""
+    grouped = by_page(els)
+    if pages is not None:
+        grouped = pages.select("page_id").distinct().join(grouped, "page_id", "left") \
+            .withColumn("els", F.coalesce("els", F.array()))
+    return page_structure(grouped, **options)

@@ -3,18 +3,18 @@ family defaults, prompt rows, model-output cleanup and component checks."""
 
 from __future__ import annotations
 
-import json
 from collections.abc import Sequence
+from string import Formatter
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from docmill import rules
 from docmill.functions.text import PY_LINE_WHITESPACE_CLASS, py_strip
 from docmill.operators.generate import assemble_context
+from docmill.operators.pages import selector_list, structure_record
 from docmill.operators.retrieve import SCRIPT_CONTEXT_K, lexical_topk
+from docmill.sources.files import json_normalize
 
 
 def case_query(cases: DataFrame) -> Column:
@@ -54,66 +54,104 @@ def script_route(cases: DataFrame, keys: Sequence[str]) -> DataFrame:
                         branch(F.col("test_type")).alias("branch"))
 
 
-def script_plan(pages: DataFrame, selectors: DataFrame, slot_defaults=rules.FAMILY_SLOT_DEFAULTS) -> DataFrame:
-    """(page_id, family, slot, selector, resolved) for every family's slots.
+def script_plan(page_slots: DataFrame, slot_defaults=rules.FAMILY_SLOT_DEFAULTS) -> DataFrame:
+    """(page_id, family, slot, selector, resolved): every family's slots per page.
 
-    The (family, slot, default) list is a plan-time constant exploded per
-    page (narrow, no join with a rules table); resolved selectors come from a
-    left equi-join on (page_id, slot).
+    ``page_slots`` has page_id and slots, the page's resolved selectors
+    (``pages.selector_list``). The (family, slot, default) list is a plan-time
+    constant; a slot without a selector takes its default. Narrow.
     """
-    dims = F.array(*[F.struct(F.lit(f).alias("family"), F.lit(s).alias("slot"), F.lit(d).alias("default"))
-                     for f, s, d in slot_defaults])
-    wanted = pages.select("page_id", F.inline(dims))
-    got = selectors.select("page_id", "slot", F.col("selector").alias("found"))
-    j = wanted.join(got, ["page_id", "slot"], "left")
-    return j.select("page_id", "family", "slot", F.coalesce("found", "default").alias("selector"),
-                    F.col("found").isNotNull().alias("resolved"))
+    wanted = page_slots.select("page_id", "slots", F.inline(_slot_dims(slot_defaults)))
+    found = _slot_selector(F.col("slots"), F.col("slot"))
+    return wanted.select("page_id", "family", "slot", F.coalesce(found, "default").alias("selector"),
+                         found.isNotNull().alias("resolved"))
 
 
-# ---------------------------------------------------------------------------
-# F4 prompt rows
+def _slot_dims(slot_defaults, branch_slots=()) -> Column:
+    only = {(f, s): b for f, s, b in branch_slots}
+    return F.array(*[F.struct(F.lit(f).alias("family"), F.lit(s).alias("slot"), F.lit(d).alias("default"),
+                              F.lit(only.get((f, s))).cast("string").alias("only")) for f, s, d in slot_defaults])
 
-def _fill_prompt(row) -> str:
-    steps = list(row["steps"]) if row["steps"] is not None else []
-    return rules.SCRIPT_PROMPT.format(
-        test_id=row["test_id"], feature=row["feature"], test_scenario=row["test_scenario"],
-        expected_result=row["expected_result"], test_type=row["test_type"] or "positive",
-        steps=str(steps),
-        selectors=json.dumps(json.loads(row["selectors_json"] or "{}"), indent=2),
-        structure=json.dumps(json.loads(row["structure_json"] or "{}"), indent=2),
-        context=row["context"] or "",
-        class_suffix=(row["test_id"] or "").replace("-", "_"))
 
+def _slot_selector(slots: Column, slot: Column) -> Column:
+    return F.try_element_at(F.filter(slots, lambda x: x["slot"] == slot), F.lit(1))["selector"]
 
-@F.pandas_udf(T.StringType())
-def _prompt_udf(rows: pd.DataFrame) -> pd.Series:
-    return pd.Series([_fill_prompt(r) for r in rows.to_dict("records")])
 
+def case_slots(cases: DataFrame, slot_defaults=rules.FAMILY_SLOT_DEFAULTS,
+               branch_slots=rules.BRANCH_SLOTS) -> DataFrame:
+    """Slot plan per test case: the columns of ``cases`` (with feature, test_type
+    and the page's slots) plus family, branch, slot_no (from 1 in rule order),
+    slot, selector and resolved, for the slots that the case's family uses in its
+    branch. Narrow."""
+    routed = cases.withColumn("family", route_family(F.col("feature"))).withColumn("branch", branch(F.col("test_type")))
+    used = F.filter(_slot_dims(slot_defaults, branch_slots), lambda d: (d["family"] == F.col("family"))
+                    & (d["only"].isNull() | (d["only"] == F.col("branch"))))
+    out = routed.select("*", F.posexplode(used).alias("_p", "_d"))
+    found = _slot_selector(F.col("slots"), F.col("_d.slot"))
+    return out.select(*[c for c in routed.columns if c != "slots"], (F.col("_p") + 1).alias("slot_no"),
+                      F.col("_d.slot").alias("slot"), F.coalesce(found, F.col("_d.default")).alias("selector"),
+                      found.isNotNull().alias("resolved"))
 
-def selectors_json(selectors: DataFrame, slot_rules=rules.SELECTOR_RULES) -> DataFrame:
-    """Per page, the resolved slots as a JSON object in rule order."""
-    order = {s: i for i, (s, _) in enumerate(slot_rules)}
-    ordmap = F.create_map(*[x for s, i in order.items() for x in (F.lit(s), F.lit(i))])
-    return (selectors.withColumn("_o", F.coalesce(F.element_at(ordmap, F.col("slot")), F.lit(len(order))))
-                     .groupBy("page_id")
-                     .agg(F.sort_array(F.collect_list(F.struct("_o", "slot", "selector"))).alias("_s"))
-                     .select("page_id", F.to_json(F.map_from_entries(
-                         F.transform("_s", lambda x: F.struct(x["slot"], x["selector"])))).alias("selectors_json")))
 
+# ---------------------------------------------------------------------------
+# F4 prompt rows
 
-def structure_json(els: DataFrame, **kw) -> DataFrame:
-    """(page_id, structure_json) -- see :func:`docmill.operators.pages.structure`."""
-    from docmill.operators.pages import structure
-    return structure(els, **kw).select("page_id", "structure_json")
+def _list_text(items: Column) -> Column:
+    """A string list as Python prints it: quoted with ', or with " if the string
+    holds ' but no "."""
+    def quoted(x):
+        e = x
+        for raw, shown in (("\\", "\\\\"), ("\n", "\\n"), ("\r", "\\r"), ("\t", "\\t")):
+            e = F.replace(e, F.lit(raw), F.lit(shown))
+        double = F.contains(x, F.lit("'")) & ~F.contains(x, F.lit('"'))
+        return F.when(double, F.concat(F.lit('"'), e, F.lit('"'))).otherwise(
+            F.concat(F.lit("'"), F.replace(e, F.lit("'"), F.lit("\\'")), F.lit("'")))
+
+    return F.concat(F.lit("["), F.array_join(F.transform(F.coalesce(items, F.array()), quoted), ", "), F.lit("]"))
+
+
+def selectors_json(slots: Column) -> Column:
+    """The resolved slots (``pages.selector_list``) as a JSON object in rule order."""
+    return F.to_json(F.map_from_entries(F.transform(slots, lambda x: F.struct(x["slot"], x["selector"]))))
+
+
+def script_prompt(selectors: Column, structure: Column) -> Column:
+    """Prompt text of a row with the case columns and context; ``selectors`` and
+    ``structure`` are the page's JSON texts, already indented."""
+    def text(name):
+        return F.coalesce(F.col(name), F.lit("None"))
+
+    fields = {"test_id": text("test_id"), "feature": text("feature"), "test_scenario": text("test_scenario"),
+              "expected_result": text("expected_result"),
+              "test_type": F.when(F.coalesce("test_type", F.lit("")) == "", F.lit("positive")).otherwise(F.col("test_type")),
+              "steps": _list_text(F.col("steps")), "selectors": selectors, "structure": structure,
+              "context": F.coalesce("context", F.lit("")),
+              "class_suffix": F.replace(F.coalesce("test_id", F.lit("")), F.lit("-"), F.lit("_"))}
+    parts = []
+    for literal, name, _, _ in Formatter().parse(rules.SCRIPT_PROMPT):
+        parts += [F.lit(literal)] * bool(literal) + ([fields[name]] if name else [])
+    return F.concat(*parts)
+
+
+def page_context(parsed: DataFrame, extra: dict[str, Column] | None = None) -> DataFrame:
+    """(page_id, extra..., selectors_json, structure_json) of parsed pages, each
+    JSON text indented once per page. Narrow."""
+    els = F.col("els")
+    made = parsed.select("page_id", *[c.alias(name) for name, c in (extra or {}).items()],
+                         selectors_json(selector_list(els)).alias("selectors_json"),
+                         F.to_json(structure_record(els), {"ignoreNullFields": "false"}).alias("structure_json"))
+    # both JSON texts are made before the parser sees them (used twice, they are
+    # not inlined into its call)
+    for c in ("selectors_json", "structure_json"):
+        made = made.withColumn(c, F.when(F.col(c).isNotNull(), json_normalize(F.col(c))))
+    return made
 
 
 def script_prompts(cases: DataFrame, pages_ctx: DataFrame) -> DataFrame:
-    """Prompt text per (test case, page): ``cases`` carries the case columns,
-    ``pages_ctx`` page_id + selectors_json + structure_json; both are joined
-    on page_id by the caller's request table."""
-    args = F.struct("test_id", "feature", "test_scenario", "expected_result", "test_type", "steps",
-                    "selectors_json", "structure_json", "context")
-    return cases.join(pages_ctx, "page_id", "left").withColumn("prompt", _prompt_udf(args))
+    """``cases`` (page_id, case columns, context) with the prompt text of each
+    (test case, page); ``pages_ctx`` is the output of ``page_context``."""
+    return cases.join(pages_ctx, "page_id", "left").withColumn("prompt", script_prompt(
+        F.coalesce("selectors_json", F.lit("{}")), F.coalesce("structure_json", F.lit("{}"))))
 
 
 # ---------------------------------------------------------------------------
@@ -140,21 +178,24 @@ def missing_components(text: Column, components: Sequence[str] = rules.REQUIRED_
 # F8
 
 def script_choice(requests: DataFrame, model_texts: DataFrame, keys: Sequence[str],
-                  text_col: str = "text") -> DataFrame:
+                  text_col: str = "text", order_col: str | None = None) -> DataFrame:
     """Per request: the model script wins when a cleaned candidate is
     non-empty and has every required component; otherwise the rule plan.
 
-    ``model_texts`` may hold several candidates per request key; they are
-    reduced with a partial aggregate (count of valid ones), so a key with
-    many candidates never lands whole in one group.
-    Output: request columns + origin ('model' | 'template') + valid_candidates.
+    ``model_texts`` may hold several candidates per request key; the valid one
+    of least ``order_col`` (then text) is taken with a partial aggregate, so a
+    key with many candidates never lands whole in one group.
+    Output: request columns + origin ('model' | 'template') + valid_candidates
+    + script (the cleaned text; NULL for the rule plan).
     """
     keys = list(keys)
     cleaned = clean_fences(F.col(text_col))
-    ok = (F.length(cleaned) > 0) & (F.size(missing_components(cleaned)) == 0)
-    valid = (model_texts.select(*keys, ok.alias("_ok"))
-                        .groupBy(*keys).agg(F.count(F.when(F.col("_ok"), 1)).alias("valid_candidates")))
+    order = F.col(order_col) if order_col else F.lit(0)
+    tried = model_texts.select(*keys, order.alias("_o"), cleaned.alias("_script"))
+    ok = (F.length("_script") > 0) & (F.size(missing_components(F.col("_script"))) == 0)
+    valid = tried.where(ok).groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("valid_candidates"), F.min(F.struct("_o", "_script")).alias("_best"))
     out = requests.join(valid, keys, "left")
     n = F.coalesce(F.col("valid_candidates"), F.lit(0))
     return out.withColumn("origin", F.when(n > 0, F.lit("model")).otherwise(F.lit("template"))) \
-              .withColumn("valid_candidates", n)
+              .withColumn("valid_candidates", n).withColumn("script", F.col("_best._script")).drop("_best")

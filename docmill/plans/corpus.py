@@ -22,14 +22,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Round-robin a scan that arrives in fewer partitions than the cluster
-    has cores (a single-row-group file). At scale the scan already has far
-    more splits than cores and this is a no-op, so no extra shuffle."""
-    spark = df.sparkSession
-    cores = spark.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() < cores:
-        return df.repartition(cores)
-    return df
+    """Round-robin a scan that would leave more than half of the cores idle (a
+    file of one row group). Spark aims at a split per core, so a table of any
+    size that can be split stays as it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if 2 * df.rdd.getNumPartitions() < cores else df
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -48,15 +45,24 @@ def benchmark_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("query"))
 
 
+def case_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The benchmark items as requests; every tenth is blank, every tenth has
+    no letters (neither retrieves anything)."""
+    r = F.col("item_id") % 10
+    return benchmark_queries(spark, sf_dir).select("item_id", F.when(r == 3, F.lit(" \t "))
+                                                   .when(r == 4, F.col("item_id").cast("string"))
+                                                   .otherwise(F.col("query")).alias("query"))
+
+
 def retrieved(spark: SparkSession, sf_dir: str, k: int, chunks: DataFrame | None = None,
-              carry=("filename", "text")) -> DataFrame:
+              carry=("filename", "text"), queries: DataFrame | None = None) -> DataFrame:
     """Lexical top-k chunks per benchmark item (optionally with source name
     and text carried from the winning chunks)."""
     chunks = chunks if chunks is not None else chunk_table(spark, sf_dir)
-    q = benchmark_queries(spark, sf_dir)
+    q = queries if queries is not None else benchmark_queries(spark, sf_dir)
     return lexical_topk(q, chunks, k=k, q_keys=["item_id"], q_text="query", carry=list(carry))
 
 
-def contexts(spark: SparkSession, sf_dir: str, k: int) -> DataFrame:
-    top = retrieved(spark, sf_dir, k)
+def contexts(spark: SparkSession, sf_dir: str, k: int, queries: DataFrame | None = None) -> DataFrame:
+    top = retrieved(spark, sf_dir, k, queries=queries)
     return assemble_context(top, ["item_id"], source_col="filename")

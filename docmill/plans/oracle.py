@@ -22,6 +22,13 @@ def strip(x: str) -> str:
     return f"regexp_replace({x}, '^{WS}+|{WS}+\\z', '', 'g')"
 
 
+JS_WS = r"[\t\n\x0B\f\r \x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}]"
+
+
+def _js_strip(x: str) -> str:
+    return f"regexp_replace({x}, '^{JS_WS}+|{JS_WS}+\\z', '', 'g')"
+
+
 def q(s: str) -> str:
     """SQL string literal."""
     return "'" + s.replace("'", "''") + "'"
@@ -98,6 +105,12 @@ def lexical(prefix: str, src: str, key: str, text: str, k: int) -> str:
 """
 
 
+def _by_source(ctes: str) -> str:
+    """Ties by the source's name instead of doc_id."""
+    return ctes.replace("round(distance, 6), doc_id, chunk_index",
+                        "round(distance, 6), 'doc-' || CAST(doc_id AS VARCHAR) || '.txt', chunk_index")
+
+
 def _with(*parts: str) -> str:
     return "WITH " + ",\n".join(p.strip().rstrip(",") for p in parts)
 
@@ -113,10 +126,10 @@ def _feature_flags(texts: list[str], keywords) -> list[str]:
     return flags
 
 
-def _templates_values() -> str:
-    ford = {name: i for i, (name, _) in enumerate(rules.FEATURE_KEYWORDS)}
+def _templates_values(keywords, templates) -> str:
+    ford = {name: i for i, (name, _) in enumerate(keywords)}
     counters, rows = {}, []
-    for feat, ttype, label, scen, exp, steps in rules.TEST_TEMPLATES:
+    for feat, ttype, label, scen, exp, steps in templates:
         n = counters.get((feat, ttype), 0)
         counters[(feat, ttype)] = n + 1
         rows.append(f"({ford[feat]}, {0 if ttype == 'positive' else 1}, {n}, {q(label)}, {q(scen)}, {q(exp)}, "
@@ -125,18 +138,19 @@ def _templates_values() -> str:
             "(VALUES " + ", ".join(rows) + ")")
 
 
-def test_case_ctes(src: str, key: str, text: str, k: int, prefix: str = "t_") -> str:
+def test_case_ctes(src: str, key: str, text: str, k: int, prefix: str = "t_", keywords=R.CASE_KEYWORDS,
+                   templates=R.CASE_TEMPLATES) -> str:
     """CTE ``{prefix}cases(qkey, test_id, feature, test_scenario, expected_result,
     grounded_in, test_type, steps VARCHAR[])`` for queries in ``src``."""
     p = prefix
-    flags = _feature_flags(["x.context", "x.query"], rules.FEATURE_KEYWORDS)
+    flags = _feature_flags(["x.context", "x.query"], keywords)
     flag_cols = ", ".join(f"{f} AS f{i}" for i, f in enumerate(flags))
     on = " OR ".join(f"(tpl.feature_ord = {i} AND f.f{i})" for i in range(len(flags)))
     g, e = rules.GENERIC_CASE, rules.EMPTY_RETRIEVAL_CASE
     return lexical(p, src, key, text, k) + f""",
 {p}qc AS (SELECT s.{key} AS qkey, s.{text} AS query, c.context, c.chunk_sources FROM {src} s LEFT JOIN {p}ctx c ON c.qkey = s.{key}),
 {p}ff AS (SELECT x.*, {flag_cols} FROM {p}qc x),
-{_templates_values()},
+{_templates_values(keywords, templates)},
 {p}m AS (SELECT f.qkey, tpl.* FROM {p}ff f JOIN tpl ON {on} WHERE f.context IS NOT NULL),
 {p}nm AS (SELECT DISTINCT qkey FROM {p}m),
 {p}cases AS (
@@ -156,7 +170,15 @@ def test_case_ctes(src: str, key: str, text: str, k: int, prefix: str = "t_") ->
 """
 
 
-BENCH_CASES = _with(CHUNKS_CTE, CHUNK_TERMS, test_case_ctes("benchmark", "item_id", "text", R.TEST_K))
+#: The requests: every tenth item is blank, every tenth has no letters.
+REQUESTS = """
+requests AS (SELECT item_id, CASE item_id % 10 WHEN 3 THEN ' ' || chr(9) || ' ' WHEN 4 THEN CAST(item_id AS VARCHAR)
+             ELSE text END AS query FROM benchmark)
+"""
+DEFAULT_CASES = _with(CHUNKS_CTE, CHUNK_TERMS, test_case_ctes("benchmark", "item_id", "text", R.TEST_K, "t_",
+                                                              rules.FEATURE_KEYWORDS, rules.TEST_TEMPLATES))
+CASE_CTES = (REQUESTS, CHUNKS_CTE, CHUNK_TERMS, test_case_ctes("requests", "item_id", "query", R.TEST_K))
+BENCH_CASES = _with(*CASE_CTES)
 
 
 def _route(feature: str) -> str:
@@ -223,6 +245,20 @@ def _files() -> str:
             "SELECT 'page-' || CAST(page_id AS VARCHAR) || '.html', 'text/html; charset=utf-8', strlen(html) FROM pages)")
 
 
+def _mixed_files_sql() -> str:
+    """CTE mixed(name, kind, code, text): see registry._mixed_files."""
+    json_text = ("'{' || chr(10) || '  \"' || json_keys(props)[1] || '\": ' || "
+                 "CAST(json_extract(props, '$.\"' || json_keys(props)[1] || '\"') AS VARCHAR) || chr(10) || '}'")
+    return f"""
+mixed AS (SELECT 'doc-' || CAST(doc_id AS VARCHAR) || CASE WHEN doc_id % 11 = 0 THEN '.pdf' ELSE '.txt' END AS name,
+                 CASE WHEN doc_id % 11 = 0 THEN 'pdf' ELSE 'text' END AS kind,
+                 CASE WHEN doc_id % 11 = 0 THEN 'unsupported_pdf' WHEN doc_id % 7 = 0 THEN 'invalid_utf8' END AS code, text
+          FROM documents
+          UNION ALL SELECT 'page-' || CAST(page_id AS VARCHAR) || '.html', 'html', NULL, {_tidy(_html_text('html'))} FROM pages
+          UNION ALL SELECT 'event-' || CAST(event_id AS VARCHAR) || '.json', 'json', NULL, {json_text} FROM events)
+"""
+
+
 def _kind(ctype: str, name: str) -> str:
     ext = f"string_split(lower({name}), '.')[-1]"
     arms = [f"WHEN {ctype} = {q(t)} THEN {q(k)}" for t, k in rules.CONTENT_TYPE_KIND]
@@ -270,14 +306,25 @@ def _statements() -> dict[str, str]:
     exts = ", ".join(q(e) for e in rules.DOCUMENT_EXTENSIONS)
     s["ingest_filter"] = (_with(_files()) + f" SELECT name, {_kind('content_type', 'name')} AS kind, CAST(bytes AS BIGINT) AS bytes "
                           f"FROM files WHERE string_split(lower(name), '.')[-1] IN ({exts})")
-    s["ingest_quarantine"] = "SELECT doc_id, true AS ok, NULL::VARCHAR AS error_code, CAST(length(text) AS BIGINT) AS n_chars FROM documents"
+    mixed = _mixed_files_sql()
+    s["ingest_quarantine"] = (_with(mixed) + " SELECT name, kind, code IS NULL AS ok, code AS error_code, "
+                              "CASE WHEN code IS NULL THEN CAST(length(text) AS BIGINT) END AS n_chars FROM mixed")
+    s["ingest_chunks"] = (_with(mixed, "documents AS (SELECT name AS doc_id, text FROM mixed WHERE code IS NULL)", CHUNKS_CTE)
+                          + " SELECT c.doc_id AS name, m.kind, c.chunk_index, c.start_char, c.end_char, md5(c.text) AS text_md5 "
+                            "FROM chunks c JOIN mixed m ON m.name = c.doc_id")
     s["json_normalize"] = ("SELECT event_id, '{' || chr(10) || '  \"' || json_keys(props)[1] || '\": ' || "
                            "CAST(json_extract(props, '$.\"' || json_keys(props)[1] || '\"') AS VARCHAR) || chr(10) || '}' AS text FROM events")
     s["page_text"] = f"SELECT page_id, {_tidy(_html_text('html'))} AS text FROM pages"
     s["assemble_parts"] = "SELECT conv_id, string_agg(text, '' ORDER BY turn) AS text FROM conversations GROUP BY conv_id"
-    s["kb_build"] = _with(CHUNKS_CTE) + " SELECT filename AS source, count(*) AS chunks FROM chunks GROUP BY filename"
+    chunk_id = "sha256(filename || chr(1) || CAST(chunk_index AS VARCHAR))"
+    s["kb_build"] = (_with(CHUNKS_CTE) + f" SELECT {chunk_id} AS chunk_id, filename AS source, 'text/plain' AS content_type, "
+                     "chunk_index, start_char, end_char, md5(text) AS text_md5 FROM chunks")
+    s["kb_summary"] = _with(CHUNKS_CTE) + " SELECT filename AS source, count(*) AS chunks FROM chunks GROUP BY filename"
+    s["kb_retrieve"] = (_with(REQUESTS, CHUNKS_CTE, CHUNK_TERMS, _by_source(lexical("b_", "requests", "item_id", "query", 5)))
+                        + f" SELECT qkey AS item_id, rank, {chunk_id} AS chunk_id, filename AS source, "
+                          "round(distance, 6) AS distance, md5(text) AS text_md5 FROM b_top JOIN chunks USING (doc_id, chunk_index)")
     s["kb_sources"] = _with(CHUNKS_CTE) + " SELECT DISTINCT filename AS source FROM chunks"
-    s["incremental_ingest"] = s["kb_build"]
+    s["incremental_ingest"] = s["kb_summary"]
     s["retrieve_lexical"] = (_with(CHUNKS_CTE, CHUNK_TERMS, lexical("b_", "benchmark", "item_id", "text", 5)) +
                              " SELECT qkey AS item_id, rank, doc_id, chunk_index, round(distance, 6) AS distance FROM b_top")
     s["retrieve_dense"] = (_with(CENTROIDS) + " SELECT qid, rank, cid, round(distance, 6) AS distance FROM ("
@@ -297,6 +344,8 @@ def _statements() -> dict[str, str]:
                        f"CAST(len({spec}) AS BIGINT) AS n_specs FROM fd")
     s["test_cases"] = (BENCH_CASES + " SELECT qkey AS item_id, test_id, feature, test_scenario, expected_result, grounded_in, "
                        "test_type, array_to_string(steps, chr(10)) AS steps FROM t_cases")
+    s["test_cases_default"] = s["test_cases"].replace(BENCH_CASES, DEFAULT_CASES)
+    s["case_lookup"] = s["test_cases"] + " WHERE test_id = 'TC-002'"
     s["case_steps"] = (BENCH_CASES + " SELECT item_id, test_id, step_no, step FROM (SELECT qkey AS item_id, test_id, "
                        "unnest(range(1, len(steps) + 1)) AS step_no, unnest(steps) AS step FROM t_cases WHERE steps IS NOT NULL)")
     s["case_labels"] = BENCH_CASES + " SELECT qkey AS item_id, test_id, test_id || ': ' || test_scenario AS label FROM t_cases"
@@ -307,13 +356,13 @@ def _statements() -> dict[str, str]:
     s["coverage_matrix"] = (BENCH_CASES + " SELECT feature, " + ", ".join(
         f"count(*) FILTER (WHERE test_type = {q(t)}) AS {t}" for t in ["positive", "negative", "exploratory", "informational"])
         + " FROM t_cases GROUP BY feature")
-    s["grounding_check"] = (_with(CHUNKS_CTE, CHUNK_TERMS, test_case_ctes("benchmark", "item_id", "text", R.TEST_K),
+    s["grounding_check"] = (_with(*CASE_CTES,
                                   "src AS (SELECT DISTINCT filename FROM chunks)",
                                   "cit AS (SELECT qkey, test_id, unnest(list_filter(string_split(grounded_in, ', '), lambda z: z <> '')) AS cited FROM t_cases)")
                             + " SELECT c.qkey AS item_id, c.test_id, count(x.cited) AS n_cited, "
                               "count(x.cited) FILTER (WHERE x.cited NOT IN (SELECT filename FROM src)) AS n_missing "
                               "FROM t_cases c LEFT JOIN cit x ON x.qkey = c.qkey AND x.test_id = c.test_id GROUP BY ALL")
-    s["status_counts"] = (_with(CHUNKS_CTE, CHUNK_TERMS, test_case_ctes("benchmark", "item_id", "text", R.TEST_K))
+    s["status_counts"] = (_with(*CASE_CTES)
                             + " SELECT 'documents_uploaded' AS metric, count(*) AS value FROM documents"
                               " UNION ALL SELECT 'kb_ready', CAST(count(*) > 0 AS BIGINT) FROM chunks"
                               " UNION ALL SELECT 'kb_chunks', count(*) FROM chunks"
@@ -327,21 +376,26 @@ def _statements() -> dict[str, str]:
                       "FROM benchmark b JOIN b_ctx c ON c.qkey = b.item_id")
     # model-style responses derived from part (see registry._model_outputs)
     parsed = """
-pr AS (SELECT p_partkey AS item_id, p_type, printf('TC-%03d', p_size) AS test_id, p_brand AS feature FROM part),
-pa AS (SELECT item_id, unnest(CASE WHEN p_type = 'ECONOMY' THEN [0, 1] WHEN p_type IN ('SMALL', 'PROMO') THEN [0] ELSE [NULL] END) AS pos,
-              test_id, feature, p_type FROM pr)
+pr AS (SELECT p_partkey AS item_id, p_type AS t, p_partkey % 5 AS r, printf('TC-%03d', p_size) AS test_id, p_brand AS feature,
+              p_name AS test_scenario, 'As documented' AS expected_result, p_type AS grounded_in, 'positive' AS test_type FROM part),
+pk AS (SELECT *, CASE WHEN t = 'ECONOMY' THEN 'two' WHEN t IN ('SMALL', 'PROMO') THEN 'one' WHEN r = 2 THEN 'empty'
+                      WHEN r = 3 THEN 'plain' ELSE 'bad' END AS sort FROM pr),
+pa AS (SELECT item_id, unnest(CASE WHEN sort = 'two' THEN [0, 1] WHEN sort IN ('one', 'plain') THEN [0] ELSE [NULL] END) AS pos, sort,
+              test_id, feature, test_scenario, expected_result, grounded_in, test_type,
+              CASE WHEN sort = 'plain' THEN test_scenario ELSE test_scenario || chr(10) || t END AS steps,
+              CASE WHEN sort = 'plain' THEN 1 ELSE 2 END AS n_steps FROM pk)
 """
+    cols = ["test_id", "feature", "test_scenario", "expected_result", "grounded_in", "test_type", "steps"]
     s["parse_responses"] = (_with(parsed) + " SELECT item_id, CAST(pos AS BIGINT) AS pos, "
-                            "CASE WHEN pos IS NULL THEN NULL ELSE test_id END AS test_id, "
-                            "CASE WHEN pos IS NULL THEN NULL ELSE feature END AS feature, "
-                            "CASE WHEN pos IS NULL THEN NULL ELSE 'positive' END AS test_type, "
-                            "CASE WHEN pos IS NULL THEN NULL ELSE CAST(2 AS BIGINT) END AS n_steps, pos IS NULL AS bad FROM pa")
+                            + ", ".join(f"CASE WHEN pos IS NOT NULL THEN {c} END AS {c}" for c in cols)
+                            + ", CASE WHEN pos IS NOT NULL THEN CAST(n_steps AS BIGINT) END AS n_steps, sort = 'bad' AS bad FROM pa")
+    rest = ", ".join(cols[:-1])
     s["generator_choice"] = (BENCH_CASES + ", " + parsed.strip() +
-                             ", good AS (SELECT item_id, count(*) AS n FROM pa WHERE pos IS NOT NULL "
-                             "AND item_id IN (SELECT item_id FROM benchmark) GROUP BY item_id)"
-                             " SELECT item_id, 'model' AS origin, n FROM good UNION ALL "
-                             "SELECT qkey AS item_id, 'rules', count(*) FROM t_cases WHERE qkey NOT IN (SELECT item_id FROM good) GROUP BY qkey")
-    s["case_context"] = (_with(CHUNKS_CTE, CHUNK_TERMS, test_case_ctes("benchmark", "item_id", "text", R.TEST_K),
+                             ", good AS (SELECT * FROM pa WHERE pos IS NOT NULL AND item_id IN (SELECT item_id FROM benchmark))"
+                             f" SELECT item_id, 'model' AS origin, {rest}, steps FROM good UNION ALL "
+                             f"SELECT qkey AS item_id, 'rules', {rest}, array_to_string(steps, chr(10)) FROM t_cases "
+                             "WHERE qkey NOT IN (SELECT item_id FROM good)")
+    s["case_context"] = (_with(*CASE_CTES,
                                "cq AS (SELECT qkey AS item_id, test_id, qkey || chr(1) || test_id AS ck, feature || ' ' || test_scenario AS q_text FROM t_cases)",
                                lexical("k_", "cq", "ck", "q_text", 5))
                          + " SELECT cq.item_id, cq.test_id, k.context FROM cq LEFT JOIN k_ctx k ON k.qkey = cq.ck")
@@ -363,37 +417,76 @@ pa AS (SELECT item_id, unnest(CASE WHEN p_type = 'ECONOMY' THEN [0, 1] WHEN p_ty
     s["page_sections"] = f"SELECT page_id, 'div' AS tag, 'ad' AS classes, substring({strip('x')}, 1, 100) AS text_preview FROM (SELECT page_id, {sec_text} AS x FROM pages)"
     s["page_forms"] = ("SELECT page_id, CAST(len(regexp_extract_all(regexp_extract(" + body + ", '(?s)<nav>(.*?)</nav>', 1), '<a[\\s>]')) AS BIGINT) AS n_fields "
                        f"FROM pages WHERE regexp_matches({body}, '<nav[\\s>]')")
-    def n_of(pattern, src=body):
-        return f"CAST(len(regexp_extract_all({src}, '{pattern}')) AS BIGINT)"
     nav = f"regexp_extract({body}, '(?s)<nav>(.*?)</nav>', 1)"
-    s["page_structure"] = (f"SELECT page_id, {n_of('<nav[\\s>]')} AS n_forms, {n_of('<a[\\s>]', nav)} AS n_fields, "
-                           f"{n_of('<button[\\s>]')} AS n_buttons, {n_of('<(?:input|select|textarea)[\\s>/]')} AS n_inputs, "
-                           f"{n_of('<(?:div|section)[^>]*class=\"[^\"]*ad[^\"]*\"')} AS n_sections FROM pages")
+    # the form pages end in a fixed form; nothing before it has such elements
+    pid = "CAST(page_id AS VARCHAR)"
+    s["pay_button"] = ("SELECT page_id, slot, selector FROM (SELECT page_id FROM pages), "
+                       "(VALUES ('pay_button', '.b'), ('choice', '#s')) v(slot, selector) UNION ALL "
+                       f"SELECT page_id, 'form', '#f' || {pid} FROM pages")
+    s["page_buttons"] = (f"SELECT page_id, 'Pay now ' || {pid} AS text, NULL AS el_id, 'b ok' AS classes, NULL AS onclick, "
+                         "'submit' AS type FROM pages UNION ALL SELECT page_id, 'Stop', 'last', '', 'go()', NULL FROM pages")
+    s["page_inputs"] = (f"SELECT page_id, 'text' AS type, 'n' || {pid} AS el_name, NULL AS el_id, NULL AS placeholder FROM pages "
+                        "UNION ALL SELECT page_id, NULL, NULL, 's', NULL FROM pages "
+                        "UNION ALL SELECT page_id, NULL, NULL, NULL, 'say' FROM pages")
+    js = ("'{\"forms\":[{\"id\":\"f' || @ || '\",\"class\":[\"big\",\"x\"],\"action\":\"/go\",\"method\":null,\"inputs\":['"
+          " || '{\"type\":\"text\",\"name\":\"n' || @ || '\",\"id\":null,\"placeholder\":null,\"required\":true},'"
+          " || '{\"type\":null,\"name\":null,\"id\":\"s\",\"placeholder\":null,\"required\":false}]}],'"
+          " || '\"buttons\":[{\"text\":\"Pay now ' || @ || '\",\"id\":null,\"class\":[\"b\",\"ok\"],\"onclick\":null,\"type\":\"submit\"},'"
+          " || '{\"text\":\"Stop\",\"id\":\"last\",\"class\":null,\"onclick\":\"go()\",\"type\":null}],'"
+          " || '\"inputs\":[{\"type\":\"text\",\"name\":\"n' || @ || '\",\"id\":null,\"placeholder\":null,\"class\":null},'"
+          " || '{\"type\":null,\"name\":null,\"id\":\"s\",\"placeholder\":null,\"class\":null},'"
+          " || '{\"type\":null,\"name\":null,\"id\":null,\"placeholder\":\"say\",\"class\":null}],'"
+          " || '\"interactive_elements\":[],\"key_sections\":[{\"tag\":\"div\",\"id\":null,\"class\":[\"wide\"],\"text_preview\":\"a\"}]}'").replace("@", pid)
+    s["page_structure"] = ("SELECT page_id, 1::BIGINT AS n_forms, 2::BIGINT AS n_fields, 2::BIGINT AS n_buttons, 3::BIGINT AS n_inputs, "
+                           f"1::BIGINT AS n_sections, {js} AS structure_json FROM pages")
     s["script_prompts"] = _script_prompts_sql(body)
-    fam_rows = ", ".join(f"({q(f)}, {q(sl)}, {q(d)})" for f, sl, d in rules.FAMILY_SLOT_DEFAULTS)
-    s["script_plan"] = (f"SELECT p.page_id, d.family, d.slot, d.def AS selector, false AS resolved FROM pages p, "
-                        f"(VALUES {fam_rows}) d(family, slot, def)")
+    found = f"found AS ({s['page_selectors']})"
+    fam_rows = ", ".join(f"({i}, {q(f)}, {q(sl)}, {q(d)})" for i, (f, sl, d) in enumerate(R.CASE_SLOTS))
+    dims = f"dims(o, family, slot, def) AS (VALUES {fam_rows})"
+    s["script_plan"] = (_with(found, dims) + " SELECT p.page_id, d.family, d.slot, coalesce(f.selector, d.def) AS selector, "
+                        "f.selector IS NOT NULL AS resolved FROM pages p CROSS JOIN dims d "
+                        "LEFT JOIN found f ON f.page_id = p.page_id AND f.slot = d.slot")
+    only = ", ".join(f"({q(f)}, {q(sl)}, {q(b)})" for f, sl, b in R.CASE_BRANCH_SLOTS)
+    s["case_slots"] = (_with(*CASE_CTES, found, dims, f"only_in(family, slot, branch) AS (VALUES {only})",
+                             f"rt AS (SELECT qkey AS item_id, test_id, {_route('feature')} AS family, "
+                             "CASE WHEN coalesce(test_type, 'positive') = 'positive' THEN 'positive' ELSE 'negative' END AS branch "
+                             "FROM t_cases WHERE qkey IN (SELECT page_id FROM pages))",
+                             "used AS (SELECT rt.*, d.slot, d.def, row_number() OVER (PARTITION BY item_id, test_id ORDER BY o) AS slot_no "
+                             "FROM rt JOIN dims d USING (family) LEFT JOIN only_in x ON x.family = d.family AND x.slot = d.slot "
+                             "WHERE x.branch IS NULL OR x.branch = rt.branch)")
+                       + " SELECT u.item_id, u.test_id, u.family, u.branch, u.slot_no, u.slot, coalesce(f.selector, u.def) AS selector, "
+                         "f.selector IS NOT NULL AS resolved FROM used u LEFT JOIN found f ON f.page_id = u.item_id AND f.slot = u.slot")
     fence = (f"CASE WHEN starts_with(text, '```') THEN regexp_replace(CASE WHEN strpos(text, chr(10)) > 0 "
              f"THEN substring(text, strpos(text, chr(10)) + 1) ELSE '' END, '(^|\\n){WS_LINE}*```{WS_LINE}*\\z', '') ELSE text END")
     cleaned = strip(fence)
     s["clean_fences"] = f"SELECT conv_id, turn, {cleaned} AS text FROM conversations"
     comps = ", ".join(f"CASE WHEN NOT contains(lower(c), {q(x.lower())}) THEN {q(x)} END" for x in rules.REQUIRED_SCRIPT_COMPONENTS)
-    ok_sql = (f"(length({cleaned}) > 0 AND len(list_filter([{', '.join(f'CASE WHEN NOT contains(lower({cleaned}), {q(x.lower())}) THEN {q(x)} END' for x in rules.REQUIRED_SCRIPT_COMPONENTS)}], lambda z: z IS NOT NULL)) = 0)")
-    s["script_choice"] = (BENCH_CASES + f", mv AS (SELECT conv_id AS item_id, count(*) FILTER (WHERE {ok_sql}) AS v "
-                          "FROM conversations WHERE role = 'assistant' GROUP BY conv_id) "
+    made = (f"CASE WHEN conv_id % 3 = 0 THEN {q(R.SCRIPT_HEAD + '  # ')} || replace(text, chr(10), ' ') || {q(R.SCRIPT_TAIL)} "
+            f"ELSE {cleaned} END")
+    miss = ', '.join(f"CASE WHEN NOT contains(lower(script), {q(x.lower())}) THEN 1 END" for x in rules.REQUIRED_SCRIPT_COMPONENTS)
+    s["script_choice"] = (BENCH_CASES + f", ms AS (SELECT conv_id AS item_id, turn, {made} AS script FROM conversations WHERE role = 'assistant'), "
+                          f"mv AS (SELECT item_id, count(*) AS v, arg_min(script, turn) AS script FROM ms WHERE length(script) > 0 "
+                          f"AND len(list_filter([{miss}], lambda z: z IS NOT NULL)) = 0 GROUP BY item_id) "
                           "SELECT c.qkey AS item_id, c.test_id, CASE WHEN coalesce(mv.v, 0) > 0 THEN 'model' ELSE 'template' END AS origin, "
-                          "CAST(coalesce(mv.v, 0) AS BIGINT) AS valid_candidates FROM t_cases c LEFT JOIN mv ON mv.item_id = c.qkey")
+                          "CAST(coalesce(mv.v, 0) AS BIGINT) AS valid_candidates, mv.script FROM t_cases c LEFT JOIN mv ON mv.item_id = c.qkey")
     s["component_check"] = (f"SELECT conv_id, turn, array_to_string(list_filter([{comps}], lambda z: z IS NOT NULL), ', ') AS missing, "
                             f"len(list_filter([{comps}], lambda z: z IS NOT NULL)) = 0 AS valid FROM (SELECT conv_id, turn, {cleaned} AS c FROM conversations)")
     ob = _fill(_orders_base())
     s["order_totals"] = _with(ob) + " SELECT o_orderkey, CAST(n_items AS BIGINT) AS n_items, code_status, subtotal, discount, shipping, total FROM totals"
-    s["order_eligible"] = (_with(ob) + f" SELECT t.o_orderkey, CAST(t.n_items AS BIGINT) AS n_items, "
-                           f"coalesce({strip('c.c_name')} <> '', false) AS name_ok_raw, t.n_items > 0 AS has_items, c.c_custkey IS NOT NULL AS has_c "
-                           "FROM totals t LEFT JOIN customer c ON c.c_custkey = t.o_custkey")
-    s["order_eligible"] = ("SELECT o_orderkey, n_items, CASE WHEN has_c THEN name_ok_raw END AS name_ok, has_items AND coalesce(CASE WHEN has_c THEN name_ok_raw END, false) AS eligible FROM ("
-                           + s["order_eligible"] + ")")
+    nbsp, bom = "chr(160)", "chr(65279)"
+    cust = f"""
+cf AS (SELECT c_custkey, CASE WHEN c_custkey % 6 = 3 THEN chr(9) || chr(12288) ELSE c_name END AS name,
+              CASE c_custkey % 6 WHEN 0 THEN 'c' || c_custkey || {nbsp} || '@mail.example.com' WHEN 1 THEN 'c' || c_custkey || '@mail'
+                   ELSE ' c' || c_custkey || '@mail.example.com' || {bom} END AS email,
+              CASE WHEN c_custkey % 6 = 2 THEN {bom} || ' ' || chr(8195) ELSE c_mktsegment END AS address FROM customer),
+fl AS (SELECT c_custkey, {_js_strip('name')} <> '' AS name_ok, {_js_strip('address')} <> '' AS address_ok,
+              regexp_matches({_js_strip('email')}, {q(rules.EMAIL_PATTERN)}) AS email_ok FROM cf)
+"""
+    s["order_eligible"] = (_with(ob, cust) + " SELECT t.o_orderkey, CAST(t.n_items AS BIGINT) AS n_items, f.name_ok, f.email_ok, f.address_ok, "
+                           "t.n_items > 0 AND coalesce(f.name_ok, false) AND coalesce(f.email_ok, false) AND coalesce(f.address_ok, false) AS eligible "
+                           "FROM totals t LEFT JOIN fl f ON f.c_custkey = t.o_custkey")
     s["record_validation"] = ("SELECT doc_id, CAST(i - 1 AS BIGINT) AS pos, candidate, "
-                              f"coalesce(regexp_matches({strip('candidate')}, {q(rules.EMAIL_PATTERN)}), false) AS email_ok FROM ("
+                              f"coalesce(regexp_matches({_js_strip('candidate')}, {q(rules.EMAIL_PATTERN)}), false) AS email_ok FROM ("
                               f"SELECT doc_id, unnest(range(1, len(regexp_extract_all(text, {q(R.EMAIL_CANDIDATE)})) + 1)) AS i, "
                               f"unnest(regexp_extract_all(text, {q(R.EMAIL_CANDIDATE)})) AS candidate FROM documents)")
     s["amount_parse"] = ("SELECT o_orderkey, 'Total: $' || format('{:,.2f}', o_totalprice) AS amount_text, "
@@ -431,7 +524,7 @@ def _script_prompts_sql(body: str) -> str:
         if name:
             pieces.append(f"({fields[name]})")
     prompt = " || ".join(pieces)
-    return (_with(CHUNKS_CTE, CHUNK_TERMS, titles, test_case_ctes("titles", "page_id", "query", R.TEST_K),
+    return (_with(CHUNKS_CTE, CHUNK_TERMS, titles, test_case_ctes("titles", "page_id", "query", R.TEST_K, "t_", rules.FEATURE_KEYWORDS, rules.TEST_TEMPLATES),
                   "cq AS (SELECT qkey AS page_id, test_id, qkey || chr(1) || test_id AS ck, "
                   "feature || ' ' || test_scenario AS q_text FROM t_cases)",
                   lexical("k_", "cq", "ck", "q_text", 5))

@@ -8,16 +8,19 @@ column is aliased, integers are BIGINT and floating results are rounded to
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from docmill import rules
 from docmill.operators import generate, orders, pages, retrieve, scripts
-from docmill.plans.corpus import (benchmark_queries, chunk_table, contexts, documents, retrieved, spread,
-                                  table)
+from docmill.plans.corpus import (benchmark_queries, case_queries, chunk_table, contexts, documents, retrieved,
+                                  spread, table)
 from docmill.session import checkpoint_dir
 from docmill.sources import files, kb
+from docmill.sources.scratch import written
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -49,6 +52,41 @@ PAGE_SLOTS = [
     ("first_paragraph", "p"),
     ("footer", "footer"),
 ]
+# Features and templates that the corpus reaches: several per request, both test
+# types, labels of every script family. Requests that reach none stay generic.
+CASE_KEYWORDS = [
+    ("english", [" of the ", " and the "]),
+    ("german", [" ist ", " und "]),
+    ("french", [" est ", " pour "]),
+    ("spanish", [" ción", " para "]),
+]
+CASE_TEMPLATES = [
+    ("english", "positive", "Discount of the English text", "Read the English text", "It's read", ["Open it", "Read it"]),
+    ("english", "negative", "Discount of the English text", "Read it twice", "Nothing is new", ["Open it again"]),
+    ("german", "positive", "Form of the German text", "Fill in the form", "All fields hold", ["Open", "Fill", "Send"]),
+    ("german", "negative", "Form of the German text", "Leave fields empty", "It says so", ["Send"]),
+    ("french", "positive", "Shopping cart in French", "Fill the cart", "It is full", ["Add", "Count"]),
+    ("spanish", "negative", "Payment in Spanish", "Pay nothing", "Nothing is paid", ["Say \"no\"", "Don't pay"]),
+]
+# Slot defaults of the families for the driver pages: some slots resolve there
+# (PAGE_SLOTS), some don't.
+CASE_SLOTS = [
+    ("discount", "page_title", "title"),
+    ("discount", "ad_block", ".banner"),
+    ("discount", "nav_link", "nav a"),
+    ("discount", "missing_note", ".note"),
+    ("form", "main_heading", "h2"),
+    ("form", "first_paragraph", "div"),
+    ("form", "missing_form", "form"),
+    ("cart", "nav_link", "a"),
+    ("cart", "footer", ".end"),
+    ("payment", "ad_block", ".ad2"),
+    ("payment", "missing_pay", "button"),
+    ("generic", "footer", "#footer"),
+    ("generic", "missing_any", "*"),
+]
+CASE_BRANCH_SLOTS = [("discount", "ad_block", "positive"), ("discount", "missing_note", "negative"),
+                     ("form", "first_paragraph", "negative")]
 EMAIL_CANDIDATE = r"[^\s]+@[^\s]+"
 
 TEST_K = retrieve.TEST_CASE_K
@@ -112,10 +150,40 @@ def q_ingest_filter(spark, sf):
                     F.octet_length("content").cast("long").alias("bytes"))
 
 
+def _mixed_files(spark, sf):
+    """Documents as text files (every seventh with a damaging byte in front,
+    every eleventh as a PDF), pages as html files and event properties as json
+    files."""
+    d = documents(spark, sf).select("doc_id", F.encode("text", "UTF-8").alias("body"))
+    r7, r11 = F.col("doc_id") % 7 == 0, F.col("doc_id") % 11 == 0
+    docs = d.select(
+        F.concat(F.lit("doc-"), F.col("doc_id").cast("string"), F.when(r11, F.lit(".pdf")).otherwise(F.lit(".txt")))
+        .alias("filename"),
+        F.when(r11, F.lit("application/pdf")).otherwise(F.lit("text/plain")).alias("content_type"),
+        F.when(r11, F.concat(F.unhex(F.lit("25504446E2E3CF")), F.col("body")))
+        .when(r7, F.concat(F.unhex(F.lit("FF")), F.col("body"))).otherwise(F.col("body")).alias("content"))
+    pages_ = table(spark, sf, "pages").select(
+        F.concat(F.lit("page-"), F.col("page_id").cast("string"), F.lit(".html")).alias("filename"),
+        F.lit("text/html; charset=utf-8").alias("content_type"), F.encode("html", "UTF-8").alias("content"))
+    events = table(spark, sf, "events").select(
+        F.concat(F.lit("event-"), F.col("event_id").cast("string"), F.lit(".json")).alias("filename"),
+        F.lit(None).cast("string").alias("content_type"), F.encode("props", "UTF-8").alias("content"))
+    return spread(docs).unionByName(spread(pages_)).unionByName(spread(events))
+
+
 def q_ingest_quarantine(spark, sf):
-    f = files.documents_as_files(documents(spark, sf))
-    out = files.extract_text(f, mode="quarantine")
-    return out.select("doc_id", "ok", "error_code", F.length("text").cast("long").alias("n_chars"))
+    out = files.extract_text(_mixed_files(spark, sf), mode="quarantine")
+    return out.select(F.col("filename").alias("name"), "kind", "ok", "error_code",
+                      F.length("text").cast("long").alias("n_chars"))
+
+
+def q_ingest_chunks(spark, sf):
+    """Mixed files to chunks: dispatch, extract, chunk."""
+    good = files.extract_text(_mixed_files(spark, sf), mode="quarantine").where("ok")
+    from docmill.operators.chunking import chunk
+    ch = chunk(good.select("filename", "kind", "text"))
+    return ch.select(F.col("filename").alias("name"), "kind", _long("chunk_index"), _long("start_char"),
+                     _long("end_char"), F.md5(F.col("text").cast("binary")).alias("text_md5"))
 
 
 def q_json_normalize(spark, sf):
@@ -135,10 +203,32 @@ def _kb_rows(spark, sf):
     return kb.kb_rows(chunk_table(spark, sf))
 
 
+def _stored_kb(spark, sf):
+    """The KB of ``documents``, built in a fresh shared folder and opened again."""
+    root = f"{checkpoint_dir(spark).rstrip('/')}/docmill-kb-{uuid.uuid4().hex}"
+    kb.build(_kb_rows(spark, sf), root)
+    return kb.open_kb(spark, root)
+
+
 def q_kb_build(spark, sf):
+    return _stored_kb(spark, sf).select("chunk_id", "source", "content_type", _long("chunk_index"),
+                                        _long("start_char"), _long("end_char"),
+                                        F.md5(F.col("text").cast("binary")).alias("text_md5"))
+
+
+def q_kb_summary(spark, sf):
     return kb.summary(_kb_rows(spark, sf)).select("source", _long("chunks"))
 
 
+def q_kb_retrieve(spark, sf):
+    """Requests answered from the stored KB: its chunk ids, sources and texts."""
+    top = retrieve.lexical_topk(case_queries(spark, sf), _stored_kb(spark, sf), k=retrieve.DEFAULT_K,
+                                q_keys=["item_id"], q_text="query", c_keys=["source", "chunk_index"],
+                                carry=["chunk_id", "text"])
+    return top.select("item_id", _long("rank"), "chunk_id", "source", _r6("distance"),
+                      F.md5(F.col("text").cast("binary")).alias("text_md5"))
+
+
 def q_kb_sources(spark, sf):
     return kb.sources(_kb_rows(spark, sf))
 
@@ -203,8 +293,14 @@ def q_spec_rules(spark, sf):
 
 
 def _test_cases(spark, sf):
-    ctx = contexts(spark, sf, TEST_K)
-    return generate.test_cases(benchmark_queries(spark, sf), ctx, ["item_id"])
+    q = case_queries(spark, sf)
+    return generate.test_cases(q, contexts(spark, sf, TEST_K, q), ["item_id"], keywords=CASE_KEYWORDS,
+                               templates=CASE_TEMPLATES)
+
+
+def q_test_cases_default(spark, sf):
+    """The default dictionary, which the corpus never reaches (generic rows)."""
+    return _flat_cases(generate.test_cases(benchmark_queries(spark, sf), contexts(spark, sf, TEST_K), ["item_id"]))
 
 
 def _flat_cases(cases):
@@ -226,32 +322,50 @@ def q_case_labels(spark, sf):
 
 
 def _model_outputs(spark, sf):
-    """Model-style responses derived from ``part`` rows: fenced JSON arrays,
-    bare JSON objects, single-line fences and plain refusals, keyed by
-    p_partkey (shared key space with benchmark item ids)."""
+    """Model-style responses derived from ``part`` rows, keyed by p_partkey
+    (shared key space with the requests): fenced JSON lists, bare objects,
+    single-line fences, steps that aren't a list, empty lists, and output that is
+    not strict JSON (trailing text, single quotes, refusals)."""
     p = table(spark, sf, "part")
-    obj = F.struct(F.format_string("TC-%03d", F.col("p_size")).alias("test_id"),
-                   F.col("p_brand").alias("feature"), F.col("p_name").alias("test_scenario"),
-                   F.lit("As documented").alias("expected_result"), F.col("p_type").alias("grounded_in"),
-                   F.lit("positive").alias("test_type"), F.array(F.col("p_name"), F.col("p_type")).alias("steps"))
-    text = (F.when(F.col("p_type") == "ECONOMY",
-                   F.concat(F.lit("```json\n"), F.to_json(F.array(obj, obj)), F.lit("\n```")))
-             .when(F.col("p_type") == "SMALL", F.concat(F.lit("  "), F.to_json(obj), F.lit("\n")))
-             .when(F.col("p_type") == "PROMO", F.concat(F.lit("```"), F.to_json(obj), F.lit("```")))
+    steps = F.array(F.col("p_name"), F.col("p_type"))
+
+    def case(steps_):
+        return F.struct(F.format_string("TC-%03d", F.col("p_size")).alias("test_id"),
+                        F.col("p_brand").alias("feature"), F.col("p_name").alias("test_scenario"),
+                        F.lit("As documented").alias("expected_result"), F.col("p_type").alias("grounded_in"),
+                        F.lit("positive").alias("test_type"), steps_.alias("steps"))
+
+    obj, one = F.to_json(case(steps)), F.to_json(case(F.col("p_name")))
+    both = F.to_json(F.array(case(steps), case(steps)))
+    r = F.col("p_partkey") % 5
+    text = (F.when(F.col("p_type") == "ECONOMY", F.concat(F.lit("```json\n"), both, F.lit("\n```")))
+             .when(F.col("p_type") == "SMALL", F.concat(F.lit("  "), obj, F.lit("\n")))
+             .when(F.col("p_type") == "PROMO", F.concat(F.lit("```"), obj, F.lit("```")))
+             .when(r == 0, F.concat(both, F.lit(" Hope this helps!")))
+             .when(r == 1, F.translate(obj, '"', "'"))
+             .when(r == 2, F.lit("[]"))
+             .when(r == 3, one)
              .otherwise(F.concat(F.lit("Sorry, cannot help with "), F.col("p_name"))))
     return p.select(F.col("p_partkey").alias("item_id"), text.alias("text"))
 
 
 def q_parse_responses(spark, sf):
     parsed = generate.parse_responses(_model_outputs(spark, sf), ["item_id"])
-    return parsed.select("item_id", _long("pos"), "test_id", "feature", "test_type", _long("n_steps"), "bad")
+    return parsed.select("item_id", _long("pos"), *generate.CASE_COLUMNS[:-1],
+                         F.array_join("steps", "\n").alias("steps"), _long("n_steps"), "bad")
 
 
 def q_generator_choice(spark, sf):
     rule_cases = _test_cases(spark, sf)
     model = generate.parse_responses(_model_outputs(spark, sf), ["item_id"]) \
                     .join(benchmark_queries(spark, sf).select("item_id"), "item_id", "left_semi")
-    return generate.generator_choice(rule_cases, model, ["item_id"]).select("item_id", "origin", _long("n"))
+    chosen = generate.generator_choice(rule_cases, model, ["item_id"])
+    return chosen.select("item_id", "origin", *generate.CASE_COLUMNS[:-1], F.array_join("steps", "\n").alias("steps"))
+
+
+def q_case_lookup(spark, sf):
+    """The second case of each request that has one."""
+    return _flat_cases(generate.case_at(_test_cases(spark, sf), ["item_id"], 1))
 
 
 def q_prompts(spark, sf):
@@ -288,57 +402,88 @@ def q_status_counts(spark, sf):
 # ---------------------------------------------------------------------------
 # pages
 
-def _elements(spark, sf):
-    return pages.elements(spread(table(spark, sf, "pages")))
+def _parsed(spark, sf, columns=None, text_tags=None):
+    return pages.parse_pages(spread(table(spark, sf, "pages")), columns=columns, text_tags=text_tags)
+
+
+def _form_pages(spark, sf):
+    """The pages with a form, a button outside of it and a textarea at the end."""
+    pid = F.col("page_id").cast("string")
+    form = F.concat(F.lit('<form id="f'), pid, F.lit('" class="big x" action="/go"><input type="text" name="n'), pid,
+                    F.lit('" required><div class="wide"><select id="s"><option>a</select></div>'
+                          '<button class="b ok" type="submit">Pay now '), pid,
+                    F.lit(' </button></form><textarea placeholder="say"></textarea>'
+                          '<button id="last" onclick="go()"> Stop </button>'))
+    p = spread(table(spark, sf, "pages").select("page_id", "html"))
+    return p.select("page_id", F.concat("html", form).alias("html"))
 
 
 def q_page_elements(spark, sf):
-    return _elements(spark, sf).select("page_id", _long("ord"), "tag")
+    els = pages.elements(spread(table(spark, sf, "pages")), columns=["ord", "tag"])
+    return els.select("page_id", _long("ord"), "tag")
 
 
 def q_tag_counts(spark, sf):
-    return pages.tag_counts(_elements(spark, sf)).select("tag", _long("n"))
+    els = pages.elements(spread(table(spark, sf, "pages")), columns=["tag"])
+    return pages.tag_counts(els).select("tag", _long("n"))
+
+
+SELECTOR_COLUMNS = ["ord", "tag", "el_id", "el_name", "classes", "attrs"]
 
 
 def q_page_selectors(spark, sf):
-    sel = pages.resolve_selectors(_elements(spark, sf), PAGE_SLOTS, pay_text=None)
+    sel = pages.page_selectors(_parsed(spark, sf, SELECTOR_COLUMNS), slot_rules=PAGE_SLOTS, pay_text=None)
     return sel.select("page_id", "slot", "selector")
 
 
+def q_pay_button(spark, sf):
+    """The pay slot on the form pages: the button that says so."""
+    parsed = pages.parse_pages(_form_pages(spark, sf), columns=SELECTOR_COLUMNS + ["text"], text_tags=["button"])
+    slots = [("pay_button", "#last"), ("form", "form"), ("choice", "select")]
+    return pages.page_selectors(parsed, slot_rules=slots).select("page_id", "slot", "selector")
+
+
 def q_page_sections(spark, sf):
-    sec = pages.key_sections(_elements(spark, sf), ["div", "section"], "ad")
+    els = pages.elements(spread(table(spark, sf, "pages")), columns=["ord", "tag", "el_id", "classes", "text_strip"],
+                         text_tags=["div", "section"])
+    sec = pages.key_sections(els, ["div", "section"], "ad")
     return sec.select("page_id", "tag", F.array_join("classes", " ").alias("classes"), "text_preview")
 
 
 def q_page_forms(spark, sf):
-    box = pages.containers(_elements(spark, sf), "nav", ["a"])
-    return box.select("page_id", F.size(F.filter("fields", lambda f: f.isNotNull())).cast("long").alias("n_fields"))
+    parsed = _parsed(spark, sf, text_tags=[])
+    return pages.page_containers(parsed, "nav", ["a"]).select("page_id", F.size("inputs").cast("long").alias("n_fields"))
+
+
+def q_page_buttons(spark, sf):
+    els = pages.elements(_form_pages(spark, sf), text_tags=["button"])
+    return pages.buttons(els).select("page_id", "text", "el_id", F.array_join("classes", " ").alias("classes"),
+                                     "onclick", "type")
+
+
+def q_page_inputs(spark, sf):
+    els = pages.elements(_form_pages(spark, sf), text_tags=[])
+    return pages.inputs(els).select("page_id", "type", "el_name", "el_id", "placeholder")
 
 
 def q_page_structure(spark, sf):
-    st = pages.structure(_elements(spark, sf), "nav", ["a"], ["div", "section"], "ad")
+    """Structure records of the form pages, counts and JSON."""
+    parsed = pages.parse_pages(_form_pages(spark, sf), text_tags=["button", "div", "section"])
+    st = pages.page_structure(parsed, section_tags=["div", "section"], section_class="wide")
     n_fields = F.aggregate(F.transform("forms", lambda f: F.size(f["inputs"])), F.lit(0), lambda a, b: a + b)
     return st.select("page_id", F.size("forms").cast("long").alias("n_forms"),
                      n_fields.cast("long").alias("n_fields"),
                      F.size("buttons").cast("long").alias("n_buttons"),
                      F.size("inputs").cast("long").alias("n_inputs"),
-                     F.size("key_sections").cast("long").alias("n_sections"))
+                     F.size("key_sections").cast("long").alias("n_sections"), "structure_json")
 
 
 # ---------------------------------------------------------------------------
 # script plans
 
-def _materialized(spark, df):
-    """Write a small derived table to the shared checkpoint folder once.
-
-    Used where a derived table is both fetched (bounded) as a query set and
-    joined again later, so its upstream retrieval runs once, not twice."""
-    checkpoint_dir(spark)
-    return df.checkpoint(eager=True)
-
-
 def q_case_context(spark, sf):
-    cases = _materialized(spark, _test_cases(spark, sf))
+    # the cases are a query set and joined again: written once
+    cases = written(_test_cases(spark, sf), "cases")
     return scripts.case_context(cases, chunk_table(spark, sf), ["item_id"], source_col="filename")
 
 
@@ -346,32 +491,43 @@ def q_script_route(spark, sf):
     return scripts.script_route(_test_cases(spark, sf), ["item_id"])
 
 
+def _page_slots(spark, sf):
+    parsed = _parsed(spark, sf, SELECTOR_COLUMNS)
+    return parsed.select("page_id", pages.selector_list(F.col("els"), PAGE_SLOTS, None).alias("slots"))
+
+
 def q_script_plan(spark, sf):
-    els = _elements(spark, sf)
-    sel = pages.resolve_selectors(els)
-    pg = table(spark, sf, "pages").select("page_id")
-    return scripts.script_plan(pg, sel)
+    plan = scripts.script_plan(_page_slots(spark, sf), CASE_SLOTS)
+    return plan.select("page_id", "family", "slot", "selector", "resolved")
+
+
+def q_case_slots(spark, sf):
+    """Slot plan of each request's cases on the page of the same number."""
+    cases = _test_cases(spark, sf).join(_page_slots(spark, sf).withColumnRenamed("page_id", "item_id"), "item_id")
+    out = scripts.case_slots(cases, CASE_SLOTS, CASE_BRANCH_SLOTS)
+    return out.select("item_id", "test_id", "family", "branch", _long("slot_no"), "slot", "selector", "resolved")
 
 
 def q_script_prompts(spark, sf):
     """Per page: the page title is the request; its test cases (rules, k=8)
     become prompts with that page's selectors, structure and case context."""
-    # the element table feeds three branches; parse the pages once and cut
-    # the lineage in the shared checkpoint folder (spark.checkpoint.dir)
-    checkpoint_dir(spark)
-    els = _elements(spark, sf).checkpoint(eager=True)
-    titles = els.where(F.col("tag") == "title").groupBy("page_id") \
-                .agg(F.min_by("text_strip", "ord").alias("query"))
+    # one parse per page: request, selectors and structure of each page in one
+    # narrow row, written once (as are the cases: a query set and joined again)
+    parsed = _parsed(spark, sf, text_tags=["title", "button", *rules.KEY_SECTION_TAGS])
+    title = F.try_element_at(F.filter("els", lambda e: e["tag"] == "title"), F.lit(1))["text_strip"]
+    ctx_of_page = scripts.page_context(parsed, extra={"query": title})
+    page_ctx = written(ctx_of_page, "pages")
+    titles = page_ctx.where("query is not null").select("page_id", "query")
     chunks = chunk_table(spark, sf)
     top = retrieve.lexical_topk(titles, chunks, k=TEST_K, q_keys=["page_id"], q_text="query",
                                 carry=["filename", "text"])
     ctx = generate.assemble_context(top, ["page_id"], source_col="filename")
-    cases = _materialized(spark, generate.test_cases(titles, ctx, ["page_id"]))
+    # a page without a title is a request without text
+    asked = page_ctx.select("page_id", F.coalesce("query", F.lit("")).alias("query"))
+    cases = written(generate.test_cases(asked, ctx, ["page_id"]), "cases")
     case_ctx = scripts.case_context(cases, chunks, ["page_id"], source_col="filename")
-    sel = pages.resolve_selectors(els)
-    page_ctx = scripts.selectors_json(sel).join(scripts.structure_json(els), "page_id", "right")
     req = cases.join(case_ctx, ["page_id", "test_id"], "left")
-    out = scripts.script_prompts(req, page_ctx)
+    out = scripts.script_prompts(req, page_ctx.drop("query"))
     return out.select("page_id", "test_id", F.md5("prompt").alias("prompt_md5"),
                       F.length("prompt").cast("long").alias("prompt_chars"))
 
@@ -392,14 +548,27 @@ def q_component_check(spark, sf):
                     (F.size(miss) == 0).alias("valid"))
 
 
+SCRIPT_HEAD = "import time\nfrom selenium import webdriver\nclass TestIt:\n  def setup(self): pass\n  def teardown(self): pass\n"
+SCRIPT_TAIL = "\n  def test_it(self): pass\nif __name__ == \"__main__\": pass"
+
+
+def _model_scripts(spark, sf):
+    """Assistant turns as candidate scripts: turns of every third conversation
+    stand as a comment in a complete fenced script, the others as they are."""
+    c = table(spark, sf, "conversations").where(F.col("role") == "assistant")
+    text = F.concat(F.lit("```python\n" + SCRIPT_HEAD + "  # "), F.replace("text", F.lit("\n"), F.lit(" ")),
+                    F.lit(SCRIPT_TAIL + "\n```"))
+    return c.select(F.col("conv_id").alias("item_id"), "turn",
+                    F.when(F.col("conv_id") % 3 == 0, text).otherwise(F.col("text")).alias("text"))
+
+
 def q_script_choice(spark, sf):
     """Model scripts (assistant turns keyed by conversation id, the request
     id space shared with benchmark items) vs the rule plan per test case."""
     req = _test_cases(spark, sf).select("item_id", "test_id")
-    model = table(spark, sf, "conversations").where(F.col("role") == "assistant") \
-        .select(F.col("conv_id").alias("item_id"), "text")
-    out = scripts.script_choice(req, model, ["item_id"])
-    return out.select("item_id", "test_id", "origin", F.col("valid_candidates").cast("long").alias("valid_candidates"))
+    out = scripts.script_choice(req, _model_scripts(spark, sf), ["item_id"], order_col="turn")
+    return out.select("item_id", "test_id", "origin", F.col("valid_candidates").cast("long").alias("valid_candidates"),
+                      "script")
 
 
 def q_export_names(spark, sf):
@@ -429,10 +598,25 @@ def q_order_totals(spark, sf):
     return t.select("o_orderkey", _long("n_items"), "code_status", "subtotal", "discount", "shipping", "total")
 
 
+def _customer_fields(spark, sf):
+    """Customers with an email and an address made from their columns; some of
+    each are invalid, with white space of JavaScript that ASCII has not."""
+    c = table(spark, sf, "customer")
+    key = F.col("c_custkey").cast("string")
+    r = F.col("c_custkey") % 6
+    email = (F.when(r == 0, F.concat(F.lit("c"), key, F.lit("\u00a0@mail.example.com")))
+              .when(r == 1, F.concat(F.lit("c"), key, F.lit("@mail")))
+              .otherwise(F.concat(F.lit(" c"), key, F.lit("@mail.example.com\ufeff"))))
+    address = F.when(r == 2, F.lit("\ufeff \u2003")).otherwise(F.col("c_mktsegment"))
+    name = F.when(r == 3, F.lit("\t\u3000")).otherwise(F.col("c_name"))
+    return c.select("c_custkey", name.alias("name"), email.alias("email"), address.alias("address"))
+
+
 def q_order_eligible(spark, sf):
-    cust = table(spark, sf, "customer")
-    flags = orders.record_validation(cust, ["c_custkey"], name=F.col("c_name"))
-    return orders.order_eligible(_totals(spark, sf), flags).select("o_orderkey", _long("n_items"), "name_ok", "eligible")
+    flags = orders.record_validation(_customer_fields(spark, sf), ["c_custkey"], name=F.col("name"),
+                                     email=F.col("email"), address=F.col("address"))
+    return orders.order_eligible(_totals(spark, sf), flags).select(
+        "o_orderkey", _long("n_items"), "name_ok", "email_ok", "address_ok", "eligible")
 
 
 def q_record_validation(spark, sf):
@@ -472,7 +656,10 @@ QUERIES: dict[str, Query] = {
     "json_normalize": q_json_normalize,
     "page_text": q_page_text,
     "assemble_parts": q_assemble_parts,
+    "ingest_chunks": q_ingest_chunks,
     "kb_build": q_kb_build,
+    "kb_summary": q_kb_summary,
+    "kb_retrieve": q_kb_retrieve,
     "kb_sources": q_kb_sources,
     "retrieve_lexical": q_retrieve_lexical,
     "retrieve_dense": q_retrieve_dense,
@@ -482,6 +669,8 @@ QUERIES: dict[str, Query] = {
     "feature_detect": q_feature_detect,
     "spec_rules": q_spec_rules,
     "test_cases": q_test_cases,
+    "test_cases_default": q_test_cases_default,
+    "case_lookup": q_case_lookup,
     "case_steps": q_case_steps,
     "case_labels": q_case_labels,
     "parse_responses": q_parse_responses,
@@ -493,12 +682,16 @@ QUERIES: dict[str, Query] = {
     "page_elements": q_page_elements,
     "tag_counts": q_tag_counts,
     "page_selectors": q_page_selectors,
+    "pay_button": q_pay_button,
     "page_sections": q_page_sections,
+    "page_buttons": q_page_buttons,
+    "page_inputs": q_page_inputs,
     "page_forms": q_page_forms,
     "page_structure": q_page_structure,
     "case_context": q_case_context,
     "script_route": q_script_route,
     "script_plan": q_script_plan,
+    "case_slots": q_case_slots,
     "script_prompts": q_script_prompts,
     "clean_fences": q_clean_fences,
     "component_check": q_component_check,

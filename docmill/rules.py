@@ -180,6 +180,14 @@ FAMILY_SLOT_DEFAULTS = [
     ("generic", "email_input", '[name="email"]'),
 ]
 
+# Slots that only one branch of a family uses (the others are
+# used by both branches).
+BRANCH_SLOTS = [
+    ("discount", "total_price", "positive"),
+    ("discount", "error_messages", "negative"),
+    ("form", "address_input", "positive"),
+]
+
 # Components a generated script must contain (case-insensitive).
 REQUIRED_SCRIPT_COMPONENTS = [
     "import",

@@ -1,17 +1,19 @@
 """Knowledge-base table: chunk rows with deterministic ids, persisted as
-immutable parquet versions.
+immutable parquet versions and deltas.
 
 Layout under ``root``::
 
     root/v-<version>/part-*.parquet     one complete build (time-sortable id)
-    root/commits/<version>/part-*.txt   written after the build has committed
-
-A build writes a fresh version directory; Spark's commit protocol handles
-task retries and lost executors. Only after that job has committed is the
-version's commit marker written (a new directory, never overwritten).
-Readers take the greatest committed version, so a KB switches atomically and
-never shows a half-written or deleted state (no delete-then-insert, no
-pointer to overwrite). Older versions stay readable until removed.
+    root/d-<version>/part-*.parquet     rows of some sources that replace those sources
+    root/commits/<version>/part-*.txt   written after the rows have committed
+
+A build or an append writes a fresh directory; Spark's commit protocol handles
+task retries and lost executors. Only after that job has committed is the commit
+marker written (a new directory, never overwritten). Readers take the greatest
+committed build and the committed deltas after it; of a source that several of
+them hold, the newest counts. So a KB switches atomically, never shows a
+half-written state, and a source that is sent again replaces itself. Appending
+costs the new rows only; a build folds the deltas in.
 """
 
 from __future__ import annotations
@@ -52,44 +54,71 @@ def build(rows: DataFrame, root: str, partitions: int | None = None,
     version out by (``partitionBy``), so filters on it prune files before
     any scoring. ``partitions`` optionally clusters rows by chunk id first.
     """
+    out = _with_schema(rows)
+    out = out.repartition(partitions, "chunk_id") if partitions else out
+    return _commit(out, root, "v", partition_by)
+
+
+def append(rows: DataFrame, root: str) -> tuple[str, int]:
+    """Add ``rows`` to the KB; their sources replace what the KB had of them.
+    Returns (version, chunks)."""
+    return _commit(_with_schema(rows), root, "d")
+
+
+def _with_schema(rows: DataFrame) -> DataFrame:
+    required = [c.split(" ")[0] for c in KB_SCHEMA.split(", ")]
+    return rows.select(*required, *[c for c in rows.columns if c not in required and c != "kb_version"])
+
+
+def _commit(rows: DataFrame, root: str, kind: str, partition_by: str | None = None) -> tuple[str, int]:
     spark = rows.sparkSession
     version = f"{time.time_ns():020d}-{uuid.uuid4().hex[:8]}"
-    required = [c.split(" ")[0] for c in KB_SCHEMA.split(", ")]
-    out = rows.select(*required, *[c for c in rows.columns if c not in required])
-    out = out.repartition(partitions, "chunk_id") if partitions else out
-    writer = out.write.mode("overwrite")
+    path = f"{root}/{kind}-{version}"
+    writer = rows.withColumn("kb_version", F.lit(version)).write
     if partition_by:
         writer = writer.partitionBy(partition_by)
-    writer.parquet(f"{root}/v-{version}")
-    n = _read_version(spark, root, version).count()
-    spark.createDataFrame([(version,)], "v string").coalesce(1).write.text(f"{root}/commits/{version}")
+    writer.parquet(path)
+    n = _read(spark, [path]).count()
+    spark.createDataFrame([(f"{kind}-{version}",)], "v string").coalesce(1).write.text(f"{root}/commits/{version}")
     return version, n
 
 
-def current_version(spark: SparkSession, root: str) -> str | None:
-    """Greatest committed version id under ``root`` (None when there is none)."""
+def _committed(spark: SparkSession, root: str) -> list[str]:
+    """Committed directory names since (and with) the newest build, oldest
+    first: one short string per commit."""
     from pyspark.errors import AnalysisException
     try:
-        return spark.read.text(f"{root}/commits/*").agg(F.max("value")).first()[0]
+        names = [r[0] for r in spark.read.text(f"{root}/commits/*").collect()]
     except AnalysisException:  # nothing committed yet
-        return None
+        return []
+    newest = max((n[2:] for n in names if n.startswith("v-")), default="")
+    return sorted((n for n in names if n[2:] >= newest), key=lambda n: n[2:])
+
+
+def current_version(spark: SparkSession, root: str) -> str | None:
+    """Greatest committed version id under ``root`` (None when there is none)."""
+    names = _committed(spark, root)
+    return names[-1][2:] if names else None
 
 
-def _read_version(spark: SparkSession, root: str, version: str) -> DataFrame:
+def _read(spark: SparkSession, paths: list[str]) -> DataFrame:
     from pyspark.errors import AnalysisException
-    path = f"{root}/v-{version}"
     try:
-        return spark.read.parquet(path)
+        return spark.read.option("mergeSchema", "true").parquet(*paths)
     except AnalysisException:  # committed but empty (a cleared KB)
-        return spark.read.schema(KB_SCHEMA).parquet(path)
+        return spark.read.schema(KB_SCHEMA + ", kb_version string").parquet(*paths)
 
 
 def open_kb(spark: SparkSession, root: str) -> DataFrame:
     """The live KB, or an empty table of the KB schema when none exists."""
-    version = current_version(spark, root)
-    if version is None:
+    names = _committed(spark, root)
+    if not names:
         return spark.createDataFrame([], KB_SCHEMA)
-    return _read_version(spark, root, version)
+    rows = _read(spark, [f"{root}/{n}" for n in names])
+    if len(names) > 1:  # of each source the newest rows
+        newest = rows.groupBy("source").agg(F.max("kb_version").alias("kb_version"))
+        rows = rows.join(newest, ["source", "kb_version"])
+    return rows.select(*[c for c in rows.columns if c != "kb_version"])
 
 
 def clear(spark: SparkSession, root: str) -> tuple[str, int]:

@@ -1,10 +1,10 @@
 """Incremental ingest: new document files -> chunks -> appended to the KB.
 
 All ingest stages are stateless per row, so the batch operators run
-unchanged on a streaming DataFrame. Each micro-batch is written to its own
-``batch=<id>`` directory with overwrite, so a replayed batch (after a driver
-or executor loss) rewrites the same rows instead of duplicating them, and
-chunk ids are deterministic (source, chunk_index).
+unchanged on a streaming DataFrame. Each micro-batch is committed as a delta of
+the KB that ``kb.open_kb`` reads. A replayed batch (after a driver or executor
+loss) and a source that is sent again replace the source's rows instead of
+duplicating them; chunk ids are deterministic (source, chunk_index).
 """
 
 from __future__ import annotations
@@ -36,10 +36,12 @@ def to_kb_rows(docs: DataFrame) -> DataFrame:
     return kb.kb_rows(chunking.chunk(named))
 
 
-def start_incremental_ingest(stream: DataFrame, out_dir: str, checkpoint: str):
-    """Start the query (AvailableNow: process everything present, then stop)."""
+def start_incremental_ingest(stream: DataFrame, kb_root: str, checkpoint: str):
+    """Start the query (AvailableNow: process everything present, then stop).
+    Of rows of one document in a batch the longest text counts."""
     def write_batch(batch: DataFrame, batch_id: int) -> None:
-        to_kb_rows(batch).write.mode("overwrite").parquet(f"{out_dir}/batch={batch_id}")
+        one = batch.groupBy("doc_id").agg(F.max_by("text", F.struct("n_chars", "text")).alias("text"))
+        kb.append(to_kb_rows(one), kb_root)
 
     return (stream.writeStream.foreachBatch(write_batch)
                   .option("checkpointLocation", checkpoint)
@@ -47,10 +49,11 @@ def start_incremental_ingest(stream: DataFrame, out_dir: str, checkpoint: str):
                   .start())
 
 
-def run_incremental_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Ingest ``documents`` of ``sf_dir`` through the stream into a fresh KB
-    folder under the shared checkpoint directory; return the KB rows."""
-    root = f"{checkpoint_dir(spark)}/incremental-ingest-{uuid.uuid4().hex}"
+def run_incremental_ingest(spark: SparkSession, sf_dir: str, root: str | None = None) -> DataFrame:
+    """Ingest ``documents`` of ``sf_dir`` through the stream into a KB at ``root``
+    (default: a fresh folder under the shared checkpoint directory); return the
+    KB as it reads afterwards."""
+    root = root or f"{checkpoint_dir(spark)}/incremental-ingest-{uuid.uuid4().hex}"
     query = start_incremental_ingest(document_stream(spark, sf_dir), f"{root}/kb", f"{root}/_checkpoint")
     query.awaitTermination()
-    return spark.read.parquet(f"{root}/kb")
+    return kb.open_kb(spark, f"{root}/kb")

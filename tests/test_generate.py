@@ -81,6 +81,29 @@ def test_parse_model_output(spark):
     assert out[(4, None)][1] and out[(5, None)][1] and out[(6, None)][1]
 
 
+def test_model_output_is_strict_json_with_all_fields(spark):
+    whole = ('[{"test_id": "TC-001", "feature": "F", "test_scenario": "s ] }", "expected_result": "e", '
+             '"grounded_in": "a.md", "test_type": "negative", "steps": ["x", "y"]}]')
+    rows = [(1, whole), (2, whole + " Hope this helps!"), (3, "[{'test_id': 'T1'}]"), (4, "[]"),
+            (5, '{"test_id": "T5", "steps": "one"}'), (6, '{"a": 1}{"b": 2}'), (7, '{"test_id": "x",}'),
+            (8, '[{"test_id":"A"} {"test_id":"B"}]'), (9, "{\"test_id\": \"" + "z\\\"" * 30000 + "\"}")]
+    df = spark.createDataFrame(rows, "id long, text string")
+    out = {r.id: r for r in G.parse_responses(df, ["id"]).collect()}
+    assert {i for i, r in out.items() if r.bad} == {2, 3, 6, 7, 8}
+    assert [out[1][c] for c in G.CASE_COLUMNS] == ["TC-001", "F", "s ] }", "e", "a.md", "negative", ["x", "y"]]
+    assert out[4].pos is None and out[5].steps == ["one"] and len(out[9].test_id) == 60000
+    rule = spark.createDataFrame([(i, "TC-001", "R", "s", "e", "g", "positive", ["z"]) for i in (1, 2, 4)],
+                                 "id long, " + ", ".join(f"{c} string" for c in G.CASE_COLUMNS[:-1]) + ", steps array<string>")
+    chosen = G.generator_choice(rule, G.parse_responses(df.where("id < 5"), ["id"]), ["id"]).collect()
+    assert sorted((r.id, r.origin, r.feature, tuple(r.steps)) for r in chosen) == [
+        (1, "model", "F", ("x", "y")), (2, "rules", "R", ("z",)), (4, "rules", "R", ("z",))]
+
+
+def test_case_lookup_by_ordinal(spark):
+    cases = spark.createDataFrame([(1, "TC-001"), (1, "TC-002"), (2, "TC-001")], "id long, test_id string")
+    assert [tuple(r) for r in G.case_at(cases, ["id"], 1).collect()] == [(1, "TC-002")]
+
+
 def test_clean_fences_and_components(spark):
     rows = [("```python\nimport x\n```",), ("```python\ncode\n```\n",), ("```\n",), ("plain  \n",),
             ("```py",), ('import selenium\nfrom selenium import webdriver\nclass TestA:\n def setup(self): pass\n'
@@ -105,5 +128,7 @@ def test_script_choice(spark):
     good = ('```python\nimport time\nfrom selenium import webdriver\nclass TestTC_001:\n    def setup(self): pass\n'
             '    def teardown(self): pass\n    def test_main(self): pass\nif __name__ == "__main__":\n    pass\n```')
     model = spark.createDataFrame([(1, good), (1, "nope"), (2, "class Test only"), (2, "")], "rid long, text string")
-    got = {r.rid: (r.origin, r.valid_candidates) for r in S.script_choice(req, model, ["rid"]).collect()}
-    assert got == {1: ("model", 1), 2: ("template", 0), 3: ("template", 0)}
+    out = S.script_choice(req, model, ["rid"]).collect()
+    assert {r.rid: (r.origin, r.valid_candidates) for r in out} == {1: ("model", 1), 2: ("template", 0), 3: ("template", 0)}
+    scripts = {r.rid: r.script for r in out}
+    assert scripts[1].startswith("import time\n") and scripts[1].endswith("pass") and scripts[2] is scripts[3] is None

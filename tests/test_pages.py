@@ -1,5 +1,7 @@
 """Page-structure extraction on a self-written checkout-like page."""
 
+from pyspark.sql import functions as F
+
 from docmill.operators import pages as P
 from docmill.operators import scripts as S
 
@@ -30,8 +32,8 @@ def test_inventories(spark, checkout_html):
     assert P.buttons(els).count() == 5
     assert P.inputs(els).count() == 8
     forms = P.containers(els).collect()
-    assert len(forms) == 1 and len(forms[0].fields) == 7
-    assert forms[0].el_id == "checkoutForm"
+    assert len(forms) == 1 and len(forms[0].inputs) == 7
+    assert forms[0].id == "checkoutForm"
     secs = [r.classes for r in P.key_sections(els).orderBy("ord").collect()]
     assert secs == [["cart-section"], ["cart-total"], ["form-group"], ["form-group"], ["form-group"],
                     ["payment-section"]]
@@ -58,7 +60,7 @@ def test_page_text_rules(spark):
 def test_structure_json_fields(spark, checkout_html):
     els = _els(spark, checkout_html)
     import json
-    st = json.loads(S.structure_json(els).first().structure_json)
+    st = json.loads(P.structure(els).first().structure_json)
     assert list(st) == ["forms", "buttons", "inputs", "interactive_elements", "key_sections"]
     assert st["interactive_elements"] == []
     assert st["forms"][0]["inputs"][0] == {"type": "text", "name": "name", "id": "name", "placeholder": None,
@@ -67,16 +69,79 @@ def test_structure_json_fields(spark, checkout_html):
 
 
 def test_script_plan_defaults(spark, checkout_html):
-    els = _els(spark, checkout_html)
-    sel = P.resolve_selectors(els)
-    plan = {(r.family, r.slot): (r.selector, r.resolved)
-            for r in S.script_plan(els.select("page_id").distinct(), sel).collect()}
+    parsed = P.parse_pages(spark.createDataFrame([(1, checkout_html)], "page_id long, html string"))
+    slots = parsed.select("page_id", P.selector_list(F.col("els")).alias("slots"))
+    plan = {(r.family, r.slot): (r.selector, r.resolved) for r in S.script_plan(slots).collect()}
     assert plan[("form", "pay_button")] == ("#payNow", True)
     assert plan[("cart", "cart_items")] == (".cart-item", False)
     assert plan[("cart", "quantity_inputs")] == ('input[type="number"]', False)
 
 
+def test_case_slots_by_family_and_branch(spark, checkout_html):
+    parsed = P.parse_pages(spark.createDataFrame([(1, checkout_html)], "page_id long, html string"))
+    cases = spark.createDataFrame([("TC-001", "Discount Code", "positive"), ("TC-002", "Discount Code", "negative"),
+                                   ("TC-003", "Form Validation", "negative"), ("TC-004", "Form Validation", None),
+                                   ("TC-005", "Anything", "exploratory")],
+                                  "test_id string, feature string, test_type string")
+    rows = S.case_slots(cases.crossJoin(parsed.select(P.selector_list(F.col("els")).alias("slots")))).collect()
+    got = {}
+    for r in sorted(rows, key=lambda r: (r.test_id, r.slot_no)):
+        got.setdefault((r.test_id, r.family, r.branch), []).append(r.slot)
+    assert got == {
+        ("TC-001", "discount", "positive"): ["discount_input", "apply_discount_btn", "total_price", "add_to_cart_buttons"],
+        ("TC-002", "discount", "negative"): ["discount_input", "apply_discount_btn", "add_to_cart_buttons", "error_messages"],
+        ("TC-003", "form", "negative"): ["name_input", "email_input", "pay_button", "error_messages"],
+        ("TC-004", "form", "positive"): ["name_input", "email_input", "address_input", "pay_button", "error_messages"],
+        ("TC-005", "generic", "negative"): ["add_to_cart_buttons", "name_input", "email_input"]}
+    assert {(r.slot, r.selector) for r in rows if r.resolved} >= {("discount_input", "#discountCode"), ("pay_button", "#payNow")}
+
+
+def test_prompt_text(spark):
+    from docmill import rules
+    steps = ["a", "it's", 'say "x"', "both ' and \"", "back\\slash\n"]
+    row = spark.createDataFrame([("TC-001", "F", "S", "E", None, steps, None)],
+                                "test_id string, feature string, test_scenario string, expected_result string, "
+                                "test_type string, steps array<string>, context string")
+    got = row.select(S.script_prompt(F.lit("{sel}"), F.lit("{str}")).alias("p")).first().p
+    assert got == rules.SCRIPT_PROMPT.format(test_id="TC-001", feature="F", test_scenario="S", expected_result="E",
+                                             test_type="positive", steps=str(steps), selectors="{sel}", structure="{str}",
+                                             context="", class_suffix="TC_001")
+
+
 def test_css_predicate_rejects_unsupported():
     import pytest
     with pytest.raises(ValueError):
         P.css_predicate("div > p")
+
+
+def test_pages_without_elements_keep_their_row(spark):
+    pages = spark.createDataFrame([(1, "<p>x</p>"), (2, "plain text only"), (3, None), (4, "")], "page_id long, html string")
+    parsed = P.parse_pages(pages)
+    rows = {r.page_id: r for r in P.page_structure(parsed).collect()}
+    empty = '{"forms":[],"buttons":[],"inputs":[],"interactive_elements":[],"key_sections":[]}'
+    assert {i: r.structure_json for i, r in rows.items()} == {i: empty for i in (1, 2, 3, 4)}
+    again = {r.page_id for r in P.structure(P.elements(pages), pages).collect()}
+    assert again == {1, 2, 3, 4} and {r.page_id for r in P.structure(P.elements(pages)).collect()} == {1}
+
+
+def test_narrow_forms_equal_table_forms(spark, checkout_html):
+    pages = spark.createDataFrame([(1, checkout_html), (2, "<form id=f><input name=a required><form><input></form>")],
+                                  "page_id long, html string")
+    parsed, els = P.parse_pages(pages), P.elements(pages)
+    key = lambda df: sorted(str(r) for r in df.collect())
+    assert key(P.page_selectors(parsed)) == key(P.resolve_selectors(els))
+    assert key(P.page_structure(parsed)) == key(P.structure(els))
+    assert key(P.page_containers(parsed)) == key(P.containers(els))
+    few = P.elements(pages, columns=["ord", "tag", "text"], text_tags=["button"])
+    assert few.columns == ["page_id", "ord", "tag", "text"]
+    assert all((r.text is None) == (r.tag != "button") for r in few.collect())
+
+
+def test_one_parse_and_no_exchange(spark):
+    from conftest import plan_text
+
+    from docmill.plans import registry as R
+    for q in (R.q_page_structure, R.q_page_forms, R.q_page_selectors, R.q_script_plan):
+        plan = plan_text(q(spark, "/root/testdata/sf0.001"))
+        tree = plan.split("\n\n")[0]
+        assert tree.count("MapInArrow") == 1 and "Exchange" not in tree, q.__name__

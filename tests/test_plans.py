@@ -21,11 +21,6 @@ def test_order_totals_broadcasts_the_part_dimension(spark):
     assert "ReadSchema: struct<l_orderkey:bigint,l_partkey:bigint,l_quantity:double>" in plan
 
 
-def test_selector_pick_is_partially_aggregated(spark):
-    plan = plan_text(R.q_page_selectors(spark, SF))
-    assert plan.count("SortAggregate") >= 2 or plan.count("HashAggregate") >= 2
-
-
 def test_retrieval_shuffles_only_candidates(spark):
     plan = plan_text(R.q_retrieve_lexical(spark, SF))
     # the kernel sits below a partial top-k; no aggregate over (query, chunk) pairs
