@@ -1,16 +1,17 @@
-"""Arrow-batch kernel for exact cosine top-k against a broadcast query block.
+"""Arrow-batch kernels for exact cosine top-k against a broadcast query block.
 
 Used through ``DataFrame.mapInArrow``: each task scores its corpus batches
 against the (size-checked) query block with one matrix product and keeps
-only the per-query top-k of the batch, so the rows leaving a task are
-bounded by ``batches x queries x k`` no matter how big the corpus is. The
-final top-k is a Spark window over those candidates.
+only the per-query top-k, so the rows leaving a task are at most queries x k no
+matter how big the corpus is or how many candidates tie. The final top-k is a
+Spark window over those candidates.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 CANDIDATE_SCHEMA = "qid long, cid long, distance double"
 
@@ -31,66 +32,85 @@ def unit_rows(m: np.ndarray) -> np.ndarray:
         return np.where(norms > 0, m / norms, np.nan)
 
 
-def topk_kernel(query_ids: np.ndarray, query_unit: np.ndarray, k: int,
-                id_col: str = "cid", vec_col: str = "vec", decimals: int = 6):
-    """Build the mapInArrow function for one broadcast query block."""
+def _sort_keys(columns) -> list[np.ndarray]:
+    """Integer codes of Arrow columns that order like their values, NULL first."""
+    codes = []
+    for column in columns:
+        column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+        ranks = pc.rank(column, sort_keys="ascending", null_placement="at_start", tiebreaker="dense")
+        codes.append(ranks.to_numpy(zero_copy_only=False).astype(np.int64))
+    return codes
 
-    margin = 2 * 10.0 ** -decimals
 
-    def run(batches):
-        # running top-k over the task's batches; emitted once per task
-        best_q = best_c = best_d = None
-        for batch in batches:
-            if batch.num_rows == 0:
-                continue
-            cids = batch.column(id_col).to_numpy(zero_copy_only=False)
-            corpus = unit_rows(_as_matrix(batch.column(vec_col)))
-            dist = 1.0 - query_unit @ corpus.T            # (Q, B)
-            dist = np.where(np.isnan(dist), np.inf, dist)
-            qi, ci = _near_topk(dist, k, decimals, margin)
-            q, c, d = qi, cids[ci], dist[qi, ci]
-            if best_q is not None:
-                q, c, d = np.concatenate([best_q, q]), np.concatenate([best_c, c]), np.concatenate([best_d, d])
-            best_q, best_c, best_d = _reduce_topk(q, c, d, k, decimals, margin)
-        if best_q is None or len(best_q) == 0:
+def first_k(qi: np.ndarray, dist: np.ndarray, keys: list[np.ndarray], k: int) -> np.ndarray:
+    """Places of the ``k`` first pairs of each query by (distance, keys): exactly
+    min(k, pairs), whatever ties there are."""
+    order = np.lexsort([*reversed(keys), dist, qi])
+    q = qi[order]
+    starts = np.r_[0, np.flatnonzero(np.diff(q)) + 1] if len(q) else np.zeros(0, dtype=np.int64)
+    place = np.arange(len(q)) - np.repeat(starts, np.diff(np.r_[starts, len(q)]))
+    return order[place < k]
+
+
+class Best:
+    """The k nearest candidates per query among all batches of a task, ties by
+    key: memory and output stay within queries x k rows."""
+
+    def __init__(self, k: int, keys: list[str]):
+        self.k, self.keys, self.qi, self.dist, self.rows = k, keys, None, None, None
+
+    def add(self, qi: np.ndarray, dist: np.ndarray, rows: pa.Table) -> None:
+        if not len(qi):
             return
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(query_ids[best_q], pa.int64()), pa.array(best_c, pa.int64()), pa.array(best_d, pa.float64())],
-            names=["qid", "cid", "distance"])
+        if self.qi is not None:
+            qi, dist = np.concatenate([self.qi, qi]), np.concatenate([self.dist, dist])
+            rows = pa.concat_tables([self.rows, rows])
+        keep = first_k(qi, dist, _sort_keys([rows.column(c) for c in self.keys]), self.k)
+        self.qi, self.dist, self.rows = qi[keep], dist[keep], rows.take(pa.array(keep))
+
+
+def topk_kernel(query_ids: np.ndarray, query_unit: np.ndarray, k: int, id_col: str = "cid",
+                vec_col: str = "vec", decimals: int = 6, block_cells: int = 4_000_000):
+    """mapInArrow function for one broadcast query block: exactly the k nearest
+    vectors per query of the task, by (distance rounded to ``decimals``, key)."""
+    rows_per_block = max(1, block_cells // max(1, len(query_ids)))
+
+    def run(batches):
+        best = Best(k, [id_col])
+        for whole in batches:
+            for lo in range(0, whole.num_rows, rows_per_block):
+                batch = whole.slice(lo, rows_per_block)
+                corpus = unit_rows(_as_matrix(batch.column(vec_col)))
+                dist = np.round(1.0 - query_unit @ corpus.T, decimals)      # (Q, B)
+                dist[np.isnan(dist)] = np.inf
+                kk = min(k, dist.shape[1])
+                kth = np.partition(dist, kk - 1, axis=1)[:, kk - 1:kk]
+                qi, ci = np.nonzero((dist <= kth) & np.isfinite(dist))
+                d = dist[qi, ci]
+                ids = batch.column(id_col)
+                keep = first_k(qi, d, [c[ci] for c in _sort_keys([ids])], k)
+                best.add(qi[keep], d[keep], pa.table({id_col: ids.take(pa.array(ci[keep]))}))
+        if best.qi is not None:
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(query_ids[best.qi], pa.int64()), best.rows.column(id_col).combine_chunks().cast(pa.int64()),
+                 pa.array(best.dist, pa.float64())], names=["qid", "cid", "distance"])
 
     return run
 
 
-def _near_topk(dist: np.ndarray, k: int, decimals: int, margin: float):
-    """(query idx, corpus idx) of the k nearest per query row of ``dist``
-    (inf = not a candidate), plus anything within ``margin`` of the k-th
-    rounded distance so a different rounding rule downstream cannot change
-    the exact top-k. ``dist`` is (Q, B)."""
-    dist_r = np.round(dist, decimals)
-    kk = min(k, dist.shape[1])
-    kth = np.partition(dist_r, kk - 1, axis=1)[:, kk - 1:kk]
-    qi, ci = np.nonzero((dist_r <= kth + margin) & np.isfinite(dist_r))
-    return qi, ci
-
-
-def _reduce_topk(qi, ci, dist, k, decimals, margin):
-    """Keep, per query, the k nearest candidates (plus near-ties within
-    ``margin`` of the k-th rounded distance)."""
-    if len(qi) == 0:
-        return qi, ci, dist
-    dr = np.round(dist, decimals)
-    order = np.lexsort((dr, qi))
-    qi, ci, dist, dr = qi[order], ci[order], dist[order], dr[order]
-    starts = np.r_[0, np.flatnonzero(np.diff(qi)) + 1]
-    sizes = np.diff(np.r_[starts, len(qi)])
-    kth_pos = starts + np.minimum(sizes, k) - 1
-    kth = np.repeat(dr[kth_pos], sizes)
-    keep = dr <= kth + margin
-    return qi[keep], ci[keep], dist[keep]
+def pair_sums(cells: np.ndarray, weights: np.ndarray, n_cells: int) -> tuple[np.ndarray, np.ndarray]:
+    """(cell, summed weight) of the cells that occur. Sorting costs more per pair,
+    a full array more per cell; the cheaper of the two is taken."""
+    if len(cells) * 8 < n_cells:
+        found, place = np.unique(cells, return_inverse=True)
+        return found, np.bincount(place, weights=weights, minlength=len(found))
+    sums = np.bincount(cells, weights=weights, minlength=n_cells)
+    found = np.flatnonzero(sums)
+    return found, sums[found]
 
 
 def lexical_kernel(vocab: list, term_ptr: np.ndarray, term_q: np.ndarray, term_w: np.ndarray,
-                   q_norm: np.ndarray, k: int, key_cols: list, tokens_col: str = "tokens",
+                   q_norm: np.ndarray, k: int, key_cols: list, carried_cols: list = (), tokens_col: str = "tokens",
                    decimals: int = 6, fanout_block: int = 4_000_000, query_keys=None):
     """mapInArrow function: term-count cosine of each chunk against a
     broadcast query block.
@@ -98,60 +118,51 @@ def lexical_kernel(vocab: list, term_ptr: np.ndarray, term_q: np.ndarray, term_w
     The query block is a term-indexed sparse matrix: for term ``t`` the
     queries ``term_q[term_ptr[t]:term_ptr[t+1]]`` hold it with counts
     ``term_w[...]``; ``q_norm`` is sqrt of each query's summed squared counts.
-    Per batch, chunk term counts and norms come from Arrow dictionary
-    encoding and one sorted-unique pass; each (chunk, term) pair is expanded
-    only to the queries containing the term and summed with ``bincount`` --
-    the work is the true join fan-out, in bounded slices. Dot products are
-    exact integers. Only chunks sharing a term with a query are candidates;
-    each batch emits at most its per-query top-k (plus rounding ties). With
-    ``query_keys`` (Arrow table, row i = query i) the key columns are emitted
-    instead of the query index ``_q``.
+    Chunk term counts and norms come from Arrow dictionary encoding and one
+    sorted-unique pass; each (chunk, term) pair is expanded only to the queries
+    that hold the term, and only pairs with a common term are scored, in blocks
+    of about ``fanout_block`` expansions. Dot products are exact integers. A task
+    emits exactly its min(k, candidates) nearest chunks per query, by (distance
+    rounded to ``decimals``, ``key_cols``), with ``key_cols`` and
+    ``carried_cols``. With ``query_keys`` (Arrow table, row i = query i) the key
+    columns are emitted instead of the query index ``_q``.
     """
     import pandas as pd
-    import pyarrow.compute as pc
 
     index = pd.Index(vocab)
     nq = len(q_norm)
-    margin = 2 * 10.0 ** -decimals
+    columns = list(key_cols) + [c for c in carried_cols if c not in key_cols]
     rows_per_block = max(1, min(4096, fanout_block // max(1, nq)))
 
     def run(batches):
-        # running top-k over every batch of the task: the task emits at most
-        # queries x k rows (plus ties), once, at the end of its partition
-        best = None  # (qi, dist, pa.Table of carried columns)
+        best = Best(k, list(key_cols))
         for batch in batches:
-            parts = [score(batch.slice(lo, rows_per_block), lo) for lo in range(0, batch.num_rows, rows_per_block)]
-            parts = [p for p in parts if p is not None]
-            if not parts:
-                continue
-            qi, ci, dist = (np.concatenate(x) for x in zip(*parts))
-            qi, ci, dist = _reduce_topk(qi, ci, dist, k, decimals, margin)
-            rows = pa.Table.from_batches([batch.select(list(key_cols)).take(pa.array(ci))])
-            if best is not None:
-                qi = np.concatenate([best[0], qi])
-                dist = np.concatenate([best[1], dist])
-                rows = pa.concat_tables([best[2], rows])
-            keep_q, keep_i, keep_d = _reduce_topk(qi, np.arange(len(qi)), dist, k, decimals, margin)
-            best = (keep_q, keep_d, rows.take(pa.array(keep_i)))
-        if best is None or len(best[0]) == 0:
+            table = pa.Table.from_batches([batch.select(columns)])
+            for lo in range(0, batch.num_rows, rows_per_block):
+                part = batch.slice(lo, rows_per_block)
+                for qi, ci, dist in score(part):
+                    keys = _sort_keys([part.column(c) for c in key_cols])
+                    keep = first_k(qi, dist, [c[ci] for c in keys], k)
+                    best.add(qi[keep], dist[keep], table.take(pa.array(ci[keep] + lo)))
+        if best.qi is None:
             return
-        qi, dist, rows = best
         if query_keys is None:
-            q_cols, q_names = [pa.array(qi.astype(np.int32))], ["_q"]
+            q_cols, q_names = [pa.array(best.qi.astype(np.int32))], ["_q"]
         else:
-            qt = pa.array(qi)
+            qt = pa.array(best.qi)
             q_cols = [query_keys.column(c).take(qt).combine_chunks() for c in query_keys.column_names]
             q_names = list(query_keys.column_names)
-        cols = [rows.column(c).combine_chunks() for c in key_cols]
-        yield pa.RecordBatch.from_arrays(q_cols + cols + [pa.array(dist, pa.float64())],
-                                         names=q_names + list(key_cols) + ["distance"])
+        cols = [best.rows.column(c).combine_chunks() for c in columns]
+        yield pa.RecordBatch.from_arrays(q_cols + cols + [pa.array(best.dist, pa.float64())],
+                                         names=q_names + columns + ["distance"])
 
-    def score(part, offset):
+    def score(part):
+        """(query, row of part, rounded distance) of the pairs with a common term."""
         n = part.num_rows
         toks = part.column(tokens_col)
         flat = toks.flatten()
         if n == 0 or len(flat) == 0:
-            return None
+            return
         rows = pc.list_parent_indices(toks).to_numpy().astype(np.int64)
         # hash tokens in Arrow (C++); only the block dictionary becomes Python
         enc = pc.dictionary_encode(flat)
@@ -165,32 +176,24 @@ def lexical_kernel(vocab: list, term_ptr: np.ndarray, term_q: np.ndarray, term_w
         c2 = np.bincount(r_u, weights=tf.astype(np.float64) ** 2, minlength=n)
         qv = index.get_indexer(uniq)[c_u]
         sel = qv >= 0
-        if not sel.any():
-            return None
         r_s, v_s, tf_s = r_u[sel], qv[sel], tf[sel].astype(np.float64)
         fan = term_ptr[v_s + 1] - term_ptr[v_s]
         cum = np.cumsum(fan)
-        dots = np.zeros(n * nq)
         lo = 0
-        while lo < len(v_s):
+        while lo < len(v_s):  # whole rows, about fanout_block expansions
             base = cum[lo - 1] if lo else 0
-            hi = max(lo + 1, int(np.searchsorted(cum, base + fanout_block, side="right")))
+            hi = int(np.searchsorted(cum, base + fanout_block, side="right"))
+            hi = int(np.searchsorted(r_s, r_s[max(hi - 1, lo)], side="right")) if hi < len(v_s) else len(v_s)
             f = fan[lo:hi]
             total = int(f.sum())
             if total:
                 firsts = np.repeat(term_ptr[v_s[lo:hi]], f)
-                within = np.arange(total) - np.repeat(np.cumsum(f) - f, f)
-                slot = firsts + within
-                key = np.repeat(r_s[lo:hi], f) * nq + term_q[slot]
-                dots += np.bincount(key, weights=term_w[slot] * np.repeat(tf_s[lo:hi], f), minlength=n * nq)
+                slot = firsts + np.arange(total) - np.repeat(np.cumsum(f) - f, f)
+                row0, span = int(r_s[lo]), int(r_s[hi - 1]) - int(r_s[lo]) + 1
+                cells, dots = pair_sums(np.repeat(r_s[lo:hi] - row0, f) * nq + term_q[slot],
+                                        term_w[slot] * np.repeat(tf_s[lo:hi], f), span * nq)
+                qi, ci = cells % nq, cells // nq + row0
+                yield qi, ci, np.round(1.0 - dots / (q_norm[qi] * np.sqrt(c2[ci])), decimals)
             lo = hi
-        dots = dots.reshape(n, nq).T                                  # (Q, n), exact integers
-        with np.errstate(invalid="ignore", divide="ignore"):
-            dist = 1.0 - dots / (q_norm[:, None] * np.sqrt(c2)[None, :])
-        dist = np.where(dots > 0, dist, np.inf)
-        qi, ci = _near_topk(dist, k, decimals, margin)
-        if len(qi) == 0:
-            return None
-        return qi, ci + offset, dist[qi, ci]
 
     return run

@@ -24,6 +24,40 @@ def test_lexical_kernel_equals_sql(spark):
     assert a.count() == 5 * q.count()
 
 
+def test_ties_leave_exactly_k_rows_per_task(spark):
+    # 10,000 equal chunks in one partition, keys not in order, some NULL
+    ch = spark.range(10_000).select(((F.col("id") * 7919) % 10_000).alias("id")).coalesce(1).select(
+        F.when(F.col("id") != 4, F.col("id")).alias("doc_id"), F.lit(0).alias("chunk_index"),
+        F.lit("same words here").alias("text"))
+    q = spark.createDataFrame([(1, "same words"), (2, "here"), (3, "none")], "item_id long, text string")
+    from docmill.functions.text import tokens
+    body = ch.select("doc_id", "chunk_index", tokens("text").alias("tokens"))
+    tbl = q.select("item_id", tokens("text").alias("_tokens")).toArrow()
+    emitted = RT._lexical_block(tbl, body, "item_id long, doc_id long, chunk_index int, distance double", ["item_id"],
+                                ["doc_id", "chunk_index"], [], 3)
+    assert emitted.groupBy("item_id").count().collect() and emitted.count() == 6
+    out = {m: RT.lexical_topk(q, ch, k=3, carry=["text"], method=m) for m in ("kernel", "sql")}
+    assert out["kernel"].columns == out["sql"].columns
+    rows = {m: sorted(str(r) for r in df.collect()) for m, df in out.items()}
+    assert rows["kernel"] == rows["sql"]
+    assert [r.doc_id for r in out["kernel"].where("item_id = 1").orderBy("rank").collect()] == [None, 0, 1]
+    small = RT.lexical_topk(q, ch, k=3, carry=["text"], max_block_queries=1)  # several query blocks
+    assert sorted(str(r) for r in small.collect()) == rows["kernel"]
+
+
+def test_dense_ties_leave_exactly_k_rows(spark):
+    corpus = spark.createDataFrame([(i, [1.0, 2.0]) for i in range(50, 0, -1)], "cid long, vec array<double>").coalesce(1)
+    q = spark.createDataFrame([(7, [1.0, 2.0])], "qid long, vec array<double>")
+    assert [(r.cid, r.rank) for r in RT.dense_topk(q, corpus, k=2).orderBy("rank").collect()] == [(1, 1), (2, 2)]
+    import numpy as np
+    import pyarrow as pa
+
+    from docmill.functions.vectors import topk_kernel
+    batch = pa.RecordBatch.from_arrays([pa.array(range(50)), pa.array([[1.0, 2.0]] * 50)], names=["cid", "vec"])
+    out = list(topk_kernel(np.array([7]), RT.unit_rows(np.array([[1.0, 2.0]])), 2)(iter([batch, batch])))
+    assert sum(b.num_rows for b in out) == 2
+
+
 def test_lexical_blank_query_and_carry(spark):
     ch = spark.createDataFrame([(1, 0, "alpha beta", "s1"), (1, 1, "gamma", "s1"), (2, 0, "beta beta", "s2"),
                                 (3, 0, "1234 !!", "s3")], "doc_id long, chunk_index int, text string, source string")
@@ -73,7 +107,7 @@ def test_retrieval_plans(spark):
     plan = plan_text(RT.lexical_topk(q, ch, k=5, q_keys=["item_id"], q_text="query"))
     assert "MapInArrow" in plan and "WindowGroupLimit" in plan
     sql_plan = plan_text(RT.lexical_topk_sql(q, ch, k=5, q_keys=["item_id"], q_text="query"))
-    assert "BroadcastHashJoin" in sql_plan and "WindowGroupLimit" in sql_plan
+    assert "BroadcastHashJoin" in sql_plan and "WindowGroupLimit" in sql_plan and "MapInArrow" not in sql_plan
 
 
 def test_encoder_contract_feeds_dense_topk(spark):
