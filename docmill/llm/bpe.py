@@ -26,10 +26,10 @@ import base64
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from docmill.llm.common import carried, map_text
+from docmill.llm.common import Memory, carried, map_text
 
-#: Remembered entries per task (stretches; pieces and pairs have the same bound).
-REMEMBER = 400_000
+#: Remembered entries per task: stretches between spaces, pieces, entry pairs.
+STRETCHES, PIECES, PAIRS = 150_000, 60_000, 100_000
 
 ENCODED = [T.StructField("n_tokens", T.LongType()), T.StructField("ids", T.BinaryType())]
 DECODED = [T.StructField("decoded", T.BinaryType())]
@@ -97,7 +97,7 @@ class Vocabulary:
         pair = (left, right)
         ok = self.known.get(pair)
         if ok is None:
-            if len(self.known) > REMEMBER:
+            if len(self.known) > PAIRS:
                 self.known.clear()
             ok = self.known[pair] = self._fits(left, right)
         return ok
@@ -131,20 +131,6 @@ class Vocabulary:
                 at -= lengths[entry]
 
 
-class _Bounded(dict):
-    """A memory of ``make(key)`` that starts anew beyond ``REMEMBER`` entries."""
-
-    def __init__(self, make):
-        super().__init__()
-        self.make = make
-
-    def __missing__(self, key):
-        if len(self) >= REMEMBER:
-            self.clear()
-        value = self[key] = self.make(key)
-        return value
-
-
 class Encoder:
     """Text to ids as little-endian unsigned 32-bit integers."""
 
@@ -152,10 +138,9 @@ class Encoder:
         import regex
         self.find = regex.compile(pattern).findall
         self.vocabulary = vocabulary
-        self.piece = _Bounded(lambda p: b"".join(
-            i.to_bytes(4, "little") for i in vocabulary.encode_piece(p.encode("utf-8"))))
-        self.first = _Bounded(self.stretch)
-        self.later = _Bounded(lambda s: self.stretch(" " + s))
+        self.piece = Memory(lambda p: b"".join(
+            i.to_bytes(4, "little") for i in vocabulary.encode_piece(p.encode("utf-8"))), PIECES)
+        self.later = Memory(lambda s: self.stretch(" " + s), STRETCHES)
 
     def stretch(self, text: str) -> bytes:
         return b"".join(map(self.piece.__getitem__, self.find(text)))
@@ -169,7 +154,7 @@ class Encoder:
         if "  " in s or " \n" in s or not s.replace("\n", "").isprintable():
             return self.stretch(s)
         head, *rest = s.split(" ")
-        return self.first[head] + b"".join(map(self.later.__getitem__, rest))
+        return self.stretch(head) + b"".join(map(self.later.__getitem__, rest))
 
 
 def encode(df: DataFrame, ranks_path: str, pattern: str, text: str = "text",

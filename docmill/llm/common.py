@@ -15,7 +15,7 @@ from pyspark.sql import types as T
 from docmill.session import checkpoint_dir
 
 #: Bytes of text a kernel sees at once (one longer text is seen alone).
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 2 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -31,6 +31,18 @@ def written(df: DataFrame, name: str, compression: str = "zstd") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def filtered(df: DataFrame, text: str, fields: list[T.StructField], make_kernel, condition) -> DataFrame:
+    """The rows of ``df``, all columns unchanged, whose kernel ``fields`` meet
+    ``condition`` (a Column; ``__row`` is the struct of the other columns)."""
+    others = [c for c in df.columns if c != text]
+    inner = df.select(F.struct(F.lit(0), *[F.col(quoted(c)) for c in others]).alias("__row"),
+                      F.col(quoted(text)).alias("__text"))
+    good = map_text(inner, "__text", fields, make_kernel, ["__row"], "__body").where(condition)
+    kind = df.schema[text].dataType
+    return good.select(*[F.col("__body").cast(kind).alias(c) if c == text else F.col("__row").getField(c).alias(c)
+                         for c in df.columns])
+
+
 def quoted(name: str) -> str:
     return "`" + name.replace("`", "``") + "`"
 
@@ -54,12 +66,14 @@ def slices(texts: pa.Array, limit: int = SLICE_BYTES):
 
 
 def map_text(df: DataFrame, text: str, fields: list[T.StructField], make_kernel,
-             keep: list[str]) -> DataFrame:
+             keep: list[str], body_as: str | None = None) -> DataFrame:
     """``keep`` columns of ``df`` plus ``fields``, which a kernel computes from
     the text column. ``make_kernel()`` runs once per task and returns a function
     from a list of UTF-8 texts (None for NULL) to one value list (or Arrow
-    array) per field. Rows stay in their partition; no shuffle."""
-    schema = T.StructType([df.schema[c] for c in keep] + fields)
+    array) per field. ``body_as`` names a column that gives the text's bytes back,
+    so that it travels once. Rows stay in their partition; no shuffle."""
+    back = [T.StructField(body_as, T.BinaryType())] if body_as else []
+    schema = T.StructType([df.schema[c] for c in keep] + fields + back)
     src = df.select(*[F.col(quoted(c)) for c in keep],
                     F.col(quoted(text)).cast("binary").alias("__docmill_text"))
     names = [f.name for f in schema]
@@ -75,7 +89,8 @@ def map_text(df: DataFrame, text: str, fields: list[T.StructField], make_kernel,
                 made = [m if isinstance(m, (pa.Array, pa.ChunkedArray)) else pa.array(m, type=k)
                         for m, k in zip(made, kinds)]
                 kept = [batch.column(i).slice(a, b - a) for i in range(len(keep))]
-                yield pa.RecordBatch.from_arrays(kept + made, names=names)
+                same = [body.slice(a, b - a)] if body_as else []
+                yield pa.RecordBatch.from_arrays(kept + made + same, names=names)
 
     return src.mapInArrow(run, schema)
 
@@ -179,17 +194,8 @@ class Rolling:
             return mix((self.sums[length:] - self.sums[:n]) * self.back[:n] + np.uint64(length))
 
 
-class WordHashes:
-    """64-bit word hashes, remembered for up to ``limit`` words."""
-
-    def __init__(self, limit: int = 400_000):
-        import xxhash
-        self.limit, self.seen, self.digest = limit, {}, xxhash.xxh3_64_intdigest
-
-    def __call__(self, words: list[bytes]) -> np.ndarray:
-        seen, digest = self.seen, self.digest
-        if len(seen) > self.limit:
-            seen.clear()
-        out = np.fromiter((seen[w] if w in seen else seen.setdefault(w, digest(w)) for w in words),
-                          dtype=np.uint64, count=len(words))
-        return out
+def word_hashes(words) -> np.ndarray:
+    """64-bit hashes of words, equal in every process. (A look-up in a large
+    memory of known words takes longer than the hash itself.)"""
+    from xxhash import xxh3_64_intdigest
+    return np.fromiter(map(xxh3_64_intdigest, words), dtype=np.uint64)

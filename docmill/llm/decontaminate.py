@@ -23,7 +23,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from docmill.functions.sizing import collect_if_within
-from docmill.llm.common import Rolling, WordHashes, carried, map_text, normal_words, quoted, written
+from docmill.llm.common import (Rolling, carried, filtered, map_text, mix, normal_words, quoted, word_hashes,
+                                written)
 
 WINDOW = 13
 MAX_BROADCAST_ROWS, MAX_BROADCAST_BYTES = 500_000, 32 << 20
@@ -54,7 +55,6 @@ def build_index(items: list[tuple[str, bytes]], window: int) -> dict:
 
 def _scanner(index: dict):
     """A kernel over UTF-8 texts for an index of ``build_index``."""
-    from docmill.llm.common import mix
     get = index["vocab"].get
     codes = mix(np.arange(1, len(index["vocab"]) + 2, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
     by_length: dict[int, np.ndarray] = {}
@@ -117,22 +117,27 @@ def contamination(docs: DataFrame, items: DataFrame, text: str = "text", item_id
     output) plus n_words, hit_spans (word ranges [start, end) covered by an
     item's window) and items (sorted ids of items with a window here)."""
     keep = carried(docs, [f.name for f in FIELDS]) if keep is None else keep
+    wanted, index = _benchmark(items, item_id, item_text, window, max_rows, max_bytes)
+    if index is None:
+        return hits_by_join(docs, wanted, text, window, keep)
+    return map_text(docs, text, FIELDS, lambda: _scanner(index.value), keep)
+
+
+def _benchmark(items: DataFrame, item_id: str, item_text: str, window: int, max_rows: int, max_bytes: int):
+    """(item, body) rows, and their broadcast index if they are within the bound."""
     wanted = items.select(F.col(quoted(item_id)).cast("string").alias("item"),
                           F.col(quoted(item_text)).cast("binary").alias("body")).where("item is not null")
     size = F.coalesce(F.octet_length("body"), F.lit(0)) + F.octet_length("item")
     small = collect_if_within(wanted, size, max_rows, max_bytes)
     if small is None:
-        return hits_by_join(docs, wanted, text, window, keep)
-    index = docs.sparkSession.sparkContext.broadcast(
-        build_index(list(zip(small.column("item").to_pylist(), small.column("body").to_pylist())), window))
-    return map_text(docs, text, FIELDS, lambda: _scanner(index.value), keep)
+        return wanted, None
+    index = build_index(list(zip(small.column("item").to_pylist(), small.column("body").to_pylist())), window)
+    return wanted, items.sparkSession.sparkContext.broadcast(index)
 
 
 def _hashed(lengths: list[int], item_side: bool, window: int):
     """Kernel: the windows of a text with two independent 64-bit hashes."""
     def make():
-        hashes = WordHashes()
-
         def kernel(texts):
             counts, rows = [], []
             for t in texts:
@@ -140,7 +145,7 @@ def _hashed(lengths: list[int], item_side: bool, window: int):
                 counts.append(len(words))
                 out = []
                 if words:
-                    h = hashes(words)
+                    h = word_hashes(words)
                     one, two = Rolling(h), Rolling(h ^ (h << np.uint64(17)) ^ np.uint64(0xD6E8FEB86659FD93))
                     for length in ([min(window, len(words))] if item_side else lengths):
                         a, b = one.windows(length).view(np.int64), two.windows(length).view(np.int64)
@@ -196,11 +201,15 @@ def is_contaminated(hit, words):
     return (hit > 0) & (hit * 20 >= words)
 
 
-def decontaminate(docs: DataFrame, items: DataFrame, text: str = "text", **options) -> DataFrame:
+def decontaminate(docs: DataFrame, items: DataFrame, text: str = "text", item_id: str = "item_id",
+                  item_text: str = "text", window: int = WINDOW, max_rows: int = MAX_BROADCAST_ROWS,
+                  max_bytes: int = MAX_BROADCAST_BYTES) -> DataFrame:
     """``docs`` without the documents that the rule calls contaminated."""
-    kept = list(docs.columns)
-    inner = docs.select(F.struct(*[F.col(quoted(c)) for c in kept]).alias("__doc"),
-                        F.col(quoted(text)).alias("__body"))
-    found = contamination(inner, items, text="__body", keep=["__doc"], **options)
-    clean = found.where(~is_contaminated(n_hit(), F.col("n_words")))
-    return clean.select(*[F.col("__doc").getField(c).alias(c) for c in kept])
+    clean = ~is_contaminated(n_hit(), F.col("n_words"))
+    wanted, index = _benchmark(items, item_id, item_text, window, max_rows, max_bytes)
+    if index is not None:
+        return filtered(docs, text, FIELDS, lambda: _scanner(index.value), clean)
+    rows = docs.select(F.struct(F.lit(0), *[F.col(quoted(c)) for c in docs.columns]).alias("__doc"),
+                       F.col(quoted(text)).alias("__body"))
+    found = hits_by_join(rows, wanted, "__body", window, ["__doc"]).where(clean)
+    return found.select(*[F.col("__doc").getField(c).alias(c) for c in docs.columns])

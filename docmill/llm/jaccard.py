@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from docmill.functions.sizing import maybe_broadcast
-from docmill.llm.common import Rolling, WordHashes, map_text, normal_words, quoted, written
+from docmill.llm.common import Rolling, map_text, mix, normal_words, quoted, word_hashes, written
 
 SHINGLE, THRESHOLD, TARGET_RECALL, ROWS = 5, 0.8, 0.9999, 6
 #: Members and shingles of one side of a verification block.
@@ -53,12 +53,12 @@ def choose_bands(threshold: float = THRESHOLD, recall: float = TARGET_RECALL, ro
     return math.ceil(math.log(1 - recall) / math.log(1 - threshold ** rows)), rows
 
 
-def shingle_sets(words: list[list[bytes]], hashes: WordHashes, n: int = SHINGLE):
+def shingle_sets(words: list[list[bytes]], n: int = SHINGLE):
     """Shingle hashes of all texts in a row and the number of each text's."""
     counts = np.array([len(w) for w in words], dtype=np.int64)
     if not counts.sum():
         return np.zeros(0, dtype=np.uint64), np.zeros(len(words), dtype=np.int64)
-    rolled = Rolling(hashes([w for ws in words for w in ws]))
+    rolled = Rolling(word_hashes(w for ws in words for w in ws))
     sizes = np.where(counts >= n, counts - n + 1, np.minimum(counts, 1))
     length = np.repeat(np.minimum(counts, n), sizes)
     first = np.repeat(np.cumsum(counts) - counts, sizes)
@@ -68,7 +68,6 @@ def shingle_sets(words: list[list[bytes]], hashes: WordHashes, n: int = SHINGLE)
 
 def band_hashes(shingles: np.ndarray, sizes: np.ndarray, bands: int, rows: int) -> np.ndarray:
     """(texts, bands) band hashes; texts without shingles have arbitrary ones."""
-    from docmill.llm.common import mix
     seeds = mix(np.arange(1, 2 * bands * rows + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
     factor, offset = seeds[0::2] | np.uint64(1), seeds[1::2]
     out = np.zeros((len(sizes), bands), dtype=np.uint64)
@@ -87,10 +86,8 @@ def band_hashes(shingles: np.ndarray, sizes: np.ndarray, bands: int, rows: int)
 
 def _signatures(bands: int, rows: int, with_sets: bool):
     def make():
-        hashes = WordHashes()
-
         def kernel(texts):
-            shingles, sizes = shingle_sets([normal_words(t) for t in texts], hashes)
+            shingles, sizes = shingle_sets([normal_words(t) for t in texts])
             keys = band_hashes(shingles, sizes, bands, rows).view(np.int64)
             if not with_sets:
                 return [[k.tolist() if n else [] for k, n in zip(keys, sizes)], sizes.tolist()]

@@ -40,7 +40,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from docmill.functions.sizing import maybe_broadcast
-from docmill.llm.common import Rolling, WordHashes, carried, map_text, plain_words, quoted, slices, written
+from docmill.llm.common import Rolling, carried, map_text, plain_words, quoted, slices, word_hashes, written
 
 WINDOW, SEED = 35, 8
 
@@ -75,7 +75,7 @@ def _listed(values: dict[str, np.ndarray], struct: T.StructType, doc: np.ndarray
     return pa.ListArray.from_arrays(pa.array(offsets), rows)
 
 
-def parse(words: list[list[bytes]], hashes: WordHashes, window: int, seed: int):
+def parse(words: list[list[bytes]], window: int, seed: int):
     """Blocks of each document (distinct ones; ``times`` is 2 for one found more
     than once) and the places of windows that repeat inside it."""
     counts = np.array([len(w) for w in words], dtype=np.int64)
@@ -84,7 +84,7 @@ def parse(words: list[list[bytes]], hashes: WordHashes, window: int, seed: int):
     if n < window:
         return (_listed({f.name: none for f in _BLOCK.fields}, _BLOCK, none, docs),
                 _listed({f.name: none for f in _PLACE.fields}, _PLACE, none, docs))
-    rolled = Rolling(hashes([w for ws in words for w in ws]))
+    rolled = Rolling(word_hashes(w for ws in words for w in ws))
     seeds = rolled.windows(seed)
     anchor = anchors(seeds, window - seed + 1)
     doc = np.repeat(np.arange(docs), counts)
@@ -122,10 +122,9 @@ def _window_hashes(rows: DataFrame, window: int) -> DataFrame:
                            T.StructField("times", T.LongType()), T.StructField("windows", T.ArrayType(T.LongType()))])
 
     def run(batches):
-        hashes = WordHashes()
         for batch in batches:
             for text, todo in zip(batch.column(0), batch.column(1)):
-                h, out = hashes(plain_words(text.as_py())), []
+                h, out = word_hashes(plain_words(text.as_py())), []
                 for t in todo.as_py():
                     part = Rolling(h[t["at"]:t["at"] + t["n"] + window - 1])
                     out.append((t["seed"], t["block"], t["times"], part.windows(window).view(np.int64)))
@@ -200,8 +199,7 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     rows = docs.select(*key, F.struct(F.lit(0), *[F.col(quoted(c)) for c in keep]).alias("doc"), body.alias("text"))
 
     def make():
-        hashes = WordHashes()
-        return lambda texts: parse([plain_words(t) for t in texts], hashes, window, seed)
+        return lambda texts: parse([plain_words(t) for t in texts], window, seed)
 
     parsed = written(map_text(docs.select(*key, body.alias("text")), "text", PARSED, make, ["k1", "k2"]), "blocks")
     blocks = parsed.select("k1", "k2", F.explode("blocks").alias("b")).select("k1", "k2", "b.*")

@@ -18,14 +18,15 @@ one step per level, without decoding anything else; 16-bit vocabularies need two
 levels. The container is written and read by Spark, so any store Spark reaches
 works, and a lost executor's files are written again by its task.
 
-Documents stand in ascending doc_id order (NULL first; equal doc_ids by text
-hash, then text, then scan order). NULL and empty texts have only the end id. A
+Documents stand in ascending doc_id order (NULL first; equal doc_ids in scan
+order). NULL and empty texts have only the end id. A
 document is never split over segments. Repeated rows are kept as they are.
 """
 
 from __future__ import annotations
 
 import re
+import struct
 import uuid
 import zlib
 
@@ -42,7 +43,7 @@ from docmill.session import checkpoint_dir
 SEGMENT_TOKENS, SEGMENT_DOCS = 1 << 20, 4096
 DIRECTORY_BITS = 512
 #: Remembered words per worker (up to twice as many).
-REMEMBER = 500_000
+REMEMBER = 700_000
 
 SEGMENT = T.StructType([
     T.StructField("part", T.LongType()), T.StructField("seg", T.LongType()),
@@ -146,7 +147,7 @@ class WordEncoder:
 
     def whole(self, text: bytes) -> bytes:
         ids = self.tokenizer.encode(text.decode("utf-8"), add_special_tokens=False).ids
-        return np.array(ids, dtype="<u4").tobytes()
+        return struct.pack(f"<{len(ids)}I", *ids)
 
     def stretch(self, word: bytes) -> bytes:
         if word[-1] in b".,;:!?" and word[-2:-1].isalpha():
@@ -163,13 +164,13 @@ class WordEncoder:
 def write(docs: DataFrame, tokenizer_json: str, end_id: int, path: str, doc_id: str = "doc_id",
           text: str = "text") -> None:
     """Write the ids of ``docs`` as a store at ``path``. One range shuffle by
-    (doc_id, text hash, text size, scan order); each range is encoded and packed
-    by one task. Extra columns are ignored."""
+    (doc_id, scan order), so a hot doc_id is split; each range is encoded and
+    packed by one task. Extra columns are ignored."""
     spark = docs.sparkSession
     body = F.col(quoted(text)).cast("binary")
     rows = docs.select(F.col(quoted(doc_id)).cast("long").alias("doc_id"), body.alias("text"),
-                       F.xxhash64(body).alias("h"), F.monotonically_increasing_id().alias("o"))
-    order = ["doc_id", "h", "o"]
+                       F.monotonically_increasing_id().alias("o"))
+    order = ["doc_id", "o"]
     rows = rows.repartitionByRange(*order).sortWithinPartitions(*order) \
         .select("doc_id", "text", F.spark_partition_id().cast("long").alias("part"))
     model = spark.sparkContext.broadcast(tokenizer_json)

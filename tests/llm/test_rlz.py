@@ -9,7 +9,6 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from docmill.llm import rlz
-from docmill.llm.common import WordHashes
 from odd_rows import texts  # noqa: F401 (fixtures)
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -77,7 +76,7 @@ def test_odd_rows(spark, texts):
 def test_equal_windows_share_seed_and_place(docs):
     """Every window lies in one block, and equal windows have one seed and one
     place from their anchor."""
-    blocks, _ = rlz.parse(docs, WordHashes(), 6, 3)
+    blocks, _ = rlz.parse(docs, 6, 3)
     total = 0
     for words, rows in zip(docs, blocks.to_pylist()):
         windows = max(0, len(words) - 5)
