@@ -329,6 +329,13 @@ def _statements() -> dict[str, str]:
                              " SELECT qkey AS item_id, rank, doc_id, chunk_index, round(distance, 6) AS distance FROM b_top")
     s["retrieve_dense"] = (_with(CENTROIDS) + " SELECT qid, rank, cid, round(distance, 6) AS distance FROM ("
                            "SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(distance, 6), cid) AS rank FROM sc) WHERE rank <= 5")
+    s["ann_recall"] = """
+WITH v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+d AS (SELECT a.vec_id AS qid, b.vec_id AS cid, round(1 - list_dot_product(a.e, b.e)
+             / (sqrt(list_dot_product(a.e, a.e)) * sqrt(list_dot_product(b.e, b.e))), 6) + 0.0 AS distance
+      FROM v a, v b WHERE a.vec_id < 100)
+SELECT qid, cid AS best_cid, abs(distance) AS distance, true AS recall_ok
+FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY distance, cid) AS r FROM d) WHERE r = 1"""
     ctx5 = _with(CHUNKS_CTE, CHUNK_TERMS, lexical("b_", "benchmark", "item_id", "text", 5))
     s["context"] = ctx5 + " SELECT qkey AS item_id, context FROM b_ctx"
     s["cited_sources"] = (ctx5 + " SELECT qkey AS item_id, array_to_string(list_sort(list_distinct("

@@ -142,6 +142,21 @@ def test_ivf_recall_grows_with_nprobe(spark):
     assert shares[0] < shares[1] < shares[2]
 
 
+def test_ivf_default_reaches_recall_and_carries(spark):
+    emb = table(spark, "/root/testdata/sf0.01", "embeddings")
+    corpus = emb.select(F.col("vec_id").alias("cid"), F.col("embedding").alias("vec"), F.col("label").alias("source"))
+    odd = spark.createDataFrame([(10**6, None, 1), (10**6 + 1, [0.0] * 64, 1)], corpus.schema)
+    qs = emb.where("vec_id < 60").select(F.col("vec_id").alias("qid"), F.col("embedding").alias("vec"))
+    index = RT.ivf_index(corpus.unionByName(odd), carry=["source"])
+    assert len(index.centers) == int(corpus.count() ** 0.5) and index.cells.count() == corpus.count()
+    approx, cand = RT.ivf_search(qs, index, k=5)
+    exact = {(r.qid, r.cid) for r in RT.dense_topk(qs, corpus, k=5).collect()}
+    rows = approx.collect()
+    labels = {r.cid: r.source for r in corpus.select("cid", "source").collect()}
+    assert all(r.source == labels[r.cid] for r in rows)
+    assert len({(r.qid, r.cid) for r in rows} & exact) >= 0.9 * len(exact)
+
+
 def test_lexical_kernel_blocks_are_exact():
     import pyarrow as pa
 
