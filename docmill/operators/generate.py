@@ -99,6 +99,17 @@ def feature_rows(df: DataFrame, keys: Sequence[str], texts: Sequence[str],
     return df.select(*keys, F.inline(det))
 
 
+def feature_map(queries: DataFrame, contexts: DataFrame, keys: Sequence[str], query_col: str = "query",
+                keywords=rules.FEATURE_KEYWORDS, spec_rules=rules.SPEC_RULES) -> DataFrame:
+    """Per query with a context and detected feature: keys..., feature_ord,
+    feature, source_docs (the context's cited sources, sorted) and specifications
+    (of that feature, in rule order). Narrow but for the join on the query keys."""
+    both = queries.select(*keys, query_col).join(contexts.select(*keys, "context"), list(keys))
+    found = both.select(*keys, "context", F.inline(detected_features([F.col("context"), F.col(query_col)], keywords)))
+    return found.select(*keys, "feature_ord", "feature", cited_sources(F.col("context")).alias("source_docs"),
+                        spec_list(F.col("feature"), F.col("context"), spec_rules).alias("specifications"))
+
+
 # ---------------------------------------------------------------------------
 # D5-D9, D11
 

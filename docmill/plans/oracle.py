@@ -229,9 +229,9 @@ START_TAG = r"<([a-zA-Z][^\t\n\r\f />]*)"
 # ---------------------------------------------------------------------------
 # statements
 
-def _corpus_spec_list(feature: str, text: str) -> str:
+def _corpus_spec_list(feature: str, text: str, spec_rules=R.CORPUS_SPEC_RULES) -> str:
     items = []
-    for feat, needles, spec in R.CORPUS_SPEC_RULES:
+    for feat, needles, spec in spec_rules:
         cond = [f"{feature} = {q(feat)}"]
         for needle, cs in needles:
             cond.append(f"contains({text}, {q(needle)})" if cs else f"contains(lower({text}), {q(needle.lower())})")
@@ -349,6 +349,14 @@ FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY distance, cid) AS r
     spec = _corpus_spec_list("feature", "text")
     s["spec_rules"] = (_with(fd) + f" SELECT doc_id, feature, array_to_string({spec}, ' | ') AS specs, "
                        f"CAST(len({spec}) AS BIGINT) AS n_specs FROM fd")
+    flags = _feature_flags(["c.context", "s.query"], R.CASE_KEYWORDS)
+    per = " UNION ALL ".join(
+        f"SELECT s.item_id, CAST({i} AS BIGINT) AS feature_ord, {q(name)} AS feature, c.context FROM requests s "
+        f"JOIN t_ctx c ON c.qkey = s.item_id WHERE {flag}" for i, ((name, _), flag) in enumerate(zip(R.CASE_KEYWORDS, flags)))
+    s["feature_map"] = (_with(*CASE_CTES, f"fm AS ({per})")
+                        + " SELECT item_id, feature_ord, feature, array_to_string(list_sort(list_distinct(regexp_extract_all("
+                          "context, '\\[Source: ([^\\]]+)\\]', 1))), ', ') AS source_docs, "
+                          f"array_to_string({_corpus_spec_list('feature', 'context', R.CASE_SPECS)}, ' | ') AS specifications FROM fm")
     s["test_cases"] = (BENCH_CASES + " SELECT qkey AS item_id, test_id, feature, test_scenario, expected_result, grounded_in, "
                        "test_type, array_to_string(steps, chr(10)) AS steps FROM t_cases")
     s["test_cases_default"] = s["test_cases"].replace(BENCH_CASES, DEFAULT_CASES)

@@ -68,6 +68,13 @@ CASE_TEMPLATES = [
     ("french", "positive", "Shopping cart in French", "Fill the cart", "It is full", ["Add", "Count"]),
     ("spanish", "negative", "Payment in Spanish", "Pay nothing", "Nothing is paid", ["Say \"no\"", "Don't pay"]),
 ]
+CASE_SPECS = [
+    ("english", [(" of the ", False)], "English of something"),
+    ("english", [("Th", True), ("and", False)], "English with a capital"),
+    ("german", [("Ö", True)], "German capital umlaut"),
+    ("french", [("é", False)], "French accents"),
+    ("spanish", [("ñ", False), ("Ó", True)], "Spanish letters"),
+]
 # Slot defaults of the families for the driver pages: some slots resolve there
 # (PAGE_SLOTS), some don't.
 CASE_SLOTS = [
@@ -305,6 +312,14 @@ def q_spec_rules(spark, sf):
                         F.size(specs).cast("long").alias("n_specs"))
 
 
+def q_feature_map(spark, sf):
+    q = case_queries(spark, sf)
+    out = generate.feature_map(q, contexts(spark, sf, TEST_K, q), ["item_id"], keywords=CASE_KEYWORDS,
+                               spec_rules=CASE_SPECS)
+    return out.select("item_id", _long("feature_ord"), "feature", F.array_join("source_docs", ", ").alias("source_docs"),
+                      F.array_join("specifications", " | ").alias("specifications"))
+
+
 def _test_cases(spark, sf):
     q = case_queries(spark, sf)
     return generate.test_cases(q, contexts(spark, sf, TEST_K, q), ["item_id"], keywords=CASE_KEYWORDS,
@@ -682,6 +697,7 @@ QUERIES: dict[str, Query] = {
     "cited_sources": q_cited_sources,
     "feature_detect": q_feature_detect,
     "spec_rules": q_spec_rules,
+    "feature_map": q_feature_map,
     "test_cases": q_test_cases,
     "test_cases_default": q_test_cases_default,
     "case_lookup": q_case_lookup,
