@@ -13,7 +13,6 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-CANDIDATE_SCHEMA = "qid long, cid long, distance double"
 
 
 def _as_matrix(list_array: pa.Array) -> np.ndarray:
@@ -70,9 +69,11 @@ class Best:
 
 
 def topk_kernel(query_ids: np.ndarray, query_unit: np.ndarray, k: int, id_col: str = "cid",
-                vec_col: str = "vec", decimals: int = 6, block_cells: int = 4_000_000):
+                vec_col: str = "vec", carry=(), decimals: int = 6, block_cells: int = 4_000_000):
     """mapInArrow function for one broadcast query block: exactly the k nearest
-    vectors per query of the task, by (distance rounded to ``decimals``, key)."""
+    vectors per query of the task, by (distance rounded to ``decimals``, key),
+    with their ``carry`` columns."""
+    columns = [id_col, *carry]
     rows_per_block = max(1, block_cells // max(1, len(query_ids)))
 
     def run(batches):
@@ -87,13 +88,14 @@ def topk_kernel(query_ids: np.ndarray, query_unit: np.ndarray, k: int, id_col: s
                 kth = np.partition(dist, kk - 1, axis=1)[:, kk - 1:kk]
                 qi, ci = np.nonzero((dist <= kth) & np.isfinite(dist))
                 d = dist[qi, ci]
-                ids = batch.column(id_col)
-                keep = first_k(qi, d, [c[ci] for c in _sort_keys([ids])], k)
-                best.add(qi[keep], d[keep], pa.table({id_col: ids.take(pa.array(ci[keep]))}))
+                keep = first_k(qi, d, [c[ci] for c in _sort_keys([batch.column(id_col)])], k)
+                rows = pa.Table.from_batches([batch.select(columns)])
+                best.add(qi[keep], d[keep], rows.take(pa.array(ci[keep])))
         if best.qi is not None:
+            kept = [best.rows.column(c).combine_chunks() for c in columns]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(query_ids[best.qi], pa.int64()), best.rows.column(id_col).combine_chunks().cast(pa.int64()),
-                 pa.array(best.dist, pa.float64())], names=["qid", "cid", "distance"])
+                [pa.array(query_ids[best.qi], pa.int64()), *kept, pa.array(best.dist, pa.float64())],
+                names=["qid", "cid", *carry, "distance"])
 
     return run
 

@@ -329,6 +329,16 @@ def _statements() -> dict[str, str]:
                              " SELECT qkey AS item_id, rank, doc_id, chunk_index, round(distance, 6) AS distance FROM b_top")
     s["retrieve_dense"] = (_with(CENTROIDS) + " SELECT qid, rank, cid, round(distance, 6) AS distance FROM ("
                            "SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(distance, 6), cid) AS rank FROM sc) WHERE rank <= 5")
+    def counts(x):
+        return "[" + ", ".join(f"2.0 * length({x}) - length(replace({x}, '{c}', '')) - length(replace({x}, '{c.upper()}', ''))"
+                               for c in R.LETTERS) + "]"
+    s["retrieve_encoded"] = (_with(CHUNKS_CTE, f"ev AS (SELECT doc_id, chunk_index, filename, text, {counts('text')} AS e FROM chunks)",
+                                   f"qv AS (SELECT item_id, {counts('text')} AS e FROM benchmark)",
+                                   "ed AS (SELECT item_id, doc_id, chunk_index, filename, text, round(1 - list_dot_product(qv.e, ev.e) "
+                                   "/ (sqrt(list_dot_product(qv.e, qv.e)) * sqrt(list_dot_product(ev.e, ev.e))), 6) AS distance FROM qv, ev "
+                                   "WHERE list_dot_product(ev.e, ev.e) > 0)")
+                             + " SELECT item_id, rank, filename AS source, distance, md5(text) AS text_md5 FROM (SELECT *, row_number() OVER "
+                               "(PARTITION BY item_id ORDER BY distance, doc_id, chunk_index) AS rank FROM ed) WHERE rank <= 5")
     s["ann_recall"] = """
 WITH v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
 d AS (SELECT a.vec_id AS qid, b.vec_id AS cid, round(1 - list_dot_product(a.e, b.e)

@@ -286,6 +286,30 @@ def q_ann_recall(spark, sf):
         "qid", F.col("cid").alias("best_cid"), F.abs("distance").alias("distance"), "recall_ok")
 
 
+def letter_counts(texts: list[str]):
+    """A model-free encoder for the encoder contract: how often each of the
+    letters a-z occurs, in either case."""
+    import numpy as np
+    return np.array([[t.count(c) + t.count(c.upper()) for c in LETTERS] for t in texts], dtype=np.float32)
+
+
+LETTERS = "abcdefghijklmnopqrstuvwxyz"
+
+
+def q_retrieve_encoded(spark, sf):
+    """Items and chunks through the encoder contract, then exact dense retrieval
+    with the chunks' sources and texts."""
+    from docmill.operators.encode import encode
+    key = (F.col("doc_id") * 1_000_000 + F.col("chunk_index")).alias("cid")
+    chunks = chunk_table(spark, sf).select(key, "filename", "text")
+    corpus = encode(chunks, ["cid", "filename", "text"], "text", letter_counts, dim=len(LETTERS))
+    asked = encode(benchmark_queries(spark, sf), ["item_id"], "query", letter_counts, dim=len(LETTERS))
+    top = retrieve.dense_topk(asked.select(F.col("item_id").alias("qid"), F.col("embedding").alias("vec")),
+                              corpus.withColumnRenamed("embedding", "vec"), carry=["filename", "text"])
+    return top.select(F.col("qid").alias("item_id"), _long("rank"), F.col("filename").alias("source"), "distance",
+                      F.md5(F.col("text").cast("binary")).alias("text_md5"))
+
+
 def q_context(spark, sf):
     return contexts(spark, sf, retrieve.DEFAULT_K).select("item_id", "context")
 
@@ -691,6 +715,7 @@ QUERIES: dict[str, Query] = {
     "kb_sources": q_kb_sources,
     "retrieve_lexical": q_retrieve_lexical,
     "retrieve_dense": q_retrieve_dense,
+    "retrieve_encoded": q_retrieve_encoded,
     "retrieve_ann": q_retrieve_ann,
     "ann_recall": q_ann_recall,
     "context": q_context,
