@@ -16,6 +16,8 @@ from docmill.session import checkpoint_dir
 
 #: Bytes of text a kernel sees at once (one longer text is seen alone).
 SLICE_BYTES = 2 << 20
+#: Bytes of an Arrow batch between the JVM and a Python worker.
+BATCH_BYTES = 8 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -65,6 +67,14 @@ def slices(texts: pa.Array, limit: int = SLICE_BYTES):
         start, base = stop, int(ends[stop - 1])
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Arrow batches of texts hold ``BATCH_BYTES`` at most, so that long texts
+    don't add up in a worker: lowered for the session where it has Spark's default."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(key) == "67108864b":
+        spark.conf.set(key, str(BATCH_BYTES))
+
+
 def map_text(df: DataFrame, text: str, fields: list[T.StructField], make_kernel,
              keep: list[str], body_as: str | None = None) -> DataFrame:
     """``keep`` columns of ``df`` plus ``fields``, which a kernel computes from
@@ -72,6 +82,7 @@ def map_text(df: DataFrame, text: str, fields: list[T.StructField], make_kernel,
     from a list of UTF-8 texts (None for NULL) to one value list (or Arrow
     array) per field. ``body_as`` names a column that gives the text's bytes back,
     so that it travels once. Rows stay in their partition; no shuffle."""
+    small_batches(df.sparkSession)
     back = [T.StructField(body_as, T.BinaryType())] if body_as else []
     schema = T.StructType([df.schema[c] for c in keep] + fields + back)
     src = df.select(*[F.col(quoted(c)) for c in keep],

@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from docmill.functions.sizing import maybe_broadcast
-from docmill.llm.common import Memory, per_worker, quoted, slices
+from docmill.llm.common import Memory, per_worker, quoted, slices, small_batches
 from docmill.session import checkpoint_dir
 
 SEGMENT_TOKENS, SEGMENT_DOCS = 1 << 20, 4096
@@ -167,6 +167,7 @@ def write(docs: DataFrame, tokenizer_json: str, end_id: int, path: str, doc_id:
     (doc_id, scan order), so a hot doc_id is split; each range is encoded and
     packed by one task. Extra columns are ignored."""
     spark = docs.sparkSession
+    small_batches(spark)
     body = F.col(quoted(text)).cast("binary")
     rows = docs.select(F.col(quoted(doc_id)).cast("long").alias("doc_id"), body.alias("text"),
                        F.monotonically_increasing_id().alias("o"))
