@@ -258,8 +258,8 @@ def join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold:
     links = linked.groupBy("cid").agg(F.sum("n").alias("n_links"))
     group = components(linked.where("cid != root").select("cid", "root").distinct())
     ids = classes.select("cid", "class_id", "n_copies")
-    least = group.join(ids, "cid").groupBy("root").agg(F.min("class_id").alias("group_id"))
-    facts = ids.join(links, "cid", "left").join(group.join(least, "root").select("cid", "group_id"), "cid", "left")
+    least = written(group.join(ids, "cid").groupBy("root").agg(F.min("class_id").alias("group_id")), "groups")
+    facts = ids.join(links, "cid", "left").join(group.join(maybe_broadcast(least), "root").select("cid", "group_id"), "cid", "left")
     return signed.select("doc_id", "cid").join(maybe_broadcast(written(facts, "facts")), "cid", "left").select(
         "doc_id", "cid", F.when(F.col("cid").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"),
         F.coalesce("n_copies", F.lit(1)).cast("long").alias("n_copies"),
