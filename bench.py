@@ -68,6 +68,8 @@ def main() -> None:
     out = {"metric": "headline_total", "value": round(sum(timings.values()), 3), "unit": "sec",
            "queries": timings, "median": middle, "sf": float(m.group(1)) if m else sf_dir, "cpus": int(cpus), "runs": runs}
     print(json.dumps(out))
+    from docmill.session import remove_scratch
+    remove_scratch(spark)
     spark.stop()
 
 

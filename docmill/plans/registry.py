@@ -8,7 +8,6 @@ column is aliased, integers are BIGINT and floating results are rounded to
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -18,7 +17,7 @@ from docmill import rules
 from docmill.operators import generate, orders, pages, retrieve, scripts
 from docmill.plans.corpus import (benchmark_queries, case_queries, chunk_table, contexts, documents, retrieved,
                                   spread, table)
-from docmill.session import checkpoint_dir
+from docmill.session import scratch_path
 from docmill.sources import files, kb
 from docmill.sources.scratch import written
 
@@ -212,7 +211,7 @@ def _kb_rows(spark, sf):
 
 def _stored_kb(spark, sf):
     """The KB of ``documents``, built in a fresh shared folder and opened again."""
-    root = f"{checkpoint_dir(spark).rstrip('/')}/docmill-kb-{uuid.uuid4().hex}"
+    root = scratch_path(spark, "kb")
     kb.build(_kb_rows(spark, sf), root)
     return kb.open_kb(spark, root)
 

@@ -9,13 +9,11 @@ duplicating them; chunk ids are deterministic (source, chunk_index).
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docmill.operators import chunking
-from docmill.session import checkpoint_dir
+from docmill.session import scratch_path
 from docmill.sources import kb
 from docmill.sources.files import document_name
 
@@ -53,7 +51,7 @@ def run_incremental_ingest(spark: SparkSession, sf_dir: str, root: str | None =
     """Ingest ``documents`` of ``sf_dir`` through the stream into a KB at ``root``
     (default: a fresh folder under the shared checkpoint directory); return the
     KB as it reads afterwards."""
-    root = root or f"{checkpoint_dir(spark)}/incremental-ingest-{uuid.uuid4().hex}"
+    root = root or scratch_path(spark, "incremental-ingest")
     query = start_incremental_ingest(document_stream(spark, sf_dir), f"{root}/kb", f"{root}/_checkpoint")
     query.awaitTermination()
     return kb.open_kb(spark, f"{root}/kb")

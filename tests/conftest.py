@@ -14,11 +14,12 @@ FIXTURES = os.path.join(os.path.dirname(os.path.abspath(__file__)), "fixtures")
 
 @pytest.fixture(scope="session")
 def spark():
-    from docmill.session import checkpoint_dir, get_session
+    from docmill.session import checkpoint_dir, get_session, remove_scratch
     scratch = tempfile.mkdtemp(prefix="docmill-tests-")
     s = get_session("local[*]", 8, app_name="docmill-tests", extra={"spark.local.dir": scratch})
     checkpoint_dir(s)
     yield s
+    remove_scratch(s)
     s.stop()
 
 
