@@ -11,6 +11,7 @@ from docmill.llm import decontaminate as dc
 from docmill.llm import jaccard, licences, line_templates, pii, quality, rlz, sharding
 from docmill.llm import token_store as ts
 from docmill.llm.common import table
+from docmill.session import scratch_path
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -22,7 +23,7 @@ def op1_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
     with open(public_tokenizers.path("word_bpe_49k.json"), encoding="utf-8") as f:
         tokenizer = f.read()
-    path = ts.scratch_path(spark)
+    path = scratch_path(spark, "tokens")
     ts.write(documents(spark, sf_dir), tokenizer, 2, path)
     docs = ts.documents_of(ts.segments(spark, path))
     return docs.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))

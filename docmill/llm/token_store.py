@@ -27,7 +27,6 @@ from __future__ import annotations
 
 import re
 import struct
-import uuid
 import zlib
 
 import numpy as np
@@ -38,7 +37,6 @@ from pyspark.sql import types as T
 
 from docmill.functions.sizing import maybe_broadcast
 from docmill.llm.common import Memory, per_worker, quoted, slices, small_batches
-from docmill.session import checkpoint_dir
 
 SEGMENT_TOKENS, SEGMENT_DOCS = 1 << 20, 4096
 DIRECTORY_BITS = 512
@@ -276,7 +274,3 @@ def tokens_at(segs: DataFrame, positions: DataFrame, pos: str = "pos") -> DataFr
     return positions.join(found.withColumnRenamed("pos", "__pos"),
                           F.col(quoted(pos)).cast("long") == F.col("__pos"), "left").drop("__pos")
 
-
-def scratch_path(spark: SparkSession) -> str:
-    """A new store path in the cluster's shared folder."""
-    return f"{checkpoint_dir(spark).rstrip('/')}/docmill-tokens-{uuid.uuid4().hex}"

@@ -11,6 +11,7 @@ from hypothesis import strategies as st
 
 from docmill.llm import bpe, queries
 from docmill.llm import token_store as ts
+from docmill.session import scratch_path
 from odd_rows import docs, texts  # noqa: F401 (fixtures)
 
 SF = "/root/testdata/sf0.001"
@@ -66,7 +67,7 @@ def test_op1_matches_brute_force(spark, word_tokenizer):
 
 def test_store_of_odd_rows_and_random_access(spark, docs, word_tokenizer):
     with open(P.path("word_bpe_49k.json"), encoding="utf-8") as f:
-        path = ts.scratch_path(spark)
+        path = scratch_path(spark, "tokens")
         ts.write(docs, f.read(), 2, path)
     segs = ts.segments(spark, path)
     back = ts.documents_of(segs).orderBy("start").collect()
@@ -82,7 +83,7 @@ def test_store_of_odd_rows_and_random_access(spark, docs, word_tokenizer):
 
 def test_store_of_no_rows(spark, docs):
     with open(P.path("word_bpe_49k.json"), encoding="utf-8") as f:
-        path = ts.scratch_path(spark)
+        path = scratch_path(spark, "tokens")
         ts.write(docs.where("false"), f.read(), 2, path)
     assert ts.documents_of(ts.segments(spark, path)).count() == 0
 
