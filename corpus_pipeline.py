@@ -48,9 +48,9 @@ def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     and the hash of the bytes they decode to."""
     ship_package(spark)
     ranks = public_tokenizers.path("byte_bpe_50k.tiktoken")
-    coded = bpe.encode(docs, ranks, public_tokenizers.PATTERN, keep=["doc_id", "lang", "source"])
-    return bpe.decode(coded, ranks).select("doc_id", "lang", "source", "n_tokens", "ids",
-                                           F.sha2("decoded", 256).alias("decoded_sha256"))
+    coded = bpe.round_trip(docs, ranks, public_tokenizers.PATTERN, keep=["doc_id", "lang", "source"])
+    return coded.select("doc_id", "lang", "source", "n_tokens", "ids",
+                        F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
 STAGES = [("quality rules", quality_rules), ("line dedup", line_dedup), ("n-gram Jaccard join", near_duplicates),

@@ -157,38 +157,59 @@ class Encoder:
         return self.stretch(head) + b"".join(map(self.later.__getitem__, rest))
 
 
+def _encoding(ranks, pattern: str):
+    """A kernel from texts to (n_tokens, ids)."""
+    encoder = Encoder(Vocabulary(ranks), pattern)
+
+    def kernel(texts):
+        ids = [encoder(t) for t in texts]
+        return [[len(i) // 4 for i in ids], ids]
+
+    return kernel
+
+
+def _decoding(ranks):
+    """A kernel from ids to their bytes."""
+    import numpy as np
+    entries = {rank: entry for entry, rank in ranks.items()}
+
+    def kernel(rows):
+        return [[b"".join(map(entries.__getitem__, np.frombuffer(r or b"", dtype="<u4").tolist())) for r in rows]]
+
+    return kernel
+
+
 def encode(df: DataFrame, ranks_path: str, pattern: str, text: str = "text",
            keep: list[str] | None = None) -> DataFrame:
     """``keep`` columns (default: all but the text) plus n_tokens and ids (binary,
     little-endian unsigned 32-bit integers). ``ranks_path`` is read on the driver."""
     keep = carried(df, ["n_tokens", "ids"], [text]) if keep is None else keep
     ranks = df.sparkSession.sparkContext.broadcast(read_ranks(ranks_path))
-
-    def make():
-        encoder = Encoder(Vocabulary(ranks.value), pattern)
-
-        def kernel(texts):
-            ids = [encoder(t) for t in texts]
-            return [[len(i) // 4 for i in ids], ids]
-
-        return kernel
-
-    return map_text(df, text, ENCODED, make, keep)
+    return map_text(df, text, ENCODED, lambda: _encoding(ranks.value, pattern), keep)
 
 
 def decode(df: DataFrame, ranks_path: str, ids: str = "ids", keep: list[str] | None = None) -> DataFrame:
     """``keep`` columns (default: all) plus decoded (the bytes of the ids)."""
     keep = carried(df, ["decoded"]) if keep is None else keep
     ranks = df.sparkSession.sparkContext.broadcast(read_ranks(ranks_path))
+    return map_text(df, ids, DECODED, lambda: _decoding(ranks.value), keep)
+
+
+def round_trip(df: DataFrame, ranks_path: str, pattern: str, text: str = "text",
+               keep: list[str] | None = None) -> DataFrame:
+    """``encode`` and then ``decode`` of its ids in one worker: ``keep`` columns
+    plus n_tokens, ids and decoded. (As two steps of a plan they take two Python
+    workers per task.)"""
+    keep = carried(df, ["n_tokens", "ids", "decoded"], [text]) if keep is None else keep
+    ranks = df.sparkSession.sparkContext.broadcast(read_ranks(ranks_path))
 
     def make():
-        import numpy as np
-        entries = {rank: entry for entry, rank in ranks.value.items()}
+        encoding, decoding = _encoding(ranks.value, pattern), _decoding(ranks.value)
 
-        def kernel(rows):
-            return [[b"".join(map(entries.__getitem__, np.frombuffer(r or b"", dtype="<u4").tolist()))
-                     for r in rows]]
+        def kernel(texts):
+            n_tokens, ids = encoding(texts)
+            return [n_tokens, ids, *decoding(ids)]
 
         return kernel
 
-    return map_text(df, ids, DECODED, make, keep)
+    return map_text(df, text, ENCODED + DECODED, make, keep)

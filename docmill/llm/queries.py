@@ -45,8 +45,7 @@ def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Byte-level BPE ids of every document and the bytes they decode to."""
     import public_tokenizers
     ranks = public_tokenizers.path("byte_bpe_50k.tiktoken")
-    coded = bpe.encode(documents(spark, sf_dir), ranks, public_tokenizers.PATTERN, keep=["doc_id"])
-    back = bpe.decode(coded, ranks)
+    back = bpe.round_trip(documents(spark, sf_dir), ranks, public_tokenizers.PATTERN, keep=["doc_id"])
     return back.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"),
                        F.sha2("decoded", 256).alias("decoded_sha256"))
 

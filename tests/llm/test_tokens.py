@@ -118,6 +118,9 @@ def test_bpe_round_trip_of_odd_rows(spark, docs, reference_bpe):
         assert bytes(r["decoded"]) == (r["text"] or "").encode()
         assert np.frombuffer(r["ids"], "<u4").tolist() == reference_bpe.encode_ordinary(r["text"] or "")
     assert bpe.encode(docs.where("false"), RANKS, P.PATTERN).count() == 0
+    both = bpe.round_trip(docs, RANKS, P.PATTERN, keep=["doc_id"])
+    apart = bpe.decode(bpe.encode(docs, RANKS, P.PATTERN, keep=["doc_id"]), RANKS)
+    assert sorted(str(r) for r in both.collect()) == sorted(str(r) for r in apart.collect())
 
 
 def test_op4_matches_brute_force(spark, reference_bpe):
