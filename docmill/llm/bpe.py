@@ -22,14 +22,16 @@ independent: repeated rows and extra columns are carried as they are.
 from __future__ import annotations
 
 import base64
+import zlib
 
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from docmill.llm.common import Memory, carried, map_text
+from docmill.llm.common import Memory, carried, map_text, per_worker
 
-#: Remembered entries per task: stretches between spaces, pieces, entry pairs.
-STRETCHES, PIECES, PAIRS = 150_000, 60_000, 100_000
+#: Remembered entries per worker (up to twice as many): stretches between spaces,
+#: pieces; entry pairs.
+STRETCHES, PIECES, PAIRS = 200_000, 60_000, 100_000
 
 ENCODED = [T.StructField("n_tokens", T.LongType()), T.StructField("ids", T.BinaryType())]
 DECODED = [T.StructField("decoded", T.BinaryType())]
@@ -159,7 +161,8 @@ class Encoder:
 
 def _encoding(ranks, pattern: str):
     """A kernel from texts to (n_tokens, ids)."""
-    encoder = Encoder(Vocabulary(ranks), pattern)
+    key = "bpe", zlib.crc32(repr(sorted(ranks.items(), key=lambda x: x[1])).encode()), pattern
+    encoder = per_worker(key, lambda: Encoder(Vocabulary(ranks), pattern))
 
     def kernel(texts):
         ids = [encoder(t) for t in texts]
