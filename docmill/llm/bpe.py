@@ -31,7 +31,7 @@ from docmill.llm.common import Memory, carried, map_text, per_worker
 
 #: Remembered entries per worker (up to twice as many): stretches between spaces,
 #: pieces; entry pairs.
-STRETCHES, PIECES, PAIRS = 200_000, 60_000, 100_000
+STRETCHES, PIECES, PAIRS = 120_000, 40_000, 60_000
 
 ENCODED = [T.StructField("n_tokens", T.LongType()), T.StructField("ids", T.BinaryType())]
 DECODED = [T.StructField("decoded", T.BinaryType())]
@@ -168,6 +168,7 @@ def _encoding(ranks, pattern: str):
         ids = [encoder(t) for t in texts]
         return [[len(i) // 4 for i in ids], ids]
 
+    kernel.remembers = True
     return kernel
 
 
@@ -213,6 +214,7 @@ def round_trip(df: DataFrame, ranks_path: str, pattern: str, text: str = "text",
             n_tokens, ids = encoding(texts)
             return [n_tokens, ids, *decoding(ids)]
 
+        kernel.remembers = True
         return kernel
 
     return map_text(df, text, ENCODED + DECODED, make, keep)

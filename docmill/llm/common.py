@@ -91,6 +91,7 @@ def map_text(df: DataFrame, text: str, fields: list[T.StructField], make_kernel,
         from pyspark.sql.pandas.types import to_arrow_type
         kinds = [to_arrow_type(f.dataType) for f in fields]
         kernel = make_kernel()
+        forget_others(kernel)
         for batch in batches:
             body = batch.column(batch.num_columns - 1)
             for a, b in slices(body):
@@ -128,14 +129,21 @@ _WORKER: dict = {}
 
 def per_worker(key, make):
     """``make()``, once per key and Python worker: workers are reused by later
-    tasks, so what a kernel remembers stays warm. Holds the last two keys."""
+    tasks, so what a kernel remembers stays warm. Holds the last key only, so
+    that the memories of several operators never add up."""
     if key not in _WORKER:
-        while len(_WORKER) > 1:
-            del _WORKER[next(iter(_WORKER))]
+        _WORKER.clear()
         _WORKER[key] = make()
     return _WORKER[key]
 
 
+def forget_others(kernel) -> None:
+    """Drop what an earlier operator left in this worker, unless ``kernel`` is
+    one that remembers (it has replaced it already)."""
+    if not getattr(kernel, "remembers", False):
+        _WORKER.clear()
+
+
 # -- words and their hashes -------------------------------------------------
 
 #: Lower-cases A-Z and turns every ASCII byte but 0-9 and a-z into a space;
