@@ -123,17 +123,18 @@ def common_counts(sets: list[np.ndarray], columns: int = 4096) -> np.ndarray:
 
 
 def verify(cids: list[bytes], bands: np.ndarray, sets: list[np.ndarray], side: np.ndarray, band: int,
-           threshold: float):
-    """Links of a block: pairs from its two sides (any pair if it has one side)
-    whose first common band is ``band`` and whose similarity reaches the
-    threshold. Returns (cid, links, least cid of the block component)."""
+           crossed: bool, threshold: float):
+    """Links of a block: pairs from its two sides (any pair unless it is
+    ``crossed``) whose first common band is ``band`` and whose similarity reaches
+    the threshold. Returns (cid, links, least cid of the block component). A
+    crossed block with members on one side only has none: they meet in their own."""
     n = len(cids)
     same = bands[:, None, 0] == bands[None, :, 0] if band == 0 else None
     if band:  # no earlier band may be common
         same = bands[:, None, band] == bands[None, :, band]
         for earlier in range(band):
             same &= bands[:, None, earlier] != bands[None, :, earlier]
-    if (side != side[0]).any():
+    if crossed:
         same &= side[:, None] != side[None, :]
     np.fill_diagonal(same, False)
     if not same.any():
@@ -168,7 +169,7 @@ def _verify_groups(threshold: float):
                 return []
             return verify([r[0] for r in rows], np.stack([np.frombuffer(r[1], np.int64) for r in rows]),
                           [np.frombuffer(r[2], np.uint64) for r in rows],
-                          np.array([r[3] for r in rows]), key[0], threshold)
+                          np.array([r[3] for r in rows]), key[0], key[3] != key[4], threshold)
 
         def batch_of(found):
             return pa.RecordBatch.from_arrays(
@@ -219,7 +220,8 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold: float = THRESHOLD,
-         recall: float = TARGET_RECALL, rows: int = ROWS, block_rows: int = BLOCK_ROWS) -> DataFrame:
+         recall: float = TARGET_RECALL, rows: int = ROWS, block_rows: int = BLOCK_ROWS,
+         block_shingles: int = BLOCK_SHINGLES) -> DataFrame:
     """Per row of ``docs``: doc_id, cid (class key; NULL for a NULL text),
     class_id (least doc_id of the class), n_copies (its rows), n_links (other
     classes it is linked to) and group_id (least doc_id of all classes it is
@@ -246,7 +248,7 @@ def join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold:
         .where(F.col("doc_id").eqNullSafe(F.col("class_id"))).select("cid", "text")
     sets = map_text(texts, "text", SETS, _signatures(bands, rows, True), ["cid"]) \
         .groupBy("cid").agg(F.first("bands").alias("bands"), F.first("shingles").alias("shingles"))
-    blocks = F.greatest(F.ceil(F.col("m") / block_rows), F.ceil(F.col("weight") / BLOCK_SHINGLES)).cast("int")
+    blocks = F.greatest(F.ceil(F.col("m") / block_rows), F.ceil(F.col("weight") / block_shingles)).cast("int")
     dealt = members.withColumn("blocks", blocks) \
         .withColumn("mine", F.pmod(F.xxhash64("cid", F.lit(2)), F.col("blocks")).cast("int")) \
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))) \

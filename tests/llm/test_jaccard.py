@@ -90,6 +90,15 @@ def test_a_large_group_of_near_copies_in_blocks(spark, block_rows):
     same(spark, rows, block_rows=block_rows)
 
 
+def test_few_long_members_in_several_blocks(spark):
+    rows = []
+    for k in range(12):  # two members, so many shingles that they are dealt into two blocks or five
+        words = [f"p{k}w{i}" for i in range(150)]
+        rows += [(2 * k, " ".join(words)), (2 * k + 1, " ".join(words[:-1] + ["end"]))]
+    for block_shingles in (200, 60):
+        same(spark, rows, block_shingles=block_shingles)
+
+
 def test_odd_rows(spark, texts):
     rows = list(enumerate(texts)) + [(3, texts[3]), (None, "a b c"), (50, "A, b! c"), (51, "a b c"), (None, None),
                                      (52, "one"), (53, "ONE"), (54, "two three four five six"), (None, "only null id"),
