@@ -2,17 +2,21 @@
 
 Base spans come from fixed rules (email, ip, card, phone). The field then labels
 the *candidate tokens* of a document: stretches without white space that hold a
-digit or an @ (any other token has label O with certainty, so it cuts the chain
-and needs no variable). Its potentials are
+digit or an @, or equal the part before the @ of one of the document's base
+emails (any other token has label O with certainty, so it cuts the chain and
+needs no variable). Digit groups between blanks that together end like a base
+span are one candidate. Its potentials are
 
 * unary: shape features of the token and its neighbours,
 * chain: label pairs of adjacent candidate tokens,
 * skip: label pairs of distant tokens with an equal or similar key (the last
   seven digits, or the part before the @), which makes labels agree over the
-  whole document.
+  whole document, whatever the distance: each token is joined to the base spans
+  of its key, and the other tokens of a key to one shared variable.
 
 Base spans are evidence (their tokens are clamped). Loopy sum-product message
-passing runs a fixed number of rounds over all documents of a slice at once.
+passing runs over all documents of a slice at once, in each until its messages
+settle (``MAX_ROUNDS`` only ends messages that swing for ever).
 Tokens outside base spans whose marginal of a label reaches ``MIN_MARGINAL``
 become added spans; base spans always stay.
 
@@ -39,7 +43,7 @@ from docmill.llm.common import carried, map_text, quoted
 
 KINDS = ("email", "ip", "card", "phone")
 TRAIN_DOCS, TRAIN_TOKENS = 2000, 200
-ROUNDS, DAMPING, MIN_MARGINAL = 12, 0.5, 0.9
+DAMPING, SETTLED, MAX_ROUNDS, MIN_MARGINAL = 0.5, 1e-4, 2000, 0.9
 #: Prior mean of the skip potential of equal labels, and strength of the priors.
 AGREE, STRENGTH = 6.0, 0.02
 
@@ -142,41 +146,111 @@ def features(tokens: list[str], chained: list[bool]) -> np.ndarray:
     return x
 
 
+def _span_key(s: str, kind: str, a: int, b: int) -> str | None:
+    """The key of a base span's whole text, blanks included."""
+    digits = "" if kind == "email" else _DIGITS.sub("", s[a:b])
+    return key(s[a:b]) if kind == "email" else digits[-7:] if len(digits) >= 7 else None
+
+
+def _joined(s: str, spans: list, chained: list, labels: list, numbers: dict[str, list[str]]):
+    """``spans`` and ``chained`` with digit groups between blanks that end like a
+    base number (``numbers``: digits by key) as one span."""
+    digits = ["" if label or any(c.isalpha() or c == "@" for c in s[a:b]) else _DIGITS.sub("", s[a:b])
+              for (a, b), label in zip(spans, labels)]
+    firsts, floor = {}, 0
+    for i, (a, _) in enumerate(spans):
+        if not digits[i]:
+            floor = i + 1
+            continue
+        if i and s[spans[i - 1][1]:a].strip(" "):
+            floor = max(floor, i)
+        start, whole = i, digits[i]
+        while len(whole) < 7 and start > floor:
+            start -= 1
+            whole = digits[start] + whole
+        own = numbers.get(whole[-7:], ())
+        while start > floor and any(n.endswith((digits[start - 1] + whole).lstrip("0")) for n in own):
+            start -= 1
+            whole = digits[start] + whole
+        if own and start < i:
+            firsts[start], floor = i, i + 1
+    out, marks, i = [], [], 0
+    while i < len(spans):
+        end = firsts.get(i, i)
+        out.append((spans[i][0], spans[end][1]))
+        marks.append(chained[i])
+        i = end + 1
+    return out, marks
+
+
 def graph(s: str):
     """(spans, tokens, chained, skip links, base labels, base spans) of a text.
-    Skip links join each token to the next with its key, so their number is
-    linear in the tokens."""
+    Skip links join each token to the next with its key, and to a base span of
+    each kind with its key, so their number is linear in the tokens."""
     base = base_spans(s)
-    spans, tokens, chained = [], [], []
+    order = sorted(range(len(base)), key=lambda i: base[i][1])
+    local = {s[a:b].split("@")[0].lower() for kind, a, b in base if kind == "email"}
+    local = {x for x in local if len(x) >= 5}
+    spans, chained = [], []
     end = -2
     for m in _TOKEN.finditer(s):
-        if _HAS.search(m.group()):
-            a, b = m.span()
-            while a < b and s[a] in _EDGE and s[a] != "(":
-                a += 1
-            while a < b and s[b - 1] in _EDGE and s[b - 1] != ")":
-                b -= 1
-            chained.append(m.start() == end + 1)
-            end = m.end()
-            spans.append((a, b))
-            tokens.append(s[a:b] or m.group())
-    labels = [0] * len(spans)
-    order = sorted(range(len(base)), key=lambda i: base[i][1])
-    i = 0
-    for kind, a, b in (base[j] for j in order):
-        while i and spans[i - 1][1] > a:
-            i -= 1
-        while i < len(spans) and spans[i][0] < b:
-            if spans[i][1] > a:
-                labels[i] = labels[i] or 1 + KINDS.index(kind)
-            i += 1
-    last, links = {}, []
-    for i, t in enumerate(tokens):
-        k = key(t.strip("()"))
-        if k is not None:
-            if k in last:
-                links.append((last[k], i))
-            last[k] = i
+        a, b = m.span()
+        has = _HAS.search(m.group())
+        if not has and not local:
+            continue
+        while a < b and s[a] in _EDGE and s[a] != "(":
+            a += 1
+        while a < b and s[b - 1] in _EDGE and s[b - 1] != ")":
+            b -= 1
+        if not has and s[a:b].strip("()").lower() not in local:
+            continue
+        chained.append(m.start() == end + 1)
+        end = m.end()
+        spans.append((a, b))
+
+    def labelled():
+        labels, touched, i = [0] * len(spans), {}, 0
+        for j in order:
+            kind, a, b = base[j]
+            while i and spans[i - 1][1] > a:
+                i -= 1
+            while i < len(spans) and spans[i][0] < b:
+                if spans[i][1] > a:
+                    labels[i] = labels[i] or 1 + KINDS.index(kind)
+                    touched.setdefault(j, i)
+                i += 1
+        return labels, touched
+
+    labels, touched = labelled()
+    numbers: dict[str, list[str]] = {}
+    for kind, a, b in base:
+        k = _span_key(s, kind, a, b)
+        if k and kind in ("card", "phone"):
+            numbers.setdefault(k, []).append(_DIGITS.sub("", s[a:b]))
+    if numbers:
+        spans, chained = _joined(s, spans, chained, labels, numbers)
+        labels, touched = labelled()
+    tokens = [s[a:b] for a, b in spans]
+    keys = [key(t.strip("()")) for t in tokens]
+    anchors: dict[str, dict[int, int]] = {}  # by key, a token of each label
+    for i, k in enumerate(keys):
+        if k is not None and labels[i]:
+            anchors.setdefault(k, {}).setdefault(labels[i], i)
+    for j, i in touched.items():
+        k = _span_key(s, *base[j])
+        if k and labels[i] == 1 + KINDS.index(base[j][0]):
+            anchors.setdefault(k, {}).setdefault(labels[i], i)
+    last, links, linked = {}, [], set()
+    for i, k in enumerate(keys):
+        if k is None:
+            continue
+        if k in last:
+            links.append((last[k], i))
+            linked |= {(i, labels[last[k]]), (last[k], labels[i])}
+        last[k] = i
+    for i, k in enumerate(keys):
+        if k in anchors and not labels[i]:
+            links += [(j, i) for label, j in anchors[k].items() if (i, label) not in linked]
     return spans, tokens, chained, links, labels, base
 
 
@@ -206,8 +280,9 @@ class Field:
                 if g["chained"][i]:
                     before[at + i], after[at + i - 1] = one[y[at + i - 1]], one[y[at + i]]
             for i, j in g["links"]:
-                linked[at + i] += one[y[at + j]]
-                linked[at + j] += one[y[at + i]]
+                if (y[at + i] == 0) == (y[at + j] == 0):
+                    linked[at + i] += one[y[at + j]]
+                    linked[at + j] += one[y[at + i]]
                 unlabelled[at + i] |= y[at + i] == 0 != y[at + j]
                 unlabelled[at + j] |= y[at + j] == 0 != y[at + i]
             at += len(g["tokens"])
@@ -230,35 +305,70 @@ class Field:
 
 # -- inference ---------------------------------------------------------------
 
-def marginals(field: Field, unary: np.ndarray, chain: np.ndarray, skip: np.ndarray) -> np.ndarray:
-    """Sum-product beliefs after ``ROUNDS`` rounds; ``chain`` and ``skip`` are
-    (n, 2) arrays of node pairs."""
+def marginals(field: Field, unary: np.ndarray, chain: np.ndarray, skip: np.ndarray,
+              doc: np.ndarray | None = None) -> np.ndarray:
+    """Sum-product beliefs of settled messages; ``chain`` and ``skip`` are (n, 2)
+    arrays of node pairs. Messages of a document (``doc`` by node; None: one)
+    stop when none of them moves by ``SETTLED``, so that its beliefs don't depend
+    on the documents beside it."""
     pairs = np.concatenate([chain, skip]).astype(int)
-    if not len(pairs):
-        log = unary
-    else:
+    log = unary.copy()
+    if len(pairs):
         kinds = np.concatenate([np.zeros(len(chain), int), np.ones(len(skip), int)])
-        table = np.stack([field.chain, field.skip])[kinds]
-        source = np.concatenate([pairs[:, 0], pairs[:, 1]])
-        target = np.concatenate([pairs[:, 1], pairs[:, 0]])
-        table = np.concatenate([table, table.transpose(0, 2, 1)])
-        back = np.concatenate([np.arange(len(pairs)) + len(pairs), np.arange(len(pairs))])
-        m = np.zeros((len(source), unary.shape[1]))
-        for _ in range(ROUNDS):
-            log = unary.copy()
-            np.add.at(log, target, m)
-            into = (log[source] - m[back])[:, :, None] + table
-            top = into.max(axis=1, keepdims=True)
-            new = np.log(np.exp(into - top).sum(axis=1)) + top[:, 0]
-            new -= new.max(axis=1, keepdims=True)
-            m = DAMPING * m + (1 - DAMPING) * new
+        doc = (np.zeros(len(unary), int) if doc is None else doc)[pairs[:, 0]]
+        m = np.zeros((2, len(pairs), unary.shape[1]))  # to the second node, to the first
+        live = np.arange(len(pairs))
+        tables = np.stack([field.chain, field.skip])
+        tables = np.stack([tables, tables.transpose(0, 2, 1)])
+        for _ in range(MAX_ROUNDS):
+            p, own = pairs[live], m[:, live]
+            nodes, at = np.unique(p, return_inverse=True)
+            at = at.reshape(p.shape)
+            log = unary[nodes]
+            np.add.at(log, at[:, 1], own[0])
+            np.add.at(log, at[:, 0], own[1])
+            into = np.stack([log[at[:, 0]] - own[1], log[at[:, 1]] - own[0]])[..., None] + tables[:, kinds[live]]
+            top = into.max(axis=2, keepdims=True)
+            new = np.log(np.exp(into - top).sum(axis=2)) + top[:, :, 0]
+            new -= new.max(axis=2, keepdims=True)
+            moved = np.abs(new - own).max(axis=(0, 2)) > SETTLED
+            m[:, live] = DAMPING * own + (1 - DAMPING) * new
+            live = live[np.isin(doc[live], doc[live[moved]])]
+            if not len(live):
+                break
         log = unary.copy()
-        np.add.at(log, target, m)
+        np.add.at(log, pairs[:, 1], m[0])
+        np.add.at(log, pairs[:, 0], m[1])
     log = log - log.max(axis=1, keepdims=True)
     p = np.exp(log)
     return p / p.sum(axis=1, keepdims=True)
 
 
+def agreement(links: list[tuple[int, int]], labels: list[int]):
+    """(evidence, groups) of skip links: (token, label) for each link of a token
+    to one with a base label, and the sets of two or more tokens without one that
+    links join, directly or through labelled tokens."""
+    evidence, root = [], list(range(len(labels)))
+    for i, j in links:
+        if labels[i] and not labels[j]:
+            evidence.append((j, labels[i]))
+        elif labels[j] and not labels[i]:
+            evidence.append((i, labels[j]))
+    for i, j in links:
+        while root[i] != i:
+            root[i] = i = root[root[i]]
+        while root[j] != j:
+            root[j] = j = root[root[j]]
+        root[max(i, j)] = min(i, j)
+    groups: dict[int, list[int]] = {}
+    for i in {x for pair in links for x in pair if not labels[x]}:
+        r = i
+        while root[r] != r:
+            r = root[r]
+        groups.setdefault(r, []).append(i)
+    return evidence, [sorted(g) for _, g in sorted(groups.items()) if len(g) > 1]
+
+
 def _label(field: Field, texts: list[bytes | None]):
     """Spans of each text: base, and those that the field adds."""
     graphs = [graph(t.decode("utf-8")) if t and _HAS_BYTES.search(t) else None for t in texts]
@@ -272,8 +382,20 @@ def _label(field: Field, texts: list[bytes | None]):
         unary[clamped] = -50.0
         unary[clamped, labels[clamped]] = 0.0
         chain = [(at + i - 1, at + i) for at, g in zip(sizes, some) for i in range(1, len(g[1])) if g[2][i]]
-        skip = [(at + i, at + j) for at, g in zip(sizes, some) for i, j in g[3]]
-        p = marginals(field, unary, np.array(chain).reshape(-1, 2), np.array(skip).reshape(-1, 2))
+        doc = np.repeat(np.arange(len(some)), np.diff(sizes)).tolist()
+        skip, n = [], int(sizes[-1])
+        for k, (at, g) in enumerate(zip(sizes.tolist(), some)):
+            evidence, groups = agreement(g[3], g[4])
+            for i, label in evidence:
+                unary[at + i] += field.skip[label]
+            for group in groups:
+                if len(group) == 2:
+                    skip.append((at + group[0], at + group[1]))
+                else:  # one more node, to which all are joined
+                    skip += [(at + i, len(doc)) for i in group]
+                    doc.append(k)
+        unary = np.concatenate([unary, np.zeros((len(doc) - n, unary.shape[1]))])
+        p = marginals(field, unary, np.array(chain).reshape(-1, 2), np.array(skip).reshape(-1, 2), np.array(doc))[:n]
         best = np.where((p.max(axis=1) >= MIN_MARGINAL) & ~clamped, p.argmax(axis=1), 0)
         for at, g in zip(sizes, some):
             spans: list[list] = []

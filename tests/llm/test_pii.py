@@ -61,6 +61,41 @@ def test_field_learns_and_agrees_over_distance():
     assert alone == []
 
 
+def distant(s):
+    """Text of the spans that an untrained field adds to ``s``."""
+    return [s[r["start"]:r["end"]] for r in pii._label(pii.Field(), [s.encode()])[0][0] if not r["base"]]
+
+
+def test_every_mention_agrees_at_any_distance():
+    s = "Mail kim.lee7@mail.example.com today. " + "word kim.lee7 again. " * 60
+    assert distant(s) == ["kim.lee7"] * 60
+    assert distant("word kim.lee7 again. " * 60) == []
+    numbers = "Call +1 (988) 555-2485. " + "word 988-555-2485 again. " * 60
+    assert distant(numbers) == ["988-555-2485"] * 60
+
+
+def test_numbers_across_blanks_and_plain_local_parts():
+    s = "Call +44 20 7946 0958 or mail kim.lee@mail.example.com. In 2019 we said 020 7946 0958, and Kim.Lee heard it."
+    assert distant(s) == ["Kim.Lee", "020 7946 0958"]
+    assert distant("In 2019 we said 020 7946 0958, and Kim.Lee heard it.") == []
+    assert distant("Call +44 20 7946 0958. Then 7946 0958 or 2019 020 7946 0958 or 02079460958 or 7946, 0958.") \
+        == ["7946 0958", "020 7946 0958", "02079460958"]
+
+
+def test_messages_settle_along_a_long_chain():
+    field = pii.Field()
+    field.chain = 3.0 * np.eye(5)
+    n = 40
+    unary = np.zeros((n, 5))
+    unary[0, 1] = 9.0
+    want, step = [np.exp(unary[0])], np.exp(field.chain)
+    for _ in range(n - 1):  # exact: nothing but the first node has evidence
+        want.append(want[-1] @ step / (want[-1] @ step).sum())
+    chain = np.array([[i, i + 1] for i in range(n - 1)])
+    got = pii.marginals(field, unary, chain, np.zeros((0, 2)))
+    assert np.allclose(got[1:], want[1:], atol=1e-3)
+
+
 def test_messages_equal_exact_marginals_on_a_tree():
     rng = np.random.default_rng(5)
     field = pii.Field()
