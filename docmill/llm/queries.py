@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from docmill.llm import bpe
 from docmill.llm import decontaminate as dc
-from docmill.llm import jaccard, licences, line_templates, pii, quality, rlz, sharding
+from docmill.llm import jaccard, licences, line_templates, pii, quality, rlz, secret_scan, sharding
 from docmill.llm import token_store as ts
 from docmill.llm.common import table
 from docmill.session import scratch_path
@@ -114,9 +114,23 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.join(documents(spark, sf_dir)).select("doc_id", "class_id", "n_copies", "n_links", "group_id")
 
 
+def op11_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets of every document: base spans and stretches that look random."""
+    found = secret_scan.scan(documents(spark, sf_dir), keep=["doc_id"])
+    base = F.filter("spans", lambda s: s["kind"] != "random")
+
+    def count(kind: str):
+        return F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    return found.select("doc_id", *[count(kind) for kind in secret_scan.BASE_KINDS],
+                        F.sha2(pii.span_string(base), 256).alias("base_sha256"),
+                        pii.span_string(F.col("spans")).alias("spans"), count("random"))
+
+
 QUERIES = {
     "op10_jaccard_join": op10_jaccard_join,
     "op1_token_store": op1_token_store,
+    "op11_secret_scan": op11_secret_scan,
     "op2_rlz": op2_rlz,
     "op3_line_templates": op3_line_templates,
     "op4_bpe": op4_bpe,
