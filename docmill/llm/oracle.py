@@ -70,8 +70,25 @@ SELECT doc_id, CAST(coalesce(len(string_split(text, chr(10))), 0) AS BIGINT) AS
 FROM documents LEFT JOIN kept USING (doc_id)
 """
 
+_OP12 = f"""
+WITH d AS (SELECT doc_id, row_number() OVER () AS r, {_NORMAL} AS w FROM documents),
+s AS (SELECT count(*) AS n_docs, CAST(sum(len(w)) AS BIGINT) AS n_terms FROM d WHERE len(w) > 0),
+q AS (SELECT DISTINCT item_id, unnest({_NORMAL}) AS term FROM benchmark),
+p AS (SELECT r, any_value(doc_id) AS doc_id, any_value(n) AS n, term, count(*) AS tf
+      FROM (SELECT r, doc_id, CAST(len(w) AS BIGINT) AS n, unnest(w) AS term FROM d) GROUP BY r, term),
+f AS (SELECT term, count(*) AS df FROM p GROUP BY term),
+g AS (SELECT r, doc_id, term, (1000000000 * tf) // (1000 * tf + 20 * (50 + (50 * n * n_docs) // n_terms))
+             * CAST(floor(1000 * ln((2 * n_docs + 2) / (2 * df + 1))) AS BIGINT) AS impact
+      FROM p JOIN f USING (term), s),
+t AS (SELECT item_id, doc_id, CAST(sum(impact) AS BIGINT) AS score FROM q JOIN g USING (term) GROUP BY item_id, r, doc_id)
+SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM t WHERE score > 0)
+WHERE rank <= 50
+"""
+
 ORACLE_SQL: dict[str, str] = {
     "op3_line_templates": _OP3,
     "op2_rlz": _OP2,
+    "op12_max_sketch": _OP12,
     "op9_decontaminate": _OP9,
 }

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from docmill.llm import bpe
 from docmill.llm import decontaminate as dc
-from docmill.llm import jaccard, licences, line_templates, pii, quality, rlz, secret_scan, sharding
+from docmill.llm import jaccard, licences, line_templates, max_sketch, pii, quality, rlz, secret_scan, sharding
 from docmill.llm import token_store as ts
 from docmill.llm.common import table
 from docmill.session import scratch_path
@@ -127,10 +127,17 @@ def op11_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
                         pii.span_string(F.col("spans")).alias("spans"), count("random"))
 
 
+def op12_max_sketch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 50 best documents of each benchmark item."""
+    found = max_sketch.rank(documents(spark, sf_dir), table(spark, sf_dir, "benchmark"))
+    return found.select("item_id", "rank", "doc_id", "score")
+
+
 QUERIES = {
     "op10_jaccard_join": op10_jaccard_join,
     "op1_token_store": op1_token_store,
     "op11_secret_scan": op11_secret_scan,
+    "op12_max_sketch": op12_max_sketch,
     "op2_rlz": op2_rlz,
     "op3_line_templates": op3_line_templates,
     "op4_bpe": op4_bpe,
