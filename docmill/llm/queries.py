@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from docmill.llm import bpe
 from docmill.llm import decontaminate as dc
-from docmill.llm import jaccard, licences, line_templates, max_sketch, pii, quality, rlz, secret_scan, sharding
+from docmill.llm import jaccard, licences, line_templates, max_sketch, pii, quality, rlz, secret_scan, sharding, spelling
 from docmill.llm import token_store as ts
 from docmill.llm.common import table
 from docmill.session import scratch_path
@@ -133,11 +133,19 @@ def op12_max_sketch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("item_id", "rank", "doc_id", "score")
 
 
+def op13_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spelling variants among the words of all documents; the contract's slip
+    (a code point of every 97th run by hash) makes variants of its own."""
+    words = spelling.word_counts(documents(spark, sf_dir), slip_every=97)
+    return spelling.group(words)
+
+
 QUERIES = {
     "op10_jaccard_join": op10_jaccard_join,
     "op1_token_store": op1_token_store,
     "op11_secret_scan": op11_secret_scan,
     "op12_max_sketch": op12_max_sketch,
+    "op13_spelling": op13_spelling,
     "op2_rlz": op2_rlz,
     "op3_line_templates": op3_line_templates,
     "op4_bpe": op4_bpe,
