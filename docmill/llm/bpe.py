@@ -10,9 +10,13 @@ alone, so it is remembered; each position is entered a bounded number of times,
 which makes the walk linear in the piece. The result equals applying the merges
 in rank order.
 
-Text is cut into pieces by the public pattern; pieces (and stretches between
-single spaces, where cutting can't change the pieces) are remembered up to a
-bounded number of entries per task.
+Longest entries without overlap, taken from the left, are tried first: if all
+neighbours are compatible they are the answer.
+
+Text is cut into pieces by the public pattern. A single space between two
+characters that aren't white space always begins a piece, so the text between two
+such spaces is encoded by itself and remembered, up to a bounded number of entries
+per worker; stretches of letters need no pattern at all.
 
 Defined cases: NULL and empty texts have no ids and decode to no bytes; any
 Unicode text round-trips; text of special tokens is ordinary text. Rows are
@@ -29,9 +33,11 @@ from pyspark.sql import types as T
 
 from docmill.llm.common import Memory, carried, map_text, per_worker
 
-#: Remembered entries per worker (up to twice as many): stretches between spaces,
-#: pieces; entry pairs.
-STRETCHES, PIECES, PAIRS = 120_000, 40_000, 60_000
+#: Remembered entries per worker (up to twice as many): stretches between spaces;
+#: entry pairs.
+STRETCHES, PAIRS = 150_000, 300_000
+#: Marks that may end a word; a run of them is a piece of its own.
+_MARKS = ".,;:!?\"')]}"
 
 ENCODED = [T.StructField("n_tokens", T.LongType()), T.StructField("ids", T.BinaryType())]
 DECODED = [T.StructField("decoded", T.BinaryType())]
@@ -60,10 +66,23 @@ class Vocabulary:
                         for e in self.entries]
         self.merged: dict[tuple[int, int], int] = {}
         self.halves: list[tuple[int, int] | None] = [None] * len(self.entries)
-        self.known: dict[tuple[int, int], bool] = {}
         for rank in sorted(ranks.values()):
             self._find_halves(rank)
-        self.known.clear()
+        #: By left entry: whether right entries may follow it.
+        self.known: list[dict[int, bool]] = [{} for _ in self.entries]
+        self.pairs = 0
+        self.all_bytes = all(bytes([c]) in ranks for c in range(256))
+        #: The longest entry that begins each beginning of an entry.
+        self.begins: dict[str, int] = {}
+        for entry in sorted(ranks):
+            for n in range(1, len(entry) + 1):
+                own = ranks.get(entry[:n])
+                start = entry[:n].decode("latin-1")
+                if own is not None:
+                    self.begins[start] = own
+                elif start not in self.begins:
+                    self.begins[start] = self.begins.get(start[:-1], -1)
+        self.most = max(self.lengths)
 
     def _find_halves(self, rank: int) -> None:
         """The merge that makes this entry: the split into two lower-ranked
@@ -95,42 +114,62 @@ class Vocabulary:
             else:
                 return True
 
-    def fits(self, left: int, right: int) -> bool:
-        pair = (left, right)
-        ok = self.known.get(pair)
-        if ok is None:
-            if len(self.known) > PAIRS:
-                self.known.clear()
-            ok = self.known[pair] = self._fits(left, right)
+    def _learn(self, left: int, right: int) -> bool:
+        """Compatibility of a pair that isn't remembered, remembered now."""
+        if self.pairs >= PAIRS:
+            for row in self.known:
+                row.clear()
+            self.pairs = 0
+        self.pairs += 1
+        ok = self.known[left][right] = self._fits(left, right)
         return ok
 
     def encode_piece(self, piece: bytes) -> list[int]:
         whole = self.ranks.get(piece)
         if whole is not None:
             return [whole]
-        n, lengths, shorter, fits = len(piece), self.lengths, self.shorter, self.fits
-        longest = [0] * n
-        for end, rank in self.automaton.iter(piece.decode("latin-1")):
-            longest[end + 1 - lengths[rank]] = rank  # ends ascend: the longest entry stays
+        text, known = piece.decode("latin-1"), self.known
+        out = [rank for _, rank in self.automaton.iter_long(text)]
+        if not self.all_bytes and sum(map(self.lengths.__getitem__, out)) != len(piece):
+            raise ValueError("the vocabulary lacks a byte of the text")
+        last = out[0]
+        for i in range(1, len(out)):
+            entry = out[i]
+            ok = known[last].get(entry)
+            if not (self._learn(last, entry) if ok is None else ok):
+                return self._backtrack(text, out[:i], entry)
+            last = entry
+        return out
+
+    def _backtrack(self, text: str, out: list[int], entry: int) -> list[int]:
+        """Go on from compatible entries ``out`` and an ``entry`` that doesn't fit."""
+        n, lengths, shorter, known, learn = len(text), self.lengths, self.shorter, self.known, self._learn
+        begins, most, reach = self.begins, self.most, self.automaton.longest_prefix
         usable = bytearray(b"\x01") * (n + 1)
-        out: list[int] = []
-        at, entry = 0, longest[0]
+        at, last = sum(map(lengths.__getitem__, out)), out[-1]
+        entry = shorter[entry]
         while True:
-            last = out[-1] if out else -1
-            while entry >= 0 and not (usable[at + lengths[entry]] and (last < 0 or fits(last, entry))):
+            while entry >= 0:
+                if usable[at + lengths[entry]]:
+                    if last < 0:
+                        break
+                    ok = known[last].get(entry)
+                    if learn(last, entry) if ok is None else ok:
+                        break
                 entry = shorter[entry]
             if entry >= 0:
                 out.append(entry)
                 at += lengths[entry]
                 if at == n:
                     return out
-                entry = longest[at]
+                rest = text[at:at + most]
+                last, entry = entry, begins[rest[:reach(rest)]]
             else:  # nothing fits here: step back and shorten the entry before
-                if not out:
-                    raise ValueError("the vocabulary lacks a byte of the text")
                 usable[at] = 0
                 entry = out.pop()
                 at -= lengths[entry]
+                last = out[-1] if out else -1
+                entry = shorter[entry]
 
 
 class Encoder:
@@ -139,26 +178,52 @@ class Encoder:
     def __init__(self, vocabulary: Vocabulary, pattern: str):
         import regex
         self.find = regex.compile(pattern).findall
-        self.vocabulary = vocabulary
-        self.piece = Memory(lambda p: b"".join(
-            i.to_bytes(4, "little") for i in vocabulary.encode_piece(p.encode("utf-8"))), PIECES)
-        self.later = Memory(lambda s: self.stretch(" " + s), STRETCHES)
+        self.encode_piece = vocabulary.encode_piece
+        self.bytes = [i.to_bytes(4, "little") for i in range(len(vocabulary.entries))]
+        self.later = Memory(self._after_space, STRETCHES)
+        self.marks = Memory(self.stretch, 1000)
+
+    def piece(self, piece: bytes) -> bytes:
+        return b"".join(map(self.bytes.__getitem__, self.encode_piece(piece)))
 
     def stretch(self, text: str) -> bytes:
-        return b"".join(map(self.piece.__getitem__, self.find(text)))
+        return b"".join([self.piece(p.encode("utf-8")) for p in self.find(text)])
+
+    def _after_space(self, s: str) -> bytes:
+        """The ids of ``s`` after a single space, or of ``s`` itself if it begins with a line feed."""
+        if s.isalpha():
+            return self.piece(b" " + s.encode("utf-8"))
+        word = s.rstrip(_MARKS)
+        if word.isalpha():  # a word and its marks are two pieces
+            return self.later[word] + self.marks[s[len(word):]]
+        return self.stretch(s if s[:1] == "\n" else " " + s)
 
     def __call__(self, text: bytes | None) -> bytes:
         if not text:
             return b""
         s = text.decode("utf-8")
-        # With spaces and line feeds as the only white space, and no space
-        # before white space, the pattern starts a new match at each space.
         if "  " in s or " \n" in s or not s.replace("\n", "").isprintable():
-            return self.stretch(s)
-        head, *rest = s.split(" ")
+            parts = _clean_parts(s)
+        else:
+            if "\n" in s and not ("\n\n\n" in s or "\n\n " in s or s.endswith("\n\n")):
+                s = s.replace("\n", " \n")  # a line feed is a piece, so a cut before it changes nothing
+            parts = s.split(" ")
+        head, *rest = parts
         return self.stretch(head) + b"".join(map(self.later.__getitem__, rest))
 
 
+def _clean_parts(s: str) -> list[str]:
+    """``s`` cut at single spaces that have no white space on either side."""
+    parts, open_end = [], True
+    for part in s.split(" "):
+        if parts and (open_end or not part or part[0].isspace()):
+            parts[-1] += " " + part
+        else:
+            parts.append(part)
+        open_end = not part or part[-1].isspace()
+    return parts
+
+
 def _encoding(ranks, pattern: str):
     """A kernel from texts to (n_tokens, ids)."""
     key = "bpe", zlib.crc32(repr(sorted(ranks.items(), key=lambda x: x[1])).encode()), pattern
@@ -173,12 +238,22 @@ def _encoding(ranks, pattern: str):
 
 
 def _decoding(ranks):
-    """A kernel from ids to their bytes."""
+    """A kernel from ids to their bytes: one look-up of all ids of a slice; the bytes
+    of the entries found stand one behind the other, so rows are ranges of them."""
     import numpy as np
-    entries = {rank: entry for entry, rank in ranks.items()}
+    import pyarrow as pa
+    entries: list[bytes] = [b""] * (max(ranks.values()) + 1)
+    for entry, rank in ranks.items():
+        entries[rank] = entry
+    table = pa.array(entries, pa.large_binary())
 
     def kernel(rows):
-        return [[b"".join(map(entries.__getitem__, np.frombuffer(r or b"", dtype="<u4").tolist())) for r in rows]]
+        ids = np.frombuffer(b"".join([r or b"" for r in rows]), dtype="<u4")
+        found = table.take(pa.array(ids))
+        ends = np.frombuffer(found.buffers()[1], dtype=np.int64)[:len(ids) + 1]
+        at = np.concatenate([[0], np.cumsum([len(r or b"") // 4 for r in rows])])
+        offsets = pa.py_buffer((ends[at] if len(ids) else at).astype(np.int32))
+        return [pa.Array.from_buffers(pa.binary(), len(rows), [None, offsets, found.buffers()[2]])]
 
     return kernel
 

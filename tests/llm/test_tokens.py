@@ -130,3 +130,27 @@ def test_op4_matches_brute_force(spark, reference_bpe):
         assert r["n_tokens"] == len(ids)
         assert r["ids_sha256"] == hashlib.sha256(np.array(ids, dtype="<u4").tobytes()).hexdigest()
         assert r["decoded_sha256"] == hashlib.sha256(rows[r["doc_id"]].encode()).hexdigest()
+
+
+def test_cuts_at_odd_white_space_equal_tiktoken():
+    """Stretches between clean spaces are encoded alone, whatever white space is elsewhere."""
+    import random
+    import struct
+
+    import public_tokenizers as P
+    import tiktoken
+
+    from docmill.llm import bpe
+    ranks = bpe.read_ranks(P.path("byte_bpe_50k.tiktoken"))
+    library = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    encoder = bpe.Encoder(bpe.Vocabulary(ranks), P.PATTERN)
+    decode = bpe._decoding(ranks)
+    rng = random.Random(9)
+    parts = [" ", " ", " ", "  ", "\n", "\n\n", "\t", " ", "\x1c", " ", "word", "thanonti", "word,", "it's", "we'll.", "12",
+             "é", "漢字", "'", "...", "dogs'", "(a)", "!?", "\r\n", "aab", "ereintzch"]
+    texts = ["".join(rng.choices(parts, k=rng.randint(0, 12))) for _ in range(20000)]
+    coded = [encoder(t.encode()) for t in texts]
+    for t, ids in zip(texts, coded):
+        assert list(struct.unpack(f"<{len(ids) // 4}I", ids)) == library.encode_ordinary(t), repr(t)
+    assert decode(coded)[0].to_pylist() == [t.encode() for t in texts]
+    assert decode([None, b"", None])[0].to_pylist() == [b"", b"", b""] and decode([])[0].to_pylist() == []
