@@ -37,6 +37,9 @@ from pyspark.sql import types as T
 from docmill.llm.common import quoted, slices, small_batches, written
 
 MIN_LENGTH, MIN_COUNT, RATIO, ROUNDS = 5, 3, 2, 6
+#: Code points up to which a word travels with its bigrams, so that its pairs are
+#: verified inside the join; pairs with a longer word are verified after it.
+CARRIED = 32
 #: Distinct words that a task counts before it emits them.
 HELD_WORDS = 200_000
 
@@ -194,11 +197,13 @@ def near_pairs(words: DataFrame) -> DataFrame:
     table = signatures(words, gram_order(words))
 
     def side(keys: str, end: str) -> DataFrame:
-        # narrow rows: long words have many bigrams, so the words themselves stay behind
+        # long words have many bigrams, so they stay behind
         return table.select(F.explode(keys).alias(f"key_{end}"), F.col("id").alias(f"id_{end}"),
-                            F.col("last").alias(f"last_{end}"), F.col("parity").alias(f"parity_{end}"))
+                            F.col("last").alias(f"last_{end}"), F.col("parity").alias(f"parity_{end}"),
+                            F.when(F.length("word") <= CARRIED, F.col("word")).alias(f"word_{end}"))
 
-    alike = F.bit_count(F.col("parity_u").bitwiseXOR(F.col("parity_v"))) <= 2
+    alike = (F.bit_count(F.col("parity_u").bitwiseXOR(F.col("parity_v"))) <= 2) \
+        & F.coalesce(F.levenshtein("word_u", "word_v", 1) == 1, F.lit(True))
     found = side("pivots", "u").join(side("probes", "v"), (F.col("key_u") == F.col("key_v"))
                                      & (F.col("last_u") <= F.col("last_v")) & (F.col("id_u") != F.col("id_v")) & alike)
     pairs = written(found.select(F.least("id_u", "id_v").alias("id_a"), F.greatest("id_u", "id_v").alias("id_b")).distinct(),

@@ -111,6 +111,8 @@ def test_long_chain_and_hot_root(spark):
     n = {w: 3 * 2 ** i for i, w in enumerate(chain)}
     hot = "qwertyuiop"
     n[hot] = 10 ** 6
+    long = "qwert" * 9
+    n |= {long[:20] + "x" + long[20:]: 9, long: 40, long[1:]: 3, long[:31]: 5, long[:32]: 6, long[:33]: 30}
     for i, c in itertools.product(range(10), "abcdefgh"):
         n[hot[:i] + c + hot[i + 1:]] = 3
     got = rows_of(spelling.group(spark.createDataFrame(list(n.items()), "word string, n long")))
