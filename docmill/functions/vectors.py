@@ -100,6 +100,24 @@ def topk_kernel(query_ids: np.ndarray, query_unit: np.ndarray, k: int, id_col: s
     return run
 
 
+def count_tokens(batch: pa.RecordBatch, tokens_col: str, others: list) -> pa.RecordBatch:
+    """The ``others`` columns of a batch, and of its token lists the distinct terms,
+    their counts and the sum of the squared counts."""
+    toks = batch.column(tokens_col)
+    flat, rows = toks.flatten(), pc.list_parent_indices(toks).to_numpy().astype(np.int64)
+    enc = pc.dictionary_encode(flat)
+    width = max(1, len(enc.dictionary))
+    keys, tf = np.unique(rows * width + enc.indices.to_numpy().astype(np.int64), return_counts=True)
+    at = np.searchsorted(keys, np.arange(batch.num_rows + 1) * width)
+    offsets = pa.array(at, pa.int32())
+    norm2 = np.diff(np.concatenate([[0], np.cumsum(tf.astype(np.int64) ** 2)])[at])
+    return pa.RecordBatch.from_arrays(
+        [*[batch.column(c) for c in others],
+         pa.ListArray.from_arrays(offsets, enc.dictionary.take(pa.array(keys % width))),
+         pa.ListArray.from_arrays(offsets, pa.array(tf.astype(np.int64))), pa.array(norm2)],
+        names=[*others, "terms", "tfs", "norm2"])
+
+
 def pair_sums(cells: np.ndarray, weights: np.ndarray, n_cells: int) -> tuple[np.ndarray, np.ndarray]:
     """(cell, summed weight) of the cells that occur. Sorting costs more per pair,
     a full array more per cell; the cheaper of the two is taken."""

@@ -22,11 +22,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Round-robin a scan that would leave more than half of the cores idle (a
-    file of one row group). Spark aims at a split per core, so a table of any
-    size that can be split stays as it is."""
+    """Round-robin a scan that arrives in fewer partitions than the cluster has
+    cores. Spark plans a split of 128 MB or less per core, so this only concerns
+    tables under 128 MB a core; a larger table isn't shuffled. Planned splits don't
+    tell how many hold rows: all but one of a one-group file's are empty."""
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if 2 * df.rdd.getNumPartitions() < cores else df
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -327,6 +327,7 @@ def _statements() -> dict[str, str]:
     s["incremental_ingest"] = s["kb_summary"]
     s["retrieve_lexical"] = (_with(CHUNKS_CTE, CHUNK_TERMS, lexical("b_", "benchmark", "item_id", "text", 5)) +
                              " SELECT qkey AS item_id, rank, doc_id, chunk_index, round(distance, 6) AS distance FROM b_top")
+    s["retrieve_indexed"] = s["retrieve_lexical"]
     s["retrieve_dense"] = (_with(CENTROIDS) + " SELECT qid, rank, cid, round(distance, 6) AS distance FROM ("
                            "SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(distance, 6), cid) AS rank FROM sc) WHERE rank <= 5")
     def counts(x):

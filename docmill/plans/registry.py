@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docmill import rules
-from docmill.operators import generate, orders, pages, retrieve, scripts
+from docmill.operators import generate, orders, pages, postings, retrieve, scripts
 from docmill.plans.corpus import (benchmark_queries, case_queries, chunk_table, contexts, documents, retrieved,
                                   spread, table)
 from docmill.session import scratch_path
@@ -247,6 +247,13 @@ def q_retrieve_lexical(spark, sf):
     return top.select("item_id", _long("rank"), "doc_id", _long("chunk_index"), _r6("distance"))
 
 
+def q_retrieve_indexed(spark, sf):
+    """The same from the block-max index, both sides as tables."""
+    index = postings.lexical_index(chunk_table(spark, sf))
+    top = postings.search(benchmark_queries(spark, sf), index, retrieve.DEFAULT_K, ["item_id"], "query")
+    return top.select("item_id", _long("rank"), "doc_id", _long("chunk_index"), _r6("distance"))
+
+
 def _vectors(spark, sf):
     emb = table(spark, sf, "embeddings")
     corpus = emb.select(F.col("vec_id").alias("cid"), F.col("embedding").alias("vec"))
@@ -713,6 +720,7 @@ QUERIES: dict[str, Query] = {
     "kb_retrieve": q_kb_retrieve,
     "kb_sources": q_kb_sources,
     "retrieve_lexical": q_retrieve_lexical,
+    "retrieve_indexed": q_retrieve_indexed,
     "retrieve_dense": q_retrieve_dense,
     "retrieve_encoded": q_retrieve_encoded,
     "retrieve_ann": q_retrieve_ann,

@@ -1,6 +1,7 @@
 """Plan shape assertions on registered queries (sf0.001)."""
 
 from conftest import plan_text
+from pyspark.sql import functions as F
 
 from docmill.plans import registry as R
 
@@ -26,3 +27,15 @@ def test_retrieval_shuffles_only_candidates(spark):
     # the kernel sits below a partial top-k; no aggregate over (query, chunk) pairs
     assert "MapInArrow" in plan and "WindowGroupLimit" in plan
     assert "HashAggregate" not in plan
+
+
+def test_a_one_group_file_is_dealt_out(spark):
+    """Planned splits of a small file are mostly empty; its rows still reach every core."""
+    from docmill.plans.corpus import documents, spread
+    cores = spark.sparkContext.defaultParallelism
+    df = documents(spark, "/root/testdata/sf0.01").select("doc_id", "text")
+    assert df.rdd.getNumPartitions() < cores
+    assert "RoundRobinPartitioning" in plan_text(spread(df))
+    full = spread(df).groupBy(F.spark_partition_id()).count().collect()
+    assert len(full) == cores
+    assert "RoundRobin" not in plan_text(spread(df.repartition(cores, "doc_id")))

@@ -19,8 +19,9 @@ def test_lexical_kernel_equals_sql(spark):
     q = benchmark_queries(spark, SF)
     cols = ["item_id", "doc_id", "chunk_index", "distance", "rank"]
     a = RT.lexical_topk(q, ch, k=5, q_keys=["item_id"], q_text="query")
-    b = RT.lexical_topk(q, ch, k=5, q_keys=["item_id"], q_text="query", method="sql")
-    assert _rows(a, cols) == _rows(b, cols)
+    for method in ("sql", "index"):
+        b = RT.lexical_topk(q, ch, k=5, q_keys=["item_id"], q_text="query", method=method)
+        assert _rows(a, cols) == _rows(b, cols)
     assert a.count() == 5 * q.count()
 
 
@@ -36,12 +37,12 @@ def test_ties_leave_exactly_k_rows_per_task(spark):
     emitted = RT._lexical_block(tbl, body, "item_id long, doc_id long, chunk_index int, distance double", ["item_id"],
                                 ["doc_id", "chunk_index"], [], 3)
     assert emitted.groupBy("item_id").count().collect() and emitted.count() == 6
-    out = {m: RT.lexical_topk(q, ch, k=3, carry=["text"], method=m) for m in ("kernel", "sql")}
-    assert out["kernel"].columns == out["sql"].columns
+    out = {m: RT.lexical_topk(q, ch, k=3, carry=["text"], method=m) for m in ("kernel", "sql", "index")}
+    assert out["kernel"].columns == out["sql"].columns == out["index"].columns
     rows = {m: sorted(str(r) for r in df.collect()) for m, df in out.items()}
-    assert rows["kernel"] == rows["sql"]
+    assert rows["kernel"] == rows["sql"] == rows["index"]
     assert [r.doc_id for r in out["kernel"].where("item_id = 1").orderBy("rank").collect()] == [None, 0, 1]
-    small = RT.lexical_topk(q, ch, k=3, carry=["text"], max_block_queries=1)  # several query blocks
+    small = RT.lexical_topk(q, ch, k=3, carry=["text"], max_block_queries=1)  # beyond the bound: the index
     assert sorted(str(r) for r in small.collect()) == rows["kernel"]
 
 
@@ -213,3 +214,49 @@ def test_dense_skips_null_and_zero_vectors(spark):
     q = spark.createDataFrame([(10, [1.0, 0.1]), (11, None)], "qid long, vec array<double>")
     got = sorted((r.qid, r.rank, r.cid) for r in RT.dense_topk(q, corpus, k=5).collect())
     assert got == [(10, 1, 1), (10, 2, 4)]
+
+
+def _zipf(spark, n_chunks, n_queries, seed=5):
+    rng = np.random.default_rng(seed)
+    words = np.array([f"{a}{b}{c}" for a in "bcdfglmnprst" for b in "aeiou" for c in "bcdfglmnprstvz"])
+    p = 1 / np.arange(1, len(words) + 1)
+    p /= p.sum()
+    text = lambda n: " ".join(rng.choice(words, n, p=p))
+    ch = [(i if i != 17 else None, i % 3, text(rng.integers(0, 60)), f"s{i % 7}") for i in range(n_chunks)]
+    q = [(i % (n_queries - 3) if i != 5 else None, text(rng.integers(0, 8))) for i in range(n_queries)] + [(-1, "  "), (-2, "zzzz")]
+    return (spark.createDataFrame(ch, "doc_id long, chunk_index int, text string, src string").repartition(4),
+            spark.createDataFrame(q, "qid long, text string"))
+
+
+def test_index_equals_sql_and_scores_few_pairs(spark):
+    from docmill.operators import postings as P
+    ch, q = _zipf(spark, 3000, 60)
+    index = P.lexical_index(ch, carry=["src", "text"])
+    cols = ["qid", "doc_id", "chunk_index", "src", "text", "distance", "rank"]
+    for k in (1, 4):
+        got, want = P.search(q, index, k, ["qid"]), RT.lexical_topk_sql(q, ch, k, ["qid"], carry=["src", "text"])
+        assert got.columns == want.columns
+        assert sorted(map(str, got.select(cols).collect())) == sorted(map(str, want.select(cols).collect()))
+    _, asked = P.asked_bags(q, ["qid"], "text")
+    weighted = P.weighted_terms(asked, index)
+    wanted = P.wanted_terms(weighted, P.thresholds(weighted, asked, index, 4))
+    pairs, every = P.candidate_pairs(wanted, index).count(), asked.count() * index.vectors.count()
+    assert asked.count() < q.count() and pairs < 0.05 * every
+    assert P.candidate_pairs(weighted.selectExpr("*", "0D as least", "0D as rest"), index).count() > 5 * pairs
+
+
+def test_index_blocks_are_bounded_and_nothing_is_fetched(spark, monkeypatch):
+    from docmill.operators import postings as P
+    monkeypatch.setattr(P, "ZONE", 16)
+    ch = spark.range(2000).selectExpr("id as doc_id", "0 as chunk_index", "'one line for all' as text").coalesce(1)
+    index = P.lexical_index(ch)
+    assert index.blocks.agg(F.max(F.size("postings"))).first()[0] == 16 and index.blocks.count() == 4 * 125
+    from pyspark.sql.classic.dataframe import DataFrame as Frame
+    for name in ("toArrow", "collect", "toPandas", "first"):
+        monkeypatch.setattr(Frame, name, lambda *a, **k: 1 / 0)
+    top = P.search(spark.createDataFrame([(1, "line"), (2, "all of it")], "qid long, text string"), index, 3, ["qid"])
+    plan = plan_text(top)
+    assert "Python" not in plan and "MapInArrow" not in plan and "CartesianProduct" not in plan
+    monkeypatch.undo()
+    assert [(r.qid, r.doc_id, r["rank"]) for r in top.orderBy("qid", "rank").collect()] == [
+        (q, d, d + 1) for q in (1, 2) for d in (0, 1, 2)]
