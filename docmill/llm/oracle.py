@@ -45,23 +45,31 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(n, 0) A
 FROM d LEFT JOIN kept USING (doc_id)
 """
 
-#: Lines, their tokens (fields with a digit, an @ or :// masked) and template:
-#: the leaf's first line if 60 % of the tokens after the leading three agree.
+#: Lines and their tokens (of lines over three tokens, fields with a digit, an @ or ://
+#: are masked). In a leaf of ten documents a later token is kept if ten have it at its
+#: place; lines with 60 % kept are one template per set of kept tokens. Long lines
+#: count word for word from two documents on.
 _OP3 = r"""
 WITH l AS (SELECT doc_id, unnest(range(len(x))) AS pos, unnest(x) AS line
            FROM (SELECT doc_id, string_split(text, chr(10)) AS x FROM documents)),
-t AS (SELECT doc_id, pos, string_split_regex(trim(translate(line, chr(9) || chr(11) || chr(12) || chr(13), '    ')), ' +') AS w
+s AS (SELECT doc_id, pos, regexp_replace(trim(translate(line, chr(9) || chr(11) || chr(12) || chr(13), '    ')), ' +', ' ', 'g') AS x
       FROM l),
-m AS (SELECT doc_id, pos, list_transform(w, lambda x: CASE WHEN regexp_matches(x, '[0-9@]|://') THEN '<*>' ELSE x END) AS w
-      FROM t WHERE len(w) >= 4),
-leaf AS (SELECT doc_id, pos, w, len(w) AS n, w[1:3] AS lead FROM m),
-hot AS (SELECT n, lead, arg_min(w, struct_pack(d := doc_id, p := pos)) AS shape FROM leaf
-        GROUP BY n, lead HAVING count(DISTINCT doc_id) >= 10),
-g AS (SELECT doc_id, pos, n, lead, CASE WHEN len(list_filter(list_zip(w, shape), lambda z: z[1] = z[2])) - 3 >= (n - 3) * 0.6
-             THEN NULL ELSE w END AS own FROM leaf JOIN hot USING (n, lead)),
-r AS (SELECT n, lead, own, min(doc_id) AS first FROM g GROUP BY n, lead, own HAVING count(DISTINCT doc_id) >= 10),
-lost AS (SELECT DISTINCT g.doc_id, g.pos FROM g JOIN r ON g.n = r.n AND g.lead = r.lead
-         AND g.own IS NOT DISTINCT FROM r.own WHERE g.doc_id <> r.first),
+t AS (SELECT doc_id, pos, x, string_split(x, ' ') AS w FROM s WHERE x <> ''),
+m AS (SELECT doc_id, pos, x, len(w) AS n, CASE WHEN len(w) <= 3 THEN w ELSE
+             list_transform(w, lambda y: CASE WHEN regexp_matches(y, '[0-9@]|://') THEN '<*>' ELSE y END) END AS w FROM t),
+leaf AS (SELECT *, w[1:3] AS lead FROM m),
+hot AS (SELECT n, lead FROM leaf GROUP BY n, lead HAVING count(DISTINCT doc_id) >= 10),
+h AS (SELECT leaf.* FROM leaf JOIN hot USING (n, lead)),
+e AS (SELECT n, lead, doc_id, pos, unnest(w[4:]) AS token, unnest(range(len(w) - 3)) AS p FROM h WHERE n > 3),
+k AS (SELECT n, lead, p, token, true AS kept FROM e GROUP BY n, lead, p, token HAVING count(DISTINCT doc_id) >= 10),
+g AS (SELECT n, lead, doc_id, pos, string_agg(CASE WHEN kept THEN p || ':' || token END, ' ' ORDER BY p) AS shape,
+             count(kept) AS fixed FROM e LEFT JOIN k USING (n, lead, p, token) GROUP BY n, lead, doc_id, pos),
+held AS (SELECT doc_id, pos, n, array_to_string(lead, ' ') AS a, coalesce(shape, '') AS b, 10 AS need FROM g
+         WHERE fixed >= (n - 3) * 0.6
+         UNION ALL SELECT doc_id, pos, n, x, '', 10 FROM h WHERE n <= 3
+         UNION ALL SELECT doc_id, pos, n, x, '', 2 FROM m WHERE n >= 40 OR length(x) >= 240),
+r AS (SELECT n, a, b, need, min(doc_id) AS first FROM held GROUP BY n, a, b, need HAVING count(DISTINCT doc_id) >= need),
+lost AS (SELECT DISTINCT doc_id, pos FROM held JOIN r USING (n, a, b, need) WHERE doc_id <> first),
 kept AS (SELECT doc_id, string_agg(line, chr(10) ORDER BY pos) AS t, count(*) AS k FROM l ANTI JOIN lost USING (doc_id, pos)
          GROUP BY doc_id)
 SELECT doc_id, CAST(coalesce(len(string_split(text, chr(10))), 0) AS BIGINT) AS n_lines,

@@ -13,28 +13,39 @@ from odd_rows import docs, texts  # noqa: F401 (fixtures)
 FIELD = re.compile("[0-9@]|://")
 
 
-def brute(rows, min_docs):
+def brute(rows, min_docs, long_docs=lt.LONG_DOCS):
     """(key, doc_id, text) per distinct document -> text left."""
-    leaves, lines = defaultdict(list), []
+    leaves, long = defaultdict(list), defaultdict(list)
     for key, d, t in rows:
         for pos, line in enumerate((t or "").split("\n")):
             for c in "\t\x0b\x0c\r":
                 line = line.replace(c, " ")
-            w = ["<*>" if FIELD.search(x) else x for x in re.split(" +", line.strip(" "))]
-            if t is not None and len(w) >= lt.MIN_TOKENS:
-                leaf = (len(w), tuple(w[:lt.DEPTH]))
-                leaves[leaf].append(((d is None, d or 0), key, pos, w))
-                lines.append((leaf, (d is None, d or 0), key, pos, w))
-    shape = {leaf: min(x, key=lambda r: r[:3])[3] for leaf, x in leaves.items()
-             if len({r[1] for r in x}) >= min_docs}
-    groups = defaultdict(list)
-    for leaf, d, key, pos, w in lines:
-        if leaf in shape:
-            rest = sum(a == b for a, b in zip(w, shape[leaf])) - lt.DEPTH
-            groups[leaf, None if rest >= (len(w) - lt.DEPTH) * lt.SIMILARITY else tuple(w)].append((d, key, pos))
+            raw = re.split(" +", line.strip(" "))
+            if raw == [""]:
+                continue
+            at = ((d is None, d or 0), key, pos)
+            w = raw if len(raw) <= lt.DEPTH else ["<*>" if FIELD.search(x) else x for x in raw]
+            leaves[len(w), tuple(w[:lt.DEPTH])].append((at, w))
+            if len(raw) >= lt.LONG_TOKENS or len(" ".join(raw)) >= lt.LONG_CHARS:
+                long[tuple(raw)].append(at)
+    groups = [(at, long_docs) for at in long.values()]
+    for lines in leaves.values():
+        if len({at[1] for at, _ in lines}) < min_docs:
+            continue
+        having = defaultdict(set)
+        for at, w in lines:
+            for p, x in enumerate(w[lt.DEPTH:]):
+                having[p, x].add(at[1])
+        shapes = defaultdict(list)
+        for at, w in lines:
+            tail = list(enumerate(w[lt.DEPTH:]))
+            kept = tuple(x for x in tail if len(having[x]) >= min_docs)
+            if len(kept) >= len(tail) * lt.SIMILARITY:
+                shapes[kept].append(at)
+        groups += [(at, min_docs) for at in shapes.values()]
     lost = set()
-    for held in groups.values():
-        if len({key for _, key, _ in held}) >= min_docs:
+    for held, need in groups:
+        if len({key for _, key, _ in held}) >= need:
             first = min(held)[1]
             lost |= {(key, pos) for _, key, pos in held if key != first}
     return {key: None if t is None else "\n".join(x for p, x in enumerate(t.split("\n")) if (key, p) not in lost)
@@ -95,9 +106,47 @@ def test_odd_rows(spark, docs):
     assert lt.drop_templates(docs.where("false")).count() == 0
     hot = spark.range(300).selectExpr("id as doc_id", "'one line for all of them\nand more' as text")
     left = [r["text"] for r in lt.drop_templates(hot).collect()]
-    assert sorted(left) == ["and more"] * 299 + ["one line for all of them\nand more"]
+    assert sorted(left) == [""] * 299 + ["one line for all of them\nand more"]
 
 
 def test_plan_has_no_python(spark):
     plan = plan_text(queries.op3_line_templates(spark, "/root/testdata/sf0.001"))
     assert not re.search("Python|Pandas|Arrow", plan)
+
+
+def left_of(spark, rows):
+    got = lt.drop_templates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    texts = {r["doc_id"]: r["text"] for r in got}
+    assert texts == brute([(d, d, t) for d, t in rows], lt.MIN_DOCS)
+    return texts
+
+
+def words(rng, n):
+    return " ".join("".join(rng.choice(list("bcdfghklm"), 6)) for _ in range(n))
+
+
+def test_short_lines_and_scripts_without_spaces(spark):
+    rng = np.random.default_rng(3)
+    rows = [(i, f"All rights reserved.\n{words(rng, 9)}\n\u672c\u7ad9\u4fdd\u7559\u6240\u6709\u6743\u5229\u3002\n") for i in range(60)]
+    left = left_of(spark, rows)
+    assert left[0] == rows[0][1] and all(left[d] == t.split("\n")[1] + "\n" for d, t in rows[1:])
+
+
+def test_long_lines_recur_from_two_documents(spark):
+    rng = np.random.default_rng(4)
+    line = words(rng, 120)
+    rows = [(i, f"{line}\n{words(rng, 12)}") for i in range(2)] + [(9, words(rng, 120)), (10, line.replace(" ", "  "))]
+    left = left_of(spark, rows)
+    assert left[0] == rows[0][1] and left[1] == rows[1][1].split("\n")[1] and left[10] == "" and left[9] == rows[2][1]
+
+
+def test_families_don_t_hang_on_other_lines_or_doc_ids(spark):
+    rng = np.random.default_rng(5)
+    family = [f"Posted by user {words(rng, 2)} on our site with thanks today" for _ in range(60)]
+    second = [f"Posted by user of {words(rng, 1)} the best of all shops in town" for _ in range(40)]
+    other = "Posted by user " + words(rng, 8)
+    for first in (0, 1000):  # the unrelated line in the least or in the last document
+        rows = [(first, other)] + [(i + 1, x) for i, x in enumerate(family)] + [(200 + i, x) for i, x in enumerate(second)]
+        left = left_of(spark, rows)
+        assert left[first] == other and left[1] == family[0] and left[200] == second[0]
+        assert all(left[i + 1] == "" for i in range(1, 60)) and all(left[200 + i] == "" for i in range(1, 40))
