@@ -92,10 +92,12 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Base counts and verdict of the fertility bands for every document."""
     import public_tokenizers
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
-    measured = quality.measure(docs, public_tokenizers.path("piece_bpe_32k.model"), keep=["doc_id"])
+    model = public_tokenizers.path("piece_bpe_32k.model")
+    bands = quality.fit_bands(docs, table(spark, sf_dir, "labels"), model)
+    measured = quality.measure(docs, model, keep=["doc_id"], bands=bands)
     return measured.select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept",
-        "n_tokens", "chars_per_token", "byte_share", "entropy_share", "script")
+        "n_tokens", "chars_per_token", "byte_share", "entropy_share", "entropy_bits", "script")
 
 
 def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

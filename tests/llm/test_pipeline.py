@@ -29,13 +29,16 @@ def test_columns_and_order():
                                          "benchmark decontamination", "byte-level BPE"]
 
 
-def test_quality_stage(inputs):
+def test_quality_stage(spark, inputs):
     before, after = inputs[:2]
     left = {r["doc_id"] for r in after}
     assert all(r in before for r in after)
     assert not any(qual.brute(r["text"])[-1] for r in after)
-    gone = [r for r in before if r["doc_id"] not in left]
-    assert gone and sum(not qual.brute(r["text"])[-1] for r in gone) <= 0.02 * len(before)
+    gone = [r["doc_id"] for r in before if r["doc_id"] not in left and not qual.brute(r["text"])[-1]]
+    labels = {r["doc_id"]: r["quality"] for r in spark.read.parquet(f"{SF}/labels.parquet").collect()}
+    passing = [r["doc_id"] for r in before if not qual.brute(r["text"])[-1]]
+    share = [sum(labels.get(d) == q for d in gone) / sum(labels.get(d) == q for d in passing) for q in (0, 1)]
+    assert share[0] >= 0.8 and share[1] <= 0.02
 
 
 def test_line_stage(inputs):
