@@ -18,9 +18,11 @@ from docmill.session import ship_package
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents within the fertility bands of their language; the others go."""
+    """Documents within the fertility bands of their language, fitted on labelled
+    good ones; the others go."""
     ship_package(spark)
-    return quality.keep_good(docs, public_tokenizers.path("piece_bpe_32k.model"))
+    model = public_tokenizers.path("piece_bpe_32k.model")
+    return quality.keep_good(docs, model, bands=quality.fit_bands(docs, table(spark, sf_dir, "labels"), model))
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
