@@ -1,6 +1,20 @@
 """Licence templates: fixed values. (label, text) of public licence notices; a
 label may have several. Matching lower-cases A-Z and looks at words only."""
 
+_WARRANTY = ("THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED "
+             "TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL "
+             "THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF "
+             "CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER "
+             "DEALINGS IN THE SOFTWARE.")
+_DISCLAIMER = ("THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED "
+               "WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A "
+               "PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY "
+               "DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, "
+               "PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) "
+               "HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING "
+               "NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE "
+               "POSSIBILITY OF SUCH DAMAGE.")
+
 TEMPLATES = [
     ("apache-2.0", "Licensed under the Apache License, Version 2.0"),
     ("apache-2.0", "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except "
@@ -25,6 +39,35 @@ TEMPLATES = [
      "copyright notice, this list of conditions and the following disclaimer in the documentation and/or other "
      "materials provided with the distribution."),
     ("bsd", "Licensed under the BSD License"),
+    # full texts
+    ("mit", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and "
+     "associated documentation files (the \"Software\"), to deal in the Software without restriction, including "
+     "without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies "
+     "of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following "
+     "conditions: The above copyright notice and this permission notice shall be included in all copies or "
+     "substantial portions of the Software. " + _WARRANTY),
+    ("isc", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is "
+     "hereby granted, provided that the above copyright notice and this permission notice appear in all copies. THE "
+     "SOFTWARE IS PROVIDED \"AS IS\" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL "
+     "IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, "
+     "INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER "
+     "IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR "
+     "PERFORMANCE OF THIS SOFTWARE."),
+    ("bsd", "Redistribution and use in source and binary forms, with or without modification, are permitted provided "
+     "that the following conditions are met: Redistributions of source code must retain the above copyright notice, "
+     "this list of conditions and the following disclaimer. Redistributions in binary form must reproduce the above "
+     "copyright notice, this list of conditions and the following disclaimer in the documentation and/or other "
+     "materials provided with the distribution. Neither the name of the copyright holder nor the names of its "
+     "contributors may be used to endorse or promote products derived from this software without specific prior "
+     "written permission. " + _DISCLAIMER),
+    ("zlib", "This software is provided 'as-is', without any express or implied warranty. In no event will the authors "
+     "be held liable for any damages arising from the use of this software. Permission is granted to anyone to use "
+     "this software for any purpose, including commercial applications, and to alter it and redistribute it freely, "
+     "subject to the following restrictions: The origin of this software must not be misrepresented; you must not "
+     "claim that you wrote the original software. If you use this software in a product, an acknowledgment in the "
+     "product documentation would be appreciated but is not required. Altered source versions must be plainly marked "
+     "as such, and must not be misrepresented as being the original software. This notice may not be removed or "
+     "altered from any source distribution."),
     ("gpl-3.0", "licensed under the GNU General Public License, version 3"),
     ("gpl-2.0", "licensed under the GNU General Public License, version 2"),
     ("gpl", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU "

@@ -1,12 +1,16 @@
 """Licence scans with a generalised suffix automaton.
 
 All templates go, word by word, into one suffix automaton (broadcast; it grows
-with the templates, not the documents). Documents stream through it: at each
-word the automaton yields the matching statistic, the longest stretch ending
-there that occurs in any template. Locally longest stretches of ``MIN_MATCH``
-words or more are chained per template (in order in text and template, gaps up
-to ``MAX_GAP`` words), and a chain that covers ``MIN_COVER`` of its template
-becomes a span with that template's label and its covered share as score.
+with the templates, not the documents). Documents stream through it: at each word
+the automaton yields the matching statistic, the longest stretch ending there that
+occurs in any template, and its suffix states give the shorter stretches that occur
+in others. A stretch of ``MIN_MATCH`` words or more that a template's place can't
+prolong is an anchor of that place, so a short template inside a longer one's match
+and a clause that a template repeats have their own. Anchors of a template are
+chained by sparse dynamic programming: in order in text and template, gaps up to
+``MAX_GAP`` words, overlaps counted once; the chain with most covered words wins,
+whatever stray matches lie between. Chains that cover ``MIN_COVER`` of the template
+and share no anchor become spans with its label and the covered share as score.
 
 Words outside the templates' vocabulary end every match, so only stretches of
 vocabulary words of at least ``MIN_MATCH`` words are streamed; the others can't
@@ -14,8 +18,8 @@ hold a match. Base phrases are all places where a phrase's words follow each
 other.
 
 Defined cases: NULL and empty texts have no words, labels or spans (score 0);
-equal texts get equal rows; texts are scanned whole; work is linear in words
-times templates per match.
+equal texts get equal rows; texts are scanned whole; without templates there are no
+spans. Work is linear in words times template places per match.
 """
 
 from __future__ import annotations
@@ -38,26 +42,27 @@ FIELDS = [T.StructField("n_words", T.LongType()), T.StructField("base", T.ArrayT
 
 class Automaton:
     """Generalised suffix automaton over words (as small integers). ``ends[s]``:
-    per template the first place where the words of state s end."""
+    the (template, place) pairs where the words of state s end, of states that
+    hold stretches of ``least`` words or more."""
 
-    def __init__(self, templates: list[list[int]]):
+    def __init__(self, templates: list[list[int]], least: int = 1):
         self.next: list[dict[int, int]] = [{}]
-        self.link, self.length, self.ends = [-1], [0], [{}]
+        self.link, self.length, self.least = [-1], [0], least
+        self.ends: list[set[tuple[int, int]]] = [set()]
         for number, words in enumerate(templates):
             last = 0
             for place, word in enumerate(words):
                 last = self._extend(last, word)
-                self.ends[last].setdefault(number, place)
+                self.ends[last].add((number, place))
         for state in sorted(range(1, len(self.link)), key=lambda s: -self.length[s]):
-            up = self.ends[self.link[state]]
-            for number, place in self.ends[state].items():
-                up[number] = min(place, up.get(number, place))
+            if self.length[self.link[state]] >= least:
+                self.ends[self.link[state]] |= self.ends[state]
 
     def _state(self, length: int, link: int, edges: dict) -> int:
         self.length.append(length)
         self.link.append(link)
         self.next.append(edges)
-        self.ends.append({})
+        self.ends.append(set())
         return len(self.link) - 1
 
     def _split(self, state: int, word: int, target: int) -> int:
@@ -84,20 +89,69 @@ class Automaton:
         return new
 
     def matches(self, words: list[int]):
-        """(end, length, state) of each match that the next word can't prolong."""
+        """(end, length, state) of the longest stretch that ends at each word."""
         state = length = 0
         for i, word in enumerate(words):
-            if word not in self.next[state]:
-                if length:
-                    yield i, length, state
-                while state and word not in self.next[state]:
-                    state = self.link[state]
-                    length = self.length[state]
+            while state and word not in self.next[state]:
+                state = self.link[state]
+                length = self.length[state]
             if word in self.next[state]:
                 state = self.next[state][word]
                 length += 1
-        if length:
-            yield len(words), length, state
+            yield i + 1, length, state
+
+    def anchors(self, words: list[int], templates: list[list[int]]):
+        """(template, text start, template start, length) of the stretches of
+        ``least`` words or more that neither side can prolong to the right (nor, being
+        the longest that end there, to the left)."""
+        for end, length, state in self.matches(words):
+            after = words[end] if end < len(words) else None
+            seen: set[tuple[int, int]] = set()
+            while length >= self.least:
+                for number, place in self.ends[state] - seen:
+                    template = templates[number]
+                    if after is None or place + 1 >= len(template) or template[place + 1] != after:
+                        yield number, end - length, place + 1 - length, length
+                seen |= self.ends[state]
+                state = self.link[state]
+                length = self.length[state]
+
+
+def best_chains(anchors: list[tuple[int, int, int]], max_gap: int) -> list[tuple[int, int, int]]:
+    """(covered, text start, text end) of chains of (text start, template start,
+    length) anchors, best first, no anchor in two.
+
+    For each anchor in text order the best chain that ends with it; only anchors that
+    end at most ``max_gap`` words before it can come right before it."""
+    anchors = sorted(anchors, key=lambda a: (a[0] + a[2], a[1] + a[2], a[2]))
+    covered, before, reach = [], [], []
+    longest = 0
+    for j, (x, y, n) in enumerate(anchors):
+        best, link = n, -1
+        longest = max(longest, n)
+        for i in range(j - 1, -1, -1):
+            u, v, m = anchors[i]
+            if u + m < x - max_gap:  # ends ascend: no earlier anchor is near enough
+                break
+            if u + m >= x + n or v + m >= y + n or u > x or v > y or y - (v + m) > max_gap:
+                continue
+            gain = n - max(0, u + m - x, v + m - y)
+            if gain > 0 and covered[i] + gain > best:
+                best, link = covered[i] + gain, i
+        covered.append(best)
+        before.append(link)
+        reach.append(x if link < 0 else reach[link])
+    used, out = set(), []
+    for j in sorted(range(len(anchors)), key=lambda j: (-covered[j], anchors[j][0] + anchors[j][2], j)):
+        chain, at = [], j
+        while at >= 0 and at not in used:
+            chain.append(at)
+            at = before[at]
+        if at >= 0:  # the rest belongs to a better chain
+            continue
+        used.update(chain)
+        out.append((covered[j], reach[j], anchors[j][0] + anchors[j][2]))
+    return out
 
 
 class Scanner:
@@ -108,26 +162,21 @@ class Scanner:
         self.sizes = [max(1, len(c)) for c in coded]
         self.phrases = [(tuple(self.ids.setdefault(w, len(self.ids) + 1) for w in normal_words(p.encode())), label)
                         for p, label in phrases]
-        self.automaton = Automaton(coded)
-
-    def chains(self, found: list[tuple[int, int, int]]) -> list[dict]:
-        """Covered template spans from (end, length, state) matches in text order."""
-        open_: dict[int, list] = {}
-        done = []
-        for end, length, state in found:
-            for number, place in self.automaton.ends[state].items():
-                start, from_, to = end - length, place - length + 1, place + 1
-                chain = open_.get(number)  # [text start, text end, template end, covered]
-                if chain and start - chain[1] <= MAX_GAP and to > chain[2] and from_ - chain[2] <= MAX_GAP:
-                    chain[3] += to - max(from_, chain[2])
-                    chain[1], chain[2] = end, to
-                else:
-                    if chain:
-                        done.append((number, chain))
-                    open_[number] = [start, end, to, length]
-        done += open_.items()
-        out = [{"label": self.labels[n], "start": c[0], "end": c[1], "score": c[3] / self.sizes[n]}
-               for n, c in done if c[3] >= MIN_COVER * self.sizes[n]]
+        self.coded = coded
+        self.automaton = Automaton(coded, MIN_MATCH)
+
+    def chains(self, found: list[tuple[int, int, int, int]]) -> list[dict]:
+        """Covered template spans of (template, text start, template start, length) anchors."""
+        by_template: dict[int, list] = {}
+        for number, *anchor in found:
+            by_template.setdefault(number, []).append(tuple(anchor))
+        out = []
+        for number, anchors in by_template.items():
+            size = self.sizes[number]
+            if sum(a[2] for a in anchors) < MIN_COVER * size:
+                continue
+            out += [{"label": self.labels[number], "start": a, "end": b, "score": covered / size}
+                    for covered, a, b in best_chains(anchors, MAX_GAP) if covered >= MIN_COVER * size]
         return sorted(out, key=lambda s: (s["start"], s["end"], s["label"], s["score"]))
 
     def __call__(self, texts: list[bytes | None]):
@@ -158,9 +207,9 @@ class Scanner:
                 d = int(doc[a])
                 to = min(b, int(ends[d]))
                 if to - a >= MIN_MATCH:
-                    found[d] += [(a - int(first[d]) + e, length, state)
-                                 for e, length, state in self.automaton.matches(ids[a:to].tolist())
-                                 if length >= MIN_MATCH]
+                    at = a - int(first[d])
+                    found[d] += [(number, at + x, y, length) for number, x, y, length
+                                 in self.automaton.anchors(ids[a:to].tolist(), self.coded)]
                 a = to
         return [counts.tolist(), [sorted(b, key=lambda p: (p["start"], p["label"])) for b in base],
                 [self.chains(f) if f else [] for f in found]]

@@ -35,16 +35,85 @@ small = st.lists(st.integers(1, 3), max_size=8)
 @settings(max_examples=300, deadline=None)
 def test_matching_statistics(templates, text):
     auto = lic.Automaton(templates)
-    got = {(e, n): s for e, n, s in auto.matches(text)}
-    full = {(i + 1, max((n for n in range(1, i + 2) if any(contains(t, text[i + 1 - n:i + 1]) for t in templates)),
-                        default=0)) for i in range(len(text))}
-    assert set(got) <= {x for x in full if x[1]}
-    assert {x for x in full if x[1] and (x[0] + 1, x[1] + 1) not in full} == set(got)
-    for (e, n), s in got.items():
-        part = text[e - n:e]
-        assert set(auto.ends[s]) == {k for k, t in enumerate(templates) if contains(t, part)}
-        for k, place in auto.ends[s].items():
-            assert templates[k][place + 1 - n:place + 1] == part
+    got = list(auto.matches(text))
+    assert [(e, n) for e, n, _ in got] == [
+        (i + 1, max((n for n in range(1, i + 2) if any(contains(t, text[i + 1 - n:i + 1]) for t in templates)), default=0))
+        for i in range(len(text))]
+    for e, n, s in got:
+        if n:
+            assert auto.ends[s] == {(k, p) for k, t in enumerate(templates) for p in range(len(t))
+                                    if p + 1 >= n and t[p + 1 - n:p + 1] == text[e - n:e]}
+
+
+def brute_anchors(templates, text, least):
+    """Matches of each template place that can't be prolonged either way."""
+    out = set()
+    for k, t in enumerate(templates):
+        for x in range(len(text)):
+            for y in range(len(t)):
+                n = 0
+                while x + n < len(text) and y + n < len(t) and text[x + n] == t[y + n]:
+                    n += 1
+                if n >= least and not (x and y and text[x - 1] == t[y - 1]):
+                    out.add((k, x, y, n))
+    return out
+
+
+@given(st.lists(st.lists(st.integers(1, 3), max_size=12), max_size=4), st.lists(st.integers(1, 4), max_size=25), st.integers(1, 3))
+@settings(max_examples=300, deadline=None)
+def test_anchors_are_all_maximal_matches(templates, text, least):
+    got = list(lic.Automaton(templates, least).anchors(text, templates))
+    assert len(got) == len(set(got)) and set(got) == brute_anchors(templates, text, least)
+
+
+def exhaustive(anchors, max_gap):
+    """Most covered words of any chain, by trying all."""
+    def grow(last, covered):
+        best = covered
+        for a in anchors:
+            (u, v, m), (x, y, n) = last, a
+            if u + m < x + n and v + m < y + n and u <= x and v <= y and x - u - m <= max_gap and y - v - m <= max_gap:
+                gain = n - max(0, u + m - x, v + m - y)
+                if gain > 0:
+                    best = max(best, grow(a, covered + gain))
+        return best
+    return max((grow(a, a[2]) for a in anchors), default=0)
+
+
+@given(st.lists(st.integers(1, 3), max_size=10), st.lists(st.integers(1, 4), max_size=14), st.integers(0, 4))
+@settings(max_examples=300, deadline=None)
+def test_chains_equal_exhaustive_search(template, text, gap):
+    anchors = [a[1:] for a in brute_anchors([template], text, 2)]
+    chains = lic.best_chains(anchors, gap)
+    assert max((c for c, *_ in chains), default=0) == exhaustive(anchors, gap)
+    assert all(0 < c <= len(template) and 0 <= a < b <= len(text) for c, a, b in chains)
+
+
+def test_short_template_inside_a_longer_match():
+    for more in ("", ' (the "License"); you may not use this file except in compliance.'):
+        _, _, spans = scan_one("Licensed under the Apache License, Version 2.0" + more)
+        assert ("apache-2.0", 1.0) in [(s["label"], s["score"]) for s in spans]
+
+
+def test_own_words_in_the_middle_and_edits_at_both_ends():
+    for label in ("apache-2.0", "mit", "bsd", "gpl"):
+        text = max((t for k, t in TEMPLATES if k == label), key=len)
+        w = text.split()
+        stray = " ".join(w[:len(w) // 2] + w[:6] + w[len(w) // 2:])
+        _, _, spans = scan_one(stray)
+        assert max(s["score"] for s in spans if s["label"] == label) > 0.9, label
+    bsd = [t for k, t in TEMPLATES if k == "bsd"][0]
+    edited = bsd.replace("source and binary", "sourced and binary", 1).replace("materials provided", "goods provided")
+    _, _, spans = scan_one(edited)
+    assert max(s["score"] for s in spans if s["label"] == "bsd") > 0.9
+
+
+def test_two_copies_are_two_spans_and_no_templates_none():
+    text = TEMPLATES[-1][1]
+    _, _, spans = scan_one(f"{text} {'x ' * 40} {text}")
+    assert [s["score"] for s in spans] == [1.0, 1.0] and spans[0]["end"] < spans[1]["start"]
+    n, base, spans = [x[0] for x in lic.Scanner(templates=[])([b"all rights reserved"])]
+    assert (n, spans) == (3, []) and [p["label"] for p in base] == ["reserved"]
 
 
 def scan_one(text):
@@ -55,11 +124,11 @@ def test_templates_notices_and_broken_copies():
     for label, text in TEMPLATES:
         n, _, spans = scan_one("Some words before. " + text + " And words after it.")
         assert any(s["label"] == label and s["score"] == 1.0 for s in spans), label
-    long = [t for k, t in TEMPLATES if k == "mit"][-1]
+    long = max((t for k, t in TEMPLATES if k == "mit"), key=len)
     broken = long.replace("sublicense", "hire out").replace("Software is furnished", "Product is furnished")
     _, _, spans = scan_one("x " * 500 + broken + " y" * 500)
-    (span,) = [s for s in spans if s["label"] == "mit"]
-    assert 0.8 < span["score"] < 1 and span["start"] >= 500
+    mit = [s for s in spans if s["label"] == "mit"]
+    assert mit and all(0.8 < s["score"] < 1 and s["start"] >= 500 for s in mit)
     assert scan_one("the rights of the people and the law of the land are not subject to this")[2] == []
 
 
