@@ -15,7 +15,7 @@ import pyarrow.compute as pc
 
 
 
-def _as_matrix(list_array: pa.Array) -> np.ndarray:
+def as_matrix(list_array: pa.Array) -> np.ndarray:
     """ARRAY<FLOAT|DOUBLE> column of equal-length vectors -> float64 matrix."""
     list_array = list_array.combine_chunks() if isinstance(list_array, pa.ChunkedArray) else list_array
     n = len(list_array)
@@ -81,7 +81,7 @@ def topk_kernel(query_ids: np.ndarray, query_unit: np.ndarray, k: int, id_col: s
         for whole in batches:
             for lo in range(0, whole.num_rows, rows_per_block):
                 batch = whole.slice(lo, rows_per_block)
-                corpus = unit_rows(_as_matrix(batch.column(vec_col)))
+                corpus = unit_rows(as_matrix(batch.column(vec_col)))
                 dist = np.round(1.0 - query_unit @ corpus.T, decimals)      # (Q, B)
                 dist[np.isnan(dist)] = np.inf
                 kk = min(k, dist.shape[1])

@@ -340,13 +340,16 @@ def _statements() -> dict[str, str]:
                                    "WHERE list_dot_product(ev.e, ev.e) > 0)")
                              + " SELECT item_id, rank, filename AS source, distance, md5(text) AS text_md5 FROM (SELECT *, row_number() OVER "
                                "(PARTITION BY item_id ORDER BY distance, doc_id, chunk_index) AS rank FROM ed) WHERE rank <= 5")
-    s["ann_recall"] = """
+    ann = """
 WITH v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
 d AS (SELECT a.vec_id AS qid, b.vec_id AS cid, round(1 - list_dot_product(a.e, b.e)
              / (sqrt(list_dot_product(a.e, a.e)) * sqrt(list_dot_product(b.e, b.e))), 6) + 0.0 AS distance
-      FROM v a, v b WHERE a.vec_id < 100)
-SELECT qid, cid AS best_cid, abs(distance) AS distance, true AS recall_ok
-FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY distance, cid) AS r FROM d) WHERE r = 1"""
+      FROM v a, v b WHERE a.vec_id % 100 = 0),
+r AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY distance, cid) AS rank FROM d)
+"""
+    s["ann_recall"] = ann + "SELECT qid, cid AS best_cid, abs(distance) AS distance, true AS recall_ok FROM r WHERE rank = 1"
+    s["retrieve_ann"] = (ann + "SELECT qid, rank, cid, CAST(label AS BIGINT) AS label, abs(distance) AS distance "
+                         "FROM r JOIN embeddings ON vec_id = cid WHERE rank <= 5")
     ctx5 = _with(CHUNKS_CTE, CHUNK_TERMS, lexical("b_", "benchmark", "item_id", "text", 5))
     s["context"] = ctx5 + " SELECT qkey AS item_id, context FROM b_ctx"
     s["cited_sources"] = (ctx5 + " SELECT qkey AS item_id, array_to_string(list_sort(list_distinct("

@@ -149,7 +149,7 @@ def test_ivf_default_reaches_recall_and_carries(spark):
     odd = spark.createDataFrame([(10**6, None, 1), (10**6 + 1, [0.0] * 64, 1)], corpus.schema)
     qs = emb.where("vec_id < 60").select(F.col("vec_id").alias("qid"), F.col("embedding").alias("vec"))
     index = RT.ivf_index(corpus.unionByName(odd), carry=["source"])
-    assert len(index.centers) == int(corpus.count() ** 0.5) and index.cells.count() == corpus.count()
+    assert index.nlist == int(corpus.count() ** 0.5) and index.cells.count() == corpus.count()
     approx, cand = RT.ivf_search(qs, index, k=5)
     exact = {(r.qid, r.cid) for r in RT.dense_topk(qs, corpus, k=5).collect()}
     rows = approx.collect()
@@ -260,3 +260,44 @@ def test_index_blocks_are_bounded_and_nothing_is_fetched(spark, monkeypatch):
     monkeypatch.undo()
     assert [(r.qid, r.doc_id, r["rank"]) for r in top.orderBy("qid", "rank").collect()] == [
         (q, d, d + 1) for q in (1, 2) for d in (0, 1, 2)]
+
+
+def test_ivf_two_levels_fitted_on_a_sample(spark):
+    emb = table(spark, "/root/testdata/sf0.01", "embeddings")
+    corpus = emb.select(F.col("vec_id").alias("cid"), F.col("embedding").alias("vec"))
+    index = RT.ivf_index(corpus, nlist=30, sample=100, max_coarse=10)
+    assert (len(index.coarse), len(index.fine)) == (10, 3) and index.cells.count() == corpus.count()
+    assert index.cells.where("cell < 0 or cell >= 30").count() == 0
+    qs = emb.where("vec_id % 10 = 0").select(F.col("vec_id").alias("qid"), F.col("embedding").alias("vec"))
+    exact = {(r.qid, r.cid) for r in RT.dense_topk(qs, corpus, k=5).collect()}
+    approx, cand = RT.ivf_search(qs, index, k=5)
+    assert len({(r.qid, r.cid) for r in approx.collect()} & exact) >= 0.9 * len(exact)
+    assert sum(r.candidates for r in cand.collect()) < qs.count() * corpus.count()
+
+
+def test_ivf_certified_is_exact(spark):
+    emb = table(spark, "/root/testdata/sf0.01", "embeddings")
+    corpus = emb.select(F.col("vec_id").alias("cid"), F.col("embedding").alias("vec"))
+    qs = emb.where("vec_id % 10 = 3").select(F.col("vec_id").alias("qid"), F.col("embedding").alias("vec"))
+    odd = spark.createDataFrame([(-1, [0.0] * 64), (-2, None)], qs.schema)
+    cols = ["qid", "cid", "rank"]
+    exact = _rows(RT.dense_topk(qs, corpus, k=5), cols)
+    index = RT.ivf_index(corpus, nlist=12)
+    for nprobe in (1, 2, 12):
+        assert _rows(RT.ivf_search(qs.unionByName(odd), index, k=5, nprobe=nprobe, certified=True)[0], cols) == exact
+    many = RT.ivf_search(qs, index, k=200, nprobe=1, certified=True)[0]  # fewer than k in the first round
+    assert _rows(many, cols) == _rows(RT.dense_topk(qs, corpus, k=200), cols)
+    # well separated groups: most cells are ruled out
+    rng = np.random.default_rng(1)
+    groups = np.repeat(np.eye(8), 50, axis=0) + rng.normal(0, 0.02, (400, 8))
+    far = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(groups)], "cid long, vec array<double>")
+    one = far.where("cid % 50 = 7").withColumnRenamed("cid", "qid")
+    got, cand = RT.ivf_search(one, RT.ivf_index(far, nlist=8), k=5, nprobe=1, certified=True)
+    assert _rows(got, cols) == _rows(RT.dense_topk(one, far, k=5), cols)
+    assert sum(r.candidates for r in cand.collect()) < 8 * 400 / 2
+
+
+def test_ivf_without_vectors(spark):
+    none = spark.createDataFrame([(1, None), (2, [0.0, 0.0])], "cid long, vec array<double>")
+    q = spark.createDataFrame([(1, [1.0, 0.0])], "qid long, vec array<double>")
+    assert RT.ivf_topk(q, none)[0].count() == 0 == RT.ivf_topk(q, none, certified=True)[0].count()
