@@ -35,7 +35,7 @@ from docmill.llm.common import Memory, carried, map_text, per_worker
 
 #: Remembered entries per worker (up to twice as many): stretches between spaces;
 #: entry pairs.
-STRETCHES, PAIRS = 150_000, 300_000
+STRETCHES, PAIRS = 90_000, 120_000
 #: Marks that may end a word; a run of them is a piece of its own.
 _MARKS = ".,;:!?\"')]}"
 
@@ -72,16 +72,16 @@ class Vocabulary:
         self.known: list[dict[int, bool]] = [{} for _ in self.entries]
         self.pairs = 0
         self.all_bytes = all(bytes([c]) in ranks for c in range(256))
-        #: The longest entry that begins each beginning of an entry.
+        #: The longest entry that begins each beginning of an entry that isn't one itself.
         self.begins: dict[str, int] = {}
         for entry in sorted(ranks):
-            for n in range(1, len(entry) + 1):
+            longest = -1
+            for n in range(1, len(entry)):
                 own = ranks.get(entry[:n])
-                start = entry[:n].decode("latin-1")
                 if own is not None:
-                    self.begins[start] = own
-                elif start not in self.begins:
-                    self.begins[start] = self.begins.get(start[:-1], -1)
+                    longest = own
+                else:
+                    self.begins.setdefault(entry[:n].decode("latin-1"), longest)
         self.most = max(self.lengths)
 
     def _find_halves(self, rank: int) -> None:
@@ -144,7 +144,7 @@ class Vocabulary:
     def _backtrack(self, text: str, out: list[int], entry: int) -> list[int]:
         """Go on from compatible entries ``out`` and an ``entry`` that doesn't fit."""
         n, lengths, shorter, known, learn = len(text), self.lengths, self.shorter, self.known, self._learn
-        begins, most, reach = self.begins, self.most, self.automaton.longest_prefix
+        begins, most, reach, own = self.begins, self.most, self.automaton.longest_prefix, self.automaton.get
         usable = bytearray(b"\x01") * (n + 1)
         at, last = sum(map(lengths.__getitem__, out)), out[-1]
         entry = shorter[entry]
@@ -163,7 +163,10 @@ class Vocabulary:
                 if at == n:
                     return out
                 rest = text[at:at + most]
-                last, entry = entry, begins[rest[:reach(rest)]]
+                rest = rest[:reach(rest)]
+                last, entry = entry, own(rest, -1)
+                if entry < 0:
+                    entry = begins[rest]
             else:  # nothing fits here: step back and shorten the entry before
                 usable[at] = 0
                 entry = out.pop()
