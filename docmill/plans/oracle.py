@@ -328,6 +328,10 @@ def _statements() -> dict[str, str]:
     s["retrieve_lexical"] = (_with(CHUNKS_CTE, CHUNK_TERMS, lexical("b_", "benchmark", "item_id", "text", 5)) +
                              " SELECT qkey AS item_id, rank, doc_id, chunk_index, round(distance, 6) AS distance FROM b_top")
     s["retrieve_indexed"] = s["retrieve_lexical"]
+    s["keyword_table"] = """
+WITH k AS (SELECT DISTINCT keyword FROM (SELECT unnest(regexp_split_to_array(lower(text), '[^\\p{L}]+')) AS keyword FROM benchmark)
+           WHERE length(keyword) >= 6)
+SELECT keyword, count(*) AS docs, min(doc_id) AS first_doc FROM documents JOIN k ON contains(lower(text), keyword) GROUP BY keyword"""
     s["retrieve_dense"] = (_with(CENTROIDS) + " SELECT qid, rank, cid, round(distance, 6) AS distance FROM ("
                            "SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(distance, 6), cid) AS rank FROM sc) WHERE rank <= 5")
     def counts(x):

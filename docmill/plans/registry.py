@@ -14,7 +14,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docmill import rules
-from docmill.operators import generate, orders, pages, postings, retrieve, scripts
+from docmill.functions.text import tokens
+from docmill.operators import dictionary, generate, orders, pages, postings, retrieve, scripts
 from docmill.plans.corpus import (benchmark_queries, case_queries, chunk_table, contexts, documents, retrieved,
                                   spread, table)
 from docmill.session import scratch_path
@@ -336,6 +337,17 @@ def q_feature_detect(spark, sf):
                    .select("doc_id", _long("feature_ord"), "feature")
 
 
+def q_keyword_table(spark, sf):
+    """Words of the benchmark, as a keyword table, found in the documents."""
+    words = F.explode(F.array_distinct(tokens("text"))).alias("keyword")
+    keywords = table(spark, sf, "benchmark").select(words).where(F.length("keyword") >= 6).distinct() \
+        .withColumn("cased", F.lit(False))
+    docs = spread(documents(spark, sf).select("doc_id", "text"))
+    hits = dictionary.keyword_hits(docs, keywords, ["doc_id"])
+    return hits.groupBy(F.col("needle").alias("keyword")).agg(F.count(F.lit(1)).alias("docs"),
+                                                              F.min("doc_id").alias("first_doc"))
+
+
 def q_spec_rules(spark, sf):
     docs = spread(documents(spark, sf).select("doc_id", "text"))
     feats = docs.select("doc_id", "text", F.inline(generate.detected_features([F.col("text")], CORPUS_FEATURES)))
@@ -730,6 +742,7 @@ QUERIES: dict[str, Query] = {
     "context": q_context,
     "cited_sources": q_cited_sources,
     "feature_detect": q_feature_detect,
+    "keyword_table": q_keyword_table,
     "spec_rules": q_spec_rules,
     "feature_map": q_feature_map,
     "test_cases": q_test_cases,
