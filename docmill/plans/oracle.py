@@ -4,9 +4,7 @@ Each statement recomputes a query's result from the raw tables (views
 ``documents``, ``benchmark``, ``pages``, ...) with plain SQL: the chunk rule
 in closed form, lexical cosine with GROUP BY, regex-based HTML handling,
 decimal money. Fixed values (keywords, templates) are interpolated from
-:mod:`docmill.rules` so both sides use the same dictionaries. The iterative
-IVF query (retrieve_ann) has no entry and is checked by row count plus
-property tests.
+:mod:`docmill.rules` so both sides use the same dictionaries.
 """
 
 from __future__ import annotations
