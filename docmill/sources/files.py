@@ -112,7 +112,8 @@ def extract_text(files: DataFrame, mode: str = "fail_fast", max_bytes: int | Non
     (``unsupported_pdf``), files over ``max_bytes`` (if given) are
     ``too_large``, other bytes that are not UTF-8 are ``invalid_utf8``.
     ``quarantine`` keeps such files as rows with ``ok = false``; ``fail_fast``
-    stops the job at the first invalid file with ``Error processing <file>``.
+    stops the job at the first invalid or too large file with ``Error processing
+    <file>: <code>`` (a PDF is no broken file, and stays a row in either mode).
     Each parser only gets the texts of its own kind.
     """
     if mode not in ("fail_fast", "quarantine"):
@@ -133,8 +134,8 @@ def extract_text(files: DataFrame, mode: str = "fail_fast", max_bytes: int | Non
              .otherwise(F.when(usable, raw)))
     if mode == "fail_fast":
         # a filter, so the check runs whatever columns are read later
-        df = df.where(F.when(F.col("error_code") == "invalid_utf8", F.raise_error(
-            F.concat(F.lit("Error processing "), F.col("filename"), F.lit(": invalid UTF-8"))).cast("boolean"))
+        df = df.where(F.when(F.col("error_code").isin("invalid_utf8", "too_large"), F.raise_error(
+            F.concat(F.lit("Error processing "), F.col("filename"), F.lit(": "), F.col("error_code"))).cast("boolean"))
             .otherwise(F.lit(True)))
     return df.withColumn("text", text).withColumn("ok", usable)
 

@@ -59,6 +59,8 @@ def test_fail_fast_with_a_constant_type_and_binary_pdf(spark):
             FS.extract_text(bad).select(*columns).collect()
     with pytest.raises(Exception, match="Error processing bad.txt"):
         FS.extract_text(bad).count()
+    with pytest.raises(Exception, match="Error processing bad.txt: too_large"):
+        FS.extract_text(bad, max_bytes=1).count()
     pdf = _files(spark, [("s.pdf", None, b"%PDF-1.7\xe2\xe3\xcf\xd3"), ("a.txt", None, b"ok")])
     for mode in ("fail_fast", "quarantine"):
         got = {r.filename: (r.ok, r.error_code, r.text) for r in FS.extract_text(pdf, mode).collect()}
