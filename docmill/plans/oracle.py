@@ -322,7 +322,20 @@ def _statements() -> dict[str, str]:
                         + f" SELECT qkey AS item_id, rank, {chunk_id} AS chunk_id, filename AS source, "
                           "round(distance, 6) AS distance, md5(text) AS text_md5 FROM b_top JOIN chunks USING (doc_id, chunk_index)")
     s["kb_sources"] = _with(CHUNKS_CTE) + " SELECT DISTINCT filename AS source FROM chunks"
-    s["incremental_ingest"] = s["kb_summary"]
+    s["incremental_ingest"] = s["kb_build"]
+    s["kb_upsert"] = (_with(CHUNKS_CTE, "sent AS (SELECT doc_id FROM documents WHERE doc_id % 5 = 0 UNION ALL "
+                                        "SELECT doc_id + 1000000000 FROM documents WHERE doc_id % 7 = 0)",
+                            "short AS (SELECT 'doc-' || doc_id || '.txt' AS filename, 0 AS chunk_index, "
+                            "'Document ' || doc_id || ' was withdrawn.' AS text FROM sent)",
+                            "now AS (SELECT filename, chunk_index, start_char, end_char, text FROM chunks WHERE doc_id % 5 <> 0 "
+                            "UNION ALL SELECT filename, chunk_index, 0, 1000, text FROM short)")
+                      + f" SELECT {chunk_id} AS chunk_id, filename AS source, 'text/plain' AS content_type, "
+                        "CAST(chunk_index AS BIGINT) AS chunk_index, CAST(start_char AS BIGINT) AS start_char, "
+                        "CAST(end_char AS BIGINT) AS end_char, md5(text) AS text_md5 FROM now")
+    counted = "CAST(count(*) AS BIGINT) AS chunks, CAST(count(DISTINCT filename) AS BIGINT) AS sources FROM chunks"
+    s["kb_lifecycle"] = (_with(CHUNKS_CTE) + " SELECT '0 missing' AS step, CAST(0 AS BIGINT) AS chunks, CAST(0 AS BIGINT) AS sources"
+                         f" UNION ALL SELECT '1 built', {counted} UNION ALL SELECT '2 replaced', {counted} WHERE doc_id % 2 = 0"
+                         f" UNION ALL SELECT '3 cleared', 0, 0 UNION ALL SELECT '4 sent again', {counted} WHERE doc_id % 2 = 0")
     s["retrieve_lexical"] = (_with(CHUNKS_CTE, CHUNK_TERMS, lexical("b_", "benchmark", "item_id", "text", 5)) +
                              " SELECT qkey AS item_id, rank, doc_id, chunk_index, round(distance, 6) AS distance FROM b_top")
     s["retrieve_indexed"] = s["retrieve_lexical"]

@@ -8,6 +8,7 @@ column is aliased, integers are BIGINT and floating results are rounded to
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,7 +16,7 @@ from pyspark.sql import functions as F
 
 from docmill import rules
 from docmill.functions.text import tokens
-from docmill.operators import dictionary, generate, orders, pages, postings, retrieve, scripts
+from docmill.operators import chunking, dictionary, generate, orders, pages, postings, retrieve, scripts
 from docmill.plans.corpus import (benchmark_queries, case_queries, chunk_table, contexts, documents, retrieved,
                                   spread, table)
 from docmill.session import scratch_path
@@ -217,10 +218,46 @@ def _stored_kb(spark, sf):
     return kb.open_kb(spark, root)
 
 
+def _kb_columns(rows):
+    return rows.select("chunk_id", "source", "content_type", _long("chunk_index"), _long("start_char"),
+                       _long("end_char"), F.md5(F.col("text").cast("binary")).alias("text_md5"))
+
+
 def q_kb_build(spark, sf):
-    return _stored_kb(spark, sf).select("chunk_id", "source", "content_type", _long("chunk_index"),
-                                        _long("start_char"), _long("end_char"),
-                                        F.md5(F.col("text").cast("binary")).alias("text_md5"))
+    return _kb_columns(_stored_kb(spark, sf))
+
+
+def q_kb_upsert(spark, sf):
+    """The stored KB after every fifth document was sent again, shorter, and a
+    document was added for every seventh."""
+    root = scratch_path(spark, "kb")
+    kb.build(_kb_rows(spark, sf), root)
+    docs = documents(spark, sf).select("doc_id")
+    sent = docs.where("doc_id % 5 = 0").unionByName(docs.where("doc_id % 7 = 0").select(
+        (F.col("doc_id") + 1_000_000_000).alias("doc_id")))
+    text = F.concat(F.lit("Document "), F.col("doc_id").cast("string"), F.lit(" was withdrawn."))
+    named = sent.select("doc_id", text.alias("text"), files.document_name(F.col("doc_id")).alias("filename"),
+                        F.lit("text/plain").alias("content_type"))
+    kb.append(kb.kb_rows(chunking.chunk(named)), root)
+    return _kb_columns(kb.open_kb(spark, root))
+
+
+def q_kb_lifecycle(spark, sf):
+    """Chunks and sources of a KB at each step of its life: not there yet, built,
+    replaced by the documents of even id, cleared, sent again."""
+    root = scratch_path(spark, "kb")
+    rows = _kb_rows(spark, sf)
+    even = kb.kb_rows(chunk_table(spark, sf).where("doc_id % 2 = 0"))
+    steps = [("0 missing", lambda: None), ("1 built", lambda: kb.build(rows, root)),
+             ("2 replaced", lambda: kb.build(even, root)), ("3 cleared", lambda: kb.clear(spark, root)),
+             ("4 sent again", lambda: kb.append(even, root))]
+    seen = []
+    for name, change in steps:
+        change()
+        seen.append(written(kb.open_kb(spark, root).agg(
+            F.count(F.lit(1)).alias("chunks"), F.countDistinct("source").alias("sources"))
+            .select(F.lit(name).alias("step"), "chunks", "sources"), "kb-step"))
+    return functools.reduce(DataFrame.unionByName, seen)
 
 
 def q_kb_summary(spark, sf):
@@ -713,8 +750,7 @@ def q_discount_reconcile(spark, sf):
 
 def q_incremental_ingest(spark, sf):
     from docmill.streaming.ingest import run_incremental_ingest
-    kb_df = run_incremental_ingest(spark, sf)
-    return kb.summary(kb_df).select("source", _long("chunks"))
+    return _kb_columns(run_incremental_ingest(spark, sf))
 
 
 QUERIES: dict[str, Query] = {
@@ -730,6 +766,8 @@ QUERIES: dict[str, Query] = {
     "assemble_parts": q_assemble_parts,
     "ingest_chunks": q_ingest_chunks,
     "kb_build": q_kb_build,
+    "kb_upsert": q_kb_upsert,
+    "kb_lifecycle": q_kb_lifecycle,
     "kb_summary": q_kb_summary,
     "kb_retrieve": q_kb_retrieve,
     "kb_sources": q_kb_sources,

@@ -107,9 +107,16 @@ def remove_scratch(spark: SparkSession) -> int:
     """Delete the tables that this application wrote at ``scratch_path``s, with
     whatever file system they are on. Call it when no result that reads them is
     needed any more; returns how many were there."""
-    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
-    gone = 0
-    for path in _WRITTEN.pop(spark.sparkContext.applicationId, []):
-        where = jvm.org.apache.hadoop.fs.Path(path)
-        gone += bool(where.getFileSystem(conf).delete(where, True))
-    return gone
+    return sum(_delete(spark, path) for path in _WRITTEN.pop(spark.sparkContext.applicationId, []))
+
+
+def remove_path(spark: SparkSession, path: str) -> bool:
+    """Delete one ``scratch_path`` that nothing reads any more (a stream's batches
+    would add up otherwise)."""
+    _WRITTEN.get(spark.sparkContext.applicationId, [path]).remove(path)
+    return _delete(spark, path)
+
+
+def _delete(spark: SparkSession, path: str) -> bool:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return bool(where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True))

@@ -1,31 +1,38 @@
-"""Knowledge-base table: chunk rows with deterministic ids, persisted as
-immutable parquet versions and deltas.
-
-Layout under ``root``::
-
-    root/v-<version>/part-*.parquet     one complete build (time-sortable id)
-    root/d-<version>/part-*.parquet     rows of some sources that replace those sources
-    root/commits/<version>/part-*.txt   written after the rows have committed
-
-A build or an append writes a fresh directory; Spark's commit protocol handles
-task retries and lost executors. Only after that job has committed is the commit
-marker written (a new directory, never overwritten). Readers take the greatest
-committed build and the committed deltas after it; of a source that several of
-them hold, the newest counts. So a KB switches atomically, never shows a
-half-written state, and a source that is sent again replaces itself. Appending
-costs the new rows only; a build folds the deltas in.
+"""Knowledge-base table: chunk rows with deterministic ids, kept as a partitioned
+Parquet table.
+
+The table is laid out by ``bucket``, a hash of the source, so all rows of a source
+stand in one bucket (below ``partition_by``, if given). That makes each change an
+ordinary Spark overwrite:
+
+* :func:`build` replaces the whole table (static overwrite),
+* :func:`append` replaces the sources it is given: it reads the buckets that they
+  fall into, takes out their old rows and overwrites just those buckets (dynamic
+  partition overwrite),
+* :func:`clear` overwrites with nothing, :func:`open_kb` reads the table.
+
+New rows are complete in the shared folder before the table is touched, so rows may
+come from the table itself, and a job that fails leaves the table as it was. Sending
+rows again gives the same table, so a replayed batch needs no bookkeeping. One writer
+at a time; a reader opens the table between changes. The number of buckets and the
+outer partition column are kept in the schema of the files (column metadata).
 """
 
 from __future__ import annotations
 
-import time
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from docmill.session import remove_path, scratch_path
 
 KB_SCHEMA = ("chunk_id string, source string, content_type string, chunk_index int, "
              "start_char int, end_char int, text string")
+KB_COLUMNS = [c.split(" ")[0] for c in KB_SCHEMA.split(", ")]
+#: Buckets of a new table. An append rewrites the buckets it touches, so a large
+#: table that changes often takes more of them.
+BUCKETS = 64
 
 
 def chunk_id(source, chunk_index):
@@ -44,85 +51,114 @@ def kb_rows(chunks: DataFrame, source_col: str = "filename", type_col: str = "co
         F.col("end_char").cast("int").alias("end_char"), "text")
 
 
-def build(rows: DataFrame, root: str, partitions: int | None = None,
-          partition_by: str | None = None) -> tuple[str, int]:
-    """Write a new KB version and make it current. Returns (version, chunks).
-
-    ``rows`` must have the KB_SCHEMA columns; extra columns (an ``embedding``
-    from :func:`docmill.operators.encode.encode`, a language or collection
-    column) are kept. ``partition_by`` names a coarse column to lay the
-    version out by (``partitionBy``), so filters on it prune files before
-    any scoring. ``partitions`` optionally clusters rows by chunk id first.
-    """
-    out = _with_schema(rows)
-    out = out.repartition(partitions, "chunk_id") if partitions else out
-    return _commit(out, root, "v", partition_by)
-
+def bucket_of(source: Column, buckets: int = BUCKETS) -> Column:
+    """The bucket of a source (NULL has one, too)."""
+    return F.pmod(F.xxhash64(source), F.lit(buckets)).cast("int")
 
-def append(rows: DataFrame, root: str) -> tuple[str, int]:
-    """Add ``rows`` to the KB; their sources replace what the KB had of them.
-    Returns (version, chunks)."""
-    return _commit(_with_schema(rows), root, "d")
 
+def build(rows: DataFrame, root: str, partition_by: str | None = None, buckets: int = BUCKETS) -> int:
+    """Make ``rows`` the whole KB; returns how many there are.
 
-def _with_schema(rows: DataFrame) -> DataFrame:
-    required = [c.split(" ")[0] for c in KB_SCHEMA.split(", ")]
-    return rows.select(*required, *[c for c in rows.columns if c not in required and c != "kb_version"])
+    ``rows`` must have the KB_SCHEMA columns; extra columns (an ``embedding``
+    from :func:`docmill.operators.encode.encode`, a language or collection
+    column) are kept. ``partition_by`` names a coarse string column to lay the
+    table out by, so filters on it prune files before any scoring; a source
+    then belongs to its value of that column."""
+    return _through_scratch(_laid_out(rows, buckets, partition_by), root, "static", partition_by)
 
 
-def _commit(rows: DataFrame, root: str, kind: str, partition_by: str | None = None) -> tuple[str, int]:
+def append(rows: DataFrame, root: str, buckets: int = BUCKETS) -> int:
+    """Add ``rows``; the sources in them replace what the KB had of them (with
+    ``partition_by``: within their value of that column). Returns the number of
+    rows given. Columns that the table doesn't have raise; those that ``rows``
+    don't have become NULL. ``buckets`` counts for a KB without rows only."""
     spark = rows.sparkSession
-    version = f"{time.time_ns():020d}-{uuid.uuid4().hex[:8]}"
-    path = f"{root}/{kind}-{version}"
-    writer = rows.withColumn("kb_version", F.lit(version)).write
-    if partition_by:
-        writer = writer.partitionBy(partition_by)
-    writer.parquet(path)
-    n = _read(spark, [path]).count()
-    spark.createDataFrame([(f"{kind}-{version}",)], "v string").coalesce(1).write.text(f"{root}/commits/{version}")
-    return version, n
-
-
-def _committed(spark: SparkSession, root: str) -> list[str]:
-    """Committed directory names since (and with) the newest build, oldest
-    first: one short string per commit."""
-    from pyspark.errors import AnalysisException
-    try:
-        names = [r[0] for r in spark.read.text(f"{root}/commits/*").collect()]
-    except AnalysisException:  # nothing committed yet
-        return []
-    newest = max((n[2:] for n in names if n.startswith("v-")), default="")
-    return sorted((n for n in names if n[2:] >= newest), key=lambda n: n[2:])
+    old = _table(spark, root)
+    if old is None:
+        return build(rows, root, buckets=buckets)
+    layout = _layout(old)
+    by = layout.get("by")
+    foreign = set(rows.columns) - set(old.columns)
+    if foreign:
+        raise ValueError(f"the KB has no column {sorted(foreign)}")
+    path = scratch_path(spark, "kb-rows")
+    _laid_out(rows, layout["buckets"], by).write.parquet(path)
+    new = spark.read.parquet(path)
+    # at most one number per bucket: partitions to read and to write again
+    touched = [r[0] for r in new.select("bucket").distinct().collect()]
+    n = new.count()
+    if touched:
+        leaf = new.select("bucket", *([by] if by else [])).distinct()
+        same = [new["source"].eqNullSafe(old["source"])] + ([new[by].eqNullSafe(old[by])] if by else [])
+        kept = old.where(F.col("bucket").isin(touched)).join(new, same, "left_anti")
+        if by:
+            kept = kept.join(leaf, (kept[by].eqNullSafe(leaf[by])) & (kept["bucket"] == leaf["bucket"]), "left_semi")
+        merged = _stamped(kept.unionByName(new, allowMissingColumns=True), layout)
+        _through_scratch(merged, root, "dynamic", by)
+    remove_path(spark, path)
+    return n
+
+
+def _stamped(rows: DataFrame, layout: dict) -> DataFrame:
+    return rows.withMetadata("source", layout)
+
+
+def _laid_out(rows: DataFrame, buckets: int, by: str | None) -> DataFrame:
+    extra = [c for c in rows.columns if c not in KB_COLUMNS and c != "bucket"]
+    layout = {"buckets": buckets} | ({"by": by} if by else {})
+    return _stamped(rows.select(*KB_COLUMNS, *extra).withColumn("bucket", bucket_of(F.col("source"), buckets)), layout)
+
+
+def _through_scratch(rows: DataFrame, root: str, mode: str, by: str | None) -> int:
+    """Compute ``rows`` in the shared folder, then overwrite ``root`` with them.
+    ``rebalance`` brings a bucket's rows together, so that a task writes few
+    files, and lets AQE split a bucket that holds a hot source."""
+    spark = rows.sparkSession
+    path = scratch_path(spark, "kb-table")
+    rows.write.parquet(path)
+    ready = spark.read.schema(rows.schema).parquet(path)
+    ready.hint("rebalance", "bucket").write.mode("overwrite").option("partitionOverwriteMode", mode) \
+        .partitionBy(*([by] if by else []), "bucket").parquet(root)
+    n = ready.count()
+    remove_path(spark, path)
+    return n
 
 
-def current_version(spark: SparkSession, root: str) -> str | None:
-    """Greatest committed version id under ``root`` (None when there is none)."""
-    names = _committed(spark, root)
-    return names[-1][2:] if names else None
+def _layout(table: DataFrame) -> dict:
+    return table.schema["source"].metadata
 
 
-def _read(spark: SparkSession, paths: list[str]) -> DataFrame:
-    from pyspark.errors import AnalysisException
+def _table(spark: SparkSession, root: str) -> DataFrame | None:
+    """The stored table with its ``bucket`` column; None without any rows."""
     try:
-        return spark.read.option("mergeSchema", "true").parquet(*paths)
-    except AnalysisException:  # committed but empty (a cleared KB)
-        return spark.read.schema(KB_SCHEMA + ", kb_version string").parquet(*paths)
+        schema = spark.read.parquet(root).schema
+    except AnalysisException as e:
+        if e.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            return None
+        raise
+    by = schema["source"].metadata.get("by")  # folder names that look like numbers stay strings
+    schema = T.StructType([T.StructField(f.name, T.StringType()) if f.name == by else f for f in schema])
+    return spark.read.schema(schema).parquet(root)
 
 
 def open_kb(spark: SparkSession, root: str) -> DataFrame:
-    """The live KB, or an empty table of the KB schema when none exists."""
-    names = _committed(spark, root)
-    if not names:
+    """The KB, or an empty table of the KB schema when none exists."""
+    rows = _table(spark, root)
+    return spark.createDataFrame([], KB_SCHEMA) if rows is None else rows.drop("bucket")
+
+
+def of_sources(spark: SparkSession, root: str, names: list[str]) -> DataFrame:
+    """The rows of a stated list of sources; reads only their buckets."""
+    rows = _table(spark, root)
+    if rows is None:
         return spark.createDataFrame([], KB_SCHEMA)
-    rows = _read(spark, [f"{root}/{n}" for n in names])
-    if len(names) > 1:  # of each source the newest rows
-        newest = rows.groupBy("source").agg(F.max("kb_version").alias("kb_version"))
-        rows = rows.join(newest, ["source", "kb_version"])
-    return rows.select(*[c for c in rows.columns if c != "kb_version"])
+    n = _layout(rows)["buckets"]
+    held = spark.range(1).select(*[bucket_of(F.lit(s), n).alias(str(i)) for i, s in enumerate(names)]).first() or []
+    return rows.where(F.col("bucket").isin(sorted(set(held))) & F.col("source").isin(list(names))).drop("bucket")
 
 
-def clear(spark: SparkSession, root: str) -> tuple[str, int]:
-    """Replace the live KB with an empty one."""
+def clear(spark: SparkSession, root: str) -> int:
+    """Replace the KB with an empty one."""
     return build(spark.createDataFrame([], KB_SCHEMA), root)
 
 

@@ -1,10 +1,10 @@
 """Incremental ingest: new document files -> chunks -> appended to the KB.
 
 All ingest stages are stateless per row, so the batch operators run
-unchanged on a streaming DataFrame. Each micro-batch is committed as a delta of
-the KB that ``kb.open_kb`` reads. A replayed batch (after a driver or executor
-loss) and a source that is sent again replace the source's rows instead of
-duplicating them; chunk ids are deterministic (source, chunk_index).
+unchanged on a streaming DataFrame. Each micro-batch overwrites the KB's buckets
+that its sources fall into (``kb.append``). A replayed batch (after a driver or
+executor loss) and a source that is sent again replace the source's rows instead
+of duplicating them; chunk ids are deterministic (source, chunk_index).
 """
 
 from __future__ import annotations

@@ -98,7 +98,7 @@ def test_kb_build_open_clear(spark):
                         F.lit("text/plain").alias("content_type"))
     from docmill.operators.chunking import chunk
     rows = KB.kb_rows(chunk(named))
-    version, n = KB.build(rows, root)
+    n = KB.build(rows, root)
     kb = KB.open_kb(spark, root)
     assert n == kb.count() == 3
     assert [r.source for r in KB.sources(kb).collect()] == ["doc-1.txt"]
@@ -139,12 +139,55 @@ def test_kb_partitioned_by_collection_prunes(spark):
     assert "PartitionFilters: [isnotnull(lang" in plan_text(en)
 
 
-def test_kb_uncommitted_version_is_invisible(spark):
+def test_kb_failed_build_or_append_changes_nothing(spark):
     root = tempfile.mkdtemp(prefix="docmill-kb-")
-    first = spark.createDataFrame([("i1", "a.md", "t", 0, 0, 1, "x")], KB.KB_SCHEMA)
-    v1, _ = KB.build(first, root)
-    # a build that crashed after writing data but before its commit marker
-    spark.createDataFrame([("i2", "b.md", "t", 0, 0, 1, "y")], KB.KB_SCHEMA) \
-        .write.parquet(f"{root}/v-99999999999999999999-crashed")
-    assert KB.current_version(spark, root) == v1
-    assert [r.source for r in KB.open_kb(spark, root).collect()] == ["a.md"]
+    KB.build(spark.createDataFrame([("i1", "a.md", "t", 0, 0, 1, "x")], KB.KB_SCHEMA), root)
+    broken = spark.createDataFrame([("i2", "b.md", "t", 0, 0, 1, "y")], KB.KB_SCHEMA) \
+        .withColumn("text", F.when(F.col("source") == "b.md", F.raise_error(F.lit("lost"))).otherwise(F.col("text")))
+    for change in (KB.build, KB.append):
+        with pytest.raises(Exception, match="lost"):
+            change(broken, root)
+        assert [r.source for r in KB.open_kb(spark, root).collect()] == ["a.md"]
+
+
+def _row(source, i, text):
+    return (f"{source}-{i}", source, "t", i, 0, 1, text)
+
+
+def test_kb_append_replaces_sources_and_only_their_buckets(spark):
+    root = tempfile.mkdtemp(prefix="docmill-kb-")
+    names = [f"s{i}.md" for i in range(40)] + [None]
+    rows = [_row(s, i, "old") for s in names for i in range(3)]
+    assert KB.build(spark.createDataFrame(rows, KB.KB_SCHEMA), root, buckets=8) == 123
+    held = {p: os.path.getmtime(os.path.join(root, p)) for p in os.listdir(root) if p.startswith("bucket=")}
+    assert len(held) == 8
+    again = spark.createDataFrame([_row("s3.md", 0, "new"), _row("s3.md", 1, "new"), _row(None, 0, "new")], KB.KB_SCHEMA)
+    for _ in range(2):  # a replay changes nothing
+        assert KB.append(again, root, buckets=99) == 3  # the table's own number of buckets counts
+        got = sorted((r.source or "", r.chunk_index, r.text) for r in KB.open_kb(spark, root).collect())
+        want = sorted([(s or "", i, "old") for s in names for i in range(3) if s not in ("s3.md", None)]
+                      + [("s3.md", 0, "new"), ("s3.md", 1, "new"), ("", 0, "new")])
+        assert got == want
+    now = {p: os.path.getmtime(os.path.join(root, p)) for p in os.listdir(root) if p.startswith("bucket=")}
+    assert 1 <= sum(now[p] != held[p] for p in held) <= 2
+    few = KB.of_sources(spark, root, ["s3.md", "none.md"])
+    assert sorted(r.text for r in few.collect()) == ["new", "new"]
+    assert "PartitionFilters: [bucket" in plan_text(few).replace("isnotnull(bucket", "bucket")
+    assert KB.append(again.where("false"), root) == 0 and KB.open_kb(spark, root).count() == len(want)
+    with pytest.raises(ValueError, match="no column"):
+        KB.append(again.withColumn("lang", F.lit("en")), root)
+    assert KB.build(KB.open_kb(spark, root).where("source = 's3.md'"), root) == 2  # from its own rows
+    assert {r.text for r in KB.open_kb(spark, root).collect()} == {"new"}
+    KB.clear(spark, root)
+    assert KB.append(again, root) == 3 == KB.open_kb(spark, root).count()
+
+
+def test_kb_append_below_collections(spark):
+    root = tempfile.mkdtemp(prefix="docmill-kb-")
+    schema = KB.KB_SCHEMA + ", year string, embedding array<float>"
+    rows = [_row(f"s{i}.md", 0, "old") + (y, [1.0]) for i in range(20) for y in ("2024", "2025")]
+    KB.build(spark.createDataFrame(rows, schema), root, partition_by="year", buckets=2)
+    KB.append(spark.createDataFrame([_row("s1.md", 0, "new") + ("2025",)], KB.KB_SCHEMA + ", year string"), root)
+    got = {(r.source, r.year): (r.text, r.embedding) for r in KB.open_kb(spark, root).collect()}
+    assert len(got) == 40 and got["s1.md", "2025"] == ("new", None) and got["s1.md", "2024"] == ("old", [1.0])
+    assert sum(v[0] == "old" for v in got.values()) == 39

@@ -49,7 +49,7 @@ def test_multiple_micro_batches_and_replay(spark):
     assert [(r.chunk_index, r.text) for r in rows] == [(0, "Short now.")]
     had = chunk(docs.where(F.col("doc_id") == again["doc_id"]).select("doc_id", "text")).count()
     assert kb.open_kb(spark, f"{root}/kb").count() == first - had + 1
-    version, n = kb.build(kb.open_kb(spark, f"{root}/kb"), f"{root}/kb")  # folds the deltas in
+    n = kb.build(kb.open_kb(spark, f"{root}/kb"), f"{root}/kb")  # from its own rows
     assert n == first - had + 1 == kb.open_kb(spark, f"{root}/kb").count()
     named = docs.select("doc_id", "text", document_name(F.col("doc_id")).alias("filename"))
     assert first == chunk(named).count()
