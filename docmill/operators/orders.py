@@ -7,6 +7,8 @@ only for the displayed total.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -43,6 +45,18 @@ def shipping_cost(method: Column, costs=rules.SHIPPING_COSTS) -> Column:
     return out
 
 
+def store_by_key(df: DataFrame, key: str, path: str, buckets: int = 16, name: str | None = None) -> DataFrame:
+    """``df`` as a table at ``path``, bucketed and sorted by ``key``. Tables stored
+    with one number of buckets are joined and aggregated by their keys without an
+    exchange, in every later query. Choose ``buckets`` so that one is a task's work
+    (about 256 MB). ``name`` is the table's name in the catalog (default: from the
+    path's last part); drop it there, the files are at ``path``."""
+    name = name or re.sub(r"\W", "_", path.rstrip("/").rsplit("/", 1)[-1])
+    # a bucket's rows meet before the write, so it is one file, or a few where AQE splits a large one
+    df.hint("rebalance", key).write.option("path", path).bucketBy(buckets, key).sortBy(key).saveAsTable(name)
+    return df.sparkSession.table(name)
+
+
 def order_lines(lineitem: DataFrame, part: DataFrame) -> DataFrame:
     """Per order: subtotal = sum(unit price x quantity), item count.
 

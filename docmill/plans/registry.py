@@ -185,6 +185,13 @@ def q_ingest_quarantine(spark, sf):
                       F.length("text").cast("long").alias("n_chars"))
 
 
+def q_ingest_metrics(spark, sf):
+    """What the ingest of mixed files counted while it wrote its table."""
+    path = scratch_path(spark, "ingested")
+    counts = files.write_extracted(_mixed_files(spark, sf), path)
+    return spark.createDataFrame(sorted(counts.items()), "metric string, value long")
+
+
 def q_ingest_chunks(spark, sf):
     """Mixed files to chunks: dispatch, extract, chunk."""
     good = files.extract_text(_mixed_files(spark, sf), mode="quarantine").where("ok")
@@ -332,11 +339,12 @@ def q_ann_recall(spark, sf):
         "qid", F.col("cid").alias("best_cid"), F.abs("distance").alias("distance"), "recall_ok")
 
 
-def letter_counts(texts: list[str]):
-    """A model-free encoder for the encoder contract: how often each of the
-    letters a-z occurs, in either case."""
+def letter_model():
+    """Loads an encoder without weights for the encoder contract: how often each
+    of the letters a-z occurs, in either case."""
     import numpy as np
-    return np.array([[t.count(c) + t.count(c.upper()) for c in LETTERS] for t in texts], dtype=np.float32)
+    pairs = [(c, c.upper()) for c in LETTERS]
+    return lambda texts: np.array([[t.count(a) + t.count(b) for a, b in pairs] for t in texts], dtype=np.float32)
 
 
 LETTERS = "abcdefghijklmnopqrstuvwxyz"
@@ -345,11 +353,11 @@ LETTERS = "abcdefghijklmnopqrstuvwxyz"
 def q_retrieve_encoded(spark, sf):
     """Items and chunks through the encoder contract, then exact dense retrieval
     with the chunks' sources and texts."""
-    from docmill.operators.encode import encode
+    from docmill.operators.encode import encode_with
     key = (F.col("doc_id") * 1_000_000 + F.col("chunk_index")).alias("cid")
     chunks = chunk_table(spark, sf).select(key, "filename", "text")
-    corpus = encode(chunks, ["cid", "filename", "text"], "text", letter_counts, dim=len(LETTERS))
-    asked = encode(benchmark_queries(spark, sf), ["item_id"], "query", letter_counts, dim=len(LETTERS))
+    corpus = encode_with(chunks, ["cid", "filename", "text"], "text", letter_model, dim=len(LETTERS))
+    asked = encode_with(benchmark_queries(spark, sf), ["item_id"], "query", letter_model, dim=len(LETTERS))
     top = retrieve.dense_topk(asked.select(F.col("item_id").alias("qid"), F.col("embedding").alias("vec")),
                               corpus.withColumnRenamed("embedding", "vec"), carry=["filename", "text"])
     return top.select(F.col("qid").alias("item_id"), _long("rank"), F.col("filename").alias("source"), "distance",
@@ -497,14 +505,15 @@ def q_coverage_matrix(spark, sf):
 
 
 def q_status_counts(spark, sf):
-    docs = documents(spark, sf).agg(F.count(F.lit(1)).alias("v")).select(F.lit("documents_uploaded").alias("metric"), "v")
-    # both KB metrics come from one count over the chunk table
-    kb_rows = chunk_table(spark, sf).agg(F.count(F.lit(1)).alias("n")).select(F.inline(F.array(
-        F.struct(F.lit("kb_ready").alias("metric"), (F.col("n") > 0).cast("long").alias("v")),
-        F.struct(F.lit("kb_chunks").alias("metric"), F.col("n").alias("v")))))
+    # documents and chunks from one scan: the chunk count has a closed form
+    docs = _records(spark, sf).agg(F.count(F.lit(1)).alias("d"), F.coalesce(F.sum("chunk_count"), F.lit(0)).alias("n")) \
+        .select(F.inline(F.array(
+            F.struct(F.lit("documents_uploaded").alias("metric"), F.col("d").alias("v")),
+            F.struct(F.lit("kb_ready").alias("metric"), (F.col("n") > 0).cast("long").alias("v")),
+            F.struct(F.lit("kb_chunks").alias("metric"), F.col("n").cast("long").alias("v")))))
     cases = _test_cases(spark, sf).agg(F.count(F.lit(1)).alias("v")).select(F.lit("cases_generated").alias("metric"), "v")
     html = table(spark, sf, "pages").agg(F.count(F.lit(1)).alias("v")).select(F.lit("html_loaded").alias("metric"), "v")
-    out = docs.unionByName(kb_rows).unionByName(cases).unionByName(html)
+    out = docs.unionByName(cases).unionByName(html)
     return out.select("metric", F.col("v").cast("long").alias("value"))
 
 
@@ -702,11 +711,22 @@ def _totals(spark, sf):
     return orders.order_totals(o, spread(table(spark, sf, "lineitem")), table(spark, sf, "part"), code, ship)
 
 
-def q_order_totals(spark, sf):
-    t = _totals(spark, sf)
+def _total_columns(t):
     return t.select("o_orderkey", _long("n_items"), "code_status", "subtotal", "discount", "shipping", "total")
 
 
+def q_order_totals(spark, sf):
+    return _total_columns(_totals(spark, sf))
+
+
+def q_order_totals_bucketed(spark, sf):
+    """The same totals from tables that were stored by the order key."""
+    _, code, ship = _order_inputs(spark, sf)
+    o, lines = (orders.store_by_key(table(spark, sf, n), key, scratch_path(spark, n))
+                for n, key in (("orders", "o_orderkey"), ("lineitem", "l_orderkey")))
+    return _total_columns(orders.order_totals(o, lines, table(spark, sf, "part"), code, ship))
+
+
 def _customer_fields(spark, sf):
     """Customers with an email and an address made from their columns; some of
     each are invalid, with white space of JavaScript that ASCII has not."""
@@ -761,6 +781,7 @@ QUERIES: dict[str, Query] = {
     "format_dispatch": q_format_dispatch,
     "ingest_filter": q_ingest_filter,
     "ingest_quarantine": q_ingest_quarantine,
+    "ingest_metrics": q_ingest_metrics,
     "json_normalize": q_json_normalize,
     "page_text": q_page_text,
     "assemble_parts": q_assemble_parts,
@@ -813,6 +834,7 @@ QUERIES: dict[str, Query] = {
     "script_choice": q_script_choice,
     "export_names": q_export_names,
     "order_totals": q_order_totals,
+    "order_totals_bucketed": q_order_totals_bucketed,
     "order_eligible": q_order_eligible,
     "record_validation": q_record_validation,
     "amount_parse": q_amount_parse,

@@ -140,6 +140,27 @@ def extract_text(files: DataFrame, mode: str = "fail_fast", max_bytes: int | Non
     return df.withColumn("text", text).withColumn("ok", usable)
 
 
+def write_extracted(files: DataFrame, path: str, mode: str = "quarantine", max_bytes: int | None = None) -> dict[str, int]:
+    """Extract ``files`` into a Parquet table at ``path`` (their columns without
+    the bytes, plus those of :func:`extract_text`) and return what the same pass
+    counted: files, ok, each error code, chars and bytes.
+
+    The counts are observed in the stage that writes, so a task that runs again
+    after a lost executor counts once, as its files do."""
+    from pyspark.sql import Observation
+    seen = Observation()
+    out = extract_text(files, mode, max_bytes)
+    codes = [F.count_if(F.coalesce(F.col("error_code") == c, F.lit(False))).alias(c) for c in ERROR_CODES]
+    out.observe(seen, F.count(F.lit(1)).alias("files"), F.count_if("ok").alias("ok"), *codes,
+                F.coalesce(F.sum(F.length("text").cast("long")), F.lit(0)).alias("chars"),
+                F.coalesce(F.sum(F.octet_length("content").cast("long")), F.lit(0)).alias("bytes")) \
+        .drop("content").write.parquet(path)
+    return dict(seen.get)
+
+
+ERROR_CODES = ("unsupported_pdf", "too_large", "invalid_utf8")
+
+
 # ---------------------------------------------------------------------------
 # A8 multi-part assembly
 

@@ -191,3 +191,17 @@ def test_kb_append_below_collections(spark):
     got = {(r.source, r.year): (r.text, r.embedding) for r in KB.open_kb(spark, root).collect()}
     assert len(got) == 40 and got["s1.md", "2025"] == ("new", None) and got["s1.md", "2024"] == ("old", [1.0])
     assert sum(v[0] == "old" for v in got.values()) == 39
+
+
+def test_counts_are_observed_while_the_table_is_written(spark):
+    rows = [("a.md", None, "é x".encode()), ("b.txt", None, b"\xff"), ("c.pdf", None, b"%PDF"), ("d.txt", None, b"y" * 20),
+            ("e.json", None, b"{}")]
+    from docmill.session import scratch_path
+    path = scratch_path(spark, "extracted")
+    counts = FS.write_extracted(_files(spark, rows).repartition(3), path, max_bytes=10)
+    table = spark.read.parquet(path)
+    assert "content" not in table.columns
+    assert counts == {"files": 5, "ok": 2, "unsupported_pdf": 1, "too_large": 1, "invalid_utf8": 1, "chars": 5, "bytes": 31}
+    assert counts["files"] == table.count() and counts["ok"] == table.where("ok").count()
+    none = FS.write_extracted(_files(spark, rows).where("false"), scratch_path(spark, "extracted"))
+    assert set(none.values()) == {0}

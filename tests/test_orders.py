@@ -1,5 +1,6 @@
 """Checkout arithmetic and validation."""
 
+from conftest import plan_text
 from pyspark.sql import functions as F
 
 from docmill.operators import orders as O
@@ -34,3 +35,24 @@ def test_validation_and_amounts(spark):
     assert flags == {1: (False, False), 2: (True, True), 3: (True, False)}
     amt = spark.createDataFrame([("Total: $1,234.50",), ("$7",), ("n/a",)], "t string")
     assert [r[0] for r in amt.select(O.parse_amount(F.col("t"))).collect()] == [1234.5, 7.0, None]
+
+
+def test_stored_by_key_needs_no_exchange_on_the_order_key(spark):
+    from docmill.session import scratch_path
+    read = lambda n: spark.read.parquet(f"/root/testdata/sf0.01/{n}.parquet")
+    code, ship = F.lit("SAVE15"), F.lit("express")
+    plain = O.order_totals(read("orders"), read("lineitem"), read("part"), code, ship)
+    o, lines = (O.store_by_key(read(n), k, scratch_path(spark, n), buckets=4)
+                for n, k in (("orders", "o_orderkey"), ("lineitem", "l_orderkey")))
+    stored = O.order_totals(o, lines, read("part"), code, ship)
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as with large tables; part's own hint stays
+        plan = plan_text(stored)
+        assert "hashpartitioning(l_orderkey" in plan_text(plain)
+        assert "hashpartitioning" not in plan and "SortMergeJoin" in plan and "Bucketed: true" in plan
+        assert sorted(map(tuple, stored.collect())) == sorted(map(tuple, plain.collect()))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+    files = {f.rsplit("/", 1)[-1] for f in o.inputFiles()}
+    assert len(files) <= 8  # a bucket is a file, or a few where AQE splits it

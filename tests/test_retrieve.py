@@ -128,6 +128,38 @@ def test_encoder_contract_feeds_dense_topk(spark):
     assert [(r.qid, r.cid) for r in top] == [(0, 0)]
 
 
+def test_model_is_loaded_once_per_worker_and_sees_bounded_batches(spark):
+    import tempfile
+    import uuid
+
+    from docmill.operators.encode import char_batches, encode, encode_with
+    log = tempfile.mkdtemp(prefix="docmill-loads-")
+
+    def load():
+        import os
+        me = f"{os.getpid()}-{uuid.uuid4().hex}"
+        open(f"{log}/load-{me}", "w").close()
+
+        def predict(texts):
+            open(f"{log}/call-{uuid.uuid4().hex}-{len(texts)}-{sum(map(len, texts))}", "w").close()
+            return np.array([[len(t), t.count("a")] for t in texts], dtype=np.float32)
+
+        return predict
+
+    texts = ["a" * (i % 50) + "b" for i in range(400)] + [None, "", "ab" * 500]
+    docs = spark.createDataFrame(list(enumerate(texts)), "id long, text string").repartition(16)
+    got = encode_with(docs, ["id"], "text", load, dim=2, batch_rows=40, batch_chars=200)
+    want = encode(docs, ["id"], "text", lambda ts: np.array([[len(t), t.count("a")] for t in ts]), dim=2)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+    got.collect()  # the same model again: workers that have it don't load it
+    import os
+    loads = [f.split("-")[1] for f in os.listdir(log) if f.startswith("load")]
+    calls = [tuple(map(int, f.split("-")[2:])) for f in os.listdir(log) if f.startswith("call")]
+    assert len(loads) == len(set(loads)) < len(calls)  # one load for each worker process
+    assert all(n <= 40 and (chars <= 200 or n == 1) for n, chars in calls)
+    assert list(char_batches([], 5)) == [] and list(char_batches(["abc", "defghi", "j", "k"], 3)) == [["abc"], ["defghi"], ["j", "k"]]
+
+
 def test_ivf_recall_grows_with_nprobe(spark):
     emb = table(spark, SF, "embeddings")
     corpus = emb.select(F.col("vec_id").alias("cid"), F.col("embedding").alias("vec"))
