@@ -84,7 +84,7 @@ class _Walker(HTMLParser):
         for k, v in attrs:
             attr_map[k] = "" if v is None else v
         el = {"ord": len(self.elements), "tag": tag, "attrs": attr_map,
-              "ancestors": list(self.stack), "t0": len(self.texts), "t1": None}
+              "last": len(self.elements), "t0": len(self.texts), "t1": None}
         self.elements.append(el)
         return el
 
@@ -109,7 +109,7 @@ class _Walker(HTMLParser):
             if self.elements[self.stack[pos]]["tag"] == tag:
                 for idx in self.stack[pos:]:
                     el = self.elements[idx]
-                    el["t1"] = len(self.texts)
+                    el["t1"], el["last"] = len(self.texts), len(self.elements) - 1
                     self.raw_depth -= el["tag"] in RAW_TEXT_TAGS
                     self.kept_depth -= el["tag"] in KEPT_SPACE_TAGS
                 del self.stack[pos:]
@@ -149,7 +149,7 @@ class _Walker(HTMLParser):
         end = len(self.texts)
         for el in self.elements:
             if el["t1"] is None:
-                el["t1"] = end
+                el["t1"], el["last"] = end, len(self.elements) - 1
         return self
 
 
@@ -174,16 +174,18 @@ def raw_page_text(html: str | None) -> str | None:
 ELEMENT_FIELDS = ["id", "name", "type", "placeholder", "value", "onclick", "action", "method", "href"]
 
 
-# Element columns in order: name, Spark type.
+# Element columns in order: name, Spark type. ``ord`` numbers elements in document
+# order and ``last`` is the greatest ord inside an element: what it contains are the
+# ords after its own up to ``last``, two numbers however deep a page is nested.
 ELEMENT_COLUMNS = (
     [("ord", "int"), ("tag", "string")]
     + [("el_" + f if f in ("id", "name") else f, "string") for f in ELEMENT_FIELDS]
     + [("classes", "array<string>"), ("required", "boolean"), ("text", "string"), ("text_strip", "string"),
-       ("ancestors", "array<int>"), ("attrs", "map<string,string>")])
+       ("last", "int"), ("attrs", "map<string,string>")])
 
 
 ARROW_TYPES = {"int": pa.int32(), "string": pa.string(), "boolean": pa.bool_(), "array<string>": pa.list_(pa.string()),
-               "array<int>": pa.list_(pa.int32()), "map<string,string>": pa.map_(pa.string(), pa.string())}
+               "map<string,string>": pa.map_(pa.string(), pa.string())}
 
 
 def element_columns(html: str | None, columns, text_tags=None) -> list[list]:
@@ -211,8 +213,8 @@ def element_columns(html: str | None, columns, text_tags=None) -> list[list]:
                 v = "".join(w.texts[el["t0"]:el["t1"]]) if wanted else None
             elif c == "text_strip":
                 v = "".join([t.strip() for t in w.texts[el["t0"]:el["t1"]]]) if wanted else None
-            elif c == "ancestors":
-                v = el["ancestors"]
+            elif c == "last":
+                v = el["last"]
             elif c == "attrs":
                 v = list(a.items())
             else:

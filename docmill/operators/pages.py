@@ -83,7 +83,7 @@ def elements(pages: DataFrame, id_col: str = "page_id", html_col: str = "html",
              columns: Sequence[str] | None = None, text_tags: Sequence[str] | None = None) -> DataFrame:
     """One row per element: page_id and ``columns`` of (ord, tag, el_id, el_name,
     type, placeholder, value, onclick, action, method, href, classes, required,
-    text, text_strip, ancestors, attrs)."""
+    text, text_strip, last, attrs)."""
     return parse_pages(pages, id_col, html_col, columns, text_tags).select("page_id", F.inline("els"))
 
 
@@ -239,6 +239,12 @@ def _class(e) -> Column:
     return F.when(F.map_contains_key(e["attrs"], F.lit("class")), e["classes"]).alias("class")
 
 
+def contains(outer, inner) -> Column:
+    """Whether an element (a struct, or the columns of an element table) stands
+    inside another one of its page: a range of ords."""
+    return (inner["ord"] > outer["ord"]) & (inner["ord"] <= outer["last"])
+
+
 def container_list(els: Column, container: str = "form",
                    child_tags: Sequence[str] = rules.FORM_FIELD_TAGS) -> Column:
     """ARRAY<STRUCT<id, class, action, method, inputs>>: the container elements
@@ -246,7 +252,7 @@ def container_list(els: Column, container: str = "form",
     fields = F.filter(els, lambda e: e["tag"].isin(list(child_tags)))
     return F.transform(F.filter(els, lambda e: e["tag"] == container), lambda b: F.struct(
         b["el_id"].alias("id"), _class(b), b["action"].alias("action"), b["method"].alias("method"),
-        F.transform(F.filter(fields, lambda f: F.array_contains(f["ancestors"], b["ord"])), _field).alias("inputs")))
+        F.transform(F.filter(fields, lambda f: contains(b, f)), _field).alias("inputs")))
 
 
 def page_containers(parsed: DataFrame, container: str = "form",

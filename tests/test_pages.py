@@ -147,3 +147,49 @@ def test_one_parse_and_no_exchange_after_it(spark):
         # below the parser a one-file scan may be dealt out; nothing is shuffled by key
         assert tree.count("MapInArrow") == 1 and "hashpartitioning" not in plan, q.__name__
         assert "Exchange" not in tree.split("MapInArrow")[0], q.__name__
+
+
+def test_containment_is_a_range_of_ords(spark):
+    """Against lists of ancestors, on random pages with unclosed, void and stray tags."""
+    import random
+
+    from docmill.functions import html as H
+
+    class Ancestors(H._Walker):
+        def __init__(self):
+            super().__init__(True)
+            self.above = []
+
+        def _open(self, tag, attrs):
+            self.above.append(set(self.stack))
+            return super()._open(tag, attrs)
+
+    rng = random.Random(5)
+    for _ in range(200):
+        html = "".join(rng.choice(["<div>", "</div>", "<form>", "</form>", "<input name=a>", "<p/>", "</b>", "<b>", "x"])
+                       for _ in range(rng.randrange(60)))
+        w = Ancestors()
+        w.feed(html)
+        w.finish()
+        ords, lasts = H.element_columns(html, ["ord", "last"])
+        for inner, above in enumerate(w.above):
+            assert {o for o, z in zip(ords, lasts) if o < inner <= z} == above, html
+
+
+def test_deeply_nested_page_stays_linear(spark):
+    depth = 5000
+    html = "<div>" * depth + "<form id=outer><input name=a><form id=inner><input name=b></form></form>" + "</div>" * depth \
+        + "<form id=open><select name=c>"
+    df = spark.createDataFrame([(1, html)], "page_id long, html string")
+    columns = ["ord", "last", "tag", "el_id", "el_name", "type", "placeholder", "required", "classes", "attrs", "action", "method"]
+    parsed = P.parse_pages(df, columns=columns, text_tags=[])
+    forms = P.page_containers(parsed).orderBy("pos").collect()
+    assert [(f["id"], [i["name"] for i in f["inputs"]]) for f in forms] == [
+        ("outer", ["a", "b"]), ("inner", ["b"]), ("open", ["c"])]
+    els = P.elements(df, columns=["ord", "last", "tag"], text_tags=[])
+    assert els.where("tag = 'div' and ord = 0").first()["last"] == depth + 3
+    # structural join over an element table: what stands inside the 2,501st division
+    a, b = els.alias("a"), els.alias("b")
+    inside = a.join(b, (F.col("a.page_id") == F.col("b.page_id")) & (F.col("b.ord") > F.col("a.ord"))
+                    & (F.col("b.ord") <= F.col("a.last"))).where("a.ord = 2500").groupBy("b.tag").count()
+    assert dict(map(tuple, inside.collect())) == {"div": depth - 2501, "form": 2, "input": 2}
