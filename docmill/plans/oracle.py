@@ -331,8 +331,10 @@ def _statements() -> dict[str, str]:
                           "round(distance, 6) AS distance, md5(text) AS text_md5 FROM b_top JOIN chunks USING (doc_id, chunk_index)")
     s["kb_sources"] = _with(CHUNKS_CTE) + " SELECT DISTINCT filename AS source FROM chunks"
     s["incremental_ingest"] = s["kb_build"]
-    s["kb_upsert"] = (_with(CHUNKS_CTE, "sent AS (SELECT doc_id FROM documents WHERE doc_id % 5 = 0 UNION ALL "
-                                        "SELECT doc_id + 1000000000 FROM documents WHERE doc_id % 7 = 0)",
+    withdrawn = "SELECT doc_id FROM documents WHERE doc_id % 5 = 0"
+    for name, sent in (("versioned_ingest", withdrawn),
+                       ("kb_upsert", withdrawn + " UNION ALL SELECT doc_id + 1000000000 FROM documents WHERE doc_id % 7 = 0")):
+        s[name] = (_with(CHUNKS_CTE, f"sent AS ({sent})",
                             "short AS (SELECT 'doc-' || doc_id || '.txt' AS filename, 0 AS chunk_index, "
                             "'Document ' || doc_id || ' was withdrawn.' AS text FROM sent)",
                             "now AS (SELECT filename, chunk_index, start_char, end_char, text FROM chunks WHERE doc_id % 5 <> 0 "

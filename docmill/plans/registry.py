@@ -773,6 +773,24 @@ def q_incremental_ingest(spark, sf):
     return _kb_columns(run_incremental_ingest(spark, sf))
 
 
+def q_versioned_ingest(spark, sf):
+    """Documents as a stream of versions into a KB: the second version of each, then
+    old first versions and newer third ones, then second ones again."""
+    from docmill.streaming.ingest import start_versioned_ingest
+    root = scratch_path(spark, "versions")
+    docs = documents(spark, sf).select("doc_id", "text")
+    short = F.concat(F.lit("Document "), F.col("doc_id").cast("string"), F.lit(" was withdrawn."))
+    second = docs.withColumn("version", F.lit(2).cast("long"))
+    uploads = [second, docs.where("doc_id % 3 = 0").select("doc_id", F.lit("Old.").alias("text"), F.lit(1).cast("long").alias("version"))
+               .unionByName(docs.where("doc_id % 5 = 0").select("doc_id", short.alias("text"), F.lit(3).cast("long").alias("version"))),
+               second.where("doc_id % 2 = 0")]
+    for upload in uploads:
+        upload.write.mode("append").parquet(f"{root}/uploads")
+        stream = spark.readStream.schema(second.schema).parquet(f"{root}/uploads")
+        start_versioned_ingest(stream, f"{root}/kb", f"{root}/_checkpoint").awaitTermination()
+    return _kb_columns(kb.open_kb(spark, f"{root}/kb"))
+
+
 QUERIES: dict[str, Query] = {
     "chunks": q_chunks,
     "document_record": q_document_record,
@@ -840,4 +858,5 @@ QUERIES: dict[str, Query] = {
     "amount_parse": q_amount_parse,
     "discount_reconcile": q_discount_reconcile,
     "incremental_ingest": q_incremental_ingest,
+    "versioned_ingest": q_versioned_ingest,
 }

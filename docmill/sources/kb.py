@@ -40,15 +40,16 @@ def chunk_id(source, chunk_index):
     return F.sha2(F.concat_ws("\u0001", source, chunk_index.cast("string")), 256)
 
 
-def kb_rows(chunks: DataFrame, source_col: str = "filename", type_col: str = "content_type") -> DataFrame:
-    """Chunk rows -> KB rows (chunk_id, source, content_type, chunk_index, ...)."""
+def kb_rows(chunks: DataFrame, source_col: str = "filename", type_col: str = "content_type", carry=()) -> DataFrame:
+    """Chunk rows -> KB rows (chunk_id, source, content_type, chunk_index, ...) and
+    the ``carry`` columns."""
     src = F.col(source_col)
     return chunks.select(
         chunk_id(src, F.col("chunk_index")).alias("chunk_id"),
         src.alias("source"), F.col(type_col).alias("content_type"),
         F.col("chunk_index").cast("int").alias("chunk_index"),
         F.col("start_char").cast("int").alias("start_char"),
-        F.col("end_char").cast("int").alias("end_char"), "text")
+        F.col("end_char").cast("int").alias("end_char"), "text", *carry)
 
 
 def bucket_of(source: Column, buckets: int = BUCKETS) -> Column:
@@ -67,11 +68,15 @@ def build(rows: DataFrame, root: str, partition_by: str | None = None, buckets:
     return _through_scratch(_laid_out(rows, buckets, partition_by), root, "static", partition_by)
 
 
-def append(rows: DataFrame, root: str, buckets: int = BUCKETS) -> int:
+def append(rows: DataFrame, root: str, buckets: int = BUCKETS, version: str | None = None) -> int:
     """Add ``rows``; the sources in them replace what the KB had of them (with
     ``partition_by``: within their value of that column). Returns the number of
-    rows given. Columns that the table doesn't have raise; those that ``rows``
-    don't have become NULL. ``buckets`` counts for a KB without rows only."""
+    rows added. Columns that the table doesn't have raise; those that ``rows``
+    don't have become NULL. ``buckets`` counts for a KB without rows only.
+
+    ``version`` names a column: a source of which the KB holds a greater version
+    is left as it is (late files), an equal one replaces it (a replay). A NULL is
+    the least version. ``rows`` hold one version of a source."""
     spark = rows.sparkSession
     old = _table(spark, root)
     if old is None:
@@ -81,24 +86,36 @@ def append(rows: DataFrame, root: str, buckets: int = BUCKETS) -> int:
     foreign = set(rows.columns) - set(old.columns)
     if foreign:
         raise ValueError(f"the KB has no column {sorted(foreign)}")
-    path = scratch_path(spark, "kb-rows")
-    _laid_out(rows, layout["buckets"], by).write.parquet(path)
-    new = spark.read.parquet(path)
-    # at most one number per bucket: partitions to read and to write again
-    touched = [r[0] for r in new.select("bucket").distinct().collect()]
-    n = new.count()
+    unit = ["source"] + ([by] if by else [])
+    paths = [scratch_path(spark, "kb-rows")]
+    _laid_out(rows, layout["buckets"], by).write.parquet(paths[0])
+    new = spark.read.parquet(paths[0])
+    if version:
+        held = old.where(F.col("bucket").isin(_buckets_of(new))).groupBy(*unit).agg(F.max(version).alias("held"))
+        late = [new[c].eqNullSafe(held[c]) for c in unit] + [
+            held["held"].isNotNull() & (new[version].isNull() | (new[version] < held["held"]))]
+        paths.append(scratch_path(spark, "kb-rows"))
+        new.join(held, late, "left_anti").write.parquet(paths[1])
+        new = spark.read.schema(new.schema).parquet(paths[1])
+    touched, n = _buckets_of(new), new.count()
     if touched:
-        leaf = new.select("bucket", *([by] if by else [])).distinct()
-        same = [new["source"].eqNullSafe(old["source"])] + ([new[by].eqNullSafe(old[by])] if by else [])
+        same = [new[c].eqNullSafe(old[c]) for c in unit]
         kept = old.where(F.col("bucket").isin(touched)).join(new, same, "left_anti")
         if by:
+            leaf = new.select("bucket", by).distinct()
             kept = kept.join(leaf, (kept[by].eqNullSafe(leaf[by])) & (kept["bucket"] == leaf["bucket"]), "left_semi")
-        merged = _stamped(kept.unionByName(new, allowMissingColumns=True), layout)
-        _through_scratch(merged, root, "dynamic", by)
-    remove_path(spark, path)
+        _through_scratch(_stamped(kept.unionByName(new, allowMissingColumns=True), layout), root, "dynamic", by)
+    for path in paths:
+        remove_path(spark, path)
     return n
 
 
+def _buckets_of(rows: DataFrame) -> list[int]:
+    """The buckets that rows fall into: partitions to read and to write again, one
+    number for each at most."""
+    return [r[0] for r in rows.select("bucket").distinct().collect()]
+
+
 def _stamped(rows: DataFrame, layout: dict) -> DataFrame:
     return rows.withMetadata("source", layout)
 

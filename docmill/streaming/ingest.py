@@ -28,10 +28,10 @@ def document_stream(spark: SparkSession, folder: str, glob: str = "documents*.pa
                  .load(folder))
 
 
-def to_kb_rows(docs: DataFrame) -> DataFrame:
-    named = docs.select("doc_id", "text", document_name(F.col("doc_id")).alias("filename"),
+def to_kb_rows(docs: DataFrame, carry=()) -> DataFrame:
+    named = docs.select("doc_id", "text", *carry, document_name(F.col("doc_id")).alias("filename"),
                         F.lit("text/plain").alias("content_type"))
-    return kb.kb_rows(chunking.chunk(named))
+    return kb.kb_rows(chunking.chunk(named), carry=carry)
 
 
 def start_incremental_ingest(stream: DataFrame, kb_root: str, checkpoint: str):
@@ -47,6 +47,23 @@ def start_incremental_ingest(stream: DataFrame, kb_root: str, checkpoint: str):
                   .start())
 
 
+def start_versioned_ingest(stream: DataFrame, kb_root: str, checkpoint: str, version: str = "version"):
+    """Ingest versions of documents (doc_id, text, ``version``) that come in any
+    order: a document's chunks are replaced by those of a newer version, late files
+    of an older one change nothing. The KB itself is the state, so it is kept and
+    recovered with the rows. Of rows of one document in a batch the greatest
+    version counts, then the longest text."""
+    def write_batch(batch: DataFrame, batch_id: int) -> None:
+        best = F.struct(F.col(version), F.length("text"), F.col("text"))
+        one = batch.groupBy("doc_id").agg(F.max_by(F.struct("text", version), best).alias("d")).select("doc_id", "d.*")
+        kb.append(to_kb_rows(one, [version]), kb_root, version=version)
+
+    return (stream.writeStream.foreachBatch(write_batch)
+                  .option("checkpointLocation", checkpoint)
+                  .trigger(availableNow=True)
+                  .start())
+
+
 def run_incremental_ingest(spark: SparkSession, sf_dir: str, root: str | None = None) -> DataFrame:
     """Ingest ``documents`` of ``sf_dir`` through the stream into a KB at ``root``
     (default: a fresh folder under the shared checkpoint directory); return the

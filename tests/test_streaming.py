@@ -53,3 +53,30 @@ def test_multiple_micro_batches_and_replay(spark):
     assert n == first - had + 1 == kb.open_kb(spark, f"{root}/kb").count()
     named = docs.select("doc_id", "text", document_name(F.col("doc_id")).alias("filename"))
     assert first == chunk(named).count()
+
+
+def _ingested(spark, batches):
+    """(source, version, text) of the KB after each upload; the query starts anew
+    for each, on one checkpoint."""
+    import tempfile
+
+    from docmill.streaming.ingest import start_versioned_ingest
+    schema = "doc_id long, version long, text string"
+    root = tempfile.mkdtemp(prefix="docmill-versions-")
+    seen = []
+    for rows in batches:
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(f"{root}/in")
+        stream = spark.readStream.schema(schema).parquet(f"{root}/in")
+        start_versioned_ingest(stream, f"{root}/kb", f"{root}/ck").awaitTermination()
+        seen.append({r.source: (r.version, r.text) for r in kb.open_kb(spark, f"{root}/kb").collect()})
+    return seen
+
+
+def test_late_and_repeated_versions(spark):
+    first, late, newer = _ingested(spark, [
+        [(1, 1, "x"), (1, 3, "z"), (2, 2, "q"), (2, 2, "longer"), (3, None, "none")],
+        [(1, 2, "late"), (2, 1, "old"), (4, 1, "new"), (3, None, "again")],  # only 3 and 4 change
+        [(1, 3, "z"), (2, 4, "four"), (3, 1, "one"), (4, None, "least")]])
+    assert first == {"doc-1.txt": (3, "z"), "doc-2.txt": (2, "longer"), "doc-3.txt": (None, "none")}
+    assert late == first | {"doc-3.txt": (None, "again"), "doc-4.txt": (1, "new")}
+    assert newer == late | {"doc-2.txt": (4, "four"), "doc-3.txt": (1, "one")}
