@@ -95,6 +95,8 @@ CASE_SLOTS = [
 ]
 CASE_BRANCH_SLOTS = [("discount", "ad_block", "positive"), ("discount", "missing_note", "negative"),
                      ("form", "first_paragraph", "negative")]
+# The stored KB of these tables is small.
+KB_BUCKETS = 8
 EMAIL_CANDIDATE = r"[^\s]+@[^\s]+"
 
 TEST_K = retrieve.TEST_CASE_K
@@ -221,7 +223,7 @@ def _kb_rows(spark, sf):
 def _stored_kb(spark, sf):
     """The KB of ``documents``, built in a fresh shared folder and opened again."""
     root = scratch_path(spark, "kb")
-    kb.build(_kb_rows(spark, sf), root)
+    kb.build(_kb_rows(spark, sf), root, buckets=KB_BUCKETS)
     return kb.open_kb(spark, root)
 
 
@@ -238,7 +240,7 @@ def q_kb_upsert(spark, sf):
     """The stored KB after every fifth document was sent again, shorter, and a
     document was added for every seventh."""
     root = scratch_path(spark, "kb")
-    kb.build(_kb_rows(spark, sf), root)
+    kb.build(_kb_rows(spark, sf), root, buckets=KB_BUCKETS)
     docs = documents(spark, sf).select("doc_id")
     sent = docs.where("doc_id % 5 = 0").unionByName(docs.where("doc_id % 7 = 0").select(
         (F.col("doc_id") + 1_000_000_000).alias("doc_id")))
@@ -255,9 +257,9 @@ def q_kb_lifecycle(spark, sf):
     root = scratch_path(spark, "kb")
     rows = _kb_rows(spark, sf)
     even = kb.kb_rows(chunk_table(spark, sf).where("doc_id % 2 = 0"))
-    steps = [("0 missing", lambda: None), ("1 built", lambda: kb.build(rows, root)),
-             ("2 replaced", lambda: kb.build(even, root)), ("3 cleared", lambda: kb.clear(spark, root)),
-             ("4 sent again", lambda: kb.append(even, root))]
+    steps = [("0 missing", lambda: None), ("1 built", lambda: kb.build(rows, root, buckets=KB_BUCKETS)),
+             ("2 replaced", lambda: kb.build(even, root, buckets=KB_BUCKETS)), ("3 cleared", lambda: kb.clear(spark, root)),
+             ("4 sent again", lambda: kb.append(even, root, buckets=KB_BUCKETS))]
     seen = []
     for name, change in steps:
         change()
