@@ -9,6 +9,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from docmill.llm import rlz
+from docmill.llm.common import plain_words
 from odd_rows import texts  # noqa: F401 (fixtures)
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -71,6 +72,52 @@ def test_odd_rows(spark, texts):
     assert rlz.remove_repeats(df.where("false")).count() == 0
 
 
+def greedy(texts, window, seed):
+    """Greedy factors by trying every reference block at every place."""
+    words = [plain_words((t or "").encode()) for t in texts]
+    blocks = []
+    for d, w in enumerate(words):
+        found = rlz.cut_blocks([w], window, seed)
+        blocks += [(d, a, w[a:a + n + window - 1]) for a, n in zip(found["at"].tolist(), found["n"].tolist())]
+    out = []
+    for d, w in enumerate(words):
+        factors, p = [], 0
+        while p < len(w):
+            best = 0
+            for e, at, b in blocks:
+                for o in range(len(b) - window + 1):
+                    if b[o:o + window] == w[p:p + window] and (e, at + o) != (d, p):
+                        size = window
+                        while o + size < len(b) and p + size < len(w) and b[o + size] == w[p + size]:
+                            size += 1
+                        best = max(best, size)
+            if best:
+                factors.append((p, best))
+            p += best or 1
+        out.append(factors)
+    return words, out
+
+
+@pytest.mark.parametrize("window,seed,made", [
+    (6, 3, lambda: [" ".join(np.random.default_rng(s).choice(list("abcd"), 60 + s)) for s in range(12)]),
+    (6, 2, lambda: ["a b c d e f g h i j k", "x b c d e f g h y", "z c d e f g h i j w", "a a a a a a a a a a a"]),
+    (35, 8, lambda: corpus(3, 14))])
+def test_factors_are_the_greedy_parse(spark, window, seed, made):
+    """Equal to the brute-force parse, and copies from the reference give the text."""
+    texts = made()
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    words, want = greedy(texts, window, seed)
+    source = {(r["seed"], r["block"]): r for r in rlz.reference(docs, window=window, seed=seed).collect()}
+    assert any(want)
+    for r in rlz.remove_repeats(docs, window=window, seed=seed).collect():
+        w = words[r["doc_id"]]
+        assert [(f["at"], f["n"]) for f in r["factors"]] == want[r["doc_id"]], r["doc_id"]
+        for f in r["factors"]:
+            ref = source[f["seed"], f["block"]]
+            start = ref["anchor"] + f["shift"]
+            assert words[ref["doc_id"]][start:start + f["n"]] == w[f["at"]:f["at"] + f["n"]]
+
+
 @given(st.lists(st.lists(st.sampled_from([b"a", b"b", b"c"]), max_size=30), min_size=1, max_size=4))
 @settings(max_examples=200, deadline=None)
 def test_equal_windows_share_seed_and_place(docs):
