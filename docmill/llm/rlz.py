@@ -259,40 +259,54 @@ def reference(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
         .select("seed", "block", "p.doc_id", "p.anchor")
 
 
-#: Pairs of windows i < j of a block between which every window repeats (``mask``).
-_PAIRS = """flatten(transform(sequence(0, size(windows) - 1), i -> transform(
-    filter(sequence(i, size(windows) - 1), j -> j > i and
-        (shiftrightunsigned(mask, i) & (shiftleft(1L, j - i + 1) - 1)) = shiftleft(1L, j - i + 1) - 1),
-    j -> struct(i as i, j as j, xxhash64(windows[i], windows[j]) as w))))"""
+#: Of windows ``ws`` (i, w, low, high) of a block: another block that both x and y name.
+_COMMON = """case when x.low <> block and x.low in (y.low, y.high) then x.low
+                  when x.high <> block and x.high in (y.low, y.high) then x.high end"""
+#: For each window the last one of a match that the named blocks prove, its block,
+#: and the last window up to which all windows repeat.
+_NAMED = f"""transform(ws, (x, k) -> struct(x.i as i,
+    array_max(transform(filter(ws, y -> y.i >= x.i and ({_COMMON}) is not null),
+                        y -> struct(y.i as j, {_COMMON} as src))) as best,
+    array_max(transform(filter(ws, (y, m) -> m >= k and y.i - x.i = m - k), y -> y.i)) as last))"""
+#: Pairs of windows i < j between which every window repeats.
+_PAIRS = """flatten(transform(ws, (x, k) -> transform(
+    filter(ws, (y, m) -> m > k and y.i - x.i = m - k), y -> struct(x.i as i, y.i as j, xxhash64(x.w, y.w) as w))))"""
+
+
+def _shared(rows: DataFrame) -> DataFrame:
+    """Rows (seed, block, times, w, ...) whose w is found elsewhere, with the least
+    and the greatest hash of a block that has it."""
+    found = rows.groupBy("seed", "w").agg(F.sum("times").alias("all"), F.min("block").alias("low"),
+                                          F.max("block").alias("high")).where("all > 1").drop("all")
+    return rows.join(written(found, "shared"), ["seed", "w"])
 
 
 def _reaches(checks: DataFrame) -> DataFrame:
     """(seed, block, reach) of blocks (seed, block, times, windows: a hash each) that
     match: for each window that another block of the seed has, too, the last window
     of the longest match with one such block, and that block. NULL for blocks that
-    are found elsewhere as they are."""
-    def shared(rows):
-        """Rows (seed, block, times, w, ...) whose w is found elsewhere, with the
-        other block of least or greatest hash."""
-        found = rows.groupBy("seed", "w").agg(F.sum("times").alias("all"), F.min("block").alias("low"),
-                                              F.max("block").alias("high")).where("all > 1").drop("all")
-        return rows.join(written(found, "shared"), ["seed", "w"]).withColumn(
-            "src", F.when(F.col("low") != F.col("block"), F.col("low")).otherwise(F.col("high")))
+    are found elsewhere as they are.
 
+    The least and the greatest block that have a window are known from the first
+    join. If two windows of a block name one other block, it has all between them;
+    where that reaches as far as windows repeat at all, nothing can be longer. Only
+    seeds with a block where it doesn't are joined on pairs of windows."""
     one = checks.select("seed", "block", "times", F.posexplode("windows").alias("i", "w"))
-    alone = written(shared(one).select("seed", "block", "times", "i", "src"), "alone")
-    masks = alone.groupBy("seed", "block").agg(F.bit_or(F.expr("shiftleft(1, i)")).alias("mask")) \
-        .where("(mask & shiftleft(mask, 1)) <> 0").withColumn("mask", F.col("mask").cast("long"))
-    marked = written(checks.join(masks, ["seed", "block"]), "marked")
-    pairs = marked.select("seed", "block", "times", F.explode(F.expr(_PAIRS)).alias("p")) \
-        .select("seed", "block", "times", "p.*")
-    best = alone.select("seed", "block", "times", "i", F.col("i").alias("j"), "src") \
-        .unionByName(shared(pairs).select("seed", "block", "times", "i", "j", "src")).where("times = 1") \
+    known = written(_shared(one).groupBy("seed", "block").agg(
+        F.first("times").alias("times"), F.sort_array(F.collect_list(F.struct("i", "w", "low", "high"))).alias("ws"))
+        .withColumn("named", F.expr(_NAMED))
+        .withColumn("open", F.expr("times = 1 and exists(named, x -> x.best.j < x.last)")), "known")
+    listed = F.expr("transform(named, x -> struct(x.i as i, x.best.j as j, x.best.src as src))")
+    done = known.where("not open").select("seed", "block", F.when(F.col("times") == 1, listed).alias("reach"))
+    seeds = written(known.where("open").select("seed").distinct(), "open")
+    pairs = known.join(seeds, "seed", "left_semi").select("seed", "block", "times", "open", F.explode(F.expr(_PAIRS)).alias("p")) \
+        .select("seed", "block", "times", "open", "p.*")
+    other = F.when(F.col("low") != F.col("block"), F.col("low")).otherwise(F.col("high"))
+    best = known.where("open").select("seed", "block", F.explode(listed).alias("r")).select("seed", "block", "r.*") \
+        .unionByName(_shared(pairs).where("open").select("seed", "block", "i", "j", other.alias("src"))) \
         .groupBy("seed", "block", "i").agg(F.max("j").alias("j"), F.max_by("src", "j").alias("src"))
-    reach = best.groupBy("seed", "block").agg(
-        F.sort_array(F.collect_list(F.struct("i", "j", "src"))).alias("reach"))
-    copies = checks.where("times > 1").select("seed", "block", F.lit(None).cast(reach.schema["reach"].dataType).alias("reach"))
-    return reach.unionByName(copies)
+    return done.unionByName(best.groupBy("seed", "block").agg(
+        F.sort_array(F.collect_list(F.struct("i", "j", "src"))).alias("reach")))
 
 
 def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", keep: list[str] | None = None,
