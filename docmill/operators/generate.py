@@ -281,6 +281,27 @@ def parse_responses(responses: DataFrame, keys: Sequence[str], text_col: str = "
                        F.size(steps).alias("n_steps"), "bad", "raw")
 
 
+def extra_fields(responses: DataFrame, keys: Sequence[str], text_col: str = "text") -> DataFrame:
+    """What model output holds beyond the case columns, nested values whole.
+
+    Output: keys..., pos (of the case in its output), field, value (JSON text; the
+    keys of objects in it sorted). Output that ``parse_responses`` calls bad, or that
+    has one key twice in an object, has no rows here.
+    """
+    cleaned = strip_model_fence(F.col(text_col))
+    listed = F.when(F.startswith(F.ltrim(cleaned), F.lit("[")), cleaned).otherwise(F.concat(F.lit("["), cleaned, F.lit("]")))
+    good = parse_responses(responses, keys, text_col).where("not bad and pos is not null").select(*keys, "pos")
+    spark = responses.sparkSession
+    read = responses.where(F.coalesce(_one_json_text(cleaned), F.lit(False))) \
+        .select(*keys, F.try_parse_json(listed).alias("_list"))
+    cases = read.lateralJoin(spark.tvf.variant_explode(F.col("_list").outer())) \
+        .select(*keys, "pos", F.col("value").alias("_case"))
+    fields = cases.lateralJoin(spark.tvf.variant_explode(F.col("_case").outer()).select(F.col("key").alias("field"), "value"))
+    return fields.where(F.col("field").isNotNull() & ~F.col("field").isin(CASE_COLUMNS)) \
+        .join(good.distinct(), [*keys, "pos"], "left_semi") \
+        .select(*keys, "pos", "field", F.to_json("value").alias("value"))
+
+
 def generator_choice(rule_cases: DataFrame, model_cases: DataFrame, keys: Sequence[str]) -> DataFrame:
     """The case rows that count: for a query with at least one good model row its
     model rows, in order; for the others their rule rows. Output: keys..., origin,

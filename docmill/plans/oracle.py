@@ -443,6 +443,9 @@ pa AS (SELECT item_id, unnest(CASE WHEN sort = 'two' THEN [0, 1] WHEN sort IN ('
     s["parse_responses"] = (_with(parsed) + " SELECT item_id, CAST(pos AS BIGINT) AS pos, "
                             + ", ".join(f"CASE WHEN pos IS NOT NULL THEN {c} END AS {c}" for c in cols)
                             + ", CASE WHEN pos IS NOT NULL THEN CAST(n_steps AS BIGINT) END AS n_steps, sort = 'bad' AS bad FROM pa")
+    s["response_extras"] = """SELECT p_partkey AS item_id, 0::BIGINT AS pos, 'priority' AS field, p_size::VARCHAR AS value
+FROM part WHERE p_partkey % 7 <> 0 UNION ALL
+SELECT p_partkey, 1, 'meta', '{"tags":["' || p_brand || '"],"type":"' || p_type || '"}' FROM part WHERE p_partkey % 7 <> 0"""
     rest = ", ".join(cols[:-1])
     s["generator_choice"] = (BENCH_CASES + ", " + parsed.strip() +
                              ", good AS (SELECT * FROM pa WHERE pos IS NOT NULL AND item_id IN (SELECT item_id FROM benchmark))"

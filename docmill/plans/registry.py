@@ -474,6 +474,20 @@ def q_parse_responses(spark, sf):
                          F.array_join("steps", "\n").alias("steps"), _long("n_steps"), "bad")
 
 
+def q_response_extras(spark, sf):
+    """Fields beyond the case columns in responses derived from ``part``: a number in
+    the first case, an object with a list in the second; every seventh response has
+    text after its JSON."""
+    p = table(spark, sf, "part")
+    named = F.col("p_name").alias("feature")
+    first = F.to_json(F.struct(named, F.col("p_size").alias("priority")))
+    second = F.to_json(F.struct(named, F.struct(F.col("p_type").alias("type"), F.array("p_brand").alias("tags")).alias("meta")))
+    text = F.concat(F.lit("```json\n["), first, F.lit(", "), second, F.lit("]"),
+                    F.when(F.col("p_partkey") % 7 == 0, " Done!").otherwise("\n```"))
+    found = generate.extra_fields(p.select(F.col("p_partkey").alias("item_id"), text.alias("text")), ["item_id"])
+    return found.select("item_id", _long("pos"), "field", "value")
+
+
 def q_generator_choice(spark, sf):
     rule_cases = _test_cases(spark, sf)
     model = generate.parse_responses(_model_outputs(spark, sf), ["item_id"]) \
@@ -830,6 +844,7 @@ QUERIES: dict[str, Query] = {
     "case_steps": q_case_steps,
     "case_labels": q_case_labels,
     "parse_responses": q_parse_responses,
+    "response_extras": q_response_extras,
     "generator_choice": q_generator_choice,
     "prompts": q_prompts,
     "grounding_check": q_grounding_check,

@@ -99,6 +99,16 @@ def test_model_output_is_strict_json_with_all_fields(spark):
         (1, "model", "F", ("x", "y")), (2, "rules", "R", ("z",)), (4, "rules", "R", ("z",))]
 
 
+def test_extra_fields_are_kept(spark):
+    rows = [(1, '```json\n[{"test_id": "A", "risk": {"z": [1, {"b": null}], "a": "x"}}, {"test_id": "B", "n": 1.5}]\n```'),
+            (2, ' {"test_id": "C", "priority": "high", "steps": ["s"]} '), (3, '{"x": 1} and more'), (4, '{"x": 1}],[2'),
+            (5, "[]"), (6, None), (7, ""), (8, '[{"feature": "F"}]'), (9, '{"x": 1, "x": 2}'), (10, "[1]")]
+    df = spark.createDataFrame(rows, "id long, text string")
+    assert sorted(tuple(r) for r in G.extra_fields(df, ["id"]).collect()) == [
+        (1, 0, "risk", '{"a":"x","z":[1,{"b":null}]}'), (1, 1, "n", "1.5"), (2, 0, "priority", '"high"')]
+    assert G.extra_fields(df.where("false"), ["id"]).count() == 0
+
+
 def test_case_lookup_by_ordinal(spark):
     cases = spark.createDataFrame([(1, "TC-001"), (1, "TC-002"), (2, "TC-001")], "id long, test_id string")
     assert [tuple(r) for r in G.case_at(cases, ["id"], 1).collect()] == [(1, "TC-002")]
