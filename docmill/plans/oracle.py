@@ -307,6 +307,7 @@ def _statements() -> dict[str, str]:
     mixed = _mixed_files_sql()
     s["ingest_quarantine"] = (_with(mixed) + " SELECT name, kind, code IS NULL AS ok, code AS error_code, "
                               "CASE WHEN code IS NULL THEN CAST(length(text) AS BIGINT) END AS n_chars FROM mixed")
+    s["packed_ingest"] = s["ingest_quarantine"]
     sums = ("count(*)", "count(*) FILTER (code IS NULL)", "count(*) FILTER (code = 'unsupported_pdf')", "0",
             "count(*) FILTER (code = 'invalid_utf8')", "sum(length(text)) FILTER (code IS NULL)")
     stored = ("SELECT sum(strlen(text) + CASE WHEN doc_id % 11 = 0 THEN 7 WHEN doc_id % 7 = 0 THEN 1 ELSE 0 END) AS b FROM documents "

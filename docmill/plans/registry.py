@@ -20,7 +20,7 @@ from docmill.operators import chunking, dictionary, generate, orders, pages, pos
 from docmill.plans.corpus import (benchmark_queries, case_queries, chunk_table, contexts, documents, retrieved,
                                   spread, table)
 from docmill.session import scratch_path
-from docmill.sources import files, kb
+from docmill.sources import files, kb, packed
 from docmill.sources.scratch import written
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -187,6 +187,16 @@ def q_ingest_quarantine(spark, sf):
                       F.length("text").cast("long").alias("n_chars"))
 
 
+def q_packed_ingest(spark, sf):
+    """The mixed files packed into tar archives (one a shuffle partition), read back
+    through the archive source and extracted; kinds come from the extensions alone."""
+    path = scratch_path(spark, "archives")
+    packed.write_packed(_mixed_files(spark, sf), path, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    out = files.extract_text(packed.read_packed(spark, path), mode="quarantine")
+    return out.select(F.col("filename").alias("name"), "kind", "ok", "error_code",
+                      F.length("text").cast("long").alias("n_chars"))
+
+
 def q_ingest_metrics(spark, sf):
     """What the ingest of mixed files counted while it wrote its table."""
     path = scratch_path(spark, "ingested")
@@ -815,6 +825,7 @@ QUERIES: dict[str, Query] = {
     "format_dispatch": q_format_dispatch,
     "ingest_filter": q_ingest_filter,
     "ingest_quarantine": q_ingest_quarantine,
+    "packed_ingest": q_packed_ingest,
     "ingest_metrics": q_ingest_metrics,
     "json_normalize": q_json_normalize,
     "page_text": q_page_text,
