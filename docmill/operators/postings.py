@@ -7,7 +7,8 @@ both tables, and nothing passes through the driver.
   carried columns, distinct terms, their counts and the squared norm;
 * *blocks*: the postings of each term, cut by impact (count / norm, in steps of
   1 / ``LEVELS``) and by runs of ``ZONE`` chunk numbers, each block with its largest
-  impact. A block has ``ZONE`` postings at most, however frequent the term.
+  impact. A block has ``ZONE`` postings at most, however frequent the term. Blocks are
+  cut where the vectors are, without a shuffle.
 
 :func:`search` answers a query table in two rounds. First each distinct bag of
 query terms is scored against a few postings of its rarest and its heaviest terms,
@@ -15,18 +16,23 @@ those of largest impact; the k-th best of them bounds the final k-th from below.
 With that threshold the most frequent terms drop out as long as their norm is small
 against it (Cauchy-Schwarz), of the other terms only blocks are read whose largest
 impact allows the threshold, and the sums of what was read plus a bound of the rest
-drop most candidates. What is left, a small part of chunks x queries, is scored
-exactly from the vectors.
+drop most candidates. The blocks are dealt out by zone, so a chunk's sums are complete
+in one task and (query, chunk) pairs are not shuffled before the bound has dropped
+most. What is left, a small part of chunks x queries, is scored exactly from the vectors.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from docmill.functions.sizing import maybe_broadcast
 from docmill.functions.text import is_blank, tokens
 from docmill.functions.vectors import count_tokens
 from docmill.sources.scratch import written
@@ -71,38 +77,69 @@ def lexical_index(chunks: DataFrame, c_keys: Sequence[str] = ("doc_id", "chunk_i
     cut = chunks.select(*[F.col(c).alias(f"k_{c}") for c in keys], *[F.col(c).alias(f"x_{c}") for c in extra],
                         tokens(c_text).alias("_t")).where(F.size("_t") > 0)
     vectors = written(bags(cut).select(F.monotonically_increasing_id().alias("cid"), "*"), "vectors")
-    postings = vectors.select("cid", "norm2", F.inline(F.arrays_zip("terms", "tfs")).alias("term", "tf"))
-    level, zone = F.floor(impact() * LEVELS), F.shiftright("cid", ZONE.bit_length() - 1)
-    blocks = postings.groupBy("term", level.alias("level"), zone.alias("zone")).agg(
-        F.count(F.lit(1)).alias("n"), F.max(impact()).alias("top"),
-        F.collect_list(F.struct("cid", "tf", "norm2")).alias("postings"))
+    blocks = vectors.select("cid", "terms", "tfs", "norm2").mapInArrow(_cut(LEVELS, ZONE), BLOCK_SCHEMA)
     return LexicalIndex(vectors, written(blocks, "blocks"), keys, extra)
 
 
-def impact() -> Column:
-    return F.col("tf") / F.sqrt(F.col("norm2").cast("double"))
+#: Postings are three lists of equal length.
+BLOCK_SCHEMA = ("zone long, term string, level long, n long, top double, "
+                "postings array<long>, tfs array<long>, norms array<long>")
+
+
+def _cut(levels: int, zone: int):
+    """mapInArrow function: the blocks of each batch of vectors. Chunk numbers run on in a
+    batch, so a zone's blocks are cut once (a zone at a batch's end in two)."""
+    def run(batches):
+        for batch in batches:
+            terms = batch.column("terms")
+            row = pc.list_parent_indices(terms).to_numpy().astype(np.int64)
+            if not len(row):
+                continue
+            enc = pc.dictionary_encode(terms.flatten())
+            cid, norm2 = (batch.column(c).to_numpy()[row] for c in ("cid", "norm2"))
+            tf = batch.column("tfs").flatten().to_numpy()
+            impact = tf / np.sqrt(norm2.astype(np.float64))
+            keys = [cid // zone, enc.indices.to_numpy().astype(np.int64), np.floor(impact * levels).astype(np.int64)]
+            order = np.lexsort([cid, *reversed(keys)])
+            at, code, level = (k[order] for k in keys)
+            new = (np.diff(at) != 0) | (np.diff(code) != 0) | (np.diff(level) != 0)
+            starts = np.r_[0, np.flatnonzero(new) + 1]
+            ends = np.r_[starts, len(order)]
+            offsets = pa.array(ends, pa.int32())
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(at[starts]), enc.dictionary.take(pa.array(code[starts])), pa.array(level[starts]),
+                 pa.array(np.diff(ends)), pa.array(np.maximum.reduceat(impact[order], starts)),
+                 *[pa.ListArray.from_arrays(offsets, pa.array(x[order])) for x in (cid, tf, norm2)]],
+                names=["zone", "term", "level", "n", "top", "postings", "tfs", "norms"])
+
+    return run
 
 
 def asked_bags(queries: DataFrame, q_keys: Sequence[str], q_text: str) -> tuple[DataFrame, DataFrame]:
     """(q_keys..., qid) and (qid, terms, tfs, norm2): each distinct bag of query
     terms once. Rows with one key are one query; blank ones are none."""
+    named, asked = distinct_bags(queries, q_keys, q_text)
+    return named, written(bags(asked), "bags")
+
+
+def distinct_bags(queries: DataFrame, q_keys: Sequence[str], q_text: str) -> tuple[DataFrame, DataFrame]:
+    """(q_keys..., qid) and (qid, _t): each distinct list of sorted query tokens once."""
     keys = list(q_keys)
     cut = queries.where(~is_blank(q_text)).select(*[F.col(c).alias(f"q_{c}") for c in keys], tokens(q_text).alias("_t")) \
         .where(F.size("_t") > 0)
     # tokens in order, so that equal bags are equal rows
     whole = cut.groupBy(*[f"q_{c}" for c in keys]).agg(F.array_sort(F.flatten(F.collect_list("_t"))).alias("_t"))
     whole = written(whole, "queries")
-    asked = written(bags(whole.select("_t").distinct().select(F.monotonically_increasing_id().alias("qid"), "_t",
-                                                              F.col("_t").alias("_same"))), "asked")
-    named = whole.join(asked.select("qid", F.col("_same").alias("_t")), "_t").drop("_t")
-    return named, asked.drop("_same")
+    asked = written(whole.select("_t").distinct().select(F.monotonically_increasing_id().alias("qid"), "_t"), "asked")
+    return whole.join(asked, "_t").drop("_t"), asked
 
 
 def scored(pairs: DataFrame, asked: DataFrame, vectors: DataFrame) -> DataFrame:
-    """(qid, cid, k_..., distance) of (qid, cid) pairs: exact, rounded to six decimals."""
+    """(qid, cid, k_..., distance) of written (qid, cid) pairs: exact, rounded to six
+    decimals."""
     q = asked.select("qid", F.col("terms").alias("_qt"), F.col("tfs").alias("_qf"), F.col("norm2").alias("_qn"))
     c = vectors.select("cid", *[c for c in vectors.columns if c.startswith("k_")], "terms", "tfs", "norm2")
-    both = pairs.join(q, "qid").join(c, "cid")
+    both = c.join(maybe_broadcast(pairs), "cid").join(maybe_broadcast(q), "qid")
     dot = F.aggregate(F.array_intersect("_qt", "terms"), F.lit(0).cast("long"), lambda acc, t: acc
                       + F.get("_qf", F.array_position("_qt", t) - 1) * F.get("tfs", F.array_position("terms", t) - 1))
     distance = F.lit(1.0) - dot / (F.sqrt(F.col("_qn").cast("double")) * F.sqrt(F.col("norm2").cast("double")))
@@ -132,10 +169,11 @@ def thresholds(weighted: DataFrame, asked: DataFrame, index: LexicalIndex, k: in
     seeds_of = weighted.withColumn("_r", F.row_number().over(rare)).withColumn("_h", F.row_number().over(heavy)) \
         .where((F.col("_r") <= SEED_TERMS) | (F.col("_h") <= SEED_HEAVY)).select("qid", "term")
     best = Window.partitionBy("term").orderBy(F.col("top").desc(), "zone")
-    seeds = index.blocks.join(seeds_of.select("term").distinct(), "term", "left_semi") \
+    first = index.blocks.select("term", "top", "zone", F.slice("postings", 1, SEED_POSTINGS).alias("cids"))
+    seeds = first.join(maybe_broadcast(weighted.select("term").distinct()), "term", "left_semi") \
         .withColumn("_r", F.row_number().over(best)).where(F.col("_r") <= SEED_BLOCKS) \
-        .select("term", F.explode(F.slice("postings", 1, SEED_POSTINGS)["cid"]).alias("cid"))
-    pairs = seeds_of.join(seeds, "term").select("qid", "cid").distinct()
+        .select("term", F.explode("cids").alias("cid"))
+    pairs = written(seeds_of.join(seeds, "term").select("qid", "cid").distinct(), "seeds")
     reached = _nearest(scored(pairs, asked, index.vectors), index, k).where(F.col("rank") == k)
     return written(reached.select("qid", (1 - F.col("distance") - SLACK).alias("least")), "least")
 
@@ -152,20 +190,26 @@ def wanted_terms(weighted: DataFrame, least: DataFrame) -> DataFrame:
 
 
 def read_postings(wanted: DataFrame, index: LexicalIndex) -> DataFrame:
-    """(qid, cid, dot, ...) of the wanted terms' blocks: exact sums over those terms."""
+    """(qid, cid, norm2, dot, used) of the wanted terms' blocks: exact sums over those
+    terms, made where the blocks of a zone are. ``wanted`` is a written table."""
     # x of a term caps the cosine at cos(angle(w) - angle(x)), which rises until x = w
     cap = F.col("w") * F.col("top") + F.sqrt(1 - F.col("w") * F.col("w")) * F.sqrt(1 - F.col("top") * F.col("top"))
-    read = wanted.join(index.blocks.select("term", "top", "postings"), "term") \
+    asked = index.blocks.select("zone", "term", "top", "postings", "tfs", "norms") \
+        .join(maybe_broadcast(wanted.select("term").distinct()), "term", "left_semi").repartition("zone")
+    read = asked.join(maybe_broadcast(wanted.select("qid", "term", "q_tf", "w", "least")), "term") \
         .where((F.col("top") >= F.col("w")) | F.isnan(cap) | (cap >= F.col("least") - SLACK))
-    hits = read.select("qid", "q_norm2", "q_tf", "least", "rest", F.inline("postings"))
-    return hits.groupBy("qid", "q_norm2", "least", "rest", "cid", "norm2").agg(
-        F.sum(F.col("q_tf") * F.col("tf")).alias("dot"), F.sum(F.col("tf") * F.col("tf")).alias("used"))
+    hits = read.select("zone", "qid", "q_tf", F.inline(F.arrays_zip("postings", "tfs", "norms")).alias("cid", "tf", "norm2"))
+    return hits.groupBy("zone", "qid", "cid").agg(
+        F.max("norm2").alias("norm2"), F.sum(F.col("q_tf") * F.col("tf")).alias("dot"),
+        F.sum(F.col("tf") * F.col("tf")).alias("used"))
 
 
 def candidate_pairs(wanted: DataFrame, index: LexicalIndex) -> DataFrame:
     """(qid, cid) that may reach their query's threshold: their sums plus a bound of the
     unread terms, which is the product of the norms left on either side."""
-    part = read_postings(wanted, index)
+    wanted = written(wanted, "wanted")
+    limits = wanted.select("qid", "q_norm2", "least", "rest").distinct()
+    part = read_postings(wanted, index).join(maybe_broadcast(limits), "qid")
     bound = F.col("dot") / (F.sqrt(F.col("q_norm2").cast("double")) * F.sqrt(F.col("norm2").cast("double"))) \
         + F.col("rest") * F.sqrt(1 - F.col("used") / F.col("norm2") + SLACK)
     return part.where(bound >= F.col("least") - SLACK).select("qid", "cid")
@@ -178,9 +222,11 @@ def search(queries: DataFrame, index: LexicalIndex, k: int, q_keys: Sequence[str
     named, asked = asked_bags(queries, q_keys, q_text)
     weighted = weighted_terms(asked, index)
     wanted = wanted_terms(weighted, thresholds(weighted, asked, index, k))
-    found = _nearest(scored(candidate_pairs(wanted, index), asked, index.vectors), index, k)
+    pairs = written(candidate_pairs(wanted, index), "pairs")
+    found = _nearest(scored(pairs, asked, index.vectors), index, k)
     if index.carry:
-        found = found.join(index.vectors.select("cid", *[f"x_{c}" for c in index.carry]), "cid")
+        found = index.vectors.select("cid", *[f"x_{c}" for c in index.carry]) \
+            .join(maybe_broadcast(written(found, "found")), "cid")
     return named.join(found, "qid").select(
         *[F.col(f"q_{c}").alias(c) for c in q_keys], *[F.col(f"k_{c}").alias(c) for c in index.keys],
         *[F.col(f"x_{c}").alias(c) for c in index.carry], "distance", "rank")

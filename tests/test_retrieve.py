@@ -333,3 +333,19 @@ def test_ivf_without_vectors(spark):
     none = spark.createDataFrame([(1, None), (2, [0.0, 0.0])], "cid long, vec array<double>")
     q = spark.createDataFrame([(1, [1.0, 0.0])], "qid long, vec array<double>")
     assert RT.ivf_topk(q, none)[0].count() == 0 == RT.ivf_topk(q, none, certified=True)[0].count()
+
+
+def test_sums_of_a_chunk_are_made_in_its_zone(spark):
+    from docmill.operators import postings as P
+    ch, q = _zipf(spark, 300, 20)
+    index = P.lexical_index(ch)
+    blocks = index.blocks.select("zone", "term", F.inline(F.arrays_zip("postings", "tfs", "norms"))).collect()
+    vectors = {r.cid: r for r in index.vectors.collect()}
+    assert sorted((r[2], r.term, r[3], r[4]) for r in blocks) == sorted(
+        (c, t, n, r.norm2) for c, r in vectors.items() for t, n in zip(r.terms, r.tfs))
+    assert all(r.zone == r[2] // P.ZONE for r in blocks)
+    _, asked = P.asked_bags(q, ["qid"], "text")
+    weighted = P.weighted_terms(asked, index)
+    wanted = P.written(P.wanted_terms(weighted, P.thresholds(weighted, asked, index, 4)), "wanted")
+    plan = plan_text(P.read_postings(wanted, index))
+    assert "hashpartitioning(zone" in plan and "hashpartitioning(qid" not in plan
