@@ -53,10 +53,12 @@ def first_k(qi: np.ndarray, dist: np.ndarray, keys: list[np.ndarray], k: int) ->
 
 class Best:
     """The k nearest candidates per query among all batches of a task, ties by
-    key: memory and output stay within queries x k rows."""
+    key: memory and output stay within queries x k rows. ``kth``: distance of each
+    query's k-th so far (infinite below k); what is farther need not be added."""
 
-    def __init__(self, k: int, keys: list[str]):
+    def __init__(self, k: int, keys: list[str], queries: int):
         self.k, self.keys, self.qi, self.dist, self.rows = k, keys, None, None, None
+        self.kth = np.full(queries, np.inf)
 
     def add(self, qi: np.ndarray, dist: np.ndarray, rows: pa.Table) -> None:
         if not len(qi):
@@ -66,6 +68,25 @@ class Best:
             rows = pa.concat_tables([self.rows, rows])
         keep = first_k(qi, dist, _sort_keys([rows.column(c) for c in self.keys]), self.k)
         self.qi, self.dist, self.rows = qi[keep], dist[keep], rows.take(pa.array(keep))
+        last = np.flatnonzero(np.r_[np.diff(self.qi) != 0, True])
+        full = last[np.diff(np.r_[-1, last]) == self.k]
+        self.kth[self.qi[full]] = self.dist[full]
+
+
+def near_pairs(queries: np.ndarray, corpus: np.ndarray, kth: np.ndarray, k: int, decimals: int = 6):
+    """(query, row of corpus, rounded distance) of the pairs of unit vectors that may be
+    among a query's k nearest: none farther than ``kth``, nor than its k-th in ``corpus``.
+    Without a direction (NaN) there is no pair."""
+    similar = queries @ corpus.T                                            # (Q, B)
+    least = 1.0 - kth - 10.0 ** -decimals
+    new = np.flatnonzero(np.isinf(kth))
+    if len(new) and similar.shape[1] > k:
+        some = similar if len(new) == len(kth) else similar[new]
+        some = np.where(np.isnan(some), -np.inf, some)
+        at = some.shape[1] - k
+        least[new] = np.partition(some, at, axis=1)[:, at] - 10.0 ** -decimals
+    qi, ci = np.nonzero(similar >= least[:, None])
+    return qi, ci, np.round(1.0 - similar[qi, ci], decimals)
 
 
 def topk_kernel(query_ids: np.ndarray, query_unit: np.ndarray, k: int, id_col: str = "cid",
@@ -77,17 +98,12 @@ def topk_kernel(query_ids: np.ndarray, query_unit: np.ndarray, k: int, id_col: s
     rows_per_block = max(1, block_cells // max(1, len(query_ids)))
 
     def run(batches):
-        best = Best(k, [id_col])
+        best = Best(k, [id_col], len(query_ids))
         for whole in batches:
             for lo in range(0, whole.num_rows, rows_per_block):
                 batch = whole.slice(lo, rows_per_block)
                 corpus = unit_rows(as_matrix(batch.column(vec_col)))
-                dist = np.round(1.0 - query_unit @ corpus.T, decimals)      # (Q, B)
-                dist[np.isnan(dist)] = np.inf
-                kk = min(k, dist.shape[1])
-                kth = np.partition(dist, kk - 1, axis=1)[:, kk - 1:kk]
-                qi, ci = np.nonzero((dist <= kth) & np.isfinite(dist))
-                d = dist[qi, ci]
+                qi, ci, d = near_pairs(query_unit, corpus, best.kth, k, decimals)
                 keep = first_k(qi, d, [c[ci] for c in _sort_keys([batch.column(id_col)])], k)
                 rows = pa.Table.from_batches([batch.select(columns)])
                 best.add(qi[keep], d[keep], rows.take(pa.array(ci[keep])))
@@ -155,12 +171,14 @@ def lexical_kernel(vocab: list, term_ptr: np.ndarray, term_q: np.ndarray, term_w
     rows_per_block = max(1, min(4096, fanout_block // max(1, nq)))
 
     def run(batches):
-        best = Best(k, list(key_cols))
+        best = Best(k, list(key_cols), nq)
         for batch in batches:
             table = pa.Table.from_batches([batch.select(columns)])
             for lo in range(0, batch.num_rows, rows_per_block):
                 part = batch.slice(lo, rows_per_block)
                 for qi, ci, dist in score(part):
+                    near = dist <= best.kth[qi]
+                    qi, ci, dist = qi[near], ci[near], dist[near]
                     keys = _sort_keys([part.column(c) for c in key_cols])
                     keep = first_k(qi, dist, [c[ci] for c in keys], k)
                     best.add(qi[keep], dist[keep], table.take(pa.array(ci[keep] + lo)))

@@ -349,3 +349,17 @@ def test_sums_of_a_chunk_are_made_in_its_zone(spark):
     wanted = P.written(P.wanted_terms(weighted, P.thresholds(weighted, asked, index, 4)), "wanted")
     plan = plan_text(P.read_postings(wanted, index))
     assert "hashpartitioning(zone" in plan and "hashpartitioning(qid" not in plan
+
+
+def test_query_blocks_equal_sql_with_repeated_keys(spark):
+    ch, q = _zipf(spark, 400, 40)
+    ch = ch.unionByName(ch.where("doc_id < 9").withColumn("text", F.concat("text", F.lit(" bab"))))
+    cols = ["qid", "doc_id", "chunk_index", "text", "distance", "rank"]
+    want = RT.lexical_topk(q, ch, k=4, q_keys=["qid"], carry=["text"], method="kernel")
+    for bound in ({"max_block_queries": 7}, {"max_block_terms": 20}):
+        got = RT.lexical_topk(q, ch, k=4, q_keys=["qid"], carry=["text"], **bound)
+        assert got.columns == want.columns
+        named = [c for c in cols if c != "text"]
+        assert sorted(map(str, got.select(named).collect())) == sorted(map(str, want.select(named).collect()))
+    none = RT.lexical_topk(q.where("qid < 0"), ch, q_keys=["qid"], carry=["text"], max_block_queries=1)
+    assert none.count() == 0
