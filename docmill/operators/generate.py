@@ -261,6 +261,12 @@ def _one_json_text(text: Column) -> Column:
     return bare.rlike(r"^\s*[\[{](?s:.*)[\]}]\s*$") & (depth["closed"] == 1) & (depth["d"] == 0)
 
 
+def _strict_cases(cleaned: Column) -> Column:
+    """The cases of one JSON text, ``steps`` as text."""
+    strict = {"allowSingleQuotes": "false", "allowUnquotedFieldNames": "false", "allowComments": "false"}
+    return F.from_json(cleaned, RESPONSE_SCHEMA.replace("steps:array<string>", "steps:string"), strict)
+
+
 def parse_responses(responses: DataFrame, keys: Sequence[str], text_col: str = "text") -> DataFrame:
     """Model output -> case rows; an object becomes a one-element list, anything
     that is not one strict JSON text of objects is kept as an error row.
@@ -268,11 +274,9 @@ def parse_responses(responses: DataFrame, keys: Sequence[str], text_col: str = "
     Output: keys..., pos, the case columns, n_steps, bad, raw. ``steps`` that are
     not a list become a list of that one value.
     """
-    strict = {"allowSingleQuotes": "false", "allowUnquotedFieldNames": "false", "allowComments": "false"}
     cleaned = strip_model_fence(F.col(text_col))
-    schema = RESPONSE_SCHEMA.replace("steps:array<string>", "steps:string")
     parsed = responses.select(*keys, F.col(text_col).alias("raw"), F.when(
-        F.coalesce(_one_json_text(cleaned), F.lit(False)), F.from_json(cleaned, schema, strict)).alias("_arr"))
+        F.coalesce(_one_json_text(cleaned), F.lit(False)), _strict_cases(cleaned)).alias("_arr"))
     rows = parsed.select(*keys, "raw", F.col("_arr").isNull().alias("bad"),
                          F.posexplode_outer("_arr").alias("pos", "_c"))
     steps = F.coalesce(F.from_json(F.col("_c.steps"), "array<string>"),
@@ -286,19 +290,23 @@ def extra_fields(responses: DataFrame, keys: Sequence[str], text_col: str = "tex
 
     Output: keys..., pos (of the case in its output), field, value (JSON text; the
     keys of objects in it sorted). Output that ``parse_responses`` calls bad, or that
-    has one key twice in an object, has no rows here.
+    has one key twice in an object, has no rows here, nor have NULL keys. Narrow.
     """
-    cleaned = strip_model_fence(F.col(text_col))
-    listed = F.when(F.startswith(F.ltrim(cleaned), F.lit("[")), cleaned).otherwise(F.concat(F.lit("["), cleaned, F.lit("]")))
-    good = parse_responses(responses, keys, text_col).where("not bad and pos is not null").select(*keys, "pos")
     spark = responses.sparkSession
-    read = responses.where(F.coalesce(_one_json_text(cleaned), F.lit(False))) \
-        .select(*keys, F.try_parse_json(listed).alias("_list"))
+    known = responses
+    for c in keys:
+        known = known.where(F.col(c).isNotNull())
+    known = known.select(*keys, strip_model_fence(F.col(text_col)).alias("_text"))
+    text = F.col("_text")
+    listed = F.when(F.startswith(F.ltrim(text), F.lit("[")), text).otherwise(F.concat(F.lit("["), text, F.lit("]")))
+    # an output's good cases are the first ones, as many as were parsed. Bad output has a
+    # NULL list here: a filter would be evaluated before the rows are spread over the cores
+    read = known.select(*keys, F.size(_strict_cases(text)).alias("_good"), F.when(
+        F.coalesce(_one_json_text(text), F.lit(False)), F.try_parse_json(listed)).alias("_list"))
     cases = read.lateralJoin(spark.tvf.variant_explode(F.col("_list").outer())) \
-        .select(*keys, "pos", F.col("value").alias("_case"))
+        .where(F.coalesce(F.col("pos") < F.col("_good"), F.lit(False))).select(*keys, "pos", F.col("value").alias("_case"))
     fields = cases.lateralJoin(spark.tvf.variant_explode(F.col("_case").outer()).select(F.col("key").alias("field"), "value"))
     return fields.where(F.col("field").isNotNull() & ~F.col("field").isin(CASE_COLUMNS)) \
-        .join(good.distinct(), [*keys, "pos"], "left_semi") \
         .select(*keys, "pos", "field", F.to_json("value").alias("value"))
 
 

@@ -455,7 +455,7 @@ def _model_outputs(spark, sf):
     (shared key space with the requests): fenced JSON lists, bare objects,
     single-line fences, steps that aren't a list, empty lists, and output that is
     not strict JSON (trailing text, single quotes, refusals)."""
-    p = table(spark, sf, "part")
+    p = spread(table(spark, sf, "part"))
     steps = F.array(F.col("p_name"), F.col("p_type"))
 
     def case(steps_):
@@ -488,7 +488,7 @@ def q_response_extras(spark, sf):
     """Fields beyond the case columns in responses derived from ``part``: a number in
     the first case, an object with a list in the second; every seventh response has
     text after its JSON."""
-    p = table(spark, sf, "part")
+    p = spread(table(spark, sf, "part"))
     named = F.col("p_name").alias("feature")
     first = F.to_json(F.struct(named, F.col("p_size").alias("priority")))
     second = F.to_json(F.struct(named, F.struct(F.col("p_type").alias("type"), F.array("p_brand").alias("tags")).alias("meta")))
@@ -500,8 +500,9 @@ def q_response_extras(spark, sf):
 
 def q_generator_choice(spark, sf):
     rule_cases = _test_cases(spark, sf)
-    model = generate.parse_responses(_model_outputs(spark, sf), ["item_id"]) \
-                    .join(benchmark_queries(spark, sf).select("item_id"), "item_id", "left_semi")
+    # outputs of the requests, written once: they are parsed for both sides of the choice
+    outputs = _model_outputs(spark, sf).join(benchmark_queries(spark, sf).select("item_id"), "item_id", "left_semi")
+    model = generate.parse_responses(written(outputs, "outputs"), ["item_id"])
     chosen = generate.generator_choice(rule_cases, model, ["item_id"])
     return chosen.select("item_id", "origin", *generate.CASE_COLUMNS[:-1], F.array_join("steps", "\n").alias("steps"))
 

@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from conftest import plan_text
 from docmill.operators import generate as G
 from docmill.operators import scripts as S
 
@@ -142,3 +143,23 @@ def test_script_choice(spark):
     assert {r.rid: (r.origin, r.valid_candidates) for r in out} == {1: ("model", 1), 2: ("template", 0), 3: ("template", 0)}
     scripts = {r.rid: r.script for r in out}
     assert scripts[1].startswith("import time\n") and scripts[1].endswith("pass") and scripts[2] is scripts[3] is None
+
+
+def test_every_step_on_model_output_runs_on_all_cores(spark, tmp_path):
+    from docmill.plans import registry
+    for name in ("part", "documents", "benchmark"):
+        spark.read.parquet(f"/root/testdata/sf0.001/{name}.parquet").coalesce(1).write.parquet(f"{tmp_path}/{name}.parquet")
+    for query in (registry.q_response_extras, registry.q_parse_responses):
+        plan = plan_text(query(spark, str(tmp_path)))
+        scanned = plan[plan.rindex("Scan parquet"):]
+        # nothing but cheap filters on columns stands between the scan and the round robin
+        assert "RoundRobinPartitioning" in plan and "from_json" not in scanned.split("Exchange")[0]
+        assert "SortMergeJoin" not in plan and "BroadcastHashJoin" not in plan
+
+
+def test_extra_fields_of_repeated_and_null_keys(spark):
+    rows = [(1, '[{"feature": "a", "x": 1}]'), (1, '[{"feature": "a", "x": 1}] trailing'), (1, '{"x": {"b": 1, "a": [2]}}'),
+            (None, '[{"x": 1}]'), (2, '[{"x": 1}, 5]'), (3, "[]"), (4, None), (5, "```json\n[{\"x\": true}]\n```")]
+    df = spark.createDataFrame(rows, "id long, text string")
+    got = sorted(tuple(r) for r in G.extra_fields(df, ["id"]).collect() if r.id != 2)
+    assert got == [(1, 0, "x", "1"), (1, 0, "x", '{"a":[2],"b":1}'), (5, 0, "x", "true")]
