@@ -11,7 +11,9 @@ ordinary Spark overwrite:
   partition overwrite),
 * :func:`clear` overwrites with nothing, :func:`open_kb` reads the table.
 
-New rows are complete in the shared folder before the table is touched, so rows may
+:func:`build` over a table with rows, and what :func:`append` is given, is complete in
+the shared folder before the table is touched; a first build and the overwrite of
+buckets go straight to the table, whose files change when the job commits. So rows may
 come from the table itself, and a job that fails leaves the table as it was. Sending
 rows again gives the same table, so a replayed batch needs no bookkeeping. One writer
 at a time; a reader opens the table between changes. The number of buckets and the
@@ -25,6 +27,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from docmill.functions.sizing import maybe_broadcast
 from docmill.session import remove_path, scratch_path
 
 KB_SCHEMA = ("chunk_id string, source string, content_type string, chunk_index int, "
@@ -33,6 +36,9 @@ KB_COLUMNS = [c.split(" ")[0] for c in KB_SCHEMA.split(", ")]
 #: Buckets of a new table. An append rewrites the buckets it touches, so a large
 #: table that changes often takes more of them.
 BUCKETS = 64
+#: Names of sources that are broadcast (within the bytes that ``sizing`` allows), so that
+#: neither the table nor new rows are shuffled to find those of a source.
+BROADCAST_SOURCES = 2_000_000
 
 
 def chunk_id(source, chunk_index):
@@ -65,7 +71,10 @@ def build(rows: DataFrame, root: str, partition_by: str | None = None, buckets:
     column) are kept. ``partition_by`` names a coarse string column to lay the
     table out by, so filters on it prune files before any scoring; a source
     then belongs to its value of that column."""
-    return _through_scratch(_laid_out(rows, buckets, partition_by), root, "static", partition_by)
+    laid_out = _laid_out(rows, buckets, partition_by)
+    if _table(rows.sparkSession, root) is None:
+        return _written(laid_out, root, "static", partition_by)
+    return _through_scratch(laid_out, root, partition_by)
 
 
 def append(rows: DataFrame, root: str, buckets: int = BUCKETS, version: str | None = None) -> int:
@@ -91,20 +100,25 @@ def append(rows: DataFrame, root: str, buckets: int = BUCKETS, version: str | No
     _laid_out(rows, layout["buckets"], by).write.parquet(paths[0])
     new = spark.read.parquet(paths[0])
     if version:
-        held = old.where(F.col("bucket").isin(_buckets_of(new))).groupBy(*unit).agg(F.max(version).alias("held"))
-        late = [new[c].eqNullSafe(held[c]) for c in unit] + [
-            held["held"].isNotNull() & (new[version].isNull() | (new[version] < held["held"]))]
-        paths.append(scratch_path(spark, "kb-rows"))
-        new.join(held, late, "left_anti").write.parquet(paths[1])
-        new = spark.read.schema(new.schema).parquet(paths[1])
+        # decided on sources and versions alone; rows that stay aren't written again
+        sent = new.groupBy(*unit).agg(F.max(version).alias("sent"))
+        held = old.where(F.col("bucket").isin(_buckets_of(new))).groupBy(*[F.col(c).alias(f"held_{c}") for c in unit]) \
+            .agg(F.max(version).alias("held"))
+        same = [F.col(c).eqNullSafe(F.col(f"held_{c}")) for c in unit]
+        paths.append(scratch_path(spark, "kb-late"))
+        sent.join(held, [*same, F.col("held").isNotNull() & (F.col("sent").isNull() | (F.col("sent") < F.col("held")))]) \
+            .select(*[f"held_{c}" for c in unit]).write.parquet(paths[1])
+        late = spark.read.parquet(paths[1])
+        new = new.join(maybe_broadcast(late, BROADCAST_SOURCES), same, "left_anti")
     touched, n = _buckets_of(new), new.count()
     if touched:
-        same = [new[c].eqNullSafe(old[c]) for c in unit]
-        kept = old.where(F.col("bucket").isin(touched)).join(new, same, "left_anti")
+        sources = new.select(*[F.col(c).alias(f"new_{c}") for c in unit]).distinct()
+        same = [F.col(c).eqNullSafe(F.col(f"new_{c}")) for c in unit]
+        kept = old.where(F.col("bucket").isin(touched)).join(maybe_broadcast(sources, BROADCAST_SOURCES), same, "left_anti")
         if by:
-            leaf = new.select("bucket", by).distinct()
-            kept = kept.join(leaf, (kept[by].eqNullSafe(leaf[by])) & (kept["bucket"] == leaf["bucket"]), "left_semi")
-        _through_scratch(_stamped(kept.unionByName(new, allowMissingColumns=True), layout), root, "dynamic", by)
+            leaf = new.select(F.col("bucket").alias("_b"), F.col(by).alias("_by")).distinct()
+            kept = kept.join(leaf, F.col(by).eqNullSafe(F.col("_by")) & (F.col("bucket") == F.col("_b")), "left_semi")
+        _written(_stamped(kept.unionByName(new, allowMissingColumns=True), layout), root, "dynamic", by)
     for path in paths:
         remove_path(spark, path)
     return n
@@ -126,21 +140,25 @@ def _laid_out(rows: DataFrame, buckets: int, by: str | None) -> DataFrame:
     return _stamped(rows.select(*KB_COLUMNS, *extra).withColumn("bucket", bucket_of(F.col("source"), buckets)), layout)
 
 
-def _through_scratch(rows: DataFrame, root: str, mode: str, by: str | None) -> int:
-    """Compute ``rows`` in the shared folder, then overwrite ``root`` with them.
-    ``rebalance`` brings a bucket's rows together, so that a task writes few
-    files, and lets AQE split a bucket that holds a hot source."""
+def _through_scratch(rows: DataFrame, root: str, by: str | None) -> int:
+    """Compute ``rows`` in the shared folder, then overwrite all of ``root`` with them."""
     spark = rows.sparkSession
     path = scratch_path(spark, "kb-table")
     rows.write.parquet(path)
-    ready = spark.read.schema(rows.schema).parquet(path)
-    ready.hint("rebalance", "bucket").write.mode("overwrite").option("partitionOverwriteMode", mode) \
-        .partitionBy(*([by] if by else []), "bucket").parquet(root)
-    n = ready.count()
+    n = _written(spark.read.schema(rows.schema).parquet(path), root, "static", by)
     remove_path(spark, path)
     return n
 
 
+def _written(rows: DataFrame, root: str, mode: str, by: str | None) -> int:
+    """Overwrite ``root`` (``dynamic``: its buckets in ``rows``); returns the table's rows.
+    ``rebalance`` brings a bucket's rows together, so that a task writes few files, and
+    lets AQE split a bucket that holds a hot source."""
+    rows.hint("rebalance", "bucket").write.mode("overwrite").option("partitionOverwriteMode", mode) \
+        .partitionBy(*([by] if by else []), "bucket").parquet(root)
+    return rows.sparkSession.read.schema(rows.schema).parquet(root).count()
+
+
 def _layout(table: DataFrame) -> dict:
     return table.schema["source"].metadata
 

@@ -205,3 +205,27 @@ def test_counts_are_observed_while_the_table_is_written(spark):
     assert counts["files"] == table.count() and counts["ok"] == table.where("ok").count()
     none = FS.write_extracted(_files(spark, rows).where("false"), scratch_path(spark, "extracted"))
     assert set(none.values()) == {0}
+
+
+def test_appends_write_a_table_once_and_leave_it_when_they_fail(spark, tmp_path, monkeypatch):
+    import pytest
+    from docmill.sources import kb
+    root = str(tmp_path / "kb")
+    rows = lambda names, text, version=1: kb.kb_rows(spark.createDataFrame(
+        [(n, "text/plain", i, 0, 1, text, version) for n in names for i in range(2)],
+        "filename string, content_type string, chunk_index int, start_char int, end_char int, text string, version long"),
+        carry=["version"])
+    monkeypatch.setattr(kb, "_through_scratch", lambda *a: 1 / 0)  # no second copy of the table
+    assert kb.build(rows("abcdef", "old"), root, buckets=3) == 12
+    assert kb.append(rows(["b", None], "new", 2), root, version="version") == 4
+    assert kb.append(rows("ab", "late", 1), root, version="version") == 2  # a is as old, b newer
+    want = sorted([(n, "old") for n in "cdef"] * 2 + [("a", "late")] * 2 + [("b", "new")] * 2) + [(None, "new")] * 2
+    read = lambda: sorted(map(tuple, kb.open_kb(spark, root).select("source", "text").collect()),
+                          key=lambda r: (r[0] is None, r))
+    assert read() == want
+    # fails while the buckets are written
+    broken = kb.open_kb(spark, root).where("source = 'c'").withColumn("start_char", F.expr("cast(text as int)"))
+    with pytest.raises(Exception):
+        kb.append(broken, root)
+    assert read() == want
+    assert kb.append(kb.open_kb(spark, root).where("source = 'c'"), root) == 2 and read() == want  # from the table itself
