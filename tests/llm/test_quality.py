@@ -169,3 +169,29 @@ def test_script_is_voted_by_every_letter():
         counts = {k: sum(map(text.count, v)) for k, v in votes.items()}
         assert quality.script_of(text.encode()) == max(counts, key=lambda k: (counts[k], k))
     assert [quality.script_of(x) for x in (None, b"", "12 — …".encode(), b"ab 12")] == ["NONE"] * 3 + ["LATIN"]
+
+
+def test_bands_come_from_every_good_document(spark):
+    """All labelled rows count, however many: the limits are numpy's on all of them."""
+    import numpy as np
+    draw = random.Random(8)
+    words = "the a river stone house of garden and letter to window Teacher 12 village, market. bridge".split()
+    rows = [(i, " ".join(draw.choices(words, k=draw.randint(25, 160))), "en" if i % 3 else "de") for i in range(9000)]
+    docs = spark.createDataFrame(rows + rows[:40], "doc_id long, text string, lang string").repartition(8)
+    labels = spark.createDataFrame([(i, int(i % 7 > 0)) for i in range(9000)], "doc_id long, quality int")
+    model = P.path("piece_bpe_32k.model")
+    bands = quality.fit_bands(docs, labels, model)
+    got = quality.measure(docs.dropDuplicates(["doc_id"]), model).where("not base_failed and doc_id % 7 > 0").collect()
+    assert len(got) > 7000
+    for lang in ("en", "de"):
+        chars, share, n, bits = np.array([(r.chars_per_token, r.byte_share, r.n_tokens, r.entropy_bits)
+                                          for r in got if r.lang == lang]).T
+        b = bands[lang]
+        assert np.allclose(b["chars_per_token"], np.quantile(chars, [0.002, 0.998]) + [-1e-6, 1e-6], atol=1e-9)
+        assert np.isclose(b["byte_share"][1], np.quantile(share, 0.998) + 1e-6, atol=1e-9)
+        curve = np.polyfit(np.log2(n), bits, 2)
+        assert np.allclose(b["entropy_bits"][:3], curve[::-1], atol=1e-5)
+        over = bits - np.polyval(curve, np.log2(n))
+        assert np.allclose(b["entropy_bits"][3:], [np.quantile(over, 0.002), np.log2(n.min()), np.log2(n.max())], atol=1e-4)
+    measured = quality.measure(docs, model, keep=["doc_id", "lang"])
+    assert quality.fit_bands(docs, labels, model, measured=measured) == bands
