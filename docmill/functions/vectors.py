@@ -86,7 +86,7 @@ def near_pairs(queries: np.ndarray, corpus: np.ndarray, kth: np.ndarray, k: int,
         at = some.shape[1] - k
         least[new] = np.partition(some, at, axis=1)[:, at] - 10.0 ** -decimals
     qi, ci = np.nonzero(similar >= least[:, None])
-    return qi, ci, np.round(1.0 - similar[qi, ci], decimals)
+    return qi, ci, np.round(1.0 - similar[qi, ci], decimals) + 0.0  # no -0.0
 
 
 def topk_kernel(query_ids: np.ndarray, query_unit: np.ndarray, k: int, id_col: str = "cid",
@@ -116,6 +116,42 @@ def topk_kernel(query_ids: np.ndarray, query_unit: np.ndarray, k: int, id_col: s
     return run
 
 
+def cell_kernel(query_unit: np.ndarray, cells: pa.ChunkedArray, kth: np.ndarray, k: int, carry=()):
+    """mapInArrow function for vectors with cells (cid, ``carry``, u, cell): each unit query
+    meets the vectors of its list of ``cells`` that aren't farther than its ``kth``. A task
+    emits each query's k nearest, by (rounded distance, cid), as (_q, cid, carry, distance)."""
+    flat = np.concatenate([c.flatten().to_numpy() for c in cells.chunks] or [np.zeros(0)]).astype(np.int64)
+    sizes = np.concatenate([c.value_lengths().to_numpy() for c in cells.chunks] or [np.zeros(0)]).astype(np.int64)
+    order = np.argsort(flat, kind="stable")
+    cell_of, asking = flat[order], np.repeat(np.arange(len(sizes)), sizes)[order]
+
+    def run(batches):
+        best = Best(k, ["cid"], len(query_unit))
+        best.kth = kth.copy()
+        columns = ["cid", *carry]
+        for batch in batches:
+            u, cell = as_matrix(batch.column("u")), batch.column("cell").to_numpy()
+            rows = np.argsort(cell, kind="stable")
+            cuts = np.flatnonzero(np.diff(cell[rows])) + 1
+            found = []
+            for own in np.split(rows, cuts) if len(rows) else []:
+                a, b = np.searchsorted(cell_of, [cell[own[0]], cell[own[0]] + 1])
+                if a < b:
+                    q = asking[a:b]
+                    qi, ci, d = near_pairs(query_unit[q], u[own], best.kth[q], k)
+                    found.append((q[qi], own[ci], d))
+            if found:
+                qi, ci, d = (np.concatenate(x) for x in zip(*found))
+                keep = first_k(qi, d, [c[ci] for c in _sort_keys([batch.column("cid")])], k)
+                best.add(qi[keep], d[keep], pa.Table.from_batches([batch.select(columns)]).take(pa.array(ci[keep])))
+        if best.qi is not None:
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(best.qi), *[best.rows.column(c).combine_chunks() for c in columns], pa.array(best.dist, pa.float64())],
+                names=["_q", *columns, "distance"])
+
+    return run
+
+
 def count_tokens(batch: pa.RecordBatch, tokens_col: str, others: list) -> pa.RecordBatch:
     """The ``others`` columns of a batch, and of its token lists the distinct terms,
     their counts and the sum of the squared counts."""

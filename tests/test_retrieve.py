@@ -363,3 +363,18 @@ def test_query_blocks_equal_sql_with_repeated_keys(spark):
         assert sorted(map(str, got.select(named).collect())) == sorted(map(str, want.select(named).collect()))
     none = RT.lexical_topk(q.where("qid < 0"), ch, q_keys=["qid"], carry=["text"], max_block_queries=1)
     assert none.count() == 0
+
+
+def test_ivf_ranks_cells_where_they_are_in_blocks(spark):
+    rng = np.random.default_rng(3)
+    rows = [(i if i % 50 else 7, [float(x) for x in rng.normal(size=8)], f"s{i % 3}") for i in range(600)]
+    corpus = spark.createDataFrame(rows, "cid long, vec array<double>, source string").repartition(5)
+    qs = spark.createDataFrame([(i % 30, v) for i, (_, v, _) in enumerate(rows[:40])], "qid long, vec array<double>")
+    index = RT.ivf_index(corpus, nlist=12, carry=["source"])
+    cols = ["qid", "cid", "source", "distance", "rank"]
+    full, cand = RT.ivf_search(qs, index, k=4, nprobe=12)
+    assert {r.candidates for r in cand.collect()} == {600, 1200}  # ten queries come twice
+    for kwargs in ({"max_values": 50}, {"certified": True, "nprobe": 2, "max_values": 90}):
+        got, _ = RT.ivf_search(qs, index, k=4, **({"nprobe": 12} | kwargs))
+        assert sorted(map(str, got.select(cols).collect())) == sorted(map(str, full.select(cols).collect()))
+    assert "Join" not in plan_text(full)
