@@ -33,11 +33,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from docmill.functions.sizing import maybe_broadcast
-from docmill.llm.common import Rolling, carried, filtered, map_text, mix, per_worker, plain_words, quoted, written
+from docmill.llm.common import (LONGEST, Rolling, carried, filtered, map_text, mix, per_worker, plain_words, quoted,
+                                small_table, written)
 
 MIN_WORDS, MAX_REPEAT_PERCENT, REPEAT_WINDOW = 20, 30, 8
 SYMBOLS = b"#*$%&|<>"
-#: Remembered words per worker (up to twice as many).
+#: Remembered words per worker (up to twice as many, none over ``LONGEST`` bytes).
 REMEMBER = 80_000
 
 #: Least labelled rows per language that bands are fitted on, and the share of them that
@@ -160,7 +161,11 @@ class Fertility:
         new = [w for w in unknown if w not in old]
         for w, ids in zip(new, self.model.encode([w.decode("utf-8") for w in new], num_threads=1)):
             known[w] = np.array(ids, dtype="<u4").tobytes()
-        return [np.frombuffer(b"".join([known[w] for w in ws]), dtype="<u4") for ws in words]
+        out = [np.frombuffer(b"".join([known[w] for w in ws]), dtype="<u4") for ws in words]
+        for w in new:
+            if len(w) > LONGEST:
+                del known[w]
+        return out
 
     def measures(self, words: list[list[bytes]]):
         """(tokens, byte-fallback tokens, entropy in bits) per document."""
@@ -240,7 +245,7 @@ def quantiles(rows: DataFrame, asked: dict[tuple[str, str], tuple[int, list[floa
             i = int(np.searchsorted(ends, r, side="right"))
             places[key, r] = (bins[key][i][0], r - int(ends[i] - bins[key][i][1]))
             needed.add((*key, bins[key][i][0]))
-    some = rows.sparkSession.createDataFrame(sorted(needed), "name string, what string, b long")
+    some = small_table(rows.sparkSession, sorted(needed), "name string, what string, b long")
     values: dict = {}
     for name, what, b, v, n in sorted(map(tuple, binned.join(F.broadcast(some), ["name", "what", "b"])
                                           .groupBy("name", "what", "b", "v").count().collect())):
@@ -295,7 +300,7 @@ def fit_bands(docs: DataFrame, labels: DataFrame, model_path: str, doc_id: str =
         a[:degree + 1] = np.linalg.solve([[r.x[i + j] for j in range(degree + 1)] for i in range(degree + 1)], r.xy[:degree + 1])
         # rounded: the order of summing must not decide
         curves[r.name] = [round(float(c), 6) for c in (a[0] - 8 * a[1] + 64 * a[2], a[1] - 16 * a[2], a[2])]
-    table = rows.sparkSession.createDataFrame([(k, *c) for k, c in curves.items()], "name string, c0 double, c1 double, c2 double")
+    table = small_table(rows.sparkSession, [(k, *c) for k, c in curves.items()], "name string, c0 double, c1 double, c2 double")
     over = F.floor((bits - (F.col("c0") + F.col("c1") * F.col("size") + F.col("c2") * F.col("size") * F.col("size"))) * 1e6)
     million = {"chars": F.round(F.col("chars_per_token") * 1e6).cast("long"),
                "bytes": F.round(F.col("byte_share") * 1e6).cast("long"), "over": over}

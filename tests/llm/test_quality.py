@@ -195,3 +195,45 @@ def test_bands_come_from_every_good_document(spark):
         assert np.allclose(b["entropy_bits"][3:], [np.quantile(over, 0.002), np.log2(n.min()), np.log2(n.max())], atol=1e-4)
     measured = quality.measure(docs, model, keep=["doc_id", "lang"])
     assert quality.fit_bands(docs, labels, model, measured=measured) == bands
+
+
+def test_a_worker_holds_little_at_once():
+    """Peak of the kernel's own memory over a batch of 4 MB, beside what it remembers."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    from docmill.llm.common import slices
+    rng = random.Random(3)
+    words = [f"w{i}" for i in range(2000)]
+    body = pa.array([" ".join(rng.choices(words, k=700)).encode() for _ in range(1200)], pa.binary())
+    with open(P.path("piece_bpe_32k.model"), "rb") as f:
+        kernel = quality._kernel(f.read())
+    kernel([" ".join(words).encode()])
+    tracemalloc.start()
+    for a, b in slices(body):
+        kernel(body.slice(a, b - a).to_pylist())
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 40 << 20
+
+
+def test_long_words_are_measured_but_not_remembered():
+    with open(P.path("piece_bpe_32k.model"), "rb") as f:
+        made = quality.Fertility(f.read())
+    long = [bytes([97 + i % 26]) * (100 + i) for i in range(50)]
+    want = [made.model.encode(w.decode()) for w in long]
+    for _ in range(2):
+        assert [i.tolist() for i in made.ids([[b"short", w] for w in long])] == [
+            made.model.encode("short") + w for w in want]
+    assert set(made.known) == {b"short"}
+
+
+def test_small_tables_need_no_python_workers(spark):
+    from conftest import plan_text
+
+    from docmill.llm.common import small_table
+    rows = [("en", 1, 0.5), ("de", -2, 1.5)]
+    made = small_table(spark, rows, "name string, b long, c double")
+    assert made.dtypes == [("name", "string"), ("b", "bigint"), ("c", "double")]
+    assert [tuple(r) for r in made.collect()] == rows and "LocalTableScan" in plan_text(made)

@@ -154,3 +154,14 @@ def test_cuts_at_odd_white_space_equal_tiktoken():
         assert list(struct.unpack(f"<{len(ids) // 4}I", ids)) == library.encode_ordinary(t), repr(t)
     assert decode(coded)[0].to_pylist() == [t.encode() for t in texts]
     assert decode([None, b"", None])[0].to_pylist() == [b"", b"", b""] and decode([])[0].to_pylist() == []
+
+
+def test_memories_hold_no_long_text():
+    from docmill.llm.common import Memory
+    made = []
+    memory = Memory(lambda key: made.append(key) or len(key), 10)
+    assert [memory["a" * n] for n in (5, 5, 5000, 5000, 64)] == [5, 5, 5000, 5000, 64]
+    assert [len(k) for k in made] == [5, 5000, 5000, 64] and max(map(len, memory)) == 64
+    made_of = bpe.Encoder(bpe.Vocabulary(bpe.read_ranks(RANKS)), P.PATTERN)
+    made_of(b"a word and " + b"x1" * 4000 + b" more")
+    assert max(map(len, made_of.later)) <= 64
