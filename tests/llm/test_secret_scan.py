@@ -149,3 +149,29 @@ def test_law_comes_from_every_text(spark):
         assert (code in law.cells) == bool(cells)
         if cells:
             assert np.allclose(law.cells[code], np.array(cells).T, atol=1e-6)
+
+
+def test_law_takes_all_of_a_text():
+    """Windows side by side over whole texts, short or longer than a slice: what lies
+    between the first and the last window counts, too."""
+    rng = random.Random(6)
+    middle = b"".join(bytes(rng.choices(b"0123456789abcdef", k=9)) + b" " for _ in range(400))
+    for text in (b"a" * 200 + middle + b"a" * 200, middle * (1 + ss.SLICE_BYTES // len(middle)), b"ab" * 8, b""):
+        got = {}
+        for code, length, n, s, q in ss.window_sums([text, b"-"], np.array([2.0, 1.0])):
+            got[code, length] = np.add(got.get((code, length), 0.0), (n, s, q))
+        name = "hex"
+        body = bytes(c for c in text if c in ss.ENCODINGS[name])
+        for length in ss.LENGTHS:
+            n = len(body) // length
+            starts = [(len(body) - length) * i // max(1, n - 1) for i in range(n)]
+            if n > 1:
+                assert max(np.diff(starts)) < 2 * length and starts[-1] + length == len(body)
+            logs = np.array([math.log(ss.battery(body[a:a + length], name)) for a in starts])
+            assert np.allclose(got.pop((0, length), 0.0), [n / 2, logs.sum() / 2, (logs * logs).sum() / 2], rtol=1e-9)
+        assert not [c for c in got if c[0] == 0]
+
+
+def test_log_tail_of_many_values():
+    z = np.linspace(0, 45, 20001)
+    assert np.abs(ss._log_tails(z) - [ss._log_tail(v) for v in z]).max() < 1e-11
