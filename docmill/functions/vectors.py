@@ -271,3 +271,113 @@ def lexical_kernel(vocab: list, term_ptr: np.ndarray, term_q: np.ndarray, term_w
             lo = hi
 
     return run
+
+
+def coded_bags(vocab: list, keep: list[str], tokens_col: str = "tokens"):
+    """mapInArrow function: the ``keep`` columns of each row, the numbers of its tokens in
+    ``vocab`` (distinct ones), their counts, and the summed squared counts of all tokens."""
+    import pandas as pd
+
+    index = pd.Index(vocab, dtype=object)
+
+    def run(batches):
+        for batch in batches:
+            toks, n = batch.column(tokens_col), batch.num_rows
+            rows = pc.list_parent_indices(toks).to_numpy().astype(np.int64)
+            enc = pc.dictionary_encode(toks.flatten())
+            uniq = enc.dictionary.to_numpy(zero_copy_only=False)
+            cells, tf = np.unique(rows * max(1, len(uniq)) + enc.indices.to_numpy(), return_counts=True)
+            row, code = cells // max(1, len(uniq)), index.get_indexer(uniq)[cells % max(1, len(uniq))]
+            norm2 = np.bincount(row, weights=tf.astype(np.float64) ** 2, minlength=n).astype(np.int64)
+            row, code, tf = (x[code >= 0] for x in (row, code, tf))
+            offsets = pa.array(np.searchsorted(row, np.arange(n + 1)), pa.int32())
+            lists = [pa.ListArray.from_arrays(offsets, pa.array(x.astype(np.int32))) for x in (code, tf)]
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in keep], *lists, pa.array(norm2)],
+                                             names=[*keep, "codes", "tfs", "norm2"])
+
+    return run
+
+
+#: Most terms of a query block that are scored by matrix products, cells of a product.
+DENSE_TERMS, PRODUCT_CELLS = 128, 4_000_000
+
+
+def coded_kernel(term_ptr: np.ndarray, term_q: np.ndarray, term_tf: np.ndarray, query_ids: np.ndarray, k: int,
+                 columns: list[str], key_cols: list[str], decimals: int = 6):
+    """mapInArrow function over :func:`coded_bags`: exactly the task's k nearest rows per
+    query of a block, as :func:`lexical_kernel` has them (term t is held by the queries
+    ``term_q[term_ptr[t]:term_ptr[t + 1]]``, ``term_tf`` times).
+
+    The block's commonest terms make a matrix; the other terms' products are added to the
+    cells where they meet. The sums (in single precision while all dot products are far
+    below what it can tell apart) only choose the cells that may be among the k nearest; a
+    chosen cell's dot product is the integer next to it, which is exact."""
+    nq, nt = len(query_ids), len(term_ptr) - 1
+    held = np.diff(term_ptr)
+    common = np.argsort(-held, kind="stable")[:DENSE_TERMS]
+    common = common[held[common] > 0]
+    column = np.full(nt, -1, dtype=np.int64)
+    column[common] = np.arange(len(common))
+    term = np.repeat(np.arange(nt), held)
+    q_norm = np.sqrt(np.bincount(term_q, weights=term_tf.astype(np.float64) ** 2, minlength=nq))
+    matrix = np.zeros((len(common), nq), dtype=np.float32)
+    matrix[column[term[column[term] >= 0]], term_q[column[term] >= 0]] = term_tf[column[term] >= 0]
+    rows_per_block = max(1, min(4096, PRODUCT_CELLS // max(1, nq)))
+
+    def sums(rows, codes, tfs, norm):
+        """Cosine times the query's norm of each row (chunk) and query."""
+        kind = np.float32 if q_norm.max() * norm.max() < 10_000 else np.float64
+        share = tfs / norm[rows]
+        dense = column[codes] >= 0
+        left = np.zeros((len(norm), len(common)), dtype=kind)
+        left[rows[dense], column[codes[dense]]] = share[dense]
+        out = left @ matrix.astype(kind, copy=False)
+        r, c, x = rows[~dense], codes[~dense], share[~dense]
+        fan = held[c]
+        slot = np.repeat(term_ptr[c] - np.cumsum(fan) + fan, fan) + np.arange(int(fan.sum()))
+        np.add.at(out.reshape(-1), np.repeat(r, fan) * nq + term_q[slot],
+                  (np.repeat(x, fan) * term_tf[slot]).astype(kind))
+        return out
+
+    def run(batches):
+        best, pending = Best(k, key_cols, nq), []
+
+        def flush():
+            if pending:
+                best.add(np.concatenate([p[0] for p in pending]), np.concatenate([p[1] for p in pending]),
+                         pa.concat_tables([p[2] for p in pending]))
+                pending.clear()
+
+        for batch in batches:
+            for lo in range(0, batch.num_rows, rows_per_block):
+                part = batch.slice(lo, rows_per_block)
+                rows = pc.list_parent_indices(part.column("codes")).to_numpy().astype(np.int64)
+                codes, tfs = (part.column(c).flatten().to_numpy().astype(np.int64) for c in ("codes", "tfs"))
+                norm = np.sqrt(part.column("norm2").to_numpy().astype(np.float64))
+                near = sums(rows, codes, tfs, norm)
+                least = 1.0 - best.kth - 10.0 ** -decimals
+                new = np.flatnonzero(np.isinf(best.kth))
+                if len(new) and len(near) > k:
+                    at = len(near) - k
+                    least[new] = np.partition(near if len(new) == nq else near[:, new], at, axis=0)[at] / q_norm[new] \
+                        - 10.0 ** -decimals
+                # room for single precision; without a common term there is no pair
+                least = np.maximum((least - 1e-4) * q_norm, 1e-30).astype(near.dtype)
+                cells = np.flatnonzero(near >= least)
+                qi, ci = cells % nq, cells // nq
+                dots = np.rint(near.reshape(-1)[cells].astype(np.float64) * norm[ci])
+                dist = np.round(1.0 - dots / (q_norm[qi] * norm[ci]), decimals)
+                ok = dist <= best.kth[qi]
+                qi, ci, dist = qi[ok], ci[ok], dist[ok]
+                keys = _sort_keys([part.column(c) for c in key_cols])
+                keep = first_k(qi, dist, [c[ci] for c in keys], k)
+                pending.append((qi[keep], dist[keep], pa.Table.from_batches([part.select(columns)]).take(pa.array(ci[keep]))))
+                if sum(len(p[0]) for p in pending) * 4 > nq * k:
+                    flush()
+        flush()
+        if best.qi is not None:
+            kept = [best.rows.column(c).combine_chunks() for c in columns]
+            yield pa.RecordBatch.from_arrays([pa.array(query_ids[best.qi], pa.int64()), *kept, pa.array(best.dist, pa.float64())],
+                                             names=["qid", *columns, "distance"])
+
+    return run

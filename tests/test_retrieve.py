@@ -378,3 +378,60 @@ def test_ivf_ranks_cells_where_they_are_in_blocks(spark):
         got, _ = RT.ivf_search(qs, index, k=4, **({"nprobe": 12} | kwargs))
         assert sorted(map(str, got.select(cols).collect())) == sorted(map(str, full.select(cols).collect()))
     assert "Join" not in plan_text(full)
+
+
+def test_coded_kernel_equals_brute_force(monkeypatch):
+    """The block kernel's rows with few and many matrix terms, in single and double
+    precision, small blocks of rows, ties, and a query that no row meets."""
+    import math
+    import random
+    from collections import Counter
+
+    import numpy as np
+    import pyarrow as pa
+    from docmill.functions import vectors as V
+    rng = random.Random(3)
+    vocab = [f"w{i:02}" for i in range(40)]
+    weights = [1 / (i + 1) for i in range(40)]
+    queries = [Counter(rng.choices(vocab[:30], weights[:30], k=rng.randint(1, 8))) for _ in range(25)] + [Counter(["w39"])]
+    for heavy in (1, 900):
+        rows = [Counter(rng.choices(vocab[:35], weights[:35], k=rng.randint(1, 30)) + ["other"]) for _ in range(300)]
+        rows += [Counter({t: n * heavy * 3 for t, n in c.items()}) for c in rows[:40]]
+        want = []
+        for q, asked in enumerate(queries):
+            found = []
+            for i, c in enumerate(rows):
+                dot = sum(n * c[t] for t, n in asked.items())
+                if dot:
+                    norms = math.sqrt(sum(n * n for n in asked.values())) * math.sqrt(sum(n * n for n in c.values()))
+                    found.append((round(1.0 - dot / norms, 6), i % 7, i))
+            want += [(q, i, d) for d, _, i in sorted(found)[:4]]
+        entries = sorted((vocab.index(t), q, n) for q, c in enumerate(queries) for t, n in c.items())
+        term, held, tf = (np.array(x) for x in zip(*entries))
+        ptr = np.searchsorted(term, np.arange(len(vocab) + 1))
+        tokens = pa.array([[t for t, n in c.items() for _ in range(n)] for c in rows])
+        batch = pa.RecordBatch.from_arrays([pa.array([i % 7 for i in range(len(rows))]), pa.array(range(len(rows))), tokens],
+                                           names=["key", "cid", "tokens"])
+        coded = list(V.coded_bags(vocab, ["key", "cid"])(iter([batch.slice(0, 200), batch.slice(200)])))
+        assert sum(b.column("norm2").to_pylist()[0] for b in coded[:1]) == sum(n * n for n in rows[0].values())
+        for dense, cells in ((0, 1 << 20), (3, 26 * 11), (128, 26 * 50)):
+            monkeypatch.setattr(V, "DENSE_TERMS", dense)
+            monkeypatch.setattr(V, "PRODUCT_CELLS", cells)
+            out = list(V.coded_kernel(ptr, held, tf, np.arange(len(queries)), 4, ["key", "cid"], ["key", "cid"])(iter(coded)))
+            got = [(r["qid"], r["cid"], round(r["distance"], 6)) for b in out for r in b.to_pylist()]
+            assert sorted(got) == sorted((q, i, round(d, 6)) for q, i, d in want)
+
+
+def test_blocks_read_the_tokens_of_chunks_once(spark, monkeypatch):
+    """However many blocks of queries there are, chunks are cut into terms once."""
+    cut = []
+    tokens = RT.tokens
+    monkeypatch.setattr(RT, "tokens", lambda c: cut.append(c) or tokens(c))
+    q = spark.createDataFrame([(i, f"alpha beta{chr(97 + i)}") for i in range(20)], "qid long, text string")
+    ch = spark.createDataFrame([(i, 0, f"alpha beta{chr(97 + i % 9)} gamma") for i in range(30)], "doc_id long, chunk_index int, text string")
+    got = RT.lexical_topk(q, ch, k=2, q_keys=["qid"], method="blocks", max_block_queries=3)
+    assert cut.count("_text") == 1
+    want = RT.lexical_topk(q, ch, k=2, q_keys=["qid"], method="sql")
+    def rows(df):
+        return sorted((r["qid"], r["doc_id"], r["chunk_index"], round(r["distance"], 6), r["rank"]) for r in df.collect())
+    assert rows(got) == rows(want)
